@@ -19,12 +19,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.functions.scalar import llr
+from recoflow.session import cut_lineage
 from recoflow.operators.interactions import action_split, distinct_pairs, interaction_cap
 
 
-def capped_pairs(inter: DataFrame, actions, max_events: int = 500) -> DataFrame:
+def capped_pairs(inter: DataFrame, actions, max_events: int = 500, materialize: bool = False) -> DataFrame:
+    """Distinct (user, action, item) of the given actions after both caps.
+    ``materialize`` writes them once to the checkpoint folder: the correlator
+    plan reads them four times (two sides of the join, two marginals), and
+    without it every read re-scans and re-parses the event log."""
     pairs = distinct_pairs(action_split(inter, actions).select("user", "action", "item", "ts", "event_id"))
-    return interaction_cap(pairs, per_user=max_events, per_item=max_events).select("user", "action", "item")
+    out = interaction_cap(pairs, per_user=max_events, per_item=max_events).select("user", "action", "item")
+    return cut_lineage(out) if materialize else out
 
 
 def cooccurrence_join(capped: DataFrame, primary: str) -> DataFrame:
@@ -51,12 +57,12 @@ def llr_scores(capped: DataFrame, primary: str, n_users=None) -> DataFrame:
 
 
 def llr_correlators(inter: DataFrame, primary: str = "purchase", secondaries=(),
-                    top_k: int = 50, max_events: int = 500) -> DataFrame:
+                    top_k: int = 50, max_events: int = 500, materialize: bool = True) -> DataFrame:
     """CORRELATOR table (action, item, other, llr, rank): for every action, the
     ``top_k`` strongest positive-llr items per primary item, ranked by
     (llr desc, other asc).  U counts the users of all the actions given."""
     actions = [primary] + [a for a in secondaries if a != primary]
-    capped = capped_pairs(inter, actions, max_events)
+    capped = capped_pairs(inter, actions, max_events, materialize=materialize)
     scores = llr_scores(capped, primary).where(F.col("llr") > 0)
     return correlator_topk(scores, top_k)
 

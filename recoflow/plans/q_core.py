@@ -11,6 +11,7 @@ from recoflow.operators import retrieval as R
 from recoflow.operators.popularity import popularity
 from recoflow.plans.registry import register, sql_llr
 from recoflow.plans.sqlparts import CAPPED, CORR, SCORES, ctes, pop_cte
+from recoflow.session import cut_lineage
 from recoflow.sources import tables as T
 from recoflow.sources.tables import LONG_DURATION, POP_END, PRIMARY, SECONDARY, SHORT_DURATION
 
@@ -23,7 +24,9 @@ def _txt(c):
 
 
 def correlators(spark, sf):
-    return C.llr_correlators(T.inter(spark, sf), PRIMARY, SECONDARY, top_k=50, max_events=500)
+    """The trained correlator model, written once (the reference publishes it
+    to its index); every reader below scans the written table."""
+    return cut_lineage(C.llr_correlators(T.inter(spark, sf), PRIMARY, SECONDARY, top_k=50, max_events=500))
 
 
 def pop_model(spark, sf, kind="popular", duration=LONG_DURATION):
@@ -39,7 +42,7 @@ def all_user_queries(spark, sf, num=20):
 # --------------------------------------------------------------------------- flagship
 def ur_recommend(spark, sf):
     inter = T.inter(spark, sf)
-    corr = C.llr_correlators(inter, PRIMARY, SECONDARY, top_k=50, max_events=500)
+    corr = correlators(spark, sf)
     pop = popularity(inter, "popular", [PRIMARY], POP_END, LONG_DURATION)
     return R.recommend(all_user_queries(spark, sf), corr, pop, inter, primary=PRIMARY,
                        actions=ACTIONS, max_query_events=100)
