@@ -1 +1,157 @@
-"""Registered queries."""
+"""Session baskets, itemsets and association rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from recoflow.operators import basket as B
+from recoflow.plans.registry import register
+from recoflow.plans.sqlparts import ctes
+from recoflow.sources import tables as T
+from recoflow.sources.tables import LONG_DURATION, POP_END, PRIMARY
+
+GAP = 21600          # 6 h session gap
+MAX_LEN, MIN_COUNT, MIN_CONF, MIN_LIFT, MAX_RULES = 3, 2, 0.1, 1.0, 5
+
+
+def _txt(c):
+    return F.concat_ws(",", F.transform(F.col(c), lambda x: x.cast("string")))
+
+
+def order_baskets(spark, sf):
+    ob = T.order_baskets(spark, sf)
+    return ob.groupBy("basket_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+SESS_SQL = f"""
+s AS (SELECT user, item, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL
+  OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > {GAP * 1000000} THEN 1 ELSE 0 END AS st
+  FROM inter WINDOW w AS (PARTITION BY user ORDER BY ts, event_id)),
+g AS (SELECT *, sum(st) OVER (PARTITION BY user ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM s),
+sb AS (SELECT user, min(ts) AS session_start, max(ts) AS last_time, list_sort(list(DISTINCT item)) AS items
+  FROM g GROUP BY user, sid)"""
+
+
+@register("basket_sessions", ctes(("inter",), SESS_SQL) + """
+SELECT user, session_start, last_time, array_to_string(items, ',') AS items, CAST(len(items) AS INTEGER) AS n_items
+FROM sb WHERE len(items) >= 2""")
+def q_basket_sessions(spark, sf):
+    b = B.basket_sessions(T.inter(spark, sf), GAP, min_size=2)
+    return b.select("user", "session_start", "last_time", _txt("items").alias("items"), "n_items")
+
+
+@register("transaction_total", ctes(("inter",), SESS_SQL) + "SELECT count(*) AS n_baskets FROM sb WHERE len(items) >= 2")
+def q_transaction_total(spark, sf):
+    return B.transaction_total(B.basket_sessions(T.inter(spark, sf), GAP, min_size=2))
+
+
+ITEMSETS_SQL = f"""
+i1 AS (SELECT [item] AS s, count(*) AS c FROM order_baskets GROUP BY item HAVING count(*) >= {MIN_COUNT}),
+i2 AS (SELECT [a.item, b.item] AS s, count(*) AS c FROM order_baskets a JOIN order_baskets b
+  ON a.basket_id = b.basket_id AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= {MIN_COUNT}),
+i3 AS (SELECT [a.item, b.item, d.item] AS s, count(*) AS c FROM order_baskets a JOIN order_baskets b
+  ON a.basket_id = b.basket_id AND a.item < b.item JOIN order_baskets d ON d.basket_id = a.basket_id AND b.item < d.item
+  GROUP BY a.item, b.item, d.item HAVING count(*) >= {MIN_COUNT}),
+its AS (SELECT * FROM i1 UNION ALL SELECT * FROM i2 UNION ALL SELECT * FROM i3),
+tot AS (SELECT count(DISTINCT basket_id) AS n FROM order_baskets),
+r AS (SELECT s, c AS rule_cnt, unnest(s) AS conseq FROM its WHERE len(s) >= 2),
+r2 AS (SELECT list_sort(list_filter(s, lambda x: x <> conseq)) AS cond, conseq, rule_cnt FROM r),
+rj AS (SELECT r2.cond, r2.conseq, r2.rule_cnt, a.c AS cond_cnt, b.c AS conseq_cnt,
+  r2.rule_cnt / tot.n AS support, r2.rule_cnt / a.c AS confidence,
+  CAST(r2.rule_cnt AS DOUBLE) * tot.n / (CAST(a.c AS DOUBLE) * b.c) AS lift
+  FROM r2 JOIN its a ON a.s = r2.cond JOIN i1 b ON b.s = [r2.conseq] CROSS JOIN tot),
+rules AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cond ORDER BY confidence DESC, conseq) AS rank
+  FROM rj WHERE len(cond) <= {MAX_LEN - 1} AND confidence >= {MIN_CONF} AND lift >= {MIN_LIFT})
+  WHERE rank <= {MAX_RULES})"""
+_IV = ("order_baskets",)
+
+
+def itemsets(spark, sf):
+    return B.itemset_count(order_baskets(spark, sf), MAX_LEN, MIN_COUNT)
+
+
+@register("itemset_count", ctes(_IV, ITEMSETS_SQL) + """
+SELECT array_to_string(s, ',') AS itemset, CAST(len(s) AS INTEGER) AS size, c AS count FROM its""")
+def q_itemset_count(spark, sf):
+    return itemsets(spark, sf).select(_txt("itemset").alias("itemset"), "size", "count")
+
+
+@register("rule_self_join", ctes(_IV, ITEMSETS_SQL) + """
+SELECT array_to_string(cond, ',') AS cond, conseq, rule_cnt, cond_cnt, conseq_cnt, round(support, 6) AS support,
+  round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rj""")
+def q_rule_self_join(spark, sf):
+    ob = order_baskets(spark, sf)
+    total = ob.select(F.count(F.lit(1)).cast("double")).scalar()
+    r = B.rule_self_join(B.itemset_count(ob, MAX_LEN, MIN_COUNT), total)
+    return r.select(_txt("cond").alias("cond"), "conseq", "rule_cnt", "cond_cnt", "conseq_cnt",
+                    *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
+
+
+def rules(spark, sf):
+    return B.association_rules(order_baskets(spark, sf), MAX_LEN, MIN_COUNT, MIN_CONF, MIN_LIFT, MAX_RULES)
+
+
+_RULE_OUT = """
+SELECT array_to_string(cond, ',') AS cond, conseq, round(support, 6) AS support, round(confidence, 6) AS confidence,
+  round(lift, 6) AS lift, CAST(rank AS INTEGER) AS rank FROM rules"""
+
+
+@register("association_rules", ctes(_IV, ITEMSETS_SQL) + _RULE_OUT)
+def q_association_rules(spark, sf):
+    r = rules(spark, sf)
+    return r.select(_txt("cond").alias("cond"), "conseq", *[F.round(c, 6).alias(c) for c in
+                                                             ("support", "confidence", "lift")], "rank")
+
+
+@register("rule_topk", ctes(_IV, ITEMSETS_SQL) + _RULE_OUT)
+def q_rule_topk(spark, sf):
+    ob = order_baskets(spark, sf)
+    total = ob.select(F.count(F.lit(1)).cast("double")).scalar()
+    r = B.rule_self_join(B.itemset_count(ob, MAX_LEN, MIN_COUNT), total)
+    r = r.where((F.size("cond") <= MAX_LEN - 1) & (F.col("confidence") >= MIN_CONF) & (F.col("lift") >= MIN_LIFT))
+    r = B.rule_topk(r, MAX_RULES)
+    return r.select(_txt("cond").alias("cond"), "conseq", *[F.round(c, 6).alias(c) for c in
+                                                             ("support", "confidence", "lift")], "rank")
+
+
+@register("rule_lookup", ctes(("order_baskets", "orders_inter"), ITEMSETS_SQL) + """,
+bk AS (SELECT user AS basket_id, list(DISTINCT item) AS items FROM orders_inter GROUP BY user),
+m AS (SELECT b.basket_id, r.conseq, max(r.confidence) AS confidence, max(r.lift) AS lift FROM bk b JOIN rules r
+  ON list_has_all(b.items, r.cond) AND NOT list_contains(b.items, r.conseq) GROUP BY b.basket_id, r.conseq)
+SELECT basket_id, conseq, round(confidence, 6) AS confidence, round(lift, 6) AS lift, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY confidence DESC, lift DESC, conseq) AS rank FROM m)
+WHERE rank <= 3""")
+def q_rule_lookup(spark, sf):
+    """Rules learned on orders, applied to each customer's whole purchase set."""
+    cust = T.orders_inter(spark, sf).groupBy(F.col("user").alias("basket_id")).agg(
+        F.array_sort(F.collect_set("item")).alias("items"))
+    r = B.rule_lookup(cust, rules(spark, sf), 3)
+    return r.select("basket_id", "conseq", F.round("confidence", 6).alias("confidence"),
+                    F.round("lift", 6).alias("lift"), "rank")
+
+
+@register("itemset_subsets", ctes(_IV, ITEMSETS_SQL) + """,
+bk AS (SELECT basket_id, list(item) AS items FROM order_baskets GROUP BY basket_id)
+SELECT b.basket_id, array_to_string(i.s, ',') AS itemset FROM bk b JOIN its i ON list_has_all(b.items, i.s)
+WHERE len(i.s) >= 2""")
+def q_itemset_subsets(spark, sf):
+    its = itemsets(spark, sf).where(F.col("size") >= 2)
+    r = B.itemset_subsets(order_baskets(spark, sf), its)
+    return r.select("basket_id", _txt("itemset").alias("itemset"))
+
+
+@register("pop_period_join", ctes(("inter",)) + f"""
+SELECT item, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16 00:00:00') AS older,
+  count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16 00:00:00') AS newer
+FROM inter WHERE action = '{PRIMARY}' AND ts >= TIMESTAMP '2024-01-01 00:00:00' AND ts < TIMESTAMP '{POP_END}'
+GROUP BY item HAVING older > 0 AND newer > 0""")
+def q_pop_period_join(spark, sf):
+    """The inner join of two periods' counts, as conditional counts in one pass."""
+    from recoflow.operators.popularity import period_bounds
+    b = period_bounds(POP_END, LONG_DURATION, 2)
+    i = T.inter(spark, sf).where(F.col("action") == PRIMARY)
+    t = F.col("ts")
+    lo, mid, hi = (F.lit(x).cast("timestamp_ntz") for x in b)
+    agg = i.where((t >= lo) & (t < hi)).groupBy("item").agg(
+        F.count_if(t < mid).alias("older"), F.count_if(t >= mid).alias("newer"))
+    return agg.where("older > 0 and newer > 0")
