@@ -34,3 +34,22 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
     return (local.join(F.broadcast(offs), "_pid")
             .withColumn(name, (F.col("_lrn") + F.col("_off")).cast("bigint"))
             .drop("_pid", "_lrn", "_off"))
+
+
+def global_running_sum(df: DataFrame, order: list[Column], value: str, name: str,
+                       inclusive: bool = True, num_partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` in a global order, with the same two-level
+    plan as ``global_row_number`` (range partitions, local sums, offsets)."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    frame = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_ls", F.sum(value).over(frame))
+    tot = local.groupBy("_pid").agg(F.sum(value).alias("_t"))
+    offs = tot.select("_pid", F.coalesce(
+        F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    out = local.join(F.broadcast(offs), "_pid").withColumn(name, F.col("_ls") + F.col("_off"))
+    if not inclusive:
+        out = out.withColumn(name, F.col(name) - F.col(value))
+    return out.drop("_pid", "_ls", "_off")
