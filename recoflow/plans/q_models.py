@@ -1 +1,104 @@
-"""Registered queries."""
+"""pyspark.ml models (rows-only checks) and bandit statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from recoflow.operators import bandit as BA
+from recoflow.operators import ctr as C
+from recoflow.plans.registry import register
+from recoflow.plans.sqlparts import ctes
+from recoflow.sources import tables as T
+
+NUM = ["f_value", "f_price", "f_size"]
+
+
+def _assembled(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    d = T.ctr(spark, sf).withColumn("fold", F.pmod(F.col("id") * 7919, F.lit(5)).cast("int"))
+    d = d.withColumn("label", F.col("target").cast("double"))
+    return VectorAssembler(inputCols=NUM, outputCol="features").transform(d)
+
+
+@register("fm_fit")
+def q_fm_fit(spark, sf):
+    d = _assembled(spark, sf)
+    m = C.fm_fit(d.where("fold != 4"), "classification", factor_size=8, seed=1, max_iter=20)
+    return m.transform(d.where("fold = 4")).select("id", "label", "prediction")
+
+
+@register("gbdt_leaves")
+def q_gbdt_leaves(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    _, out = C.gbdt_leaves(_assembled(spark, sf), "features", "label", trees=5, depth=3, seed=1)
+    return out.select("id", vector_to_array("leaves").alias("leaves"))
+
+
+@register("gbdt_lr")
+def q_gbdt_lr(spark, sf):
+    d = _assembled(spark, sf)
+    out = C.gbdt_lr(d.where("fold != 4"), d.where("fold = 4"), "features", "label", trees=5, depth=3, seed=1)
+    from pyspark.ml.functions import vector_to_array
+    return out.select("id", "label", vector_to_array("probability")[1].alias("p1"), "prediction")
+
+
+@register("rf_regression")
+def q_rf_regression(spark, sf):
+    d = _assembled(spark, sf)
+    return C.rf_regression(d.where("fold != 4"), d.where("fold = 4"), "features", "label").select(
+        "id", "label", "prediction")
+
+
+@register("fold_average")
+def q_fold_average(spark, sf):
+    from pyspark.ml.classification import LogisticRegression
+    d = _assembled(spark, sf).withColumn("fold", F.pmod(F.col("id") * 7919, F.lit(3)).cast("int"))
+    return C.fold_average(d, 3, lambda: LogisticRegression(featuresCol="features", labelCol="label", maxIter=20),
+                          id_col="id")
+
+
+# --------------------------------------------------------------------------- bandits
+@register("ucb_arms", ctes(("reward_log",)) + """,
+per AS (SELECT arm, count(*) AS pulls, avg(reward) AS mean_reward FROM reward_log GROUP BY arm),
+t AS (SELECT count(*) AS t FROM reward_log),
+u AS (SELECT per.*, mean_reward + CASE WHEN pulls = 0 THEN 1.0 ELSE sqrt(2 * ln(t) / pulls) END AS ucb FROM per, t)
+SELECT arm, pulls, round(mean_reward, 6) AS mean_reward, round(ucb, 6) AS ucb,
+  arm = (SELECT arm FROM u ORDER BY ucb DESC, arm LIMIT 1) AS is_best FROM u""")
+def q_ucb_arms(spark, sf):
+    u = BA.ucb_arms(T.reward_log(spark, sf), "arm", "reward")
+    return u.select("arm", "pulls", F.round("mean_reward", 6).alias("mean_reward"), F.round("ucb", 6).alias("ucb"),
+                    "is_best")
+
+
+def contexts(spark, sf):
+    """Six context features per logged event."""
+    r = T.reward_log(spark, sf)
+    i = T.inter(spark, sf).select("event_id", "user", "item", "value")
+    x = F.array(F.lit(1.0), F.col("value") / 100.0, (F.col("user") % 7) / 7.0, (F.col("item") % 5) / 5.0,
+                F.hour("ts") / 24.0, F.minute("ts") / 60.0)
+    return r.join(i, "event_id").select("event_id", "arm", "reward", x.alias("x"))
+
+
+_CTX = """
+ctx AS (SELECT r.event_id, r.arm, r.reward, [1.0, i.value / 100.0, CAST(i.user % 7 AS DOUBLE) / 7.0,
+  CAST(i.item % 5 AS DOUBLE) / 5.0, CAST(hour(r.ts) AS DOUBLE) / 24.0, CAST(minute(r.ts) AS DOUBLE) / 60.0]::DOUBLE[] AS x
+  FROM reward_log r JOIN inter i ON i.event_id = r.event_id)"""
+
+
+@register("linucb_stats", ctes(("inter", "reward_log"), _CTX) + """,
+m AS (SELECT *, CASE WHEN reward = 1 THEN 0.6 ELSE -16.0 END AS rr FROM ctx WHERE reward <> -1),
+xi AS (SELECT arm, rr, x, unnest(x) AS xi, unnest(generate_series(0, len(x) - 1)) AS i FROM m),
+xij AS (SELECT arm, i, xi, unnest(x) AS xj, unnest(generate_series(0, len(x) - 1)) AS j FROM xi),
+a AS (SELECT arm, i, j, sum(xi * xj) + CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS a FROM xij GROUP BY arm, i, j),
+b AS (SELECT arm, i, -1 AS j, sum(rr * xi) AS a FROM xi GROUP BY arm, i)
+SELECT arm, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(a, 6) AS a FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
+def q_linucb_stats(spark, sf):
+    s = BA.linucb_stats(contexts(spark, sf), "arm", "x", "reward")
+    return s.select("arm", "i", F.col("j").cast("int").alias("j"), F.round("a", 6).alias("a"))
+
+
+@register("linucb_recommend")
+def q_linucb_recommend(spark, sf):
+    ctx = contexts(spark, sf)
+    params = BA.linucb_params(BA.linucb_stats(ctx, "arm", "x", "reward"))
+    return BA.linucb_recommend(ctx.select(F.col("event_id").alias("ctx_id"), "x"), params, 0.25)

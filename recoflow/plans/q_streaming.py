@@ -1 +1,32 @@
-"""Registered queries."""
+"""Streaming jobs driven to completion over the events table (rows-only checks)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from recoflow.plans.registry import register
+from recoflow.streaming import jobs as J
+
+
+@register("stream_popularity")
+def q_stream_popularity(spark, sf):
+    ev = J.read_event_stream(spark, sf)
+    return J.run_to_table(J.stream_popularity(ev, "1 day", None, "1 day", actions=["purchase"]), "popularity")
+
+
+@register("stream_baskets")
+def q_stream_baskets(spark, sf):
+    ev = J.read_event_stream(spark, sf)
+    return J.run_to_table(J.stream_baskets(ev, "6 hours", "1 day", 2), "baskets")
+
+
+@register("stream_bandit")
+def q_stream_bandit(spark, sf):
+    ev = J.read_event_stream(spark, sf)
+    log = ev.select((F.col("item") % 10).alias("arm"),
+                    F.when(F.col("action") == "purchase", 1).when(F.col("action") == "error", -1)
+                    .otherwise(0).alias("reward"))
+    out = J.run_to_table(J.stream_bandit(log), "bandit", mode="update")
+    # latest update of every arm across micro-batches
+    return out.groupBy("arm").agg(F.max_by(F.struct("pulls", "reward_sum"), "epoch").alias("s")).select(
+        "arm", "s.pulls", "s.reward_sum")
