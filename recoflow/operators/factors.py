@@ -14,8 +14,8 @@ Score rules (per query user u, candidate item i, weight w(i) default 1):
 - similar:      sum over recent items r of cosine(r, i) * w(i), kept when > 0
                 (= dot(sum_r r/|r|, i/|i|): the per-user profile is summed first)
 - default:      buy count(i) * w(i), zero scores kept
-Candidates pass the whitelist (when given), miss the blacklist, and carry all
-asked genres.  Ties are broken by item id ascending.
+Candidates pass the whitelist (when given), are not among the user's excluded
+(user, item) rows, and carry all asked genres.  Ties: item id ascending.
 """
 
 from __future__ import annotations
@@ -49,65 +49,93 @@ def _blocks(df: DataFrame, key: str, name: str, n: int) -> DataFrame:
     return df.withColumn(name, F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int"))
 
 
-def _topn_block(n: int, mode: str):
+def _topn_block(n: int):
+    """Per (user block, item block): scores as one matrix product, then the
+    best ``n + extra`` items of every user row (extra = the user's number of
+    excluded items, so the exclusion anti join after the merge stays exact)."""
     def fn(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"user": pd.Series([], dtype="int64"), "item": pd.Series([], dtype="int64"),
+                              "score": pd.Series([], dtype="float64")})
         if users.empty or items.empty:
-            return pd.DataFrame({"user": pd.Series([], "int64"), "item": pd.Series([], "int64"),
-                                 "score": pd.Series([], "float64")})
+            return empty
         U = np.vstack([np.asarray(v, dtype=np.float64) for v in users["vec"]])
         X = np.vstack([np.asarray(v, dtype=np.float64) for v in items["vec"]])
-        if mode == "cosine":
+        w = items["weight"].to_numpy(np.float64)[None, :]
+        cos_rows = (users["mode"] == "cosine").to_numpy()
+        S = np.empty((U.shape[0], X.shape[0]))
+        if (~cos_rows).any():
+            S[~cos_rows] = U[~cos_rows] @ X.T
+        if cos_rows.any():
             norms = np.linalg.norm(X, axis=1)
-            X = np.divide(X, norms[:, None], out=np.zeros_like(X), where=norms[:, None] > 0)
-        S = U @ X.T * items["weight"].to_numpy(np.float64)[None, :]
+            Xn = np.divide(X, norms[:, None], out=np.zeros_like(X), where=norms[:, None] > 0)
+            S[cos_rows] = U[cos_rows] @ Xn.T
+        S *= w
         ids = items["item"].to_numpy(np.int64)
-        gen = items["genres"].tolist() if "genres" in items else None
+        gen = [set(g) if g is not None else set() for g in items["genres"]] if "genres" in items else None
         out_u, out_i, out_s = [], [], []
         for r, row in enumerate(users.itertuples(index=False)):
             ok = S[r] > 0
             if row.whitelist is not None:
                 ok &= np.isin(ids, np.asarray(row.whitelist, dtype=np.int64))
-            if row.blacklist is not None and len(row.blacklist):
-                ok &= ~np.isin(ids, np.asarray(row.blacklist, dtype=np.int64))
             if gen is not None and row.genres is not None and len(row.genres):
                 need = set(row.genres)
-                ok &= np.array([need.issubset(set(g) if g is not None else set()) for g in gen])
+                ok &= np.fromiter((need <= g for g in gen), bool, len(gen))
             idx = np.nonzero(ok)[0]
             if idx.size == 0:
                 continue
-            order = np.lexsort((ids[idx], -S[r, idx]))[:n]
+            keep = n + int(row.extra)
+            if idx.size > keep:
+                cut = np.argpartition(-S[r, idx], keep - 1)[:keep]
+                thr = S[r, idx[cut]].min()
+                idx = idx[S[r, idx] >= thr]          # keep ties at the cut, sorted below
+            order = np.lexsort((ids[idx], -S[r, idx]))[:keep]
             sel = idx[order]
             out_u.extend([row.user] * sel.size)
             out_i.extend(ids[sel].tolist())
             out_s.extend(S[r, sel].tolist())
+        if not out_u:
+            return empty
         return pd.DataFrame({"user": pd.Series(out_u, dtype="int64"), "item": pd.Series(out_i, dtype="int64"),
                              "score": pd.Series(out_s, dtype="float64")})
     return fn
 
 
-def blocked_topn(users: DataFrame, items: DataFrame, n: int, mode: str = "dot",
+def blocked_topn(users: DataFrame, items: DataFrame, n: int, exclusions: DataFrame | None = None,
                  user_blocks: int | None = None, item_blocks: int | None = None) -> DataFrame:
-    """Exact top ``n`` items per user by (score desc, item asc).
-
-    users: (user long, vec array, whitelist array<long>|null, blacklist
-    array<long>|null, genres array<string>|null); items: (item long, vec
-    array, weight double[, genres array<string>]).
+    """Exact top ``n`` items per user by (score desc, item asc), minus the
+    user's excluded items.
+
+    users: (user long, vec array[, mode 'dot'|'cosine'][, whitelist
+    array<long>][, genres array<string>]); items: (item long, vec array,
+    weight double[, genres array<string>]); exclusions: (user, item) rows.
+    Excluded items are removed by an anti join of rows, never carried as
+    per-user arrays: each block keeps n + |excluded(user)| candidates.
     """
     spark = users.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ub = user_blocks or max(1, int(parts ** 0.5))
     ib = item_blocks or max(1, parts // ub)
-    for c in ("whitelist", "blacklist"):
-        if c not in users.columns:
-            users = users.withColumn(c, F.lit(None).cast("array<bigint>"))
+    if "mode" not in users.columns:
+        users = users.withColumn("mode", F.lit("dot"))
+    if "whitelist" not in users.columns:
+        users = users.withColumn("whitelist", F.lit(None).cast("array<bigint>"))
     if "genres" not in users.columns:
         users = users.withColumn("genres", F.lit(None).cast("array<string>"))
+    ex = None
+    if exclusions is not None:
+        ex = exclusions.select("user", "item").distinct()
+        cnt = ex.groupBy("user").agg(F.count(F.lit(1)).alias("extra"))
+        users = users.join(cnt, "user", "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
+    else:
+        users = users.withColumn("extra", F.lit(0))
     u = _blocks(users, "user", "ub", ub).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1))))
     i = _blocks(items, "item", "ib", ib).withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(ub - 1))))
-    u = u.select("ub", "ib", "user", "vec", "whitelist", "blacklist", "genres")
+    u = u.select("ub", "ib", "user", "vec", "mode", "extra", "whitelist", "genres")
     icols = ["ub", "ib", "item", "vec", "weight"] + (["genres"] if "genres" in items.columns else [])
     part = (u.groupBy("ub", "ib").cogroup(i.select(*icols).groupBy("ub", "ib"))
-            .applyInPandas(_topn_block(n, mode), RECS_SCHEMA))
+            .applyInPandas(_topn_block(n), RECS_SCHEMA))
+    if ex is not None:
+        part = part.join(ex, ["user", "item"], "left_anti")
     top = topn_per_group(part, ["user"], [F.col("score").desc(), F.col("item").asc()], n)
     return top.select("user", F.col("rank").cast("int").alias("rank"), "item", "score")
 
@@ -125,11 +153,21 @@ def _item_side(item_factors: DataFrame, weights: DataFrame | None) -> DataFrame:
     return it
 
 
+def _known_side(queries: DataFrame, user_factors: DataFrame) -> DataFrame:
+    return queries.join(user_factors.select("user", F.col("embedding").alias("vec")), "user").withColumn(
+        "mode", F.lit("dot"))
+
+
+def _similar_side(queries: DataFrame, recent: DataFrame, item_factors: DataFrame) -> DataFrame:
+    return queries.join(user_profiles(recent, item_factors), "user").withColumn("mode", F.lit("cosine"))
+
+
 def als_known_user(queries: DataFrame, user_factors: DataFrame, item_factors: DataFrame,
-                   weights: DataFrame | None = None, n: int = 10, **blocks) -> DataFrame:
-    """queries: (user[, whitelist, blacklist, genres]); user_factors (user, embedding)."""
-    u = queries.join(user_factors.select("user", F.col("embedding").alias("vec")), "user")
-    return blocked_topn(u, _item_side(item_factors, weights), n, "dot", **blocks)
+                   weights: DataFrame | None = None, n: int = 10, exclusions: DataFrame | None = None,
+                   **blocks) -> DataFrame:
+    """queries: (user[, whitelist, genres]); user_factors (user, embedding)."""
+    return blocked_topn(_known_side(queries, user_factors), _item_side(item_factors, weights), n, exclusions,
+                        **blocks)
 
 
 def user_profiles(recent: DataFrame, item_factors: DataFrame) -> DataFrame:
@@ -146,15 +184,16 @@ def user_profiles(recent: DataFrame, item_factors: DataFrame) -> DataFrame:
 
 
 def als_similar(queries: DataFrame, recent: DataFrame, item_factors: DataFrame,
-                weights: DataFrame | None = None, n: int = 10, **blocks) -> DataFrame:
-    u = queries.join(user_profiles(recent, item_factors), "user")
-    return blocked_topn(u, _item_side(item_factors, weights), n, "cosine", **blocks)
+                weights: DataFrame | None = None, n: int = 10, exclusions: DataFrame | None = None,
+                **blocks) -> DataFrame:
+    return blocked_topn(_similar_side(queries, recent, item_factors), _item_side(item_factors, weights), n,
+                        exclusions, **blocks)
 
 
 def als_default(queries: DataFrame, counts: DataFrame, items: DataFrame, weights: DataFrame | None = None,
-                n: int = 10) -> DataFrame:
-    """Popularity x weight, zero scores kept, minus each query's blacklist.
-    Only the first n + |blacklist| items of the global order can be needed,
+                n: int = 10, exclusions: DataFrame | None = None) -> DataFrame:
+    """Popularity x weight, zero scores kept, minus each query's exclusions.
+    Only the first n + |excluded| items of the global order can be needed,
     so each query joins that many rank numbers (no cross join)."""
     w = weights.select("item", "weight") if weights is not None else None
     sc = items.select("item").distinct().join(counts.select("item", F.col("n_buys").cast("double").alias("c")),
@@ -165,30 +204,40 @@ def als_default(queries: DataFrame, counts: DataFrame, items: DataFrame, weights
         sc = sc.withColumn("weight", F.lit(1.0))
     sc = sc.select("item", (F.coalesce("c", F.lit(0.0)) * F.coalesce("weight", F.lit(1.0))).alias("score"))
     ranked = global_row_number(sc, [F.col("score").desc(), F.col("item").asc()], "pos")
-    q = queries if "blacklist" in queries.columns else queries.withColumn("blacklist", F.array().cast("array<bigint>"))
-    need = q.select("user", F.coalesce("blacklist", F.array().cast("array<bigint>")).alias("bl"))
-    need = need.select("user", "bl", F.explode(F.sequence(F.lit(1).cast("bigint"),
-                                                          F.lit(n).cast("bigint") + F.size("bl"))).alias("pos"))
-    cand = need.join(ranked, "pos").where(~F.array_contains("bl", F.col("item")))
+    q = queries.select("user").distinct()
+    if exclusions is not None:
+        ex = exclusions.select("user", "item").distinct()
+        q = q.join(ex.groupBy("user").agg(F.count(F.lit(1)).alias("extra")), "user", "left")
+    else:
+        ex = None
+        q = q.withColumn("extra", F.lit(0))
+    need = q.select("user", F.explode(F.sequence(F.lit(1).cast("bigint"),
+                                                 F.lit(n).cast("bigint") + F.coalesce("extra", F.lit(0)))).alias("pos"))
+    cand = need.join(ranked, "pos")
+    if ex is not None:
+        cand = cand.join(ex, ["user", "item"], "left_anti")
     top = topn_per_group(cand, ["user"], [F.col("score").desc(), F.col("item").asc()], n)
     return top.select("user", F.col("rank").cast("int").alias("rank"), "item", "score")
 
 
 def cascade_recommend(queries: DataFrame, user_factors: DataFrame, item_factors: DataFrame,
                       recent: DataFrame, counts: DataFrame, weights: DataFrame | None = None, n: int = 10,
-                      **blocks) -> DataFrame:
+                      exclusions: DataFrame | None = None, **blocks) -> DataFrame:
     """Known user -> factor scores; else users with recent items -> cosine
     scores; else popularity.  The query table is split in three by semi and
-    anti joins and the three results are unioned; ``path`` says which."""
+    anti joins; the two factor paths share one blocked product (a per-row
+    mode), and the results are unioned; ``path`` says which rule served."""
     known = queries.join(user_factors.select("user"), "user", "left_semi")
     rest = queries.join(user_factors.select("user"), "user", "left_anti")
     has_recent = recent.join(item_factors.select("item"), "item", "left_semi").select("user").distinct()
     warm = rest.join(has_recent, "user", "left_semi")
     cold = rest.join(has_recent, "user", "left_anti")
-    a = als_known_user(known, user_factors, item_factors, weights, n, **blocks).withColumn("path", F.lit("known"))
-    b = als_similar(warm, recent, item_factors, weights, n, **blocks).withColumn("path", F.lit("similar"))
-    c = als_default(cold, counts, item_factors, weights, n).withColumn("path", F.lit("default"))
-    return a.unionByName(b).unionByName(c)
+    side = (_known_side(known.select("user"), user_factors)
+            .unionByName(_similar_side(warm.select("user"), recent, item_factors)))
+    f = blocked_topn(side.select("user", "vec", "mode"), _item_side(item_factors, weights), n, exclusions, **blocks)
+    f = f.join(side.select("user", F.when(F.col("mode") == "dot", "known").otherwise("similar").alias("path")), "user")
+    c = als_default(cold, counts, item_factors, weights, n, exclusions).withColumn("path", F.lit("default"))
+    return f.unionByName(c)
 
 
 def recommend_for_users(model, users: DataFrame, n: int = 10) -> DataFrame:

@@ -69,10 +69,12 @@ def entity_latest_events(events: DataFrame, n: int = 10, entity_col: str = "user
 
 
 def user_item_lists(inter: DataFrame) -> DataFrame:
-    """Items of each user ordered by (ts, event_id); sorting a struct list
-    keeps the order exact without a global sort."""
-    s = F.sort_array(F.collect_list(F.struct("ts", "event_id", "item")))
-    return inter.groupBy("user").agg(F.transform(s, lambda x: x["item"]).alias("items"))
+    """Distinct items of each user in order of first interaction (ts,
+    event_id).  Pairs are reduced first (partial aggregation), so a list is
+    bounded by the catalog, not by how many events a hot user logged."""
+    first = inter.groupBy("user", "item").agg(F.min(F.struct("ts", "event_id")).alias("f"))
+    s = F.sort_array(F.collect_list(F.struct(F.col("f.ts"), F.col("f.event_id"), F.col("item"))))
+    return first.groupBy("user").agg(F.transform(s, lambda x: x["item"]).alias("items"))
 
 
 def user_activity(inter: DataFrame) -> DataFrame:
@@ -97,9 +99,10 @@ def dataset_cardinality(inter: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def ratings_by_user(rated: DataFrame) -> DataFrame:
-    """Truth lists per user: items with rating, ordered by item."""
-    return rated.groupBy("user").agg(
-        F.sort_array(F.collect_list(F.struct("item", "rating"))).alias("truth"))
+    """Truth lists per user: (item, latest rating) ordered by item; repeated
+    ratings of a pair are reduced first, so a list is bounded by the catalog."""
+    latest = rated.groupBy("user", "item").agg(F.max_by("rating", F.struct("ts", "event_id")).alias("rating"))
+    return latest.groupBy("user").agg(F.sort_array(F.collect_list(F.struct("item", "rating"))).alias("truth"))
 
 
 def known_pairs(inter: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ def _round(df):
 
 
 def _seen(spark, sf):
-    i = T.inter(spark, sf).where(F.col("action") == PRIMARY)
-    return i.groupBy("user").agg(F.array_sort(F.collect_set("item")).alias("blacklist"))
+    """(user, item) rows the user already bought: excluded from the results."""
+    return T.inter(spark, sf).where(F.col("action") == PRIMARY).select("user", "item")
 
 
 def _recent(spark, sf):
@@ -81,8 +81,9 @@ SELECT user, CAST(rank AS INTEGER) AS rank, item, round(score, 6) AS score FROM
 
 @register("als_known_user", _KNOWN_SQL)
 def q_als_known_user(spark, sf):
-    q = T.user_factors(spark, sf).select("user").join(_seen(spark, sf), "user", "left")
-    return _round(FA.als_known_user(q, T.user_factors(spark, sf), T.item_factors(spark, sf), None, N))
+    q = T.user_factors(spark, sf).select("user")
+    return _round(FA.als_known_user(q, T.user_factors(spark, sf), T.item_factors(spark, sf), None, N,
+                                    exclusions=_seen(spark, sf)))
 
 
 _SIMILAR_SQL = ctes(_FV, _RECENT_SQL) + f"""
@@ -99,8 +100,8 @@ SELECT user, CAST(rank AS INTEGER) AS rank, item, round(score, 6) AS score FROM
 def q_als_similar(spark, sf):
     users = T.inter(spark, sf).select("user").distinct().join(T.user_factors(spark, sf).select("user"), "user",
                                                              "left_anti")
-    q = users.join(_seen(spark, sf), "user", "left")
-    return _round(FA.als_similar(q, _recent(spark, sf), T.item_factors(spark, sf), None, N))
+    return _round(FA.als_similar(users, _recent(spark, sf), T.item_factors(spark, sf), None, N,
+                                 exclusions=_seen(spark, sf)))
 
 
 _DEFAULT_SQL = ctes(_FV) + f"""
@@ -115,10 +116,10 @@ WHERE rank <= {N}"""
 
 @register("als_default", _DEFAULT_SQL)
 def q_als_default(spark, sf):
-    q = T.inter(spark, sf).select("user").distinct().join(_seen(spark, sf), "user", "left")
+    q = T.inter(spark, sf).select("user").distinct()
     it = T.item_factors(spark, sf)
     counts = I.item_buy_count(T.inter(spark, sf), PRIMARY)
-    return _round(FA.als_default(q, counts, it, it.select("item", "weight"), N))
+    return _round(FA.als_default(q, counts, it, it.select("item", "weight"), N, exclusions=_seen(spark, sf)))
 
 
 @register("cascade_recommend", ctes(_FV, _RECENT_SQL) + f""",
@@ -141,11 +142,11 @@ s AS (SELECT * FROM known WHERE score > 0 UNION ALL SELECT * FROM sim WHERE scor
 SELECT user, CAST(rank AS INTEGER) AS rank, item, round(score, 6) AS score, path FROM (
   SELECT *, row_number() OVER (PARTITION BY user ORDER BY score DESC, item) AS rank FROM s) WHERE rank <= {N}""")
 def q_cascade_recommend(spark, sf):
-    q = T.inter(spark, sf).select("user").distinct().join(_seen(spark, sf), "user", "left")
+    q = T.inter(spark, sf).select("user").distinct()
     it = T.item_factors(spark, sf)
     counts = I.item_buy_count(T.inter(spark, sf), PRIMARY)
     return _round(FA.cascade_recommend(q, T.user_factors(spark, sf), it, _recent(spark, sf), counts,
-                                       it.select("item", "weight"), N))
+                                       it.select("item", "weight"), N, exclusions=_seen(spark, sf)))
 
 
 @register("positive_scores", ctes(_FV) + f"""

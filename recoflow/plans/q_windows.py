@@ -104,7 +104,9 @@ def q_item_buy_count(spark, sf):
 
 
 @register("user_item_lists", ctes(("inter",)) + """
-SELECT user, array_to_string(list(item ORDER BY ts, event_id), ',') AS items FROM inter GROUP BY user""")
+SELECT user, array_to_string(list(item ORDER BY ts, event_id), ',') AS items FROM (
+  SELECT *, row_number() OVER (PARTITION BY user, item ORDER BY ts, event_id) AS r FROM inter) WHERE r = 1
+GROUP BY user""")
 def q_user_item_lists(spark, sf):
     return I.user_item_lists(T.inter(spark, sf)).select("user", _txt("items").alias("items"))
 
@@ -122,7 +124,8 @@ def q_dataset_cardinality(spark, sf):
 
 
 @register("ratings_by_user", ctes(("inter", "rated")) + """
-SELECT user, array_to_string(list(item || ':' || rating ORDER BY item, rating), ',') AS truth FROM rated GROUP BY user""")
+SELECT user, array_to_string(list(item || ':' || rating ORDER BY item), ',') AS truth FROM (
+  SELECT user, item, arg_max(rating, (ts, event_id)) AS rating FROM rated GROUP BY user, item) GROUP BY user""")
 def q_ratings_by_user(spark, sf):
     r = I.ratings_by_user(T.rated(spark, sf))
     return r.select("user", F.concat_ws(",", F.transform("truth", lambda t: F.concat(
@@ -200,8 +203,8 @@ SELECT user, array_to_string(list_sort(list_distinct(list_concat(
   ',') AS items FROM inter WHERE action IN ('view', 'click') GROUP BY user""")
 def q_boost_distinct(spark, sf):
     i = T.inter(spark, sf).where(F.col("action").isin("view", "click"))
-    g = i.groupBy("user").agg(F.collect_list(F.when(F.col("action") == "view", F.col("item"))).alias("v"),
-                              F.collect_list(F.when(F.col("action") == "click", F.col("item"))).alias("c"))
+    g = i.groupBy("user").agg(F.collect_set(F.when(F.col("action") == "view", F.col("item"))).alias("v"),
+                              F.collect_set(F.when(F.col("action") == "click", F.col("item"))).alias("c"))
     return g.select("user", F.concat_ws(",", F.transform(F.array_sort(FL.boost_distinct("v", "c")),
                                                          lambda x: x.cast("string"))).alias("items"))
 
