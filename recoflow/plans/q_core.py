@@ -41,8 +41,13 @@ def all_user_queries(spark, sf, num=20):
 
 # --------------------------------------------------------------------------- flagship
 def ur_recommend(spark, sf):
-    inter = T.inter(spark, sf)
-    corr = correlators(spark, sf)
+    """Train (correlators + popularity) and serve every user in one DAG.
+    The item id lives in JSON text that Parquet cannot push down, and the
+    plan reads the interactions five times (pairs, popularity, history,
+    exclusions, marginals), so the narrow INTERACTION table of the used
+    actions is written once and every stage scans that columnar copy."""
+    inter = cut_lineage(I.action_split(T.inter(spark, sf), ACTIONS))
+    corr = cut_lineage(C.llr_correlators(inter, PRIMARY, SECONDARY, top_k=50, max_events=500))
     pop = popularity(inter, "popular", [PRIMARY], POP_END, LONG_DURATION)
     return R.recommend(all_user_queries(spark, sf), corr, pop, inter, primary=PRIMARY,
                        actions=ACTIONS, max_query_events=100)

@@ -169,8 +169,17 @@ def q_hash_feature(spark, sf):
     return FE.hash_feature(_ctr(spark, sf), CATS).select("id", "features")
 
 
-@register("one_hot_pairs")
+@register("one_hot_pairs", ctes(("ctr",)) + """,
+d AS (SELECT *, ((id * 7919) % 5 + 5) % 5 AS fold FROM ctr),
+si AS (SELECT f_seg_cat, CAST(row_number() OVER (ORDER BY count(*) DESC, f_seg_cat) - 1 AS DOUBLE) AS seg_i
+  FROM d WHERE fold <> 4 GROUP BY f_seg_cat),
+bi AS (SELECT f_brand_cat, CAST(row_number() OVER (ORDER BY count(*) DESC, f_brand_cat) - 1 AS DOUBLE) AS brand_i
+  FROM d WHERE fold <> 4 GROUP BY f_brand_cat)
+SELECT d.id, d.target, si.seg_i, bi.brand_i FROM d JOIN si ON si.f_seg_cat = d.f_seg_cat
+JOIN bi ON bi.f_brand_cat = d.f_brand_cat WHERE d.fold = 4""")
 def q_one_hot_pairs(spark, sf):
+    """Indexes fit on train (frequency desc, then text), unseen test ids
+    dropped; the one-hot vectors are built from these indexes."""
     d = _ctr(spark, sf).withColumn("fold", F.pmod(F.col("id") * 7919, F.lit(5)))
     tr, te = FE.one_hot_pairs(d.where("fold != 4"), d.where("fold = 4"), ["f_seg_cat", "f_brand_cat"])
-    return te.select("id", "target", F.col("features").cast("string").alias("features"))
+    return te.select("id", "target", F.col("f_seg_cat_i").alias("seg_i"), F.col("f_brand_cat_i").alias("brand_i"))

@@ -1,26 +1,45 @@
-"""Streaming jobs driven to completion over the events table (rows-only checks)."""
+"""Streaming jobs driven to completion over the events table, with exact oracles
+for the rows the watermark has released."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from recoflow.plans.registry import register
+from recoflow.plans.sqlparts import ctes
 from recoflow.streaming import jobs as J
 
+# Append mode emits a window once the watermark (max event time - delay)
+# reaches its end; the oracle keeps exactly those windows.
+_WM = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
 
-@register("stream_popularity")
+
+@register("stream_popularity", ctes(("inter",)) + f"""
+SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, item,
+  count(*) AS n FROM inter WHERE action = 'purchase' GROUP BY 1, 2, 3
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {_WM}""")
 def q_stream_popularity(spark, sf):
     ev = J.read_event_stream(spark, sf)
     return J.run_to_table(J.stream_popularity(ev, "1 day", None, "1 day", actions=["purchase"]), "popularity")
 
 
-@register("stream_baskets")
+@register("stream_baskets", ctes(("inter",)) + f""",
+s AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000
+  THEN 1 ELSE 0 END AS st FROM inter WINDOW w AS (PARTITION BY user ORDER BY ts, event_id)),
+g AS (SELECT *, sum(st) OVER (PARTITION BY user ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM s),
+sb AS (SELECT user, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end,
+  list_sort(list(DISTINCT item)) AS items FROM g GROUP BY user, sid)
+SELECT user, session_start, session_end, array_to_string(items, ',') AS items, CAST(len(items) AS INTEGER) AS n_items
+FROM sb WHERE len(items) >= 2 AND session_end <= {_WM}""")
 def q_stream_baskets(spark, sf):
     ev = J.read_event_stream(spark, sf)
-    return J.run_to_table(J.stream_baskets(ev, "6 hours", "1 day", 2), "baskets")
+    out = J.run_to_table(J.stream_baskets(ev, "6 hours", "1 day", 2), "baskets")
+    return out.select("user", "session_start", "session_end",
+                      F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))).alias("items"), "n_items")
 
 
-@register("stream_bandit")
+@register("stream_bandit", ctes(("reward_log",)) + """
+SELECT arm, count(*) AS pulls, CAST(sum(reward) AS BIGINT) AS reward_sum FROM reward_log GROUP BY arm""")
 def q_stream_bandit(spark, sf):
     ev = J.read_event_stream(spark, sf)
     log = ev.select((F.col("item") % 10).alias("arm"),
