@@ -30,16 +30,35 @@ def llr(k11, k12, k21, k22) -> Column:
     return F.when(raw < 1e-9, F.lit(0.0)).otherwise(raw)
 
 
+def with_llr(df, k11, n_a, n_b, n_users, name: str = "llr"):
+    """Adds ``name`` = llr of the table k11, n_a - k11, n_b - k11,
+    U - n_a - n_b + k11, computed in steps: each entropy term is its own
+    column, so the optimizer keeps them apart instead of inlining copies of
+    one large expression into the next (same values as ``llr``).  Counts are
+    non-negative integers, so x*ln(x) is x * ln(max(x, 1))."""
+    def xl(c):
+        return c * F.log(F.greatest(c, F.lit(1.0)))
+    a, b, c, d = (F.col(x) for x in ("_a", "_b", "_c", "_d"))
+    k = df.select("*", _c(k11).cast("double").alias("_a"), (_c(n_a) - _c(k11)).cast("double").alias("_b"),
+                  (_c(n_b) - _c(k11)).cast("double").alias("_c"),
+                  (_c(n_users) - _c(n_a) - _c(n_b) + _c(k11)).cast("double").alias("_d"))
+    h = k.select("*", xl(a + b + c + d).alias("_xt"), xl(a + b).alias("_r1"), xl(c + d).alias("_r2"),
+                 xl(a + c).alias("_c1"), xl(b + d).alias("_c2"), (xl(a) + xl(b) + xl(c) + xl(d)).alias("_m"))
+    raw = h.select("*", (2.0 * (F.col("_xt") - F.col("_r1") - F.col("_r2") - F.col("_c1") - F.col("_c2")
+                                + F.col("_m"))).alias("_raw"))
+    out = raw.withColumn(name, F.when(F.col("_raw") < 1e-9, F.lit(0.0)).otherwise(F.col("_raw")))
+    return out.drop("_a", "_b", "_c", "_d", "_xt", "_r1", "_r2", "_c1", "_c2", "_m", "_raw")
+
+
 def vec_dot(a, b) -> Column:
-    """Dot product of two numeric arrays (cast to double first)."""
-    a = F.transform(_c(a), lambda x: x.cast("double"))
-    b = F.transform(_c(b), lambda x: x.cast("double"))
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    """Dot product of two numeric arrays, in double.  Higher-order functions
+    run interpreted, so this uses two array passes, not four."""
+    prod = F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(prod, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def vec_norm(a) -> Column:
-    a = F.transform(_c(a), lambda x: x.cast("double"))
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.sqrt(F.aggregate(_c(a), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
 def vec_cosine(a, b) -> Column:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recoflow.functions.scalar import llr
+from recoflow.functions.scalar import with_llr
 from recoflow.session import cut_lineage
 from recoflow.operators.interactions import action_split, distinct_pairs, interaction_cap
 
@@ -52,8 +52,8 @@ def llr_scores(capped: DataFrame, primary: str, n_users=None) -> DataFrame:
     marg_b = (capped.groupBy("action", F.col("item").alias("other"))
               .agg(F.count(F.lit(1)).alias("n_b")))
     j = cooc.join(marg_a, "item").join(marg_b, ["action", "other"])
-    k11, na, nb = F.col("k11"), F.col("n_a"), F.col("n_b")
-    return j.withColumn("llr", llr(k11, na - k11, nb - k11, F.lit(n_users) - na - nb + k11))
+    nu = n_users if not isinstance(n_users, (int, float)) else F.lit(n_users)
+    return with_llr(j, "k11", "n_a", "n_b", nu)
 
 
 def llr_correlators(inter: DataFrame, primary: str = "purchase", secondaries=(),

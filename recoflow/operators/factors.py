@@ -173,11 +173,15 @@ def als_known_user(queries: DataFrame, user_factors: DataFrame, item_factors: Da
 def user_profiles(recent: DataFrame, item_factors: DataFrame) -> DataFrame:
     """(user, vec): sum of the unit vectors of the user's recent items (zero
     vectors add nothing), built with a shuffle on (user, position)."""
-    j = recent.select("user", "item").distinct().join(item_factors.select("item", "embedding"), "item")
-    e = j.select("user", F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("pos", "x"),
-                 F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")),
-                                    F.lit(0.0), lambda a, b: a + b)).alias("norm"))
-    e = e.withColumn("x", F.when(F.col("norm") > 0, F.col("x") / F.col("norm")).otherwise(F.lit(0.0)))
+    # the norm is computed once per item row, before the explode: written next
+    # to the generator it would be evaluated once per element, and
+    # higher-order functions run interpreted (no codegen)
+    it = item_factors.select("item", "embedding", F.sqrt(F.aggregate(
+        F.transform("embedding", lambda x: x.cast("double") * x.cast("double")),
+        F.lit(0.0), lambda a, b: a + b)).alias("norm"))
+    j = recent.select("user", "item").distinct().join(it, "item")
+    e = j.select("user", "norm", F.posexplode("embedding").alias("pos", "x"))
+    e = e.withColumn("x", F.when(F.col("norm") > 0, F.col("x").cast("double") / F.col("norm")).otherwise(F.lit(0.0)))
     s = e.groupBy("user", "pos").agg(F.sum("x").alias("x"))
     return s.groupBy("user").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda t: t["x"]).alias("vec"))
