@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.operators.ranking import topn_per_group
+from recoflow.session import cut_lineage
 
 
 def _micros(c: Column) -> Column:
@@ -67,7 +68,13 @@ def _fpgrowth(baskets: DataFrame, min_count: int, min_conf: float = 0.0, items_c
     # fraction half a basket below the count so rounding cannot move it.
     min_support = max(min_count - 0.5, 0.5) / max(n, 1)
     fp = FPGrowth(itemsCol=items_col, minSupport=min_support, minConfidence=min_conf)
-    return fp.fit(baskets.select(F.array_distinct(items_col).alias(items_col))), n
+    tx = baskets.select(F.array_distinct(items_col).alias(items_col))
+    # FPGrowth mines in as many tasks as its input has partitions; a basket
+    # table that AQE coalesced to a few partitions is spread over the cores
+    par = baskets.sparkSession.sparkContext.defaultParallelism
+    if tx.rdd.getNumPartitions() < par:
+        tx = tx.repartition(par)
+    return fp.fit(tx), n
 
 
 def itemset_count(baskets: DataFrame, max_len: int, min_count: int, items_col: str = "items") -> DataFrame:
@@ -109,13 +116,16 @@ def association_rules(baskets: DataFrame, max_len: int, min_count: int, min_conf
     """(cond sorted array, conseq, support, confidence, lift, rank): rules with
     |cond| <= max_len - 1 over itemsets in >= min_count baskets, confidence
     >= min_conf and lift >= min_lift; best ``max_rules_per_cond`` per
-    condition by (confidence desc, conseq asc)."""
-    model, n = _fpgrowth(baskets, min_count, min_conf, items_col)
-    r = model.associationRules.where(F.size("antecedent") <= max_len - 1)
-    r = r.select(F.array_sort("antecedent").alias("cond"), F.col("consequent")[0].alias("conseq"),
-                 "support", "confidence", "lift")
-    r = r.where((F.col("confidence") >= min_conf) & (F.col("lift") >= min_lift))
-    return rule_topk(r, max_rules_per_cond)
+    condition by (confidence desc, conseq asc).
+
+    Frequent itemsets come from FPGrowth, cut to ``max_len`` and written once
+    (they are read three times); rules are then derived with two equi joins
+    (``rule_self_join``) instead of deriving rules for every itemset length."""
+    counts = cut_lineage(itemset_count(baskets, max_len, min_count, items_col))
+    total = baskets.select(F.count(F.lit(1)).cast("double")).scalar()
+    r = rule_self_join(counts, total)
+    r = r.where((F.size("cond") <= max_len - 1) & (F.col("confidence") >= min_conf) & (F.col("lift") >= min_lift))
+    return rule_topk(r.select("cond", "conseq", "support", "confidence", "lift"), max_rules_per_cond)
 
 
 def rule_topk(rules: DataFrame, k: int) -> DataFrame:
