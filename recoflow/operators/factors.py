@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from recoflow.operators.ranking import global_row_number, topn_per_group
 
 RECS_SCHEMA = "user long, item long, score double"
+CHUNK_CELLS = 4_000_000        # doubles in one score chunk (32 MB)
+ROWS_PER_BLOCK = 200_000       # users or items per block (~100 MB of 64-dim vectors)
 
 
 def als_fit(inter: DataFrame, rank: int = 10, iterations: int = 20, reg: float = 0.01, seed: int = 3,
@@ -62,37 +64,26 @@ def _topn_block(n: int):
         X = np.vstack([np.asarray(v, dtype=np.float64) for v in items["vec"]])
         w = items["weight"].to_numpy(np.float64)[None, :]
         cos_rows = (users["mode"] == "cosine").to_numpy()
-        S = np.empty((U.shape[0], X.shape[0]))
-        if (~cos_rows).any():
-            S[~cos_rows] = U[~cos_rows] @ X.T
+        Xn = None
         if cos_rows.any():
             norms = np.linalg.norm(X, axis=1)
             Xn = np.divide(X, norms[:, None], out=np.zeros_like(X), where=norms[:, None] > 0)
-            S[cos_rows] = U[cos_rows] @ Xn.T
-        S *= w
         ids = items["item"].to_numpy(np.int64)
         gen = [set(g) if g is not None else set() for g in items["genres"]] if "genres" in items else None
         out_u, out_i, out_s = [], [], []
-        for r, row in enumerate(users.itertuples(index=False)):
-            ok = S[r] > 0
-            if row.whitelist is not None:
-                ok &= np.isin(ids, np.asarray(row.whitelist, dtype=np.int64))
-            if gen is not None and row.genres is not None and len(row.genres):
-                need = set(row.genres)
-                ok &= np.fromiter((need <= g for g in gen), bool, len(gen))
-            idx = np.nonzero(ok)[0]
-            if idx.size == 0:
-                continue
-            keep = n + int(row.extra)
-            if idx.size > keep:
-                cut = np.argpartition(-S[r, idx], keep - 1)[:keep]
-                thr = S[r, idx[cut]].min()
-                idx = idx[S[r, idx] >= thr]          # keep ties at the cut, sorted below
-            order = np.lexsort((ids[idx], -S[r, idx]))[:keep]
-            sel = idx[order]
-            out_u.extend([row.user] * sel.size)
-            out_i.extend(ids[sel].tolist())
-            out_s.extend(S[r, sel].tolist())
+        # score users in chunks so the score matrix stays near CHUNK_CELLS
+        # doubles whatever the block sizes are
+        step = max(1, CHUNK_CELLS // max(1, X.shape[0]))
+        rows = list(users.itertuples(index=False))
+        for c0 in range(0, U.shape[0], step):
+            sl = slice(c0, min(c0 + step, U.shape[0]))
+            S = U[sl] @ X.T
+            cr = cos_rows[sl]
+            if Xn is not None and cr.any():
+                S[cr] = U[sl][cr] @ Xn.T
+            S *= w
+            for r in range(S.shape[0]):
+                _emit(rows[c0 + r], S[r], ids, gen, n, out_u, out_i, out_s)
         if not out_u:
             return empty
         return pd.DataFrame({"user": pd.Series(out_u, dtype="int64"), "item": pd.Series(out_i, dtype="int64"),
@@ -100,6 +91,29 @@ def _topn_block(n: int):
     return fn
 
 
+def _emit(row, s, ids, gen, n, out_u, out_i, out_s):
+    """Best n + extra positive items of one user row (ties kept at the cut)."""
+    ok = s > 0
+    if row.whitelist is not None:
+        ok &= np.isin(ids, np.asarray(row.whitelist, dtype=np.int64))
+    if gen is not None and row.genres is not None and len(row.genres):
+        need = set(row.genres)
+        ok &= np.fromiter((need <= g for g in gen), bool, len(gen))
+    idx = np.nonzero(ok)[0]
+    if idx.size == 0:
+        return
+    keep = n + int(row.extra)
+    if idx.size > keep:
+        cut = np.argpartition(-s[idx], keep - 1)[:keep]
+        thr = s[idx[cut]].min()
+        idx = idx[s[idx] >= thr]          # keep ties at the cut, sorted below
+    order = np.lexsort((ids[idx], -s[idx]))[:keep]
+    sel = idx[order]
+    out_u.extend([row.user] * sel.size)
+    out_i.extend(ids[sel].tolist())
+    out_s.extend(s[sel].tolist())
+
+
 def blocked_topn(users: DataFrame, items: DataFrame, n: int, exclusions: DataFrame | None = None,
                  user_blocks: int | None = None, item_blocks: int | None = None) -> DataFrame:
     """Exact top ``n`` items per user by (score desc, item asc), minus the
@@ -113,8 +127,11 @@ def blocked_topn(users: DataFrame, items: DataFrame, n: int, exclusions: DataFra
     """
     spark = users.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ub = user_blocks or max(1, int(parts ** 0.5))
-    ib = item_blocks or max(1, parts // ub)
+    base = max(1, int(parts ** 0.5))
+    # blocks grow with the data so one group stays ~ROWS_PER_BLOCK rows per
+    # side; each side is replicated once per block of the other side
+    ub = user_blocks or max(base, -(-users.select("user").count() // ROWS_PER_BLOCK))
+    ib = item_blocks or max(base, -(-items.select("item").count() // ROWS_PER_BLOCK))
     if "mode" not in users.columns:
         users = users.withColumn("mode", F.lit("dot"))
     if "whitelist" not in users.columns:

@@ -26,14 +26,14 @@ def kfold_split(df: DataFrame, id_col: str, k: int) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.col(id_col) * PRIME, F.lit(k)).cast("int"))
 
 
-def stratified_kfold(df: DataFrame, label: str, id_col: str, k: int, seed: int, buckets: int = 16) -> DataFrame:
-    """Equal class mix per fold: within each (label, id bucket), rows ordered
-    by md5(seed|id) are dealt round-robin to the k folds.  Buckets keep the
-    window from having only as many partitions as classes."""
-    w = Window.partitionBy(label, "_bk").orderBy(md5_rank_key(seed, id_col), F.col(id_col))
-    out = df.withColumn("_bk", F.pmod(F.col(id_col), F.lit(buckets)))
-    out = out.withColumn("fold", (F.pmod(F.row_number().over(w) - 1 + F.col("_bk"), F.lit(k))).cast("int"))
-    return out.drop("_bk")
+def stratified_kfold(df: DataFrame, label: str, id_col: str, k: int, seed: int) -> DataFrame:
+    """Equal class mix per fold: rows ordered by (label, md5(seed|id), id) are
+    dealt round-robin to the k folds, so every label's run is split evenly.
+    The order is one two-level global rank (range partitions + offsets), so
+    no window holds a whole class in one task."""
+    order = [F.col(label).asc(), md5_rank_key(seed, id_col).asc(), F.col(id_col).asc()]
+    r = global_row_number(df, order, "_rn")
+    return r.withColumn("fold", F.pmod(F.col("_rn") - 1, F.lit(k)).cast("int")).drop("_rn")
 
 
 def random_split(df: DataFrame, weights, seed: int):
@@ -103,9 +103,11 @@ def sequence_samples(inter: DataFrame, items: DataFrame, seed: int, cap: int | N
     row (label 1) and a negative row (label 0, one unseen item) with the same
     history; the user's last event is the test pair, the others train."""
     h = history_prefix(inter, cap).where(F.col("pos") > 1)
-    last = inter.groupBy("user").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("last_id"))
-    h = h.join(last, "user").withColumn("split", F.when(F.col("event_id") == F.col("last_id"), "test")
-                                        .otherwise("train")).drop("last_id")
+    # the user's last event, marked through its unique event id (no join on a
+    # possibly hot user key)
+    last = inter.groupBy("user").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("event_id"))
+    h = h.join(last.select("event_id", F.lit(True).alias("_last")), "event_id", "left").withColumn(
+        "split", F.when(F.col("_last"), "test").otherwise("train")).drop("_last")
     neg = negatives(h.select("event_id", "user", "item"), inter.select("user", "item"), items, 1, seed)
     pos_rows = h.select("user", "event_id", "pos", "history", "item", F.lit(1).alias("label"), "split")
     neg_rows = h.join(neg.select("event_id", "neg_item"), "event_id").select(

@@ -86,8 +86,8 @@ def q_kfold_split(spark, sf):
 
 
 @register("stratified_kfold", ctes(("ctr",)) + f"""
-SELECT id, target, CAST(((row_number() OVER (PARTITION BY target, id % 16 ORDER BY md5('{SEED}|' || id), id) - 1
-  + id % 16) % 5) AS INTEGER) AS fold FROM ctr""")
+SELECT id, target, CAST((row_number() OVER (ORDER BY target, md5('{SEED}|' || id), id) - 1) % 5 AS INTEGER) AS fold
+FROM ctr""")
 def q_stratified_kfold(spark, sf):
     return S.stratified_kfold(T.ctr(spark, sf).select("id", "target"), "target", "id", 5, SEED)
 
