@@ -61,7 +61,7 @@ def q_field_filter(spark, sf):
 
 @register("boosted_fields", ctes(("inter", "items")) + """,
 vb AS (SELECT DISTINCT i.user, it.p_brand FROM inter i JOIN items it ON it.item = i.item WHERE i.action = 'view')
-SELECT v.user AS query_id, it.item, 2.0 * count(*) AS score FROM vb v JOIN items it ON it.p_brand = v.p_brand
+SELECT v.user AS query_id, it.item, CAST(2.0 * count(*) AS DOUBLE) AS score FROM vb v JOIN items it ON it.p_brand = v.p_brand
 GROUP BY v.user, it.item""")
 def q_boosted_fields(spark, sf):
     it = T.items(spark, sf)
