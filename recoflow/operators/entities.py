@@ -44,6 +44,19 @@ def latest_constraint(events: DataFrame, name: str, key: str = "items") -> DataF
     return newest.select(F.explode(F.from_json(F.get_json_object("p", f"$.{key}"), "array<string>")).alias("item"))
 
 
+def latest_weights(events: DataFrame, name: str = "weightedItems") -> DataFrame:
+    """(item, weight) from the newest ``$set`` of a weights constraint whose
+    property is ``weights: [{items: [...], weight: w}, ...]``; an item named
+    in several groups keeps the last group's weight."""
+    c = events.where((F.col("event") == "$set") & (F.col("entity_type") == "constraint")
+                     & (F.col("entity_id") == name))
+    newest = c.groupBy("entity_id").agg(F.max_by("properties", F.struct("ts", "event_id")).alias("p"))
+    groups = newest.select(F.posexplode(F.from_json(F.get_json_object("p", "$.weights"),
+                                                    "array<struct<items:array<string>,weight:double>>")).alias("g", "w"))
+    rows = groups.select("g", F.explode("w.items").alias("item"), F.col("w.weight").alias("weight"))
+    return rows.groupBy("item").agg(F.max_by("weight", "g").alias("weight"))
+
+
 def item_weights(items: DataFrame, weights: DataFrame | None) -> DataFrame:
     """(item, weight) for every item; items without a weight get 1.0."""
     if weights is None:

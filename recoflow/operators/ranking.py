@@ -1,7 +1,9 @@
 """Top-k per group and global ranks without a single-partition window.
 
 ``global_row_number`` is the two-level plan: range-partition on the sort key,
-number rows inside each partition, then add per-partition offsets from a tiny
+number rows inside each partition, write that once (range boundaries are
+sampled with a seed that changes per evaluation, so the numbered partitions
+must be read from one copy), then add per-partition offsets from a tiny
 aggregate (one row per partition, so broadcasting it is bounded by the
 partition count, not by the data).  The order must end with a unique key.
 """
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recoflow.session import cut_lineage
+
 
 def topn_per_group(df: DataFrame, keys, order: list[Column], n, rank_col: str = "rank") -> DataFrame:
     """``row_number`` over (keys, order) <= n; Spark plans a partial window
@@ -26,7 +30,10 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+    # range boundaries come from a sample seeded with the RDD id, so two
+    # evaluations can cut the data differently: write the numbered partitions
+    # once and take both the counts and the numbers from that copy
+    local = cut_lineage(ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order))))
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.select("_pid", F.coalesce(
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
@@ -44,7 +51,7 @@ def global_running_sum(df: DataFrame, order: list[Column], value: str, name: str
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
     frame = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("_ls", F.sum(value).over(frame))
+    local = cut_lineage(ranged.withColumn("_ls", F.sum(value).over(frame)))   # one cut, see above
     tot = local.groupBy("_pid").agg(F.sum(value).alias("_t"))
     offs = tot.select("_pid", F.coalesce(
         F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),

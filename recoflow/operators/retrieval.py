@@ -109,7 +109,10 @@ def recommend(queries: DataFrame, correlators: DataFrame, pop: DataFrame | None,
     dates, availability); when given, candidates are restricted to them.
     """
     actions = list(actions) if actions is not None else [primary]
-    q = queries if "num" in queries.columns else queries.withColumn("num", F.lit(default_num))
+    # a literal limit (no per-query num) lets Spark plan a partial window group
+    # limit before the shuffle of the final top-n
+    uniform = "num" not in queries.columns
+    q = queries if not uniform else queries.withColumn("num", F.lit(default_num))
     q = q.withColumn("num", F.coalesce(F.col("num"), F.lit(default_num)))
     terms = user_history_query(q, inter, actions, max_query_events, user_bias)
     if "item" in q.columns:
@@ -142,7 +145,7 @@ def recommend(queries: DataFrame, correlators: DataFrame, pop: DataFrame | None,
     cand = cand.join(docs.select("item", "pop_rank"), "item", "left")
     cand = cand.join(q.select("query_id", "num"), "query_id")
     order = [F.col("score").desc(), F.col("pop_rank").desc_nulls_last(), F.col("item").asc()]
-    top = topn_per_group(cand, ["query_id"], order, F.col("num"))
+    top = topn_per_group(cand, ["query_id"], order, default_num if uniform else F.col("num"))
     return top.select("query_id", F.col("rank").cast("int").alias("rank"), "item", "score")
 
 

@@ -89,13 +89,33 @@ def negatives(positives: DataFrame, seen: DataFrame, items: DataFrame, n: int, s
 
 
 def history_prefix(inter: DataFrame, cap: int | None = None) -> DataFrame:
-    """(user, pos, item, ts, history): items of all earlier events of the user
-    in (ts, event_id) order; ``cap`` keeps only the newest ``cap`` of them."""
-    w = Window.partitionBy("user").orderBy("ts", "event_id")
-    frame = w.rowsBetween(Window.unboundedPreceding if cap is None else -cap, -1)
-    return inter.select("user", "item", "ts", "event_id",
-                        F.row_number().over(w).alias("pos"),
-                        F.collect_list("item").over(frame).alias("history"))
+    """(user, pos, item, ts, event_id, history): items of the user's earlier
+    events in (ts, event_id) order; ``cap`` keeps only the newest ``cap``.
+
+    With a cap the plan has no per-user window: positions come from one
+    two-level global rank minus the user's first rank, and every event is
+    sent forward to the next ``cap`` positions of its user and joined on the
+    unique (user, pos) key, so a user holding a third of all rows is still
+    spread over many tasks.  Without a cap the history is the whole prefix
+    (quadratic in a user's event count by definition) and a window is used."""
+    if cap is None:
+        w = Window.partitionBy("user").orderBy("ts", "event_id")
+        frame = w.rowsBetween(Window.unboundedPreceding, -1)
+        return inter.select("user", "item", "ts", "event_id", F.row_number().over(w).alias("pos"),
+                            F.collect_list("item").over(frame).alias("history"))
+    g = global_row_number(inter.select("user", "item", "ts", "event_id"),
+                          [F.col("user"), F.col("ts"), F.col("event_id")], "_g")
+    first = g.groupBy("user").agg(F.min("_g").alias("_g0"))
+    ev = g.join(first, "user").withColumn("pos", (F.col("_g") - F.col("_g0") + 1).cast("int")).drop("_g", "_g0")
+    sent = ev.select("user", F.col("item").alias("_h"),
+                     F.explode(F.sequence(F.lit(1), F.lit(int(cap)))).alias("_d"), F.col("pos").alias("_src"))
+    sent = sent.select("user", (F.col("_src") + F.col("_d")).alias("pos"), "_src", "_h")
+    hist = sent.groupBy("user", "pos").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_src", "_h"))), lambda t: t["_h"]).alias("history"))
+    out = ev.join(hist, ["user", "pos"], "left")
+    return out.select("user", "item", "ts", "event_id", "pos",
+                      F.coalesce("history", F.array().cast(f"array<{inter.schema['item'].dataType.simpleString()}>"))
+                      .alias("history"))
 
 
 def sequence_samples(inter: DataFrame, items: DataFrame, seed: int, cap: int | None = None) -> DataFrame:

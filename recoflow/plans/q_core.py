@@ -33,10 +33,9 @@ def pop_model(spark, sf, kind="popular", duration=LONG_DURATION):
     return popularity(T.inter(spark, sf), kind, [PRIMARY], POP_END, duration)
 
 
-def all_user_queries(spark, sf, num=20):
-    """One query per user seen in the log (query_id = user)."""
-    return (T.inter(spark, sf).select("user").distinct()
-            .select(F.col("user").alias("query_id"), "user", F.lit(num).alias("num")))
+def all_user_queries(spark, sf):
+    """One query per user seen in the log (query_id = user), default size 20."""
+    return T.inter(spark, sf).select("user").distinct().select(F.col("user").alias("query_id"), "user")
 
 
 # --------------------------------------------------------------------------- flagship
@@ -50,7 +49,7 @@ def ur_recommend(spark, sf):
     corr = cut_lineage(C.llr_correlators(inter, PRIMARY, SECONDARY, top_k=50, max_events=500))
     pop = popularity(inter, "popular", [PRIMARY], POP_END, LONG_DURATION)
     return R.recommend(all_user_queries(spark, sf), corr, pop, inter, primary=PRIMARY,
-                       actions=ACTIONS, max_query_events=100)
+                       actions=ACTIONS, max_query_events=100, default_num=20)
 
 
 UR_RECOMMEND_SQL = ctes(("inter",), CORR, pop_cte("pop"), f"""

@@ -296,7 +296,7 @@ SELECT user, CAST(pos AS INTEGER) AS pos, CAST(len(h) AS INTEGER) AS hist_len,
   array_to_string(list_concat(h, list_transform(range(8 - len(h)), lambda x: 0)), ',') AS history FROM (
   SELECT user, pos, history[greatest(len(history) - 8 + 1, 1):] AS h FROM hp)""")
 def q_pad_histories(spark, sf):
-    h = S.history_prefix(T.inter(spark, sf))
+    h = S.history_prefix(T.inter(spark, sf), cap=8)        # only the newest 8 are kept anyway
     p = S.pad_histories(h, 8)
     return p.select("user", "pos", "hist_len",
                     F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))

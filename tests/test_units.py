@@ -107,6 +107,21 @@ def test_property_fold_newest_wins(spark):
     assert p == {"u1": {"a": "3", "b": "x"}, "u2": {"c": "9"}}
 
 
+def test_constraints_newest_wins(spark):
+    t = datetime(2024, 1, 1)
+    rows = [(1, "$set", "constraint", "unavailableItems", None, None, '{"items":["a","b"]}', t),
+            (2, "$set", "constraint", "unavailableItems", None, None, '{"items":["c"]}', t + timedelta(hours=1)),
+            (3, "$set", "constraint", "weightedItems", None, None,
+             '{"weights":[{"items":["a","b"],"weight":1.5},{"items":["b"],"weight":0.5}]}', t)]
+    ev = spark.createDataFrame(rows, IO.EVENT_SCHEMA)
+    assert [r.item for r in E.latest_constraint(ev, "unavailableItems").collect()] == ["c"]
+    w = {r.item: r.weight for r in E.latest_weights(ev).collect()}
+    assert w == {"a": 1.5, "b": 0.5}
+    items = spark.createDataFrame([("a",), ("z",)], "item string")
+    got = {r.item: r.weight for r in E.item_weights(items, E.latest_weights(ev)).collect()}
+    assert got == {"a": 1.5, "z": 1.0}
+
+
 def test_metrics_bounds_and_ties(spark):
     perfect = spark.createDataFrame([(i, 1 if i < 5 else 0, float(10 - i)) for i in range(10)], "id long, label int, score double")
     assert M.auc(perfect).collect()[0].auc == pytest.approx(1.0)
@@ -142,6 +157,30 @@ def test_negatives_never_meet_positives(spark):
     assert all(len(v) == 4 for v in per.values()) and len(per) == len(rows)
 
 
+def test_capped_history_equals_window_form(spark):
+    t0 = datetime(2024, 1, 1)
+    rows = [(u, (u * 7 + k) % 11, t0 + timedelta(minutes=k * (u + 1)), u * 100 + k)
+            for u in range(3) for k in range([1, 2, 9][u])]
+    inter = spark.createDataFrame(rows, "user long, item long, ts timestamp, event_id long")
+    full = {r.event_id: list(r.history) for r in S.history_prefix(inter).collect()}
+    capped = {r.event_id: (r.pos, list(r.history)) for r in S.history_prefix(inter, cap=3).collect()}
+    assert set(full) == set(capped)
+    for eid, h in full.items():
+        assert capped[eid][1] == h[-3:]
+        assert capped[eid][0] == len(h) + 1
+
+
+def test_global_row_number_is_stable(spark):
+    from pyspark.sql import Window
+    from recoflow.operators.ranking import global_row_number
+    df = spark.range(0, 5000).select(F.col("id"), (F.col("id") * 7919 % 613).alias("k"))
+    ref = df.select("id", F.row_number().over(Window.orderBy("k", "id")).alias("rn"))
+    g = global_row_number(df, [F.col("k"), F.col("id")], "g")
+    for _ in range(3):     # range boundaries are re-sampled per evaluation
+        j = g.join(ref, "id")
+        assert j.where("g != rn").count() == 0 and j.count() == 5000
+
+
 def test_folds_partition_rows(spark):
     df = spark.range(0, 1000).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("label"))
     f = S.stratified_kfold(df, "label", "id", 5, 7).groupBy("fold", "label").count().collect()
