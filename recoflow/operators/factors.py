@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.operators.ranking import global_row_number, topn_per_group
+from recoflow.session import cut_lineage
 
 RECS_SCHEMA = "user long, item long, score double"
 CHUNK_CELLS = 4_000_000        # doubles in one score chunk (32 MB)
@@ -129,8 +130,12 @@ def blocked_topn(users: DataFrame, items: DataFrame, n: int, exclusions: DataFra
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = max(1, int(parts ** 0.5))
     # blocks grow with the data so one group stays ~ROWS_PER_BLOCK rows per
-    # side; each side is replicated once per block of the other side
-    ub = user_blocks or max(base, -(-users.select("user").count() // ROWS_PER_BLOCK))
+    # side; each side is replicated once per block of the other side.  The
+    # user side (joins, profile sums) is written once, so counting it does
+    # not compute it twice.
+    if user_blocks is None:
+        users = cut_lineage(users)
+    ub = user_blocks or max(base, -(-users.count() // ROWS_PER_BLOCK))
     ib = item_blocks or max(base, -(-items.select("item").count() // ROWS_PER_BLOCK))
     if "mode" not in users.columns:
         users = users.withColumn("mode", F.lit("dot"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,19 +42,39 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_SCRATCH: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a scratch one only when unset."""
-    cur = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder from ``spark.checkpoint.dir`` (or the
+    context's checkpoint folder); a scratch folder is chosen only when neither
+    is set (local runs and tests)."""
+    global _SCRATCH
+    cur = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not cur:
-        cur = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not cur:
-        cur = tempfile.mkdtemp(prefix="recoflow-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", cur)
-    spark.sparkContext.setCheckpointDir(cur)
+        if _SCRATCH is None:
+            _SCRATCH = tempfile.mkdtemp(prefix="recoflow-ckpt-", dir="/tmp")
+        cur = _SCRATCH
+        try:
+            spark.conf.set("spark.checkpoint.dir", cur)
+        except Exception:  # some sessions refuse runtime changes of core settings
+            pass
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(cur)
     return cur
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, how: str = "parquet") -> DataFrame:
+    """Materialize ``df`` once in the shared checkpoint folder and read it back.
+
+    ``parquet`` (default) writes a table under spark.checkpoint.dir: re-reads
+    prune columns, push filters down and give the planner file statistics.
+    ``checkpoint`` uses the reliable RDD checkpoint (serialized rows).  Both
+    survive the loss of executors; a machine-local checkpoint is never used."""
+    spark = df.sparkSession
+    base = checkpoint_dir(spark)
+    if how == "checkpoint":
+        return df.checkpoint(eager=True)
+    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
