@@ -162,6 +162,25 @@ def read_item_docs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/version={version}")
 
 
+def retire_item_docs(spark: SparkSession, path: str, keep: int = 1) -> list[int]:
+    """Delete all but the newest ``keep`` versions, never the one CURRENT
+    names; returns the retired version numbers."""
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
+    cur_p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/CURRENT")
+    stream = fs.open(cur_p)
+    current = int(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip())
+    stream.close()
+    versions = sorted(int(st.getPath().getName().split("=", 1)[1]) for st in fs.listStatus(root)
+                      if st.isDirectory() and st.getPath().getName().startswith("version="))
+    retired = [v for v in versions[:-keep] if v != current] if keep > 0 else [v for v in versions if v != current]
+    for v in retired:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version={v}"), True)
+    return retired
+
+
 def lookup_item_doc(docs: DataFrame, ids: DataFrame, id_col: str = "item") -> DataFrame:
     """Documents whose id is in ``ids`` (semi join)."""
     return docs.join(ids.select(id_col).distinct(), id_col, "left_semi")

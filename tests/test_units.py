@@ -236,6 +236,11 @@ def test_item_docs_versions(spark, scratch):
     assert IO.read_item_docs(spark, path).count() == 2
     ids = spark.createDataFrame([(2,)], "item long")
     assert IO.lookup_item_doc(IO.read_item_docs(spark, path), ids).collect()[0].pop_rank == 1.0
+    IO.write_item_docs(d1, path, 3)
+    assert IO.retire_item_docs(spark, path, keep=1) == [1, 2]
+    names = os.listdir(path)
+    assert "version=3" in names and "version=1" not in names and "version=2" not in names
+    assert IO.read_item_docs(spark, path).count() == 1
 
 
 def test_scores_csv_and_model(spark, scratch):
