@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from recoflow.operators.interactions import history_cap
 from recoflow.operators.ranking import global_row_number, topn_per_group
+from recoflow.session import cut_lineage
 
 
 def user_history_query(queries: DataFrame, inter: DataFrame, actions, max_events: int = 100,
@@ -99,7 +100,8 @@ def recommend(queries: DataFrame, correlators: DataFrame, pop: DataFrame | None,
               *, primary: str = "purchase", actions=None, max_query_events: int = 100,
               user_bias: float = 1.0, item_bias: float = 1.0, backfill: bool = True,
               default_num: int = 20, field_scores: DataFrame | None = None,
-              must_items: DataFrame | None = None) -> DataFrame:
+              must_items: DataFrame | None = None, doc_props: DataFrame | None = None,
+              available_name: str = "available_date", expire_name: str = "expire_date") -> DataFrame:
     """RECS (query_id, rank, item, score) for every query row.
 
     queries: query_id, user (nullable), optional item, num, blacklist, return_self.
@@ -107,6 +109,11 @@ def recommend(queries: DataFrame, correlators: DataFrame, pop: DataFrame | None,
     field_scores: optional (query_id, item, score) from ``boosted_fields``.
     must_items: optional (item) rows that pass all must filters (fields,
     dates, availability); when given, candidates are restricted to them.
+    doc_props: optional (item, fields map<string,array<string>>, dates
+    map<string,timestamp>) to apply per-query must filters from the query
+    columns ``fields`` (bias < 0 must match), ``date_field``/``after``/
+    ``before`` and ``current_date`` (available <= now < expire); see
+    ``_recommend_filtered``.
     """
     actions = list(actions) if actions is not None else [primary]
     # a literal limit (no per-query num) lets Spark plan a partial window group
@@ -132,6 +139,9 @@ def recommend(queries: DataFrame, correlators: DataFrame, pop: DataFrame | None,
         scores = scores.join(must_items.select("item").distinct(), "item", "left_semi")
 
     excl = exclusions(q, inter, primary)
+    if doc_props is not None:
+        return _recommend_filtered(q, scores, docs, doc_props, excl, backfill, default_num, uniform,
+                                   available_name, expire_name)
     cand = scores
     if backfill:
         rd = ranked_docs(docs)
@@ -149,6 +159,85 @@ def recommend(queries: DataFrame, correlators: DataFrame, pop: DataFrame | None,
     return top.select("query_id", F.col("rank").cast("int").alias("rank"), "item", "score")
 
 
+def must_filter(available_name: str = "available_date", expire_name: str = "expire_date") -> F.Column:
+    """Per-query must filters on a joined (query, document) row: every query
+    field with bias < 0 must share a value with the document field; the
+    document date must be strictly inside (after, before) when given; with a
+    current date, available <= now < expire.  Missing values fail."""
+    musts = F.filter(F.col("q_fields"), lambda x: x["bias"] < 0)
+    fields_ok = F.forall(musts, lambda x: F.coalesce(F.arrays_overlap(
+        F.coalesce(F.col("d_fields")[x["name"]], F.array().cast("array<string>")), x["values"]), F.lit(False)))
+    date = F.col("d_dates")[F.col("q_date_field")]
+    range_ok = ((F.col("q_after").isNull() | F.coalesce(date > F.col("q_after"), F.lit(False)))
+                & (F.col("q_before").isNull() | F.coalesce(date < F.col("q_before"), F.lit(False))))
+    now = F.col("q_current_date")
+    avail_ok = now.isNull() | F.coalesce((F.col("d_dates")[available_name] <= now)
+                                         & (F.col("d_dates")[expire_name] > now), F.lit(False))
+    return F.coalesce(fields_ok, F.lit(True)) & range_ok & avail_ok
+
+
+def _query_side(q: DataFrame) -> DataFrame:
+    cols = set(q.columns)
+
+    def col(name, typ):
+        return (F.col(name) if name in cols else F.lit(None)).cast(typ).alias(f"q_{name}")
+    return q.select("query_id", "num", col("fields", "array<struct<name:string,values:array<string>,bias:double>>"),
+                    col("date_field", "string"), col("after", "timestamp"), col("before", "timestamp"),
+                    col("current_date", "timestamp"))
+
+
+def _recommend_filtered(q, scores, docs, doc_props, excl, backfill, default_num, uniform,
+                        available_name, expire_name):
+    """Retrieval with per-query must filters, exact for the backfill too.
+
+    Matched candidates are filtered on the joined (query, document) rows.
+    Backfill walks the global popularity order: each short query looks at the
+    next positions of a window that doubles, (num + |excluded|) * 2^r, keeps
+    the documents that pass its filters and are not excluded, and stops once
+    it holds ``num`` of them or the window covers the catalog.  The first
+    ``num`` passing documents always contain the unmatched ones the final
+    top-n can use.  No query x document cross product is formed; the loop runs
+    at most log2(catalog) rounds and writes its progress each round."""
+    qs = _query_side(q)
+    dp = doc_props.select("item", F.col("fields").alias("d_fields"), F.col("dates").alias("d_dates"))
+    pred = must_filter(available_name, expire_name)
+    cand = (scores.join(qs, "query_id").join(dp, "item", "left").where(pred)
+            .select("query_id", "item", "score"))
+    if backfill:
+        rd = ranked_docs(docs).select("pos", "item")
+        n_docs = docs.count()
+        n_ex = excl.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ex"))
+        pending = qs.join(n_ex, "query_id", "left").select(
+            "*", F.lit(0).cast("bigint").alias("lo"),
+            F.least(F.lit(n_docs), F.col("num") + F.coalesce("n_ex", F.lit(0))).cast("bigint").alias("hi"))
+        got = None
+        while True:
+            # (sequence counts down when start > stop, so empty windows are dropped first)
+            steps = pending.where(F.col("hi") > F.col("lo")).select(
+                "*", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("pos"))
+            found = (steps.join(rd, "pos").join(dp, "item", "left").where(pred)
+                     .join(excl, ["query_id", "item"], "left_anti").select("query_id", "item"))
+            got = cut_lineage(found if got is None else got.unionByName(found))
+            have = got.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
+            short = (pending.join(have, "query_id", "left")
+                     .where((F.coalesce("have", F.lit(0)) < F.col("num")) & (F.col("hi") < n_docs))
+                     .drop("have"))
+            short = cut_lineage(short.select(*[c for c in pending.columns if c not in ("lo", "hi")],
+                                             F.col("hi").alias("lo"),
+                                             F.least(F.lit(n_docs), F.col("hi") * 2).alias("hi")))
+            if short.isEmpty():
+                break
+            pending = short
+        fill = got.select("query_id", "item", F.lit(0.0).alias("score"))
+        cand = cand.unionByName(fill).groupBy("query_id", "item").agg(F.max("score").alias("score"))
+    cand = cand.join(excl, ["query_id", "item"], "left_anti")
+    cand = cand.join(docs.select("item", "pop_rank"), "item", "left")
+    cand = cand.join(q.select("query_id", "num"), "query_id")
+    order = [F.col("score").desc(), F.col("pop_rank").desc_nulls_last(), F.col("item").asc()]
+    top = topn_per_group(cand, ["query_id"], order, default_num if uniform else F.col("num"))
+    return top.select("query_id", F.col("rank").cast("int").alias("rank"), "item", "score")
+
+
 def boosted_fields(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, item, score) = bias * |values & doc.fields[name]| for every
     query field with bias > 0.  Bias 0 excludes nothing here (it excludes in

@@ -122,6 +122,53 @@ def test_constraints_newest_wins(spark):
     assert got == {"a": 1.5, "z": 1.0}
 
 
+def test_recommend_must_filters_match_brute_force(spark):
+    from recoflow.operators.retrieval import recommend
+    d = datetime(2024, 1, 1)
+    items = list(range(1, 9))
+    corr = [("buy", i, t, 1.0, 1) for i in items for t in ([100] if i % 2 == 0 else []) + ([101] if i % 3 == 0 else [])]
+    corr_df = spark.createDataFrame(corr, "action string, item long, other long, llr double, rank int")
+    pop = spark.createDataFrame([(i, float(9 - i)) for i in items if i != 8], "item long, score double")
+    inter = spark.createDataFrame([(1, "buy", x, d + timedelta(hours=k), k) for k, x in enumerate([100, 101, 2])],
+                                  "user long, action string, item long, ts timestamp, event_id long")
+    colour = {i: ("red" if i % 2 else "blue") for i in items}
+    dates = {i: {"d": d + timedelta(days=i), "available_date": d + timedelta(days=i),
+                 "expire_date": d + timedelta(days=i + 5)} for i in items}
+    dp = spark.createDataFrame([(i, {"color": [colour[i]]}, dates[i]) for i in items],
+                               "item long, fields map<string,array<string>>, dates map<string,timestamp>")
+    F_T = "array<struct<name:string,values:array<string>,bias:double>>"
+    qrows = [(1, 1, [("color", ["red"], -1.0)], None, None, None, None, 3),
+             (2, 2, None, "d", d + timedelta(days=3), d + timedelta(days=8), None, 2),
+             (3, 3, None, None, None, None, d + timedelta(days=6), 10),
+             (4, 1, None, None, None, None, None, 2)]
+    q = spark.createDataFrame(qrows, f"query_id long, user long, fields {F_T}, date_field string, after timestamp, "
+                                     "before timestamp, current_date timestamp, num int")
+    got = {}
+    for r in recommend(q, corr_df, pop, inter, primary="buy", actions=["buy"], doc_props=dp).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.item, r.score))
+
+    def brute(qid, user, fields, date_field, after, before, now, num):
+        bought = {100, 101, 2} if user == 1 else set()
+        out = []
+        for i in items:
+            if i in bought:
+                continue
+            if fields and any(b < 0 and not (set(v) & {colour[i]}) for _, v, b in fields):
+                continue
+            if after and not dates[i][date_field] > after or before and not dates[i][date_field] < before:
+                continue
+            if now and not (dates[i]["available_date"] <= now < dates[i]["expire_date"]):
+                continue
+            score = float((i % 2 == 0) + (i % 3 == 0)) if user == 1 else 0.0
+            pop_rank = 9 - i if i != 8 else None
+            out.append((-score, -(pop_rank if pop_rank is not None else -1e9), i, score))
+        out.sort()
+        return [(k + 1, i, s) for k, (_, _, i, s) in enumerate(out[:num])]
+
+    for row in qrows:
+        assert got.get(row[0], []) == brute(*row), row[0]
+
+
 def test_metrics_bounds_and_ties(spark):
     perfect = spark.createDataFrame([(i, 1 if i < 5 else 0, float(10 - i)) for i in range(10)], "id long, label int, score double")
     assert M.auc(perfect).collect()[0].auc == pytest.approx(1.0)
