@@ -70,7 +70,60 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, item, CAST(score AS DOUBLE) AS s
   FROM cand) WHERE rank <= num"""
 
 register("ur_recommend", UR_RECOMMEND_SQL)(ur_recommend)
-register("batch_predict", UR_RECOMMEND_SQL)(ur_recommend)
+
+NOW = "2024-01-20 00:00:00"
+
+
+def batch_predict(spark, sf):
+    """Many queries at once, each with its own must filters: the item type of
+    the user's last view must match, and the item must be available now
+    (available <= now < available + 25 days).  Exact backfill under filters."""
+    inter = cut_lineage(I.action_split(T.inter(spark, sf), ACTIONS))
+    corr = cut_lineage(C.llr_correlators(inter, PRIMARY, SECONDARY, top_k=50, max_events=500))
+    pop = popularity(inter, "popular", [PRIMARY], POP_END, LONG_DURATION)
+    it = T.items(spark, sf)
+    avail = F.col("available_date").cast("timestamp")
+    dp = it.select("item", F.create_map(F.lit("type"), F.array("p_type")).alias("fields"),
+                   F.create_map(F.lit("available_date"), avail, F.lit("expire_date"),
+                                avail + F.make_dt_interval(F.lit(25))).alias("dates"))
+    last_view = I.recent_n_per_user(inter, 1, actions=["view"]).select("user", "item")
+    lv = last_view.join(it.select("item", "p_type"), "item").select("user", "p_type")
+    q = (all_user_queries(spark, sf).join(lv, "user", "left")
+         .select("query_id", "user",
+                 F.when(F.col("p_type").isNotNull(), F.array(F.struct(
+                     F.lit("type").alias("name"), F.array("p_type").alias("values"),
+                     F.lit(-1.0).alias("bias")))).alias("fields"),
+                 F.lit(NOW).cast("timestamp").alias("current_date")))
+    return R.recommend(q, corr, pop, inter, primary=PRIMARY, actions=ACTIONS, max_query_events=100,
+                       default_num=10, doc_props=dp)
+
+
+BATCH_PREDICT_SQL = ctes(("inter", "items"), CORR, pop_cte("pop"), f"""
+docs AS (SELECT coalesce(d.item, pop.item) AS item, pop.score AS pop_rank
+         FROM (SELECT DISTINCT item FROM corr) d FULL JOIN pop ON d.item = pop.item),
+q AS (SELECT DISTINCT user AS query_id, user FROM inter),
+lastview AS (SELECT user, item FROM (SELECT *, row_number() OVER (PARTITION BY user ORDER BY ts DESC, event_id DESC)
+             AS r FROM inter WHERE action = 'view') WHERE r = 1),
+qt AS (SELECT q.query_id, q.user, i.p_type AS must_type FROM q LEFT JOIN lastview l ON l.user = q.user
+       LEFT JOIN items i ON i.item = l.item),
+hist AS (SELECT DISTINCT user, action, item FROM (SELECT *, row_number() OVER (PARTITION BY user, action
+         ORDER BY ts DESC, event_id DESC) AS r FROM inter WHERE action IN ('purchase', 'view', 'click')) WHERE r <= 100),
+terms AS (SELECT q.query_id, h.action, h.item AS term, CAST(1.0 AS DOUBLE) AS boost FROM q JOIN hist h ON q.user = h.user),
+scores AS (SELECT t.query_id, c.item, sum(t.boost) AS score FROM terms t JOIN corr c
+           ON c.action = t.action AND c.other = t.term GROUP BY 1, 2),
+excl AS (SELECT DISTINCT q.query_id, i.item FROM q JOIN inter i ON i.user = q.user WHERE i.action = '{PRIMARY}'),
+cand AS (SELECT qt.query_id, d.item, coalesce(s.score, 0.0) AS score, d.pop_rank FROM qt CROSS JOIN docs d
+         LEFT JOIN scores s ON s.query_id = qt.query_id AND s.item = d.item
+         LEFT JOIN items it ON it.item = d.item
+         WHERE NOT EXISTS (SELECT 1 FROM excl e WHERE e.query_id = qt.query_id AND e.item = d.item)
+           AND (qt.must_type IS NULL OR it.p_type = qt.must_type)
+           AND it.available_date <= TIMESTAMP '{NOW}'
+           AND it.available_date + INTERVAL 25 DAY > TIMESTAMP '{NOW}')""") + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, item, CAST(score AS DOUBLE) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pop_rank DESC NULLS LAST, item) AS rank
+  FROM cand) WHERE rank <= 10"""
+
+register("batch_predict", BATCH_PREDICT_SQL)(batch_predict)
 
 
 # --------------------------------------------------------------------------- correlators
