@@ -192,12 +192,12 @@ def _recommend_filtered(q, scores, docs, doc_props, excl, backfill, default_num,
 
     Matched candidates are filtered on the joined (query, document) rows.
     Backfill walks the global popularity order: each short query looks at the
-    next positions of a window that doubles, (num + |excluded|) * 2^r, keeps
+    next positions of a growing window, 2 (num + |excluded|) * 4^r, keeps
     the documents that pass its filters and are not excluded, and stops once
     it holds ``num`` of them or the window covers the catalog.  The first
     ``num`` passing documents always contain the unmatched ones the final
     top-n can use.  No query x document cross product is formed; the loop runs
-    at most log2(catalog) rounds and writes its progress each round."""
+    at most log4(catalog) rounds and writes its progress each round."""
     qs = _query_side(q)
     dp = doc_props.select("item", F.col("fields").alias("d_fields"), F.col("dates").alias("d_dates"))
     pred = must_filter(available_name, expire_name)
@@ -209,7 +209,7 @@ def _recommend_filtered(q, scores, docs, doc_props, excl, backfill, default_num,
         n_ex = excl.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ex"))
         pending = qs.join(n_ex, "query_id", "left").select(
             "*", F.lit(0).cast("bigint").alias("lo"),
-            F.least(F.lit(n_docs), F.col("num") + F.coalesce("n_ex", F.lit(0))).cast("bigint").alias("hi"))
+            F.least(F.lit(n_docs), 2 * (F.col("num") + F.coalesce("n_ex", F.lit(0)))).cast("bigint").alias("hi"))
         got = None
         while True:
             # (sequence counts down when start > stop, so empty windows are dropped first)
@@ -224,7 +224,7 @@ def _recommend_filtered(q, scores, docs, doc_props, excl, backfill, default_num,
                      .drop("have"))
             short = cut_lineage(short.select(*[c for c in pending.columns if c not in ("lo", "hi")],
                                              F.col("hi").alias("lo"),
-                                             F.least(F.lit(n_docs), F.col("hi") * 2).alias("hi")))
+                                             F.least(F.lit(n_docs), F.col("hi") * 4).alias("hi")))
             if short.isEmpty():
                 break
             pending = short
