@@ -161,12 +161,16 @@ def recommend(queries: DataFrame, correlators: DataFrame, pop: DataFrame | None,
 
 def must_filter(available_name: str = "available_date", expire_name: str = "expire_date") -> F.Column:
     """Per-query must filters on a joined (query, document) row: every query
-    field with bias < 0 must share a value with the document field; the
+    field with bias < 0 must share a value with the document field, a field
+    with bias 0 must share none (bias > 0 only boosts, see ``boosted_fields``); the
     document date must be strictly inside (after, before) when given; with a
     current date, available <= now < expire.  Missing values fail."""
+    def overlap(x):
+        return F.coalesce(F.arrays_overlap(
+            F.coalesce(F.col("d_fields")[x["name"]], F.array().cast("array<string>")), x["values"]), F.lit(False))
     musts = F.filter(F.col("q_fields"), lambda x: x["bias"] < 0)
-    fields_ok = F.forall(musts, lambda x: F.coalesce(F.arrays_overlap(
-        F.coalesce(F.col("d_fields")[x["name"]], F.array().cast("array<string>")), x["values"]), F.lit(False)))
+    nots = F.filter(F.col("q_fields"), lambda x: x["bias"] == 0)
+    fields_ok = F.forall(musts, overlap) & F.forall(nots, lambda x: ~overlap(x))
     date = F.col("d_dates")[F.col("q_date_field")]
     range_ok = ((F.col("q_after").isNull() | F.coalesce(date > F.col("q_after"), F.lit(False)))
                 & (F.col("q_before").isNull() | F.coalesce(date < F.col("q_before"), F.lit(False))))

@@ -140,7 +140,8 @@ def test_recommend_must_filters_match_brute_force(spark):
     qrows = [(1, 1, [("color", ["red"], -1.0)], None, None, None, None, 3),
              (2, 2, None, "d", d + timedelta(days=3), d + timedelta(days=8), None, 2),
              (3, 3, None, None, None, None, d + timedelta(days=6), 10),
-             (4, 1, None, None, None, None, None, 2)]
+             (4, 1, None, None, None, None, None, 2),
+             (5, 2, [("color", ["red"], 0.0)], None, None, None, None, 3)]
     q = spark.createDataFrame(qrows, f"query_id long, user long, fields {F_T}, date_field string, after timestamp, "
                                      "before timestamp, current_date timestamp, num int")
     got = {}
@@ -155,6 +156,8 @@ def test_recommend_must_filters_match_brute_force(spark):
                 continue
             if fields and any(b < 0 and not (set(v) & {colour[i]}) for _, v, b in fields):
                 continue
+            if fields and any(b == 0 and (set(v) & {colour[i]}) for _, v, b in fields):
+                continue
             if after and not dates[i][date_field] > after or before and not dates[i][date_field] < before:
                 continue
             if now and not (dates[i]["available_date"] <= now < dates[i]["expire_date"]):
