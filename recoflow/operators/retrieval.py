@@ -36,10 +36,7 @@ from recoflow.session import cut_lineage
 def user_history_query(queries: DataFrame, inter: DataFrame, actions, max_events: int = 100,
                        user_bias: float = 1.0) -> DataFrame:
     """Query terms from each query user's recent items: (query_id, action, term, boost).
-    A negative user bias turns the history into a filter (no boost terms)."""
-    if user_bias < 0:
-        return queries.limit(0).select("query_id", F.lit(None).cast("string").alias("action"),
-                                       F.col("user").alias("term"), F.lit(0.0).alias("boost"))
+    A negative user bias makes them a must condition in ``recommend`` (boost 1 here)."""
     hist = history_cap(inter, per_action=max_events, actions=actions)
     boost = float(user_bias) if user_bias > 0 else 1.0
     q = queries.where(F.col("user").isNotNull()).select("query_id", "user")
@@ -121,9 +118,15 @@ def recommend(queries: DataFrame, correlators: DataFrame, pop: DataFrame | None,
     uniform = "num" not in queries.columns
     q = queries if not uniform else queries.withColumn("num", F.lit(default_num))
     q = q.withColumn("num", F.coalesce(F.col("num"), F.lit(default_num)))
-    terms = user_history_query(q, inter, actions, max_query_events, user_bias)
-    if "item" in q.columns:
-        terms = terms.unionByName(similar_items_query(q, correlators, max_query_events, item_bias))
+    # terms with a negative bias do not boost: a candidate must match one of them
+    u_terms = user_history_query(q, inter, actions, max_query_events, user_bias)
+    i_terms = similar_items_query(q, correlators, max_query_events, item_bias) if "item" in q.columns else None
+    boost_terms = [t for t, b in ((u_terms, user_bias), (i_terms, item_bias)) if t is not None and b >= 0]
+    must_sets = [match_terms(t, correlators).select("query_id", "item")
+                 for t, b in ((u_terms, user_bias), (i_terms, item_bias)) if t is not None and b < 0]
+    terms = boost_terms[0] if boost_terms else u_terms.limit(0)
+    for t in boost_terms[1:]:
+        terms = terms.unionByName(t)
     scores = match_terms(terms, correlators)
     if field_scores is not None:
         scores = scores.unionByName(field_scores).groupBy("query_id", "item").agg(F.sum("score").alias("score"))
@@ -139,6 +142,19 @@ def recommend(queries: DataFrame, correlators: DataFrame, pop: DataFrame | None,
         scores = scores.join(must_items.select("item").distinct(), "item", "left_semi")
 
     excl = exclusions(q, inter, primary)
+    if must_sets:
+        # the candidate set is exactly the items matching every must-term set
+        allowed = must_sets[0]
+        for m in must_sets[1:]:
+            allowed = allowed.join(m, ["query_id", "item"], "left_semi")
+        cand = allowed.join(scores, ["query_id", "item"], "left").select(
+            "query_id", "item", F.coalesce("score", F.lit(0.0)).alias("score"))
+        cand = cand.join(excl, ["query_id", "item"], "left_anti")
+        cand = cand.join(docs.select("item", "pop_rank"), "item", "left")
+        order = [F.col("score").desc(), F.col("pop_rank").desc_nulls_last(), F.col("item").asc()]
+        cand = cand.join(q.select("query_id", "num"), "query_id")
+        top = topn_per_group(cand, ["query_id"], order, default_num if uniform else F.col("num"))
+        return top.select("query_id", F.col("rank").cast("int").alias("rank"), "item", "score")
     if doc_props is not None:
         return _recommend_filtered(q, scores, docs, doc_props, excl, backfill, default_num, uniform,
                                    available_name, expire_name)

@@ -172,6 +172,24 @@ def test_recommend_must_filters_match_brute_force(spark):
         assert got.get(row[0], []) == brute(*row), row[0]
 
 
+def test_negative_user_bias_requires_a_match(spark):
+    from recoflow.operators.retrieval import recommend
+    d = datetime(2024, 1, 1)
+    corr = spark.createDataFrame([("buy", 1, 100, 1.0, 1), ("buy", 2, 100, 1.0, 1), ("buy", 3, 101, 1.0, 1),
+                                  ("buy", 4, 999, 1.0, 1)],
+                                 "action string, item long, other long, llr double, rank int")
+    pop = spark.createDataFrame([(4, 10.0), (1, 1.0), (2, 2.0), (3, 3.0)], "item long, score double")
+    inter = spark.createDataFrame([(1, "buy", 100, d, 1), (1, "buy", 2, d + timedelta(hours=1), 2)],
+                                  "user long, action string, item long, ts timestamp, event_id long")
+    q = spark.createDataFrame([(1, 1)], "query_id long, user long")
+    boost = [(r.item, r.score) for r in recommend(q, corr, pop, inter, primary="buy", actions=["buy"],
+                                                  default_num=5).orderBy("rank").collect()]
+    must = [(r.item, r.score) for r in recommend(q, corr, pop, inter, primary="buy", actions=["buy"], user_bias=-1,
+                                                 default_num=5).orderBy("rank").collect()]
+    assert boost == [(1, 1.0), (4, 0.0), (3, 0.0)]       # item 2 bought: excluded; backfill by popularity
+    assert must == [(1, 0.0)]                             # only items matching the history, no boost
+
+
 def test_metrics_bounds_and_ties(spark):
     perfect = spark.createDataFrame([(i, 1 if i < 5 else 0, float(10 - i)) for i in range(10)], "id long, label int, score double")
     assert M.auc(perfect).collect()[0].auc == pytest.approx(1.0)
