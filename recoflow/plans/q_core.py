@@ -198,11 +198,32 @@ cm AS (SELECT item, """ + ", ".join(
     f"coalesce(max(others) FILTER (WHERE action = '{a}'), '') AS c_{a}" for a in ACTIONS) + """ FROM cl GROUP BY item)""")
 
 
-@register("item_docs", _DOC_SQL + """
-SELECT coalesce(cm.item, pop.item) AS item, pop.score AS pop_rank, """ + ", ".join(
-    f"coalesce(c_{a}, '') AS c_{a}" for a in ACTIONS) + " FROM cm FULL JOIN pop ON cm.item = pop.item")
+def item_fields(spark, sf):
+    """(item, fields map<string, array<string>>): brand and type of each item."""
+    it = T.items(spark, sf)
+    return it.select("item", F.create_map(F.lit("brand"), F.array("p_brand"),
+                                          F.lit("type"), F.array("p_type")).alias("fields"))
+
+
+@register("item_docs", ctes(("inter", "items"), CORR, pop_cte("pop"), """
+cl AS (SELECT item, action, array_to_string(list(other ORDER BY rank), ',') AS others FROM corr GROUP BY item, action),
+cm AS (SELECT item, """ + ", ".join(
+    f"coalesce(max(others) FILTER (WHERE action = '{a}'), '') AS c_{a}" for a in ACTIONS) + """ FROM cl GROUP BY item),
+cp AS (SELECT coalesce(cm.item, pop.item) AS item, pop.score AS pop_rank, """ + ", ".join(
+    f"c_{a}" for a in ACTIONS) + """ FROM cm FULL JOIN pop ON cm.item = pop.item)""") + """
+SELECT coalesce(cp.item, it.item) AS item, cp.pop_rank, """ + ", ".join(
+    f"coalesce(cp.c_{a}, '') AS c_{a}" for a in ACTIONS) + """,
+  coalesce('brand=' || it.p_brand || ';type=' || it.p_type, '') AS fields
+FROM cp FULL JOIN items it ON it.item = cp.item""")
 def q_item_docs(spark, sf):
-    return _docs_txt(docs(spark, sf))
+    """Fields, correlator lists and popularity merged into one row per item."""
+    d = D.item_docs(item_fields(spark, sf), correlators(spark, sf), pop_model(spark, sf), "all")
+    fields_txt = F.coalesce(F.concat_ws(";", F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(
+        e["key"], F.lit("="), F.array_join(e["value"], ",")))), F.lit(""))
+    m = F.col("correlators")
+    return d.select("item", "pop_rank", *[
+        F.concat_ws(",", F.transform(F.coalesce(m[a], F.array()), lambda x: x.cast("string"))).alias(f"c_{a}")
+        for a in ACTIONS], fields_txt.alias("fields"))
 
 
 @register("group_all", _DOC_SQL + """
