@@ -31,7 +31,7 @@ def register(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import every plan module so that its queries register."""
     from recoflow.plans import (  # noqa: F401
-        q_core, q_entities, q_joins, q_windows, q_features, q_models, q_metrics, q_baskets,
+        q_core, q_entities, q_windows, q_features, q_models, q_metrics, q_baskets,
         q_factors, q_io, q_streaming,
     )
 
