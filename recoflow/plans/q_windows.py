@@ -27,12 +27,12 @@ def _items_g(spark, sf):
 # --------------------------------------------------------------------------- filters
 @register("candidate_filter", ctes(("inter", "items")) + """
 SELECT item, title FROM items WHERE item IN (SELECT item FROM items WHERE p_size > 10)
-AND item NOT IN (SELECT item FROM inter WHERE action = 'error' AND user < 5)
+AND item NOT IN (SELECT item FROM inter WHERE action = 'error' AND ts >= TIMESTAMP '2024-01-28 00:00:00')
 AND list_has_all([p_type, p_brand], ['SMALL'])""")
 def q_candidate_filter(spark, sf):
     it = _items_g(spark, sf)
     wl = it.where("p_size > 10").select("item")
-    bl = T.inter(spark, sf).where("action = 'error' and user < 5").select("item")
+    bl = T.inter(spark, sf).where("action = 'error' and ts >= timestamp_ntz'2024-01-28 00:00:00'").select("item")
     return FL.candidate_filter(it, wl, bl, ["SMALL"]).select("item", "title")
 
 
@@ -88,11 +88,13 @@ def q_item_category_join(spark, sf):
     return T.inter(spark, sf).select("event_id", "item").join(cats, "item")
 
 
-@register("lookup_item_doc", ctes(("inter",)) + f"""
-SELECT DISTINCT item FROM inter WHERE item IN (SELECT item FROM inter WHERE user < 20 AND action = '{PRIMARY}')""")
+@register("lookup_item_doc", ctes(("inter", "items")) + f"""
+SELECT item, title, p_brand FROM items WHERE item IN (SELECT item FROM inter WHERE action = '{PRIMARY}'
+  AND ts >= TIMESTAMP '2024-01-25 00:00:00')""")
 def q_lookup_item_doc(spark, sf):
-    docs = T.inter(spark, sf).select("item").distinct()
-    ids = T.inter(spark, sf).where(f"user < 20 and action = '{PRIMARY}'").select("item")
+    """Documents (item rows) of every item bought in the last week of the log."""
+    docs = T.items(spark, sf).select("item", "title", "p_brand")
+    ids = T.inter(spark, sf).where(f"action = '{PRIMARY}' and ts >= timestamp_ntz'2024-01-25 00:00:00'").select("item")
     return IO.lookup_item_doc(docs, ids)
 
 
