@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recoflow.llm import hilbert, langid, simhash, warc
+from recoflow.llm import chat, hilbert, langid, lcp, simhash, warc
 from recoflow.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcp.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard_rows(table(spark, sf_dir, "documents"), shards=8)
 
@@ -27,11 +31,18 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.control_conversation(table(spark, sf_dir, "conversations"))
+    return chat.read_back(chat.format_conversations(turns, chat.CHAT_TEMPLATE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op6_sharding": op6_sharding,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {
@@ -46,4 +57,17 @@ g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response FROM
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> response THEN response END AS refers_to FROM g""",
+    "op10_chat_formatting": r"""
+WITH c AS (SELECT conv_id, turn, role, text, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, n, x, x2, x, x2 FROM (VALUES
+    (0, 'user', '\### Assistant: </turn> ok'), (1, 'assistant', '\### Assistant: </turn> ok')) v(n, x, x2))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST))
+    AS turns_sha256,
+  CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN r = 'assistant' THEN t ELSE '' END, ''
+    ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS loss_sha256,
+  CAST(sum(14 + length(regexp_replace(r, '(\\|###|</turn>|:)', '_\1', 'g'))
+    + length(regexp_replace(t, '(\\|###|</turn>)', '_\1', 'g'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
 }
