@@ -41,7 +41,7 @@ def _norm(v):
         return tuple(_norm(x) for x in v)
     if isinstance(v, dict):
         return tuple(sorted((k, _norm(x)) for k, x in v.items()))
-    if v is pd.NaT:
+    if v is pd.NaT or v is pd.NA:
         return None
     return v
 
