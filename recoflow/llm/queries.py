@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recoflow.llm import chat, hilbert, langid, lcp, simhash, substrings, warc
+from recoflow.llm import chat, decontam, hilbert, langid, lcp, mixing, simhash, substrings, warc
 from recoflow.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), window=50).drop("kept")
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.fingerprint_report(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard_rows(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("rk")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
@@ -44,8 +53,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_source_mixing": op4_source_mixing,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_sharding": op6_sharding,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
