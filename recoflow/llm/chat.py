@@ -226,21 +226,25 @@ def fold_expression(tree: tuple) -> tuple:
     return ("const", evaluator(folded)({})) if all(p[0] == "const" for p in parts) else folded
 
 
+def _push(out: list[tuple], node: tuple) -> None:
+    """Append a folded node; text after text joins it, empty text goes."""
+    if node[0] == "emit" and node[1][0] == "const":
+        text = _text(node[1][1])
+        if out and out[-1][0] == "emit" and out[-1][1][0] == "const":
+            text = out.pop()[1][1] + text
+        node = ("emit", ("const", text))
+        if not text:
+            return
+    out.append(node)
+
+
 def fold(nodes: list[tuple]) -> list[tuple]:
     """Constant expressions become text, decided branches disappear, and
     neighbouring texts join."""
     out: list[tuple] = []
     for node in nodes:
         if node[0] == "emit":
-            tree = fold_expression(node[1])
-            if tree[0] == "const":
-                tree = ("const", _text(tree[1]))
-                if not tree[1]:
-                    continue
-                if out and out[-1][0] == "emit" and out[-1][1][0] == "const":
-                    out[-1] = ("emit", ("const", out[-1][1][1] + tree[1]))
-                    continue
-            out.append(("emit", tree))
+            _push(out, ("emit", fold_expression(node[1])))
         elif node[0] == "for":
             out.append(("for", node[1], fold_expression(node[2]), fold(node[3])))
         elif node[0] == "generation":
@@ -255,10 +259,8 @@ def fold(nodes: list[tuple]) -> list[tuple]:
                         break
                     continue
                 arms.append((test, fold(body)))
-            if arms:
-                out.append(("if", arms, rest))
-            else:
-                out += rest
+            for kept in [("if", arms, rest)] if arms else rest:
+                _push(out, kept)
     return out
 
 
