@@ -12,10 +12,10 @@ are dealt out.  An anchor occurrence carries the text of all windows it
 anchors (at most window + window/2 words), a bundle of neighbouring suffixes.
 
 Prefix partitions: bundles are dealt by their anchor, a k-word prefix.  A
-prefix with over ``GROUP`` bundles is extended to the whole window: its
-subtree is a single locus per window, whose smallest id is a Spark aggregate
-with map-side combine, so a passage shared by any number of documents never
-meets in one task.  All other groups are memory-sized and packed into tasks,
+prefix in over ``GROUP`` documents is extended to the whole window: equal
+bundles become one, a window is a single locus, and its smallest id is a Spark
+aggregate with map-side combine, so a passage shared by any number of
+documents never meets in one task.  All other groups are memory-sized and packed into tasks,
 where the subtree's nodes are named by word depth (1, 2, 4, ... words, then
 the window): suffixes below the same node at depth ``window`` share the whole
 window.  Nodes with several documents are the deep internal nodes; runs of
@@ -119,28 +119,35 @@ def _profile(window: int):
                 key = pos = lo = hi = np.zeros(0, dtype=np.int64)
                 if len(words) >= window:
                     key, pos, lo, hi = anchors(word_hashes(joined), window)
-                out.append((i, rk, len(words), hashlib.sha256(joined).hexdigest(), key,
+                fresh = np.zeros(len(key), dtype=np.int32)      # 1 at a key's first place in the document
+                fresh[np.unique(key, return_index=True)[1]] = 1
+                out.append((i, rk, len(words), hashlib.sha256(joined).hexdigest(), key, fresh,
                             pos.astype(np.int32), (pos - lo).astype(np.int32), (pos - hi).astype(np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "rk", "n_words", "sha", "key", "pos", "back", "front"])
+            yield pd.DataFrame(out, columns=["doc_id", "rk", "n_words", "sha", "key", "fresh", "pos", "back", "front"])
     return run
 
 
-_PROFILE = ("doc_id string, rk long, n_words long, sha string, key array<long>, pos array<int>, "
+_PROFILE = ("doc_id string, rk long, n_words long, sha string, key array<long>, fresh array<int>, pos array<int>, "
             "back array<int>, front array<int>")
 
 
+_BUNDLE = "key long, doc_id long, rk long, starts array<int>, words string"
+
+
 def _bundles(window: int):
-    """Docs with their shared anchors -> (key, n, doc_id, s, last, words): the
-    words from window start s to the end of the window that starts at last."""
+    """Docs with their shared anchors -> one row per distinct bundle of a
+    document: its anchor, its first word positions and its words."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["key", "n", "doc_id", "rk", "s", "last", "words"]
+        names = [f.split()[0] for f in _BUNDLE.split(", ")]
         for pdf in batches:
             out = []
             for i, rk, text, hits in zip(pdf["doc_id"], pdf["rk"], pdf["text"], pdf["hits"]):
                 words = words_of(text)
+                places: dict[tuple, list[int]] = {}
                 for h in hits:
                     s, last = h["pos"] - h["back"], h["pos"] - h["front"]
-                    out.append((h["key"], h["n"], i, rk, s, last, b" ".join(words[s:last + window]).decode("utf-8", "surrogatepass")))
+                    places.setdefault((h["key"], b" ".join(words[s:last + window])), []).append(s)
+                out += [(key, i, rk, starts, w.decode("utf-8", "surrogatepass")) for (key, w), starts in places.items()]
                 if len(out) >= CHUNK_BUNDLES:
                     yield pd.DataFrame(out, columns=names)
                     out = []
@@ -172,22 +179,25 @@ def _subtrees(window: int):
     """Sorted bundles -> spans (doc_id, rk, s, e) of words to remove.  Whole
     prefix groups are taken together; a batch may hold many."""
     def spans(part: pd.DataFrame) -> pd.DataFrame:
-        n = (part["last"] - part["s"] + 1).to_numpy()
+        n = part["words"].str.count(" ").to_numpy() + 2 - window        # suffixes of a bundle
         node = loci(part["words"].tolist(), n, window)
-        doc = np.repeat(part["doc_id"].to_numpy(), n)
+        ids = part["doc_id"].to_numpy()
+        doc = np.repeat(ids, n)
         low = np.full(node.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(low, node, doc)
         late = doc > low[node]              # a smaller document lies below the same node
-        own = np.repeat(np.arange(len(part)), n)
-        start = np.repeat((part["s"].to_numpy() - np.concatenate([[0], np.cumsum(n)[:-1]])), n) + np.arange(len(node))
-        own, start = own[late], start[late]
-        if not len(own):
-            return pd.DataFrame({"doc_id": [], "rk": [], "s": [], "e": []}, dtype="int64")
-        new = np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)])
+        own = np.repeat(np.arange(len(part)), n)[late]
+        off = (np.arange(len(node)) - np.repeat(np.cumsum(n) - n, n))[late]
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = (own[1:] != own[:-1]) | (off[1:] != off[:-1] + 1)
         first = np.flatnonzero(new)
-        end = start[np.append(first[1:], len(start)) - 1]
-        return pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[own[first]], "rk": part["rk"].to_numpy()[own[first]],
-                             "s": start[first], "e": end + window})
+        end = off[np.append(first[1:], len(off)) - 1] if len(first) else off
+        rows = own[first]                   # runs of neighbouring windows, at each place of their bundle
+        starts = part["starts"].to_numpy()
+        many = np.array([len(starts[r]) for r in rows], dtype=np.int64)
+        base = np.concatenate([starts[r] for r in rows]).astype(np.int64) if len(rows) else off
+        return pd.DataFrame({"doc_id": np.repeat(ids[rows], many), "rk": np.repeat(part["rk"].to_numpy()[rows], many),
+                             "s": base + np.repeat(off[first], many), "e": base + np.repeat(end, many) + window})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
@@ -227,31 +237,42 @@ def _strip():
 
 
 def repeated_spans(profile: DataFrame, texts: DataFrame, window: int, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(spans, texts of documents that share an anchor).  ``profile`` is the
+    """(doc_id, rk, spans; texts of documents that share an anchor).  ``profile`` is the
     written output of ``_profile``; ids are not null here."""
-    occ = profile.select(F.col("doc_id").cast("long").alias("doc_id"), "rk", F.inline(F.arrays_zip("key", "pos", "back", "front")))
-    shared = occ.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n"))
-    shared = cut_lineage(shared.where("a < b").select("key", "n"))
-    hits = skew_lookup(occ, shared, "key", "n", ["n"], "rk").where(F.col("n").isNotNull())
-    hits = hits.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("key", "n", "pos", "back", "front")).alias("hits"))
+    occ = profile.select(F.col("doc_id").cast("long").alias("doc_id"), "rk",
+                         F.inline(F.arrays_zip("key", "fresh", "pos", "back", "front")))
+    shared = occ.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"),
+                                    F.count(F.lit(1)).alias("n"), F.sum("fresh").alias("docs"))
+    shared = cut_lineage(shared.where("a < b").select("key", "n", "docs"))
+    hits = skew_lookup(occ, shared, "key", "n", ["docs"], "rk").where(F.col("docs").isNotNull())
+    hits = hits.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("key", "docs", "pos", "back", "front")).alias("hits"))
     near = cut_lineage(texts.join(hits, ["doc_id", "rk"]))
 
     def bundles(pick) -> DataFrame:
         some = near.withColumn("hits", F.filter("hits", pick)).where(F.size("hits") > 0)
-        return some.mapInPandas(_bundles(window), "key long, n long, doc_id long, rk long, s int, last int, words string")
-    span_type = "doc_id long, rk long, s int, e int"
-    small = bundles(lambda h: h["n"] <= group).repartition("key").sortWithinPartitions("key")
-    spans = small.mapInPandas(_subtrees(window), span_type)
-    # prefixes over budget: every suffix by its whole window
-    large = bundles(lambda h: h["n"] > group).select("doc_id", "rk", "s", "last", F.split("words", " ").alias("w"))
-    large = large.select("doc_id", "rk", F.posexplode(F.transform(
-        F.sequence(F.lit(1), F.col("last") - F.col("s") + 1),
-        lambda i: F.sha2(F.array_join(F.slice("w", i, window), " "), 256))).alias("i", "node"), "s")
-    large = cut_lineage(large.select("doc_id", "rk", (F.col("s") + F.col("i")).alias("s"), "node"))
-    nodes = cut_lineage(large.groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
-    late = skew_lookup(large, nodes, "node", "n", ["low"], "rk").where("doc_id > low")
-    spans = spans.union(late.select("doc_id", "rk", "s", (F.col("s") + window).alias("e")))
-    return spans, near
+        return some.mapInPandas(_bundles(window), _BUNDLE)
+    small = bundles(lambda h: h["docs"] <= group).repartition("key").sortWithinPartitions("key")
+    spans = small.mapInPandas(_subtrees(window), "doc_id long, rk long, s int, e int")
+    spans = spans.select("doc_id", "rk", F.array(F.struct("s", "e")).alias("spans"))
+
+    # prefixes over budget: distinct bundles once, each suffix by its whole window
+    large = cut_lineage(bundles(lambda h: h["docs"] > group).withColumn("bundle", F.sha2("words", 256)))
+    texts_of = cut_lineage(large.groupBy("bundle").agg(F.first("words").alias("words"), F.min("doc_id").alias("low"),
+                                                       F.count(F.lit(1)).alias("n")))
+    w = texts_of.select("bundle", "low", F.split("words", " ").alias("w"))
+    w = w.select("bundle", "low", F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.size("w") - window + 1),
+        lambda i: F.sha2(F.array_join(F.slice("w", i, window), " "), 256))).alias("i", "node"))
+    nodes = cut_lineage(w.groupBy("node").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("m")))
+    lows = skew_lookup(w, nodes, "node", "m", ["least"], "bundle")
+    # at most window/2 + 1 windows share an anchor, so these lists are bounded
+    lows = lows.groupBy("bundle").agg(F.collect_list(F.struct("i", "least")).alias("lows"))
+    lows = cut_lineage(lows.join(texts_of.select("bundle", "n"), "bundle"))
+    late = skew_lookup(large.select("doc_id", "rk", "starts", "bundle"), lows, "bundle", "n", ["lows"], "rk")
+    late = late.withColumn("lows", F.filter("lows", lambda x: x["least"] < F.col("doc_id"))).where(F.size("lows") > 0)
+    late = late.select("doc_id", "rk", F.flatten(F.transform("starts", lambda s: F.transform(
+        "lows", lambda x: F.struct((s + x["i"]).alias("s"), (s + x["i"] + window).alias("e"))))).alias("spans"))
+    return spans.union(late), near
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, group: int = GROUP, id_col: str = "doc_id",
@@ -267,7 +288,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, group: int = GROUP, id_col
     profile = cut_lineage(plain.mapInPandas(_profile(window), _PROFILE))
     known = profile.where(F.col("doc_id").isNotNull())
     spans, near = repeated_spans(known, d.where(F.col("doc_id").isNotNull()), window, group)
-    spans = spans.groupBy("doc_id", "rk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = spans.groupBy("doc_id", "rk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     changed = near.select("doc_id", "rk", "text").join(spans, ["doc_id", "rk"])
     changed = changed.mapInPandas(_strip(), "doc_id long, rk long, n_removed long, kept_sha256 string, kept string")
     changed = changed.dropDuplicates(["doc_id", "rk"])
