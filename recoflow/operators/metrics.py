@@ -112,9 +112,10 @@ def gini_norm(df: DataFrame, label: str = "label", score: str = "score", id_col:
 
 
 def cumulative_gini(df: DataFrame, label: str = "label", score: str = "score", id_col: str = "id") -> DataFrame:
-    """Running sum of labels in (score desc, id asc) order, with positions."""
-    r = global_row_number(df.select(id_col, label, score), [F.col(score).desc(), F.col(id_col).asc()], "pos")
-    return global_running_sum(r, [F.col("pos").asc()], label, "cum_label")
+    """Running sum of labels in (score desc, id asc) order, with positions;
+    both come from one range shuffle (a position is a running sum of ones)."""
+    return global_running_sum(df.select(id_col, label, score), [F.col(score).desc(), F.col(id_col).asc()], label,
+                              "cum_label", position="pos")
 
 
 def rmse(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:

@@ -1,17 +1,22 @@
 """Top-k per group and global ranks without a single-partition window.
 
-``global_row_number`` is the two-level plan: range-partition on the sort key,
-number rows inside each partition, write that once (range boundaries are
-sampled with a seed that changes per evaluation, so the numbered partitions
-must be read from one copy), then add per-partition offsets from a tiny
-aggregate (one row per partition, so broadcasting it is bounded by the
-partition count, not by the data).  The order must end with a unique key.
+Global positions take one shuffle: rows are range-partitioned on the sort key
+and sorted inside each partition, their local position is the row part of
+``monotonically_increasing_id``, and the result is written once (range
+boundaries are sampled with a seed that changes per evaluation).  Offsets come
+from a tiny aggregate of one row per partition, so broadcasting it is bounded
+by the partition count, not by the data.  The order must end with a unique key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from recoflow.session import cut_lineage
 
@@ -25,38 +30,58 @@ def topn_per_group(df: DataFrame, keys, order: list[Column], n, rank_col: str =
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= lim)
 
 
-def global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
-                      num_partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    # range boundaries come from a sample seeded with the RDD id, so two
-    # evaluations can cut the data differently: write the numbered partitions
-    # once and take both the counts and the numbers from that copy
-    local = cut_lineage(ranged.withColumn("_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order))))
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("_pid", F.coalesce(
+def _ranged(df: DataFrame, order: list[Column], num_partitions: int | None) -> DataFrame:
+    """``df`` in global order with _pid (partition) and _lrn (1-based local position)."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    r = r.withColumn("_mid", F.monotonically_increasing_id())
+    return (r.withColumn("_pid", F.shiftright("_mid", 33))
+            .withColumn("_lrn", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_mid"))
+
+
+def _with_offsets(local: DataFrame, total: Column) -> DataFrame:
+    """``local`` with _off: the sum of ``total`` over the partitions before."""
+    sums = local.groupBy("_pid").agg(total.alias("_n"))
+    offs = sums.select("_pid", F.coalesce(
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offs), "_pid")
+    return local.join(F.broadcast(offs), "_pid")
+
+
+def global_row_number(df: DataFrame, order: list[Column], name: str = "rn",
+                      num_partitions: int | None = None) -> DataFrame:
+    local = cut_lineage(_ranged(df, order, num_partitions))
+    return (_with_offsets(local, F.count(F.lit(1)))
             .withColumn(name, (F.col("_lrn") + F.col("_off")).cast("bigint"))
             .drop("_pid", "_lrn", "_off"))
 
 
+def _running(value: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sums = pc.cumulative_sum(pc.fill_null(b.column(value), 0))
+            sums = pc.add(sums, pa.scalar(carry, sums.type))
+            carry = sums[-1].as_py()
+            yield pa.RecordBatch.from_arrays([*b.columns, sums], names=[*b.schema.names, "_ls"])
+    return run
+
+
 def global_running_sum(df: DataFrame, order: list[Column], value: str, name: str,
-                       inclusive: bool = True, num_partitions: int | None = None) -> DataFrame:
-    """Running sum of ``value`` in a global order, with the same two-level
-    plan as ``global_row_number`` (range partitions, local sums, offsets)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    frame = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut_lineage(ranged.withColumn("_ls", F.sum(value).over(frame)))   # one cut, see above
-    tot = local.groupBy("_pid").agg(F.sum(value).alias("_t"))
-    offs = tot.select("_pid", F.coalesce(
-        F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    out = local.join(F.broadcast(offs), "_pid").withColumn(name, F.col("_ls") + F.col("_off"))
+                       inclusive: bool = True, num_partitions: int | None = None,
+                       position: str | None = None) -> DataFrame:
+    """Running sum of the whole number ``value`` in a global order: local sums
+    of the sorted partitions (streamed in Arrow batches, so the sort is not
+    repeated by a window) plus the sums of the partitions before.  ``position``
+    also asks for the 1-based global position under that name."""
+    ranged = _ranged(df.withColumn(value, F.col(value).cast("bigint")), order, num_partitions)
+    schema = StructType([*ranged.schema.fields, StructField("_ls", LongType())])
+    local = cut_lineage(ranged.mapInArrow(_running(value), schema))
+    out = _with_offsets(local, F.sum(value)).withColumn(name, F.col("_ls") + F.col("_off"))
     if not inclusive:
         out = out.withColumn(name, F.col(name) - F.col(value))
-    return out.drop("_pid", "_ls", "_off")
+    if position:
+        out = _with_offsets(out.drop("_off"), F.count(F.lit(1))).withColumn(position, F.col("_lrn") + F.col("_off"))
+    return out.drop("_pid", "_lrn", "_ls", "_off")

@@ -161,10 +161,10 @@ def q_positive_scores(spark, sf):
 
 
 @register("item_factors_left", ctes(("items", "item_factors")) + """
-SELECT i.item, i.title, CAST(f.category AS DOUBLE) AS category, f.weight FROM items i LEFT JOIN item_factors f ON f.item = i.item + 400""")
+SELECT i.item, i.title, CAST(f.category AS DOUBLE) AS category, f.weight FROM items i LEFT JOIN item_factors f ON f.item = i.item + 100""")
 def q_item_factors_left(spark, sf):
     """Items LEFT OUTER factors (ids shifted so part of the items has no factor row)."""
-    f = T.item_factors(spark, sf).select((F.col("item") - 400).alias("item"),
+    f = T.item_factors(spark, sf).select((F.col("item") - 100).alias("item"),
                                         F.col("category").cast("double").alias("category"), "weight")
     return T.items(spark, sf).select("item", "title").join(f, "item", "left")
 
@@ -186,7 +186,7 @@ def q_param_grid(spark, sf):
     r = FA.latest_ratings(T.rated(spark, sf).select("user", "item", "rating", "ts", "event_id"))
     r = r.select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), "rating")
     als = ALS(userCol="user", itemCol="item", ratingCol="rating", coldStartStrategy="drop", seed=3, regParam=0.01)
-    grid = ParamGridBuilder().addGrid(als.rank, [5, 10]).addGrid(als.maxIter, [5, 10]).build()
+    grid = ParamGridBuilder().addGrid(als.rank, [10, 20]).addGrid(als.maxIter, [10, 15]).build()
     tvs = TrainValidationSplit(estimator=als, estimatorParamMaps=grid, trainRatio=0.8, seed=3, parallelism=2,
                                evaluator=RegressionEvaluator(labelCol="rating", metricName="rmse"))
     m = tvs.fit(r)

@@ -2,12 +2,13 @@
 
 On a cluster the session is built by the caller; ``get_spark`` is for tests,
 the bench and local runs.  ``checkpoint_dir`` reads ``spark.checkpoint.dir``
-from the session and only picks a scratch folder when it is unset (local and
-test runs): on a cluster that setting must name a shared folder.
+from the session; only a local session may leave it unset (it then gets a
+scratch folder): on a cluster that setting must name a shared folder.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -43,15 +44,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 _SCRATCH: str | None = None
+_USED: dict[str, SparkSession] = {}     # table folders of this process, to be deleted at its end
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder from ``spark.checkpoint.dir`` (or the
-    context's checkpoint folder); a scratch folder is chosen only when neither
-    is set (local runs and tests)."""
+    context's checkpoint folder).  When neither is set, a local session gets a
+    scratch folder; any other master raises, since executors on other machines
+    could not read a folder of the driver's machine."""
     global _SCRATCH
     cur = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not cur:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _SCRATCH is None:
             _SCRATCH = tempfile.mkdtemp(prefix="recoflow-ckpt-", dir="/tmp")
         cur = _SCRATCH
@@ -64,17 +69,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return cur
 
 
-def cut_lineage(df: DataFrame, how: str = "parquet") -> DataFrame:
+def table_folder(spark: SparkSession) -> str:
+    """This application's folder for written intermediate tables; it is
+    deleted when the process ends (or by ``release``)."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+    if folder not in _USED:
+        if not _USED:
+            atexit.register(release)
+        _USED[folder] = spark
+    return folder
+
+
+def release() -> None:
+    """Delete the intermediate tables of this process.  Frames that still read
+    them must have been acted on or written before."""
+    while _USED:
+        folder, spark = _USED.popitem()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session is gone: its folder stays for the cluster's own clean-up
+            pass
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize ``df`` once in the shared checkpoint folder and read it back.
 
-    ``parquet`` (default) writes a table under spark.checkpoint.dir: re-reads
-    prune columns, push filters down and give the planner file statistics.
-    ``checkpoint`` uses the reliable RDD checkpoint (serialized rows).  Both
-    survive the loss of executors; a machine-local checkpoint is never used."""
+    Re-reads prune columns, push filters down and give the planner file
+    statistics; the table survives the loss of executors (a machine-local
+    checkpoint is never used)."""
     spark = df.sparkSession
-    base = checkpoint_dir(spark)
-    if how == "checkpoint":
-        return df.checkpoint(eager=True)
-    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{table_folder(spark)}/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)

@@ -96,13 +96,15 @@ def reward_log(spark, sf_dir) -> DataFrame:
 
 
 def user_factors(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < 50)
+    """Even rows are users (so only even user ids have factors), odd rows are
+    items: both sides grow with the table."""
+    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 2 == 0)
     return e.select(F.col("vec_id").alias("user"), "embedding")
 
 
 def item_factors(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") >= 50)
-    return e.select((F.col("vec_id") - 50).alias("item"), "embedding",
+    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 2 == 1)
+    return e.select(F.expr("vec_id div 2").alias("item"), "embedding",
                     F.col("label").alias("category"),
                     (F.lit(1.0) + F.col("label") / 10.0).cast("double").alias("weight"))
 
@@ -139,9 +141,9 @@ VIEW_SQL = {
            "from inter e join users u on e.user = u.user join items i on e.item = i.item",
     "reward_log": "select event_id, item % 10 as arm, case action when 'purchase' then 1 "
                   "when 'error' then -1 else 0 end as reward, ts from inter",
-    "user_factors": "select vec_id as user, embedding from embeddings where vec_id < 50",
-    "item_factors": "select vec_id - 50 as item, embedding, label as category, "
-                    "cast(1.0 + label / 10.0 as double) as weight from embeddings where vec_id >= 50",
+    "user_factors": "select vec_id as user, embedding from embeddings where vec_id % 2 = 0",
+    "item_factors": "select vec_id // 2 as item, embedding, label as category, "
+                    "cast(1.0 + label / 10.0 as double) as weight from embeddings where vec_id % 2 = 1",
     "scored": "select doc_id as id, quality as label, "
               "cast((doc_id * 7919 % 101) / 100.0 as double) as score from labels",
 }
