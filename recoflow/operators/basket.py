@@ -7,8 +7,11 @@ single window: events are windowed by (user, time bucket), and a per-bucket
 summary (min, max, last session start) carries sessions across bucket edges,
 so a user with a third of all rows is still spread over many tasks.
 
-Itemsets and rules use ``pyspark.ml.fpm.FPGrowth``: it grows conditional
-trees per item group instead of emitting every subset of every basket.
+Itemsets are mined level by level up to ``max_len``: frequent items first,
+then sets of k items are joined from two frequent sets of k - 1 items of the
+same basket that share their first k - 2 items, counted with map-side combine
+and pruned by support.  Nothing longer than ``max_len`` is ever formed and no
+item list passes through the driver.
 """
 
 from __future__ import annotations
@@ -61,30 +64,33 @@ def basket_sessions(inter: DataFrame, gap_seconds: float, min_size: int = 2, act
     return b.withColumn("n_items", F.size("items")).where(F.col("n_items") >= min_size)
 
 
-def _fpgrowth(baskets: DataFrame, min_count: int, min_conf: float = 0.0, items_col: str = "items"):
-    from pyspark.ml.fpm import FPGrowth
-    n = baskets.count()
-    # FPGrowth keeps itemsets with freq >= ceil(minSupport * n); pick the
-    # fraction half a basket below the count so rounding cannot move it.
-    min_support = max(min_count - 0.5, 0.5) / max(n, 1)
-    fp = FPGrowth(itemsCol=items_col, minSupport=min_support, minConfidence=min_conf)
-    tx = baskets.select(F.array_distinct(items_col).alias(items_col))
-    # FPGrowth mines in as many tasks as its input has partitions; a basket
-    # table that AQE coalesced to a few partitions is spread over the cores
-    par = baskets.sparkSession.sparkContext.defaultParallelism
-    if tx.rdd.getNumPartitions() < par:
-        tx = tx.repartition(par)
-    return fp.fit(tx), n
+def basket_items(baskets: DataFrame, id_col: str = "basket_id", items_col: str = "items") -> DataFrame:
+    """(basket, item) rows of (id, items array)."""
+    return baskets.select(F.col(id_col).alias("basket"), F.explode(items_col).alias("item")).distinct()
 
 
-def itemset_count(baskets: DataFrame, max_len: int, min_count: int, items_col: str = "items") -> DataFrame:
+def itemset_count(rows: DataFrame, max_len: int, min_support: float) -> DataFrame:
     """(itemset sorted array, size, count) for itemsets of 1..max_len items
-    found in at least ``min_count`` baskets."""
-    model, _ = _fpgrowth(baskets, min_count, items_col=items_col)
-    f = model.freqItemsets
-    return (f.where(F.size("items") <= max_len)
-            .select(F.array_sort("items").alias("itemset"), F.size("items").alias("size"),
-                    F.col("freq").alias("count")))
+    found in at least the fraction ``min_support`` of the baskets.
+    rows: distinct (basket, item)."""
+    rows = cut_lineage(rows.select("basket", "item"))
+    least = F.lit(min_support) * rows.select(F.count_distinct("basket")).scalar()
+
+    def frequent(sets: DataFrame) -> DataFrame:
+        return cut_lineage(sets.groupBy("s").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least))
+    sets = rows.select("basket", F.array("item").alias("s"))
+    found = frequent(sets)
+    out = found
+    for size in range(2, max_len + 1):
+        # a set longer than its frequent parts cannot be frequent
+        kept = cut_lineage(sets.join(found.select("s"), "s", "left_semi").select(
+            "basket", F.slice("s", 1, size - 2).alias("head"), F.element_at("s", -1).alias("last")))
+        other = kept.select("basket", "head", F.col("last").alias("more"))
+        sets = kept.join(other, ["basket", "head"]).where(F.col("last") < F.col("more")).select(
+            "basket", F.concat("head", F.array("last", "more")).alias("s"))
+        found = frequent(sets)
+        out = out.unionByName(found)
+    return out.select(F.col("s").alias("itemset"), F.size("s").alias("size"), "count")
 
 
 def transaction_total(baskets: DataFrame) -> DataFrame:
@@ -111,18 +117,15 @@ def rule_self_join(counts: DataFrame, total) -> DataFrame:
         .alias("lift"))
 
 
-def association_rules(baskets: DataFrame, max_len: int, min_count: int, min_conf: float = 0.0,
-                      min_lift: float = 0.0, max_rules_per_cond: int = 10, items_col: str = "items") -> DataFrame:
+def association_rules(rows: DataFrame, max_len: int, min_support: float, min_conf: float = 0.0,
+                      min_lift: float = 0.0, max_rules_per_cond: int = 10) -> DataFrame:
     """(cond sorted array, conseq, support, confidence, lift, rank): rules with
-    |cond| <= max_len - 1 over itemsets in >= min_count baskets, confidence
-    >= min_conf and lift >= min_lift; best ``max_rules_per_cond`` per
-    condition by (confidence desc, conseq asc).
-
-    Frequent itemsets come from FPGrowth, cut to ``max_len`` and written once
-    (they are read three times); rules are then derived with two equi joins
-    (``rule_self_join``) instead of deriving rules for every itemset length."""
-    counts = cut_lineage(itemset_count(baskets, max_len, min_count, items_col))
-    total = baskets.select(F.count(F.lit(1)).cast("double")).scalar()
+    |cond| <= max_len - 1 over itemsets in at least ``min_support`` of the
+    baskets, confidence >= min_conf and lift >= min_lift; best
+    ``max_rules_per_cond`` per condition by (confidence desc, conseq asc).
+    rows: distinct (basket, item)."""
+    counts = cut_lineage(itemset_count(rows, max_len, min_support))     # read three times
+    total = rows.select(F.count_distinct("basket").cast("double")).scalar()
     r = rule_self_join(counts, total)
     r = r.where((F.size("cond") <= max_len - 1) & (F.col("confidence") >= min_conf) & (F.col("lift") >= min_lift))
     return rule_topk(r.select("cond", "conseq", "support", "confidence", "lift"), max_rules_per_cond)
@@ -133,27 +136,33 @@ def rule_topk(rules: DataFrame, k: int) -> DataFrame:
     return topn_per_group(rules, ["cond"], order, k).withColumn("rank", F.col("rank").cast("int"))
 
 
-def rule_lookup(baskets: DataFrame, rules: DataFrame, n: int, id_col: str = "basket_id",
-                items_col: str = "items") -> DataFrame:
-    """Rules whose condition is inside the query basket and whose consequent
-    is not: rules are keyed by their first condition item, baskets by each of
-    their items, then the containment test runs on the joined pairs only.
-    Best ``n`` per basket by (confidence desc, lift desc, conseq asc)."""
-    b = baskets.select(id_col, items_col, F.explode(items_col).alias("_k"))
-    r = rules.select("cond", "conseq", "confidence", "lift", F.col("cond")[0].alias("_k"))
-    j = b.join(r, "_k").where((F.size(F.array_except("cond", items_col)) == 0)
-                              & ~F.array_contains(items_col, F.col("conseq")))
-    j = j.groupBy(id_col, "conseq").agg(F.max("confidence").alias("confidence"), F.max("lift").alias("lift"))
+def _holding(rows: DataFrame, sets: DataFrame, col: str, max_len: int) -> DataFrame:
+    """(basket, every column of ``sets``) where the basket holds all items of
+    the array ``col`` (1..max_len items): an equi join on the first item, then
+    a semi join on (basket, item) for each further place."""
+    j = rows.select("basket", F.col("item").alias("_k")).join(sets.withColumn("_k", F.col(col)[0]), "_k").drop("_k")
+    for i in range(1, max_len):
+        has = rows.select(F.col("basket").alias("_b"), F.col("item").alias("_i"))
+        more = j.where(F.size(col) > i)
+        more = more.join(has, (more["basket"] == F.col("_b")) & (F.get(more[col], F.lit(i)) == F.col("_i")), "left_semi")
+        j = j.where(F.size(col) <= i).unionByName(more)
+    return j
+
+
+def rule_lookup(rows: DataFrame, rules: DataFrame, n: int, max_cond: int = 2) -> DataFrame:
+    """Rules whose condition is inside the query basket and whose consequent is
+    not.  Of several rules for one consequent the best single rule counts, by
+    (confidence, lift).  Best ``n`` per basket by (confidence desc, lift desc,
+    conseq asc).  rows: distinct (basket, item); no basket is held as a list."""
+    j = _holding(rows, rules.select("cond", "conseq", "confidence", "lift"), "cond", max_cond)
+    j = j.join(rows.select("basket", F.col("item").alias("conseq")), ["basket", "conseq"], "left_anti")
+    j = j.groupBy("basket", "conseq").agg(F.max(F.struct("confidence", "lift")).alias("m")).select(
+        "basket", "conseq", "m.confidence", "m.lift")
     order = [F.col("confidence").desc(), F.col("lift").desc(), F.col("conseq").asc()]
-    return topn_per_group(j, [id_col], order, n).withColumn("rank", F.col("rank").cast("int"))
+    return topn_per_group(j, ["basket"], order, n).withColumn("rank", F.col("rank").cast("int"))
 
 
-def itemset_subsets(baskets: DataFrame, itemsets: DataFrame, id_col: str = "basket_id",
-                    items_col: str = "items") -> DataFrame:
+def itemset_subsets(rows: DataFrame, itemsets: DataFrame, max_len: int = 3) -> DataFrame:
     """(basket, itemset) for every frequent itemset contained in a basket;
     support pruning bounds the output, no subset is enumerated blindly."""
-    b = baskets.select(id_col, items_col, F.explode(items_col).alias("_k"))
-    s = itemsets.select("itemset", F.col("itemset")[0].alias("_k"))
-    return (b.join(s, "_k").where(F.size(F.array_except("itemset", items_col)) == 0)
-            .select(id_col, "itemset"))
-
+    return _holding(rows, itemsets.select("itemset"), "itemset", max_len).select("basket", "itemset")

@@ -7,10 +7,14 @@ with both:
 
     k11, k12 = n_A(i) - k11, k21 = n_B(j) - k11, k22 = U - n_A(i) - n_B(j) + k11
 
-The plan: distinct pairs -> caps (per item, then per user) -> self join on
-*user* (bounded by the per-user cap, so hot items do not blow up one task)
--> partial/final count per pair -> marginals joined on item -> llr -> top-k
-per (action, item) through a window group limit.
+U counts the users of all the actions given, before any cap.  Caps are an
+explicit option (``max_events``, a seeded draw); without them all pairs count.
+
+The plan: distinct pairs -> optional caps -> self join on (user, block) ->
+partial/final count per pair -> marginals joined on item -> llr -> top-k per
+(action, item) through a window group limit.  A user with over ``USER_BLOCK``
+pairs is cut into blocks: the primary side is dealt to them by item, the other
+side is copied to each, so one hot user's pairs are spread over many tasks.
 """
 
 from __future__ import annotations
@@ -20,36 +24,44 @@ from pyspark.sql import functions as F
 
 from recoflow.functions.scalar import with_llr
 from recoflow.session import cut_lineage
-from recoflow.operators.interactions import action_split, distinct_pairs, interaction_cap
+from recoflow.operators.interactions import action_split, interaction_cap
 
 
-def capped_pairs(inter: DataFrame, actions, max_events: int = 500, materialize: bool = False) -> DataFrame:
-    """Distinct (user, action, item) of the given actions after both caps.
-    ``materialize`` writes them once to the checkpoint folder: the correlator
-    plan reads them four times (two sides of the join, two marginals), and
-    without it every read re-scans and re-parses the event log."""
-    pairs = distinct_pairs(action_split(inter, actions).select("user", "action", "item", "ts", "event_id"))
-    out = interaction_cap(pairs, per_user=max_events, per_item=max_events).select("user", "action", "item")
-    return cut_lineage(out) if materialize else out
+USER_BLOCK = 1000      # pairs of one user in a block of the self join
 
 
-def cooccurrence_join(capped: DataFrame, primary: str) -> DataFrame:
-    """Self join of the capped pairs on user: (action, item, other, k11).
-    The primary action against itself drops the diagonal."""
-    a = capped.where(F.col("action") == primary).select("user", "item")
-    b = capped.select("user", "action", F.col("item").alias("other"))
-    j = a.join(b, "user").where((F.col("action") != primary) | (F.col("item") != F.col("other")))
+def action_pairs(inter: DataFrame, actions, materialize: bool = False) -> DataFrame:
+    """Distinct (user, action, item) of the given actions.  ``materialize``
+    writes them once to the checkpoint folder: the correlator plan reads them
+    several times (join sides, marginals, user count), and without it every
+    read re-scans and re-parses the event log."""
+    pairs = action_split(inter, actions).select("user", "action", "item").distinct()
+    return cut_lineage(pairs) if materialize else pairs
+
+
+def cooccurrence_join(pairs: DataFrame, primary: str, block: int = USER_BLOCK) -> DataFrame:
+    """Self join of the pairs on user: (action, item, other, k11).  The primary
+    action against itself drops the diagonal."""
+    n = pairs.groupBy("user").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_n"))
+    p = pairs.join(n, "user")
+    a = p.where(F.col("action") == primary).select(
+        "user", "item", F.pmod(F.xxhash64("item"), F.col("_n")).cast("int").alias("_b"))
+    b = p.select("user", "action", F.col("item").alias("other"),
+                 F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"))
+    j = a.join(b, ["user", "_b"]).where((F.col("action") != primary) | (F.col("item") != F.col("other")))
     return j.groupBy("action", "item", "other").agg(F.count(F.lit(1)).alias("k11"))
 
 
-def llr_scores(capped: DataFrame, primary: str, n_users=None) -> DataFrame:
-    """Every co-occurring (action, item, other) with its counts and llr."""
+def llr_scores(pairs: DataFrame, primary: str, n_users=None) -> DataFrame:
+    """Every co-occurring (action, item, other) with its counts and llr.
+    ``n_users`` (a number or one-value column) is U; pass the count taken
+    before the caps when ``pairs`` are capped."""
     if n_users is None:
-        n_users = capped.select(F.count_distinct("user")).scalar()
-    cooc = cooccurrence_join(capped, primary)
-    marg_a = (capped.where(F.col("action") == primary).groupBy("item")
+        n_users = pairs.select(F.count_distinct("user")).scalar()
+    cooc = cooccurrence_join(pairs, primary)
+    marg_a = (pairs.where(F.col("action") == primary).groupBy("item")
               .agg(F.count(F.lit(1)).alias("n_a")))
-    marg_b = (capped.groupBy("action", F.col("item").alias("other"))
+    marg_b = (pairs.groupBy("action", F.col("item").alias("other"))
               .agg(F.count(F.lit(1)).alias("n_b")))
     j = cooc.join(marg_a, "item").join(marg_b, ["action", "other"])
     nu = n_users if not isinstance(n_users, (int, float)) else F.lit(n_users)
@@ -57,13 +69,19 @@ def llr_scores(capped: DataFrame, primary: str, n_users=None) -> DataFrame:
 
 
 def llr_correlators(inter: DataFrame, primary: str = "purchase", secondaries=(),
-                    top_k: int = 50, max_events: int = 500, materialize: bool = True) -> DataFrame:
+                    top_k: int = 50, max_events: int | None = None, seed: int = 7,
+                    materialize: bool = True) -> DataFrame:
     """CORRELATOR table (action, item, other, llr, rank): for every action, the
     ``top_k`` strongest positive-llr items per primary item, ranked by
-    (llr desc, other asc).  U counts the users of all the actions given."""
+    (llr desc, other asc).  ``max_events`` caps users per item and items per
+    user by a seeded draw; None keeps all."""
     actions = [primary] + [a for a in secondaries if a != primary]
-    capped = capped_pairs(inter, actions, max_events, materialize=materialize)
-    scores = llr_scores(capped, primary).where(F.col("llr") > 0)
+    pairs = action_pairs(inter, actions, materialize)
+    n_users = pairs.select(F.count_distinct("user")).scalar()
+    if max_events is not None:
+        pairs = interaction_cap(pairs, max_events, max_events, seed)
+        pairs = cut_lineage(pairs) if materialize else pairs
+    scores = llr_scores(pairs, primary, n_users).where(F.col("llr") > 0)
     return correlator_topk(scores, top_k)
 
 

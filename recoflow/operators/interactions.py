@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recoflow.functions.scalar import md5_rank_key
+
 
 def action_split(events: DataFrame, names, action_col: str = "action") -> DataFrame:
     """Keep the chosen actions only; one frame for all of them (never one per name)."""
@@ -35,13 +37,13 @@ def distinct_pairs(inter: DataFrame) -> DataFrame:
         F.max("ts").alias("ts"), F.max("event_id").alias("event_id"))
 
 
-def interaction_cap(pairs: DataFrame, per_user: int = 500, per_item: int = 500) -> DataFrame:
+def interaction_cap(pairs: DataFrame, per_user: int = 500, per_item: int = 500, seed: int = 7) -> DataFrame:
     """At most ``per_item`` users per (action, item), then at most ``per_user``
-    items per (action, user), newest first.  Deterministic replacement of the
-    reference's random down-sampling; it bounds the co-occurrence join at
-    per_user^2 rows per user, which also tames hot users and hot items."""
-    wi = Window.partitionBy("action", "item").orderBy(F.col("ts").desc(), F.col("user"))
-    wu = Window.partitionBy("action", "user").orderBy(F.col("ts").desc(), F.col("item"))
+    items per (action, user): a seeded draw (md5 order of seed, user, item), so
+    the sample is unbiased and the same at every run."""
+    key = md5_rank_key(seed, "user", "item")
+    wi = Window.partitionBy("action", "item").orderBy(key, F.col("user"))
+    wu = Window.partitionBy("action", "user").orderBy(key, F.col("item"))
     out = pairs.withColumn("_ri", F.row_number().over(wi)).where(F.col("_ri") <= per_item).drop("_ri")
     return out.withColumn("_ru", F.row_number().over(wu)).where(F.col("_ru") <= per_user).drop("_ru")
 

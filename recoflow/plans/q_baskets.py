@@ -11,16 +11,16 @@ from recoflow.sources import tables as T
 from recoflow.sources.tables import LONG_DURATION, POP_END, PRIMARY
 
 GAP = 21600          # 6 h session gap
-MAX_LEN, MIN_COUNT, MIN_CONF, MIN_LIFT, MAX_RULES = 3, 2, 0.1, 1.0, 5
+MAX_LEN, MIN_SUPPORT, MIN_CONF, MIN_LIFT, MAX_RULES = 3, 1e-4, 0.1, 1.0, 5
 
 
 def _txt(c):
     return F.concat_ws(",", F.transform(F.col(c), lambda x: x.cast("string")))
 
 
-def order_baskets(spark, sf):
-    ob = T.order_baskets(spark, sf)
-    return ob.groupBy("basket_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+def order_items(spark, sf):
+    """(basket, item) rows of the orders."""
+    return T.order_baskets(spark, sf).select(F.col("basket_id").alias("basket"), "item")
 
 
 SESS_SQL = f"""
@@ -46,53 +46,60 @@ def q_transaction_total(spark, sf):
 
 
 ITEMSETS_SQL = f"""
-i1 AS (SELECT [item] AS s, count(*) AS c FROM order_baskets GROUP BY item HAVING count(*) >= {MIN_COUNT}),
-i2 AS (SELECT [a.item, b.item] AS s, count(*) AS c FROM order_baskets a JOIN order_baskets b
-  ON a.basket_id = b.basket_id AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= {MIN_COUNT}),
-i3 AS (SELECT [a.item, b.item, d.item] AS s, count(*) AS c FROM order_baskets a JOIN order_baskets b
-  ON a.basket_id = b.basket_id AND a.item < b.item JOIN order_baskets d ON d.basket_id = a.basket_id AND b.item < d.item
-  GROUP BY a.item, b.item, d.item HAVING count(*) >= {MIN_COUNT}),
-its AS (SELECT * FROM i1 UNION ALL SELECT * FROM i2 UNION ALL SELECT * FROM i3),
-tot AS (SELECT count(DISTINCT basket_id) AS n FROM order_baskets),
-r AS (SELECT s, c AS rule_cnt, unnest(s) AS conseq FROM its WHERE len(s) >= 2),
-r2 AS (SELECT list_sort(list_filter(s, lambda x: x <> conseq)) AS cond, conseq, rule_cnt FROM r),
-rj AS (SELECT r2.cond, r2.conseq, r2.rule_cnt, a.c AS cond_cnt, b.c AS conseq_cnt,
+tot AS MATERIALIZED (SELECT count(DISTINCT basket_id) AS n, count(DISTINCT basket_id) * {MIN_SUPPORT} AS least FROM order_baskets),
+ob AS MATERIALIZED (SELECT * FROM order_baskets),
+i1 AS MATERIALIZED (SELECT CAST(item AS VARCHAR) AS s, [item] AS l, count(*) AS c FROM ob GROUP BY item
+  HAVING count(*) >= (SELECT least FROM tot)),
+i2 AS MATERIALIZED (SELECT a.item || ',' || b.item AS s, [a.item, b.item] AS l, count(*) AS c FROM ob a JOIN ob b
+  ON a.basket_id = b.basket_id AND a.item < b.item GROUP BY a.item, b.item HAVING count(*) >= (SELECT least FROM tot)),
+i3 AS MATERIALIZED (SELECT a.item || ',' || b.item || ',' || d.item AS s, [a.item, b.item, d.item] AS l, count(*) AS c
+  FROM ob a JOIN ob b ON a.basket_id = b.basket_id AND a.item < b.item
+  JOIN ob d ON d.basket_id = a.basket_id AND b.item < d.item
+  GROUP BY a.item, b.item, d.item HAVING count(*) >= (SELECT least FROM tot)),
+its AS MATERIALIZED (SELECT * FROM i1 UNION ALL SELECT * FROM i2 UNION ALL SELECT * FROM i3),
+r AS (SELECT l, c AS rule_cnt, unnest(l) AS conseq FROM its WHERE len(l) >= 2),
+r2 AS MATERIALIZED (SELECT array_to_string(list_filter(l, lambda x: x <> conseq), ',') AS cond, len(l) - 1 AS n_cond,
+  list_filter(l, lambda x: x <> conseq) AS cl, conseq, CAST(conseq AS VARCHAR) AS ctext, rule_cnt FROM r),
+rj AS MATERIALIZED (SELECT r2.cond, r2.cl, r2.n_cond, r2.conseq, r2.rule_cnt, a.c AS cond_cnt, b.c AS conseq_cnt,
   r2.rule_cnt / tot.n AS support, r2.rule_cnt / a.c AS confidence,
   CAST(r2.rule_cnt AS DOUBLE) * tot.n / (CAST(a.c AS DOUBLE) * b.c) AS lift
-  FROM r2 JOIN its a ON a.s = r2.cond JOIN i1 b ON b.s = [r2.conseq] CROSS JOIN tot),
-rules AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cond ORDER BY confidence DESC, conseq) AS rank
-  FROM rj WHERE len(cond) <= {MAX_LEN - 1} AND confidence >= {MIN_CONF} AND lift >= {MIN_LIFT})
+  FROM r2 JOIN its a ON a.s = r2.cond JOIN i1 b ON b.s = r2.ctext CROSS JOIN tot),
+rules AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cond ORDER BY confidence DESC, conseq)
+  AS rank FROM rj WHERE n_cond <= {MAX_LEN - 1} AND confidence >= {MIN_CONF} AND lift >= {MIN_LIFT})
   WHERE rank <= {MAX_RULES})"""
 _IV = ("order_baskets",)
 
 
 def itemsets(spark, sf):
-    return B.itemset_count(order_baskets(spark, sf), MAX_LEN, MIN_COUNT)
+    return B.itemset_count(order_items(spark, sf), MAX_LEN, MIN_SUPPORT)
 
 
 @register("itemset_count", ctes(_IV, ITEMSETS_SQL) + """
-SELECT array_to_string(s, ',') AS itemset, CAST(len(s) AS INTEGER) AS size, c AS count FROM its""")
+SELECT s AS itemset, CAST(len(l) AS INTEGER) AS size, c AS count FROM its""")
 def q_itemset_count(spark, sf):
     return itemsets(spark, sf).select(_txt("itemset").alias("itemset"), "size", "count")
 
 
+def _all_rules(spark, sf):
+    rows = order_items(spark, sf)
+    total = rows.select(F.count_distinct("basket").cast("double")).scalar()
+    return B.rule_self_join(B.itemset_count(rows, MAX_LEN, MIN_SUPPORT), total)
+
+
 @register("rule_self_join", ctes(_IV, ITEMSETS_SQL) + """
-SELECT array_to_string(cond, ',') AS cond, conseq, rule_cnt, cond_cnt, conseq_cnt, round(support, 6) AS support,
+SELECT cond, conseq, rule_cnt, cond_cnt, conseq_cnt, round(support, 6) AS support,
   round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM rj""")
 def q_rule_self_join(spark, sf):
-    ob = order_baskets(spark, sf)
-    total = ob.select(F.count(F.lit(1)).cast("double")).scalar()
-    r = B.rule_self_join(B.itemset_count(ob, MAX_LEN, MIN_COUNT), total)
-    return r.select(_txt("cond").alias("cond"), "conseq", "rule_cnt", "cond_cnt", "conseq_cnt",
-                    *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
+    return _all_rules(spark, sf).select(_txt("cond").alias("cond"), "conseq", "rule_cnt", "cond_cnt", "conseq_cnt",
+                                        *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
 
 
 def rules(spark, sf):
-    return B.association_rules(order_baskets(spark, sf), MAX_LEN, MIN_COUNT, MIN_CONF, MIN_LIFT, MAX_RULES)
+    return B.association_rules(order_items(spark, sf), MAX_LEN, MIN_SUPPORT, MIN_CONF, MIN_LIFT, MAX_RULES)
 
 
 _RULE_OUT = """
-SELECT array_to_string(cond, ',') AS cond, conseq, round(support, 6) AS support, round(confidence, 6) AS confidence,
+SELECT cond, conseq, round(support, 6) AS support, round(confidence, 6) AS confidence,
   round(lift, 6) AS lift, CAST(rank AS INTEGER) AS rank FROM rules"""
 
 
@@ -105,9 +112,7 @@ def q_association_rules(spark, sf):
 
 @register("rule_topk", ctes(_IV, ITEMSETS_SQL) + _RULE_OUT)
 def q_rule_topk(spark, sf):
-    ob = order_baskets(spark, sf)
-    total = ob.select(F.count(F.lit(1)).cast("double")).scalar()
-    r = B.rule_self_join(B.itemset_count(ob, MAX_LEN, MIN_COUNT), total)
+    r = _all_rules(spark, sf)
     r = r.where((F.size("cond") <= MAX_LEN - 1) & (F.col("confidence") >= MIN_CONF) & (F.col("lift") >= MIN_LIFT))
     r = B.rule_topk(r, MAX_RULES)
     return r.select(_txt("cond").alias("cond"), "conseq", *[F.round(c, 6).alias(c) for c in
@@ -115,29 +120,30 @@ def q_rule_topk(spark, sf):
 
 
 @register("rule_lookup", ctes(("order_baskets", "orders_inter"), ITEMSETS_SQL) + """,
-bk AS (SELECT user AS basket_id, list(DISTINCT item) AS items FROM orders_inter GROUP BY user),
-m AS (SELECT b.basket_id, r.conseq, max(r.confidence) AS confidence, max(r.lift) AS lift FROM bk b JOIN rules r
-  ON list_has_all(b.items, r.cond) AND NOT list_contains(b.items, r.conseq) GROUP BY b.basket_id, r.conseq)
-SELECT basket_id, conseq, round(confidence, 6) AS confidence, round(lift, 6) AS lift, CAST(rank AS INTEGER) AS rank
-FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY confidence DESC, lift DESC, conseq) AS rank FROM m)
+bk AS MATERIALIZED (SELECT DISTINCT user AS basket_id, item FROM orders_inter),
+m AS (SELECT b.basket_id, r.conseq, max({'c': r.confidence, 'l': r.lift}) AS m FROM rules r JOIN bk b ON b.item = r.cl[1]
+  WHERE (r.n_cond < 2 OR EXISTS (SELECT 1 FROM bk x WHERE x.basket_id = b.basket_id AND x.item = r.cl[2]))
+  AND NOT EXISTS (SELECT 1 FROM bk x WHERE x.basket_id = b.basket_id AND x.item = r.conseq)
+  GROUP BY b.basket_id, r.conseq)
+SELECT basket_id, conseq, round(m.c, 6) AS confidence, round(m.l, 6) AS lift, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY m.c DESC, m.l DESC, conseq) AS rank FROM m)
 WHERE rank <= 3""")
 def q_rule_lookup(spark, sf):
     """Rules learned on orders, applied to each customer's whole purchase set."""
-    cust = T.orders_inter(spark, sf).groupBy(F.col("user").alias("basket_id")).agg(
-        F.array_sort(F.collect_set("item")).alias("items"))
-    r = B.rule_lookup(cust, rules(spark, sf), 3)
-    return r.select("basket_id", "conseq", F.round("confidence", 6).alias("confidence"),
+    cust = T.orders_inter(spark, sf).select(F.col("user").alias("basket"), "item").distinct()
+    r = B.rule_lookup(cust, rules(spark, sf), 3, MAX_LEN - 1)
+    return r.select(F.col("basket").alias("basket_id"), "conseq", F.round("confidence", 6).alias("confidence"),
                     F.round("lift", 6).alias("lift"), "rank")
 
 
-@register("itemset_subsets", ctes(_IV, ITEMSETS_SQL) + """,
-bk AS (SELECT basket_id, list(item) AS items FROM order_baskets GROUP BY basket_id)
-SELECT b.basket_id, array_to_string(i.s, ',') AS itemset FROM bk b JOIN its i ON list_has_all(b.items, i.s)
-WHERE len(i.s) >= 2""")
+@register("itemset_subsets", ctes(_IV, ITEMSETS_SQL) + """
+SELECT b.basket_id, i.s AS itemset FROM ob b JOIN its i ON b.item = i.l[1] WHERE len(i.l) >= 2
+AND EXISTS (SELECT 1 FROM ob x WHERE x.basket_id = b.basket_id AND x.item = i.l[2])
+AND (len(i.l) < 3 OR EXISTS (SELECT 1 FROM ob x WHERE x.basket_id = b.basket_id AND x.item = i.l[3]))""")
 def q_itemset_subsets(spark, sf):
     its = itemsets(spark, sf).where(F.col("size") >= 2)
-    r = B.itemset_subsets(order_baskets(spark, sf), its)
-    return r.select("basket_id", _txt("itemset").alias("itemset"))
+    r = B.itemset_subsets(order_items(spark, sf), its, MAX_LEN)
+    return r.select(F.col("basket").alias("basket_id"), _txt("itemset").alias("itemset"))
 
 
 @register("pop_period_join", ctes(("inter",)) + f"""

@@ -10,10 +10,10 @@ from recoflow.operators import interactions as I
 from recoflow.operators import retrieval as R
 from recoflow.operators.popularity import popularity
 from recoflow.plans.registry import register
-from recoflow.plans.sqlparts import CAPPED, CORR, SCORES, ctes, pop_cte
+from recoflow.plans.sqlparts import CORR, SCORES, capped_sql, ctes, pop_cte, scores_sql
 from recoflow.session import cut_lineage
 from recoflow.sources import tables as T
-from recoflow.sources.tables import LONG_DURATION, POP_END, PRIMARY, SECONDARY, SHORT_DURATION
+from recoflow.sources.tables import LONG_DURATION, POP_END, PRIMARY, SECONDARY, SEED, SHORT_DURATION
 
 ACTIONS = [PRIMARY, *SECONDARY]
 
@@ -26,7 +26,7 @@ def _txt(c):
 def correlators(spark, sf):
     """The trained correlator model, written once (the reference publishes it
     to its index); every reader below scans the written table."""
-    return cut_lineage(C.llr_correlators(T.inter(spark, sf), PRIMARY, SECONDARY, top_k=50, max_events=500))
+    return cut_lineage(C.llr_correlators(T.inter(spark, sf), PRIMARY, SECONDARY, top_k=50))
 
 
 def pop_model(spark, sf, kind="popular", duration=LONG_DURATION):
@@ -46,7 +46,7 @@ def ur_recommend(spark, sf):
     exclusions, marginals), so the narrow INTERACTION table of the used
     actions is written once and every stage scans that columnar copy."""
     inter = cut_lineage(I.action_split(T.inter(spark, sf), ACTIONS))
-    corr = cut_lineage(C.llr_correlators(inter, PRIMARY, SECONDARY, top_k=50, max_events=500))
+    corr = cut_lineage(C.llr_correlators(inter, PRIMARY, SECONDARY, top_k=50))
     pop = popularity(inter, "popular", [PRIMARY], POP_END, LONG_DURATION)
     return R.recommend(all_user_queries(spark, sf), corr, pop, inter, primary=PRIMARY,
                        actions=ACTIONS, max_query_events=100, default_num=20)
@@ -79,7 +79,7 @@ def batch_predict(spark, sf):
     the user's last view must match, and the item must be available now
     (available <= now < available + 25 days).  Exact backfill under filters."""
     inter = cut_lineage(I.action_split(T.inter(spark, sf), ACTIONS))
-    corr = cut_lineage(C.llr_correlators(inter, PRIMARY, SECONDARY, top_k=50, max_events=500))
+    corr = cut_lineage(C.llr_correlators(inter, PRIMARY, SECONDARY, top_k=50))
     pop = popularity(inter, "popular", [PRIMARY], POP_END, LONG_DURATION)
     it = T.items(spark, sf)
     avail = F.col("available_date").cast("timestamp")
@@ -133,19 +133,32 @@ def q_distinct_pairs(spark, sf):
     return I.distinct_pairs(T.inter(spark, sf))
 
 
-@register("interaction_cap", ctes(("inter",), CAPPED) + "SELECT user, action, item FROM capped")
+@register("interaction_cap", ctes(("inter",), capped_sql(500)) + "SELECT user, action, item FROM capped")
 def q_interaction_cap(spark, sf):
-    return C.capped_pairs(T.inter(spark, sf), ACTIONS, 500)
+    return I.interaction_cap(C.action_pairs(T.inter(spark, sf), ACTIONS), 500, 500, SEED)
+
+
+CAP = 12       # small enough to bind on the event log's hot items and users
+
+
+@register("llr_capped", ctes(("inter",), scores_sql(capped_sql(CAP), "capped")) +
+          "SELECT action, item, other, k11, n_a, n_b, round(llr, 6) AS llr FROM sc")
+def q_llr_capped(spark, sf):
+    """LLR over a capped draw; U still counts every user."""
+    pairs = C.action_pairs(T.inter(spark, sf), ACTIONS, materialize=True)
+    n_users = pairs.select(F.count_distinct("user")).scalar()
+    s = C.llr_scores(I.interaction_cap(pairs, CAP, CAP, SEED), PRIMARY, n_users)
+    return s.select("action", "item", "other", "k11", "n_a", "n_b", F.round("llr", 6).alias("llr"))
 
 
 @register("cooccurrence_join", ctes(("inter",), SCORES) + "SELECT action, item, other, k11 FROM sc")
 def q_cooccurrence_join(spark, sf):
-    return C.cooccurrence_join(C.capped_pairs(T.inter(spark, sf), ACTIONS, 500), PRIMARY)
+    return C.cooccurrence_join(C.action_pairs(T.inter(spark, sf), ACTIONS, materialize=True), PRIMARY)
 
 
 @register("llr", ctes(("inter",), SCORES) + "SELECT action, item, other, k11, n_a, n_b, round(llr, 6) AS llr FROM sc")
 def q_llr(spark, sf):
-    s = C.llr_scores(C.capped_pairs(T.inter(spark, sf), ACTIONS, 500), PRIMARY)
+    s = C.llr_scores(C.action_pairs(T.inter(spark, sf), ACTIONS, materialize=True), PRIMARY)
     return s.select("action", "item", "other", "k11", "n_a", "n_b", F.round("llr", 6).alias("llr"))
 
 
@@ -157,10 +170,10 @@ def q_llr_correlators(spark, sf):
 @register("correlator_topk", ctes(("inter",), SCORES) + """
 SELECT action, item, other, CAST(rank AS INTEGER) AS rank FROM (SELECT action, item, other,
   row_number() OVER (PARTITION BY action, item ORDER BY round(llr, 9) DESC, other) AS rank FROM sc WHERE llr > 0)
-WHERE rank <= 5""")
+WHERE rank <= 50""")
 def q_correlator_topk(spark, sf):
-    s = C.llr_scores(C.capped_pairs(T.inter(spark, sf), ACTIONS, 500), PRIMARY).where("llr > 0")
-    return C.correlator_topk(s, 5).select("action", "item", "other", "rank")
+    s = C.llr_scores(C.action_pairs(T.inter(spark, sf), ACTIONS, materialize=True), PRIMARY).where("llr > 0")
+    return C.correlator_topk(s, 50).select("action", "item", "other", "rank")
 
 
 @register("correlator_lists", ctes(("inter",), CORR) + """
@@ -276,9 +289,9 @@ def q_similar_items_query(spark, sf):
 
 @register("history_cap", ctes(("inter",)) + """
 SELECT DISTINCT user, action, item FROM (SELECT *, row_number() OVER (PARTITION BY user, action
-  ORDER BY ts DESC, event_id DESC) AS r FROM inter) WHERE r <= 20""")
+  ORDER BY ts DESC, event_id DESC) AS r FROM inter) WHERE r <= 100""")
 def q_history_cap(spark, sf):
-    return I.history_cap(T.inter(spark, sf), per_action=20)
+    return I.history_cap(T.inter(spark, sf), per_action=100)
 
 
 @register("exclusion_union", ctes(("inter",)) + f"""

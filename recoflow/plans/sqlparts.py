@@ -3,31 +3,41 @@
 from __future__ import annotations
 
 from recoflow.plans.registry import sql_llr
-from recoflow.sources.tables import LONG_DURATION, POP_END, PRIMARY, SECONDARY, with_views
+from recoflow.sources.tables import LONG_DURATION, POP_END, PRIMARY, SECONDARY, SEED, with_views
 
 ACTIONS_SQL = ", ".join(f"'{a}'" for a in (PRIMARY, *SECONDARY))
 
-# capped distinct pairs of the primary and secondary actions
-CAPPED = f"""
-pairs AS (SELECT user, action, item, max(ts) AS ts, max(event_id) AS event_id FROM inter
-          WHERE action IN ({ACTIONS_SQL}) GROUP BY user, action, item),
-ci AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY action, item ORDER BY ts DESC, user) AS r
-       FROM pairs) WHERE r <= 500),
-capped AS (SELECT user, action, item FROM (SELECT *, row_number() OVER (PARTITION BY action, user
-           ORDER BY ts DESC, item) AS r FROM ci) WHERE r <= 500)"""
-
-SCORES = CAPPED + f""",
-nu AS (SELECT count(DISTINCT user) AS n FROM capped),
-cooc AS (SELECT b.action, a.item, b.item AS other, count(*) AS k11 FROM capped a JOIN capped b ON a.user = b.user
+# distinct pairs of the primary and secondary actions
+PAIRS = f"""
+pairs AS (SELECT DISTINCT user, action, item FROM inter WHERE action IN ({ACTIONS_SQL}))"""
+
+
+def capped_sql(n: int) -> str:
+    """The pairs after both caps, by a seeded draw."""
+    key = f"md5('{SEED}|' || user || '|' || item)"
+    return PAIRS + f""",
+ci AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY action, item ORDER BY {key}, user) AS r
+       FROM pairs) WHERE r <= {n}),
+capped AS (SELECT user, action, item FROM (SELECT user, action, item, row_number() OVER (PARTITION BY action, user
+           ORDER BY {key}, item) AS r FROM ci) WHERE r <= {n})"""
+
+
+def scores_sql(base: str = PAIRS, pairs: str = "pairs") -> str:
+    """LLR of every co-occurring pair; U is counted before any cap."""
+    return base + f""",
+nu AS (SELECT count(DISTINCT user) AS n FROM pairs),
+cooc AS (SELECT b.action, a.item, b.item AS other, count(*) AS k11 FROM {pairs} a JOIN {pairs} b ON a.user = b.user
          WHERE a.action = '{PRIMARY}' AND (b.action <> '{PRIMARY}' OR a.item <> b.item) GROUP BY 1, 2, 3),
-ma AS (SELECT item, count(*) AS n_a FROM capped WHERE action = '{PRIMARY}' GROUP BY item),
-mb AS (SELECT action, item AS other, count(*) AS n_b FROM capped GROUP BY action, item),
+ma AS (SELECT item, count(*) AS n_a FROM {pairs} WHERE action = '{PRIMARY}' GROUP BY item),
+mb AS (SELECT action, item AS other, count(*) AS n_b FROM {pairs} GROUP BY action, item),
 kk AS (SELECT c.action, c.item, c.other, c.k11, ma.n_a, mb.n_b, CAST(c.k11 AS DOUBLE) AS k11d,
        CAST(ma.n_a - c.k11 AS DOUBLE) AS k12d, CAST(mb.n_b - c.k11 AS DOUBLE) AS k21d,
        CAST(nu.n - ma.n_a - mb.n_b + c.k11 AS DOUBLE) AS k22d
        FROM cooc c JOIN ma ON c.item = ma.item JOIN mb ON c.action = mb.action AND c.other = mb.other CROSS JOIN nu),
 sc AS (SELECT action, item, other, k11, n_a, n_b, {sql_llr('k11d', 'k12d', 'k21d', 'k22d')} AS llr FROM kk)"""
 
+
+SCORES = scores_sql()
 CORR = SCORES + """,
 corr AS (SELECT * FROM (SELECT action, item, other, llr, CAST(row_number() OVER (PARTITION BY action, item
          ORDER BY round(llr, 9) DESC, other) AS INTEGER) AS rank FROM sc WHERE llr > 0) WHERE rank <= 50)"""
