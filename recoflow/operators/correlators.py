@@ -10,11 +10,10 @@ with both:
 U counts the users of all the actions given, before any cap.  Caps are an
 explicit option (``max_events``, a seeded draw); without them all pairs count.
 
-The plan: distinct pairs -> optional caps -> self join on (user, block) ->
-partial/final count per pair -> marginals joined on item -> llr -> top-k per
-(action, item) through a window group limit.  A user with over ``USER_BLOCK``
-pairs is cut into blocks: the primary side is dealt to them by item, the other
-side is copied to each, so one hot user's pairs are spread over many tasks.
+The plan: distinct pairs -> optional caps -> self join on user, with hot users
+cut into blocks by item (``joins.blocked_join``) -> partial/final count per
+pair -> marginals joined on item -> llr -> top-k per (action, item) through a
+window group limit.
 """
 
 from __future__ import annotations
@@ -25,9 +24,7 @@ from pyspark.sql import functions as F
 from recoflow.functions.scalar import with_llr
 from recoflow.session import cut_lineage
 from recoflow.operators.interactions import action_split, interaction_cap
-
-
-USER_BLOCK = 1000      # pairs of one user in a block of the self join
+from recoflow.operators.joins import blocked_join
 
 
 def action_pairs(inter: DataFrame, actions, materialize: bool = False) -> DataFrame:
@@ -39,16 +36,12 @@ def action_pairs(inter: DataFrame, actions, materialize: bool = False) -> DataFr
     return cut_lineage(pairs) if materialize else pairs
 
 
-def cooccurrence_join(pairs: DataFrame, primary: str, block: int = USER_BLOCK) -> DataFrame:
+def cooccurrence_join(pairs: DataFrame, primary: str) -> DataFrame:
     """Self join of the pairs on user: (action, item, other, k11).  The primary
     action against itself drops the diagonal."""
-    n = pairs.groupBy("user").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_n"))
-    p = pairs.join(n, "user")
-    a = p.where(F.col("action") == primary).select(
-        "user", "item", F.pmod(F.xxhash64("item"), F.col("_n")).cast("int").alias("_b"))
-    b = p.select("user", "action", F.col("item").alias("other"),
-                 F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"))
-    j = a.join(b, ["user", "_b"]).where((F.col("action") != primary) | (F.col("item") != F.col("other")))
+    a = pairs.where(F.col("action") == primary).select("user", "item")
+    b = pairs.select("user", "action", F.col("item").alias("other"))
+    j = blocked_join(a, b, ["user"], "item").where((F.col("action") != primary) | (F.col("item") != F.col("other")))
     return j.groupBy("action", "item", "other").agg(F.count(F.lit(1)).alias("k11"))
 
 

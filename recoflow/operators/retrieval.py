@@ -1,7 +1,8 @@
 """Batch retrieval over correlators: the search-engine query as joins.
 
 A QUERY is a row (query_id, user, item, num, ...); serving many queries is a
-batch join, and one query is a one-row table.
+batch join, and one query is a one-row table.  Documents are the items with
+fields, correlators or popularity.
 
 Score (fixed definition, the original relevance score cannot be reproduced):
 for a query q and a candidate item X,
@@ -11,66 +12,97 @@ for a query q and a candidate item X,
                 + sum over boosted fields of bias * |values & X.fields[name]|
 
 Terms come from the user's recent history (newest ``max_query_events`` events
-per action, distinct items) and from the correlators of the query item.
-Candidates that match no term still qualify with score 0 (the backfill), and
-results are ordered by score desc, popularity desc (nulls last), item asc.
-Excluded: items the user did the primary action on, the query blacklist and
-the query item itself unless ``return_self``.
-
-Backfill without a cross join: only the first ``num + |excluded(q)|`` items of
-the popularity order can be needed by q, so each query explodes that many
-rank numbers and equi-joins the ranked document table (AQE broadcasts it when
-its runtime size is small and splits hot rank keys otherwise).
+per action, distinct items) and from the correlators of the query item; a
+negative user or item bias makes its terms a must condition instead (a
+candidate must match one of them).  Candidates that match nothing still
+qualify with score 0 (the backfill).  Results are ordered by score desc,
+popularity desc (nulls last), item asc.  Excluded: items the user did a
+blacklist event on, the query blacklist and the query item unless
+``return_self``.
+
+No query x document product is formed.  Unmatched candidates of a query
+depend only on its SIGNATURE (field filters and boosts, date range, current
+date), and only the first ``num + |excluded(q)|`` documents of the
+signature's order can be needed: any later one has ``num`` unexcluded
+documents before it.  So documents are ranked once per distinct signature,
+and queries join their signature's list by position.  Hot terms, hot
+signatures and hot positions are dealt to blocks (``joins.blocked_join``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recoflow.operators.interactions import history_cap
+from recoflow.operators.joins import blocked_join
 from recoflow.operators.ranking import global_row_number, topn_per_group
 from recoflow.session import cut_lineage
 
+FIELDS_TYPE = "array<struct<name:string,values:array<string>,bias:double>>"
+SALTS = 16
+SIGNATURE = ("fields", "date_field", "after", "before", "current_date")
+
+
+def _option(df: DataFrame, name: str, default, kind: str) -> Column:
+    """A per-query column when the query table has it, else the default."""
+    d = F.lit(default).cast(kind)
+    return F.coalesce(F.col(name).cast(kind), d) if name in df.columns else d
+
+
+def _terms(df: DataFrame, bias: Column) -> DataFrame:
+    return df.select("query_id", "action", "term", F.when(bias > 0, bias).otherwise(F.lit(1.0)).alias("boost"),
+                     (bias < 0).alias("must"))
+
+
+def _of_event_names(df: DataFrame) -> DataFrame:
+    """Keep terms of the query's own event names, when it lists any."""
+    if "event_names" not in df.columns:
+        return df
+    return df.where(F.col("event_names").isNull() | F.array_contains("event_names", F.col("action")))
+
 
 def user_history_query(queries: DataFrame, inter: DataFrame, actions, max_events: int = 100,
                        user_bias: float = 1.0) -> DataFrame:
-    """Query terms from each query user's recent items: (query_id, action, term, boost).
-    A negative user bias makes them a must condition in ``recommend`` (boost 1 here)."""
-    hist = history_cap(inter, per_action=max_events, actions=actions)
-    boost = float(user_bias) if user_bias > 0 else 1.0
-    q = queries.where(F.col("user").isNotNull()).select("query_id", "user")
-    return q.join(hist, "user").select("query_id", "action", F.col("item").alias("term"),
-                                       F.lit(boost).alias("boost"))
+    """Query terms from each query user's recent items: (query_id, action,
+    term, boost, must).  Per-query columns ``user_bias`` and ``event_names``
+    go before the arguments."""
+    hist = history_cap(inter, per_action=max_events, actions=actions).withColumnRenamed("item", "term")
+    names = [c for c in ("event_names",) if c in queries.columns]
+    q = queries.where(F.col("user").isNotNull()).select(
+        "query_id", "user", *names, _option(queries, "user_bias", user_bias, "double").alias("_bias"))
+    return _terms(_of_event_names(blocked_join(q, hist, ["user"], "query_id")), F.col("_bias"))
 
 
 def similar_items_query(queries: DataFrame, correlators: DataFrame, max_events: int = 100,
                         item_bias: float = 1.0) -> DataFrame:
     """Query terms from the query item's own correlators (at most ``max_events``
-    per action, in rank order)."""
-    boost = float(item_bias) if item_bias > 0 else 1.0
-    q = queries.where(F.col("item").isNotNull()).select("query_id", F.col("item").alias("qitem"))
+    per action, in rank order); per-query column ``item_bias``."""
+    names = [c for c in ("event_names",) if c in queries.columns]
+    q = queries.where(F.col("item").isNotNull()).select(
+        "query_id", F.col("item").alias("qitem"), *names, _option(queries, "item_bias", item_bias, "double").alias("_bias"))
     c = correlators.where(F.col("rank") <= max_events).select(
         F.col("item").alias("qitem"), "action", F.col("other").alias("term"))
-    return q.join(c, "qitem").select("query_id", "action", "term", F.lit(boost).alias("boost"))
+    return _terms(_of_event_names(blocked_join(q, c, ["qitem"], "query_id")), F.col("_bias"))
 
 
 def match_terms(terms: DataFrame, correlators: DataFrame) -> DataFrame:
     """(query_id, item, score): terms joined to the inverted correlator table
     on (action, other); partial sums before the shuffle on (query_id, item)."""
     inv = correlators.select("action", F.col("other").alias("term"), "item")
-    return (terms.join(inv, ["action", "term"])
+    return (blocked_join(terms.select("query_id", "action", "term", "boost"), inv, ["action", "term"], "query_id")
             .groupBy("query_id", "item").agg(F.sum("boost").alias("score")))
 
 
-def exclusions(queries: DataFrame, inter: DataFrame, primary: str | None) -> DataFrame:
-    """(query_id, item) never to return: items of the user's primary action,
-    the query blacklist, and the query item unless return_self."""
+def exclusions(queries: DataFrame, inter: DataFrame, events) -> DataFrame:
+    """(query_id, item) never to return: items the user did one of the
+    blacklist ``events`` on (none: no such filter), the query blacklist, and
+    the query item unless return_self."""
     parts = []
-    if primary is not None:
-        seen = inter.where(F.col("action") == primary).select("user", "item").distinct()
-        parts.append(queries.where(F.col("user").isNotNull()).select("query_id", "user")
-                     .join(seen, "user").select("query_id", "item"))
+    if events:
+        seen = inter.where(F.col("action").isin(list(events))).select("user", "item").distinct()
+        parts.append(blocked_join(queries.where(F.col("user").isNotNull()).select("query_id", "user"), seen, ["user"],
+                                  "query_id").select("query_id", "item"))
     cols = set(queries.columns)
     if "blacklist" in cols:
         parts.append(queries.select("query_id", F.explode("blacklist").alias("item")))
@@ -86,187 +118,191 @@ def exclusions(queries: DataFrame, inter: DataFrame, primary: str | None) -> Dat
     return u.distinct()
 
 
-def ranked_docs(docs: DataFrame) -> DataFrame:
-    """(item, pop_rank, pos): documents in popularity order, global position
-    computed with the two-level plan (no single-partition window)."""
-    order = [F.col("pop_rank").desc_nulls_last(), F.col("item").asc()]
-    return global_row_number(docs.select("item", "pop_rank"), order, name="pos")
+def document_table(correlators: DataFrame, pop: DataFrame | None, props: DataFrame | None) -> DataFrame:
+    """(item, pop_rank, fields, dates): every item with fields, correlators or
+    popularity.  props: (item[, fields map<string,array<string>>][, dates
+    map<string,timestamp>])."""
+    none_f = F.lit(None).cast("map<string,array<string>>").alias("fields")
+    none_d = F.lit(None).cast("map<string,timestamp>").alias("dates")
+    none_p = F.lit(None).cast("double").alias("pop_rank")
+    u = correlators.select("item", none_p, none_f, none_d)
+    if pop is not None:
+        u = u.unionByName(pop.select("item", F.col("score").cast("double").alias("pop_rank"), none_f, none_d))
+    if props is not None:
+        cols = set(props.columns)
+        u = u.unionByName(props.select("item", none_p, F.col("fields") if "fields" in cols else none_f,
+                                       F.col("dates") if "dates" in cols else none_d))
+    return u.groupBy("item").agg(F.max("pop_rank").alias("pop_rank"), F.first("fields", ignorenulls=True).alias("fields"),
+                                 F.first("dates", ignorenulls=True).alias("dates"))
+
+
+def _shares(fields: Column, x: Column) -> Column:
+    """Number of a query field's values that the document's field has."""
+    has = F.coalesce(fields[x["name"]], F.array().cast("array<string>"))
+    return F.size(F.array_intersect(has, x["values"]))
+
+
+def must_filter(available_name: str = "available_date", expire_name: str = "expire_date") -> Column:
+    """Filters of a signature on a joined (signature, document) row: every query
+    field with bias < 0 must share a value with the document field, a field
+    with bias 0 must share none (bias > 0 only boosts); the document date must
+    be strictly inside (after, before) when given; with a current date,
+    available <= now < expire.  Missing values fail."""
+    ok = F.forall(F.filter("q_fields", lambda x: x["bias"] < 0), lambda x: _shares(F.col("fields"), x) > 0)
+    none = F.forall(F.filter("q_fields", lambda x: x["bias"] == 0), lambda x: _shares(F.col("fields"), x) == 0)
+    date = F.col("dates")[F.col("q_date_field")]
+    range_ok = ((F.col("q_after").isNull() | F.coalesce(date > F.col("q_after"), F.lit(False)))
+                & (F.col("q_before").isNull() | F.coalesce(date < F.col("q_before"), F.lit(False))))
+    now = F.col("q_current_date")
+    avail_ok = now.isNull() | F.coalesce((F.col("dates")[available_name] <= now)
+                                         & (F.col("dates")[expire_name] > now), F.lit(False))
+    return F.coalesce(ok, F.lit(True)) & F.coalesce(none, F.lit(True)) & range_ok & avail_ok
+
+
+def field_score() -> Column:
+    """Sum of bias * shared values over the signature's boosted fields."""
+    parts = F.transform(F.filter("q_fields", lambda x: x["bias"] > 0), lambda x: x["bias"] * _shares(F.col("fields"), x))
+    return F.coalesce(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
+
+
+def _signed(q: DataFrame) -> DataFrame:
+    """Adds q_<option> columns and ``sig``, a key of all of them."""
+    kinds = dict(zip(SIGNATURE, (FIELDS_TYPE, "string", "timestamp", "timestamp", "timestamp")))
+    for name, kind in kinds.items():
+        q = q.withColumn(f"q_{name}", (F.col(name) if name in q.columns else F.lit(None)).cast(kind))
+    return q.withColumn("sig", F.sha2(F.to_json(F.struct(*[f"q_{c}" for c in SIGNATURE])), 256))
+
+
+def _signature_lists(sigs: DataFrame, docs: DataFrame, pred: Column) -> DataFrame:
+    """(sig, place, item, field_score): the first ``need`` documents of each
+    signature by (field score desc, popularity desc nulls last, item).
+
+    A signature with a must field meets only the documents that carry one of
+    that field's values; others meet all documents, dealt to blocks by item."""
+    musts = F.filter("q_fields", lambda x: x["bias"] < 0)
+    everything = F.array(F.struct(F.lit("").alias("name"), F.lit("").alias("value")))
+    keys = F.when(F.coalesce(F.size(musts), F.lit(-1)) > 0, F.transform(
+        F.get(musts, F.lit(0))["values"], lambda v: F.struct(F.get(musts, F.lit(0))["name"].alias("name"), v.alias("value"))))
+    s = sigs.select("*", F.explode(F.coalesce(keys, everything)).alias("k")).select("*", "k.name", "k.value").drop("k")
+    pairs = F.flatten(F.transform(F.map_entries(F.coalesce("fields", F.create_map().cast("map<string,array<string>>"))),
+                                  lambda e: F.transform(e["value"], lambda v: F.struct(e["key"].alias("name"), v.alias("value")))))
+    d = docs.select("*", F.explode(F.concat(everything, pairs)).alias("k")).select("*", "k.name", "k.value").drop("k")
+    j = blocked_join(d, s, ["name", "value"], "item").where(pred)
+    j = j.select("sig", "need", "item", "pop_rank", field_score().alias("field_score")).distinct()
+    order = [F.col("field_score").desc(), F.col("pop_rank").desc_nulls_last(), F.col("item").asc()]
+    j = j.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
+    j = topn_per_group(j, ["sig", "salt"], order, F.col("need"), "place")      # best of each share, then of all
+    j = topn_per_group(j.drop("place"), ["sig"], order, F.col("need"), "place")
+    return j.select("sig", F.col("place").cast("bigint").alias("place"), "item", "field_score")
 
 
 def recommend(queries: DataFrame, correlators: DataFrame, pop: DataFrame | None, inter: DataFrame,
               *, primary: str = "purchase", actions=None, max_query_events: int = 100,
               user_bias: float = 1.0, item_bias: float = 1.0, backfill: bool = True,
-              default_num: int = 20, field_scores: DataFrame | None = None,
-              must_items: DataFrame | None = None, doc_props: DataFrame | None = None,
+              default_num: int = 20, blacklist_events=None, doc_props: DataFrame | None = None,
               available_name: str = "available_date", expire_name: str = "expire_date") -> DataFrame:
     """RECS (query_id, rank, item, score) for every query row.
 
-    queries: query_id, user (nullable), optional item, num, blacklist, return_self.
-    correlators: CORRELATOR rows.  pop: (item, score) or None.
-    field_scores: optional (query_id, item, score) from ``boosted_fields``.
-    must_items: optional (item) rows that pass all must filters (fields,
-    dates, availability); when given, candidates are restricted to them.
-    doc_props: optional (item, fields map<string,array<string>>, dates
-    map<string,timestamp>) to apply per-query must filters from the query
-    columns ``fields`` (bias < 0 must match), ``date_field``/``after``/
-    ``before`` and ``current_date`` (available <= now < expire); see
-    ``_recommend_filtered``.
+    queries: query_id, user (nullable) and, each optional, item, num,
+    blacklist, return_self, user_bias, item_bias, event_names, fields
+    (array<struct<name, values, bias>>), date_field, after, before,
+    current_date.  correlators: CORRELATOR rows.  pop: (item, score) or None.
+    blacklist_events: actions whose items are not returned to their user
+    (default: the primary action; an empty list: no such filter).
+    doc_props: items with fields and dates; they are documents too.
     """
     actions = list(actions) if actions is not None else [primary]
+    events = [primary] if blacklist_events is None else list(blacklist_events)
     # a literal limit (no per-query num) lets Spark plan a partial window group
     # limit before the shuffle of the final top-n
     uniform = "num" not in queries.columns
     q = queries if not uniform else queries.withColumn("num", F.lit(default_num))
-    q = q.withColumn("num", F.coalesce(F.col("num"), F.lit(default_num)))
-    # terms with a negative bias do not boost: a candidate must match one of them
+    q = cut_lineage(_signed(q.withColumn("num", F.coalesce(F.col("num"), F.lit(default_num)))))
+    docs = cut_lineage(document_table(correlators, pop, doc_props))
     u_terms = user_history_query(q, inter, actions, max_query_events, user_bias)
-    i_terms = similar_items_query(q, correlators, max_query_events, item_bias) if "item" in q.columns else None
-    boost_terms = [t for t, b in ((u_terms, user_bias), (i_terms, item_bias)) if t is not None and b >= 0]
-    must_sets = [match_terms(t, correlators).select("query_id", "item")
-                 for t, b in ((u_terms, user_bias), (i_terms, item_bias)) if t is not None and b < 0]
-    terms = boost_terms[0] if boost_terms else u_terms.limit(0)
-    for t in boost_terms[1:]:
-        terms = terms.unionByName(t)
-    scores = match_terms(terms, correlators)
-    if field_scores is not None:
-        scores = scores.unionByName(field_scores).groupBy("query_id", "item").agg(F.sum("score").alias("score"))
-
-    doc_items = correlators.select("item").distinct()
-    pop_s = pop.select("item", F.col("score").cast("double").alias("pop_rank")) if pop is not None else None
-    if pop_s is not None:
-        docs = doc_items.join(pop_s, "item", "full")
-    else:
-        docs = doc_items.withColumn("pop_rank", F.lit(None).cast("double"))
-    if must_items is not None:
-        docs = docs.join(must_items.select("item").distinct(), "item", "left_semi")
-        scores = scores.join(must_items.select("item").distinct(), "item", "left_semi")
-
-    excl = exclusions(q, inter, primary)
-    if must_sets:
-        # the candidate set is exactly the items matching every must-term set
-        allowed = must_sets[0]
-        for m in must_sets[1:]:
-            allowed = allowed.join(m, ["query_id", "item"], "left_semi")
-        cand = allowed.join(scores, ["query_id", "item"], "left").select(
-            "query_id", "item", F.coalesce("score", F.lit(0.0)).alias("score"))
-        cand = cand.join(excl, ["query_id", "item"], "left_anti")
-        cand = cand.join(docs.select("item", "pop_rank"), "item", "left")
-        order = [F.col("score").desc(), F.col("pop_rank").desc_nulls_last(), F.col("item").asc()]
-        cand = cand.join(q.select("query_id", "num"), "query_id")
-        top = topn_per_group(cand, ["query_id"], order, default_num if uniform else F.col("num"))
-        return top.select("query_id", F.col("rank").cast("int").alias("rank"), "item", "score")
-    if doc_props is not None:
-        return _recommend_filtered(q, scores, docs, doc_props, excl, backfill, default_num, uniform,
-                                   available_name, expire_name)
-    cand = scores
+    terms = [u_terms]
+    if "item" in q.columns:
+        terms.append(similar_items_query(q, correlators, max_query_events, item_bias))
+    terms = [cut_lineage(t) for t in terms]
+    boosts = terms[0].where(~F.col("must"))
+    for t in terms[1:]:
+        boosts = boosts.unionByName(t.where(~F.col("must")))
+    scores = match_terms(boosts, correlators)
+
+    excl = exclusions(q, inter, events)
+    n_ex = excl.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ex"))
+    pred = must_filter(available_name, expire_name)
+    side = q.select("query_id", "num", "sig", *[f"q_{c}" for c in SIGNATURE],
+                    (_option(q, "user_bias", user_bias, "double") < 0).alias("must_u"),
+                    (_option(q, "item_bias", item_bias, "double") < 0).alias("must_i"))
+
+    # matched candidates, with the filters and field scores of their query
+    cand = _with_docs(scores, side, docs, pred, excl)
+    open_side = side
+    if min(user_bias, item_bias) < 0 or {"user_bias", "item_bias"} & set(q.columns):
+        # a query with must terms takes only items that match one of each kind it has
+        has = q.select("query_id", F.col("user").isNotNull().alias("hu"),
+                       (F.col("item").isNotNull() if "item" in q.columns else F.lit(False)).alias("hi"))
+        want = (F.col("must_u") & F.col("hu")).cast("int") + (F.col("must_i") & F.col("hi")).cast("int")
+        musts = side.join(has, "query_id").select("query_id", want.alias("want")).where("want > 0")
+        hits = [match_terms(t.where("must"), correlators).select("query_id", "item") for t in terms]
+        hits = hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])
+        allowed = hits.groupBy("query_id", "item").agg(F.count(F.lit(1)).alias("kinds"))
+        allowed = allowed.join(musts, "query_id").where("kinds = want").select("query_id", "item")
+        only = _with_docs(allowed.withColumn("score", F.lit(0.0)), side, docs, pred, excl)
+        cand = (cand.join(musts, "query_id", "left_anti")
+                .unionByName(cand.join(allowed, ["query_id", "item"], "left_semi")).unionByName(only)
+                .groupBy("query_id", "item").agg(F.max("score").alias("score")))
+        open_side = side.join(musts, "query_id", "left_anti")
     if backfill:
-        rd = ranked_docs(docs)
-        n_ex = excl.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ex"))
-        need = (q.select("query_id", "num").join(n_ex, "query_id", "left")
-                .select("query_id", F.explode(F.sequence(F.lit(1).cast("bigint"),
-                        (F.col("num") + F.coalesce(F.col("n_ex"), F.lit(0))).cast("bigint"))).alias("pos")))
-        fill = need.join(rd.select("pos", "item"), "pos").select("query_id", "item", F.lit(0.0).alias("score"))
+        cand = cut_lineage(cand)
+        have = cand.groupBy("query_id").agg(F.count_if(F.col("score") >= 0).alias("have"))
+        # a query that already holds num candidates still needs its list when fields add to scores
+        boosted = F.exists(F.coalesce("q_fields", F.array().cast(FIELDS_TYPE)), lambda x: x["bias"] > 0)
+        short = (open_side.join(have, "query_id", "left").where((F.coalesce("have", F.lit(0)) < F.col("num")) | boosted)
+                 .join(n_ex, "query_id", "left").withColumn("need", F.col("num") + F.coalesce("n_ex", F.lit(0))))
+        short = cut_lineage(short)
+        plain = F.lit(True)
+        for c in SIGNATURE:
+            plain = plain & F.col(f"q_{c}").isNull()
+        # the bare signature: one global popularity order
+        order = [F.col("pop_rank").desc_nulls_last(), F.col("item").asc()]
+        ranked = global_row_number(docs.select("item", "pop_rank"), order, name="place")
+        steps = lambda s: s.select("query_id", "sig", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("need").cast("bigint"))).alias("place"))
+        fill = blocked_join(steps(short.where(plain)), ranked.select("place", "item"), ["place"], "query_id").select(
+            "query_id", "item", F.lit(0.0).alias("score"))
+        if any(c in queries.columns for c in SIGNATURE):
+            sigs = short.where(~plain).groupBy("sig", *[f"q_{c}" for c in SIGNATURE]).agg(F.max("need").alias("need"))
+            lists = cut_lineage(_signature_lists(sigs, docs, pred))
+            more = blocked_join(steps(short.where(~plain)), lists, ["sig", "place"], "query_id")
+            fill = fill.unionByName(more.select("query_id", "item", F.col("field_score").alias("score")))
+        fill = fill.join(excl, ["query_id", "item"], "left_anti")
         cand = cand.unionByName(fill).groupBy("query_id", "item").agg(F.max("score").alias("score"))
-    cand = cand.join(excl, ["query_id", "item"], "left_anti")
-    cand = cand.join(docs.select("item", "pop_rank"), "item", "left")
-    cand = cand.join(q.select("query_id", "num"), "query_id")
+    cand = cand.join(docs.select("item", "pop_rank"), "item").join(q.select("query_id", "num"), "query_id")
     order = [F.col("score").desc(), F.col("pop_rank").desc_nulls_last(), F.col("item").asc()]
     top = topn_per_group(cand, ["query_id"], order, default_num if uniform else F.col("num"))
     return top.select("query_id", F.col("rank").cast("int").alias("rank"), "item", "score")
 
 
-def must_filter(available_name: str = "available_date", expire_name: str = "expire_date") -> F.Column:
-    """Per-query must filters on a joined (query, document) row: every query
-    field with bias < 0 must share a value with the document field, a field
-    with bias 0 must share none (bias > 0 only boosts, see ``boosted_fields``); the
-    document date must be strictly inside (after, before) when given; with a
-    current date, available <= now < expire.  Missing values fail."""
-    def overlap(x):
-        return F.coalesce(F.arrays_overlap(
-            F.coalesce(F.col("d_fields")[x["name"]], F.array().cast("array<string>")), x["values"]), F.lit(False))
-    musts = F.filter(F.col("q_fields"), lambda x: x["bias"] < 0)
-    nots = F.filter(F.col("q_fields"), lambda x: x["bias"] == 0)
-    fields_ok = F.forall(musts, overlap) & F.forall(nots, lambda x: ~overlap(x))
-    date = F.col("d_dates")[F.col("q_date_field")]
-    range_ok = ((F.col("q_after").isNull() | F.coalesce(date > F.col("q_after"), F.lit(False)))
-                & (F.col("q_before").isNull() | F.coalesce(date < F.col("q_before"), F.lit(False))))
-    now = F.col("q_current_date")
-    avail_ok = now.isNull() | F.coalesce((F.col("d_dates")[available_name] <= now)
-                                         & (F.col("d_dates")[expire_name] > now), F.lit(False))
-    return F.coalesce(fields_ok, F.lit(True)) & range_ok & avail_ok
-
-
-def _query_side(q: DataFrame) -> DataFrame:
-    cols = set(q.columns)
-
-    def col(name, typ):
-        return (F.col(name) if name in cols else F.lit(None)).cast(typ).alias(f"q_{name}")
-    return q.select("query_id", "num", col("fields", "array<struct<name:string,values:array<string>,bias:double>>"),
-                    col("date_field", "string"), col("after", "timestamp"), col("before", "timestamp"),
-                    col("current_date", "timestamp"))
-
-
-def _recommend_filtered(q, scores, docs, doc_props, excl, backfill, default_num, uniform,
-                        available_name, expire_name):
-    """Retrieval with per-query must filters, exact for the backfill too.
-
-    Matched candidates are filtered on the joined (query, document) rows.
-    Backfill walks the global popularity order: each short query looks at the
-    next positions of a growing window, 2 (num + |excluded|) * 4^r, keeps
-    the documents that pass its filters and are not excluded, and stops once
-    it holds ``num`` of them or the window covers the catalog.  The first
-    ``num`` passing documents always contain the unmatched ones the final
-    top-n can use.  No query x document cross product is formed; the loop runs
-    at most log4(catalog) rounds and writes its progress each round."""
-    qs = _query_side(q)
-    dp = doc_props.select("item", F.col("fields").alias("d_fields"), F.col("dates").alias("d_dates"))
-    pred = must_filter(available_name, expire_name)
-    cand = (scores.join(qs, "query_id").join(dp, "item", "left").where(pred)
-            .select("query_id", "item", "score"))
-    if backfill:
-        rd = ranked_docs(docs).select("pos", "item")
-        n_docs = docs.count()
-        n_ex = excl.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_ex"))
-        pending = qs.join(n_ex, "query_id", "left").select(
-            "*", F.lit(0).cast("bigint").alias("lo"),
-            F.least(F.lit(n_docs), 2 * (F.col("num") + F.coalesce("n_ex", F.lit(0)))).cast("bigint").alias("hi"))
-        got = None
-        while True:
-            # (sequence counts down when start > stop, so empty windows are dropped first)
-            steps = pending.where(F.col("hi") > F.col("lo")).select(
-                "*", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("pos"))
-            found = (steps.join(rd, "pos").join(dp, "item", "left").where(pred)
-                     .join(excl, ["query_id", "item"], "left_anti").select("query_id", "item"))
-            got = cut_lineage(found if got is None else got.unionByName(found))
-            have = got.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
-            short = (pending.join(have, "query_id", "left")
-                     .where((F.coalesce("have", F.lit(0)) < F.col("num")) & (F.col("hi") < n_docs))
-                     .drop("have"))
-            short = cut_lineage(short.select(*[c for c in pending.columns if c not in ("lo", "hi")],
-                                             F.col("hi").alias("lo"),
-                                             F.least(F.lit(n_docs), F.col("hi") * 4).alias("hi")))
-            if short.isEmpty():
-                break
-            pending = short
-        fill = got.select("query_id", "item", F.lit(0.0).alias("score"))
-        cand = cand.unionByName(fill).groupBy("query_id", "item").agg(F.max("score").alias("score"))
-    cand = cand.join(excl, ["query_id", "item"], "left_anti")
-    cand = cand.join(docs.select("item", "pop_rank"), "item", "left")
-    cand = cand.join(q.select("query_id", "num"), "query_id")
-    order = [F.col("score").desc(), F.col("pop_rank").desc_nulls_last(), F.col("item").asc()]
-    top = topn_per_group(cand, ["query_id"], order, default_num if uniform else F.col("num"))
-    return top.select("query_id", F.col("rank").cast("int").alias("rank"), "item", "score")
+def _with_docs(scored: DataFrame, side: DataFrame, docs: DataFrame, pred: Column, excl: DataFrame) -> DataFrame:
+    """(query_id, item, score): the scored pairs that pass their query's
+    filters and are not excluded, field scores added."""
+    j = scored.join(excl, ["query_id", "item"], "left_anti").join(side, "query_id").join(docs, "item").where(pred)
+    return j.select("query_id", "item", (F.col("score") + field_score()).alias("score"))
 
 
-def boosted_fields(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def boosted_fields(queries: DataFrame, docs: DataFrame, n: int | None = None) -> DataFrame:
     """(query_id, item, score) = bias * |values & doc.fields[name]| for every
-    query field with bias > 0.  Bias 0 excludes nothing here (it excludes in
-    ``field_filter``); bias < 0 is a must filter, not a boost.
-    queries: query_id, fields array<struct<name, values, bias>>."""
-    f = queries.select("query_id", F.explode("fields").alias("f")).where(F.col("f.bias") > 0)
-    f = f.select("query_id", F.col("f.name").alias("name"), F.explode("f.values").alias("value"),
-                 F.col("f.bias").alias("bias"))
+    query field with bias > 0, summed over fields; with ``n`` the best n of
+    each query (score desc, item asc).  queries: query_id, fields
+    array<struct<name, values, bias>>; queries of equal fields are scored once."""
+    f = queries.select("query_id", "fields", F.sha2(F.to_json(F.struct("fields")), 256).alias("sig"))
+    one = f.groupBy("sig").agg(F.first("fields").alias("fields"))
+    e = one.select("sig", F.explode("fields").alias("f")).where(F.col("f.bias") > 0)
+    e = e.select("sig", F.col("f.name").alias("name"), F.explode("f.values").alias("value"), F.col("f.bias").alias("bias"))
     d = docs.select("item", F.explode("fields").alias("name", "values")).select(
         "item", "name", F.explode("values").alias("value"))
-    return (f.join(d, ["name", "value"]).groupBy("query_id", "item")
-            .agg(F.sum("bias").alias("score")))
+    s = blocked_join(d, e, ["name", "value"], "item").groupBy("sig", "item").agg(F.sum("bias").alias("score"))
+    if n is not None:
+        s = topn_per_group(s, ["sig"], [F.col("score").desc(), F.col("item").asc()], n).drop("rank")
+    return blocked_join(f.select("query_id", "sig"), s, ["sig"], "query_id").select("query_id", "item", "score")

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.functions.scalar import md5_rank_key
-from recoflow.operators.ranking import global_row_number, topn_per_group
+from recoflow.operators.joins import blocked_join
+from recoflow.operators.ranking import global_row_number, global_running_sum
+from recoflow.session import cut_lineage
 
 PRIME = 7919
 
@@ -36,8 +38,18 @@ def stratified_kfold(df: DataFrame, label: str, id_col: str, k: int, seed: int)
     return r.withColumn("fold", F.pmod(F.col("_rn") - 1, F.lit(k)).cast("int")).drop("_rn")
 
 
-def random_split(df: DataFrame, weights, seed: int):
-    return df.randomSplit(list(weights), seed)
+def random_split(df: DataFrame, weights, seed: int, id_col: str) -> list[DataFrame]:
+    """Parts with about the given shares, by a hash of the stable id: the same
+    rows land in the same part whatever the partitioning."""
+    total = float(sum(weights))
+    draw = hash32(F.lit(str(seed)), id_col) / float(1 << 32)
+    parts, low = [], 0.0
+    for i, w in enumerate(weights):
+        high = low + w / total
+        inside = draw >= low if i + 1 == len(weights) else (draw >= low) & (draw < high)
+        parts.append(df.where(inside))
+        low = high
+    return parts
 
 
 def leave_last_out(inter: DataFrame) -> DataFrame:
@@ -52,77 +64,93 @@ def leave_last_out(inter: DataFrame) -> DataFrame:
 
 
 def negatives(positives: DataFrame, seen: DataFrame, items: DataFrame, n: int, seed: int,
-              pid: str = "event_id", margin: int = 8) -> DataFrame:
-    """For every positive row (pid, user, item): the first ``n`` catalog items
-    the user has not seen, walking the catalog in md5(seed|item) order in a
-    circle from the offset md5(seed|user|item) mod P.
-
-    Round one looks at ``n + margin`` positions per positive; positives left
-    short (many seen items near their offset) get a second round over
-    ``n + |seen(user)|`` positions, which always holds n unseen items when
-    the catalog has them.  No user x item cross product is formed.
-    Output (pid, user, item, neg_item, j) with j the walk step."""
+              pid: str = "event_id") -> DataFrame:
+    """For every positive row (pid, user, item): ``n`` different catalog items
+    the user has not seen (all of them when there are fewer).
+
+    The catalog is ordered by md5(seed|item).  With U unseen items of a user,
+    draw j is a hash of (seed, user, item, j) inside the j-th of n equal
+    slices of 0..U-1, so draws of one row, and of different rows, are not tied
+    to each other.  The r-th unseen place is found by gap arithmetic: it is
+    r + k, where k counts the user's seen places s_0 < s_1 < ... with
+    s_i - i <= r.  That count is one global running sum over seen places and
+    draws in (user, place) order, so no user's rows meet in one task.
+    Output (pid, user, item, neg_item, j)."""
     cat = items.select("item").distinct()
-    ranked = global_row_number(cat.withColumn("_key", md5_rank_key(seed, "item")),
-                               [F.col("_key"), F.col("item")], "_pos").select(
-        (F.col("_pos") - 1).alias("_p"), F.col("item").alias("neg_item"))
-    size = cat.select(F.count(F.lit(1))).scalar()
-    pos = positives.select(pid, "user", "item").withColumn(
-        "_start", F.pmod(hash32(F.lit(str(seed)), "user", "item"), size))
-    seen_u = seen.select("user", F.col("item").alias("neg_item")).distinct()
-
-    def walk(p: DataFrame, width: Column) -> DataFrame:
-        steps = p.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                       (F.least(width, size) - 1).cast("bigint"))))
-        c = steps.withColumn("_p", F.pmod(F.col("_start") + F.col("j"), size)).join(ranked, "_p")
-        c = c.join(seen_u, ["user", "neg_item"], "left_anti")
-        return topn_per_group(c, [pid], [F.col("j").asc()], n, "_r").drop("_r", "_p", "_start")
-
-    first = walk(pos, F.lit(n + margin).cast("bigint"))
-    got = first.groupBy(pid).agg(F.count(F.lit(1)).alias("_got"))
-    n_seen = seen_u.groupBy("user").agg(F.count(F.lit(1)).alias("_ns"))
-    short = (pos.join(got, pid, "left").where(F.coalesce("_got", F.lit(0)) < n).drop("_got")
-             .join(n_seen, "user", "left"))
-    second = walk(short, F.lit(n) + F.coalesce("_ns", F.lit(0)))
-    done = first.join(got.where(F.col("_got") >= n), pid, "left_semi")
-    return done.unionByName(second.drop("_ns"))
+    ranked = cut_lineage(global_row_number(cat.withColumn("_key", md5_rank_key(seed, "item")),
+                                           [F.col("_key"), F.col("item")], "_pos")
+                         .select((F.col("_pos") - 1).alias("_p"), F.col("item").alias("neg_item")))
+    size = ranked.count()
+    places = cut_lineage(seen.select("user", F.col("item").alias("neg_item")).distinct().join(ranked, "neg_item")
+                         .select("user", "_p"))
+    per_user = places.groupBy("user").agg(F.count(F.lit(1)).alias("_ns"))
+    per_user = global_running_sum(per_user, [F.col("user").asc()], "_ns", "_base", inclusive=False)
+    draws = positives.select(pid, "user", "item").join(per_user, "user", "left")
+    unseen = F.lit(size) - F.coalesce("_ns", F.lit(0))
+    draws = draws.select("*", unseen.alias("_u"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("j"))
+    draws = draws.withColumn("_lo", F.expr(f"j * _u div {n}")).withColumn("_hi", F.expr(f"(j + 1) * _u div {n}"))
+    draws = draws.where(F.col("_hi") > F.col("_lo")).withColumn(
+        "_r", F.col("_lo") + F.pmod(hash32(F.lit(str(seed)), "user", "item", "j"), F.col("_hi") - F.col("_lo")))
+    w = Window.partitionBy("user").orderBy("_p")
+    gaps = places.select("user", (F.col("_p") - F.row_number().over(w) + 1).alias("_r"), F.lit(1).alias("_seen"))
+    line = gaps.unionByName(draws.select("user", "_r", F.lit(0).alias("_seen"), pid, "item", "j", "_base"),
+                            allowMissingColumns=True)
+    order = [F.col("user").asc(), F.col("_r").asc(), F.col("_seen").desc(), F.col(pid).asc(), F.col("j").asc()]
+    line = global_running_sum(line, order, "_seen", "_run").where("_seen = 0")
+    return (line.withColumn("_p", F.col("_r") + F.when(F.col("_base").isNull(), 0).otherwise(F.col("_run") - F.col("_base")))
+            .join(ranked, "_p").select(pid, "user", "item", "neg_item", "j"))
+
+
+def event_positions(inter: DataFrame) -> DataFrame:
+    """(user, item, ts, event_id, pos): 1-based place of each event in its
+    user's (ts, event_id) order, from one global rank minus the user's first
+    rank, so a user with a third of all rows is spread over many tasks."""
+    g = global_row_number(inter.select("user", "item", "ts", "event_id"),
+                          [F.col("user"), F.col("ts"), F.col("event_id")], "_g")
+    first = g.groupBy("user").agg(F.min("_g").alias("_g0"))
+    return g.join(first, "user").select("user", "item", "ts", "event_id",
+                                        (F.col("_g") - F.col("_g0") + 1).cast("int").alias("pos"))
+
+
+CHUNK = 128     # events of one user in a history chunk
 
 
 def history_prefix(inter: DataFrame, cap: int | None = None) -> DataFrame:
     """(user, pos, item, ts, event_id, history): items of the user's earlier
     events in (ts, event_id) order; ``cap`` keeps only the newest ``cap``.
 
-    With a cap the plan has no per-user window: positions come from one
-    two-level global rank minus the user's first rank, and every event is
-    sent forward to the next ``cap`` positions of its user and joined on the
-    unique (user, pos) key, so a user holding a third of all rows is still
-    spread over many tasks.  Without a cap the history is the whole prefix
-    (quadratic in a user's event count by definition) and a window is used."""
-    if cap is None:
-        w = Window.partitionBy("user").orderBy("ts", "event_id")
-        frame = w.rowsBetween(Window.unboundedPreceding, -1)
-        return inter.select("user", "item", "ts", "event_id", F.row_number().over(w).alias("pos"),
-                            F.collect_list("item").over(frame).alias("history"))
-    g = global_row_number(inter.select("user", "item", "ts", "event_id"),
-                          [F.col("user"), F.col("ts"), F.col("event_id")], "_g")
-    first = g.groupBy("user").agg(F.min("_g").alias("_g0"))
-    ev = g.join(first, "user").withColumn("pos", (F.col("_g") - F.col("_g0") + 1).cast("int")).drop("_g", "_g0")
-    sent = ev.select("user", F.col("item").alias("_h"),
-                     F.explode(F.sequence(F.lit(1), F.lit(int(cap)))).alias("_d"), F.col("pos").alias("_src"))
-    sent = sent.select("user", (F.col("_src") + F.col("_d")).alias("pos"), "_src", "_h")
-    hist = sent.groupBy("user", "pos").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_src", "_h"))), lambda t: t["_h"]).alias("history"))
-    out = ev.join(hist, ["user", "pos"], "left")
-    return out.select("user", "item", "ts", "event_id", "pos",
-                      F.coalesce("history", F.array().cast(f"array<{inter.schema['item'].dataType.simpleString()}>"))
-                      .alias("history"))
-
-
-def sequence_samples(inter: DataFrame, items: DataFrame, seed: int, cap: int | None = None) -> DataFrame:
+    A user's items are kept once, in chunks of CHUNK; an event takes the chunks
+    that its history touches and cuts them to size.  Hot users' events are
+    dealt to blocks.  (The whole prefix is quadratic in a user's event count
+    by definition; pass ``cap`` where a bounded history is enough.)"""
+    ev = cut_lineage(event_positions(inter))
+    chunk = F.expr(f"(pos - 1) div {CHUNK}")
+    chunks = ev.groupBy("user", chunk.alias("_c")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda t: t["item"]).alias("_items"))
+    at = ev.select("*", chunk.alias("_last"), (F.lit(0) if cap is None else F.greatest(
+        F.expr(f"(pos - 1 - {int(cap)}) div {CHUNK}"), F.lit(0))).alias("_first"))
+    j = blocked_join(at, chunks, ["user"], "event_id").where((F.col("_c") <= F.col("_last")) & (F.col("_c") >= F.col("_first")))
+    h = j.groupBy("user", "item", "ts", "event_id", "pos", "_first").agg(
+        F.array_sort(F.collect_list(F.struct("_c", "_items"))).alias("_h"))
+    flat = F.flatten(F.transform("_h", lambda t: t["_items"]))
+    known = F.col("pos") - 1 - F.col("_first") * CHUNK       # earlier events inside the taken chunks
+    keep = known if cap is None else F.least(known, F.lit(int(cap)))
+    return h.select("user", "item", "ts", "event_id", "pos",
+                    F.slice(flat, (known - keep + 1).cast("int"), keep.cast("int")).alias("history"))
+
+
+def sequence_samples(inter: DataFrame, items: DataFrame, seed: int, cap: int | None = None,
+                     history: bool = True) -> DataFrame:
     """Behaviour sequences: for every event after the user's first, a positive
     row (label 1) and a negative row (label 0, one unseen item) with the same
-    history; the user's last event is the test pair, the others train."""
-    h = history_prefix(inter, cap).where(F.col("pos") > 1)
+    history; the user's last event is the test pair, the others train.
+    ``history=False`` leaves the history out (null)."""
+    if history:
+        h = history_prefix(inter, cap)
+    else:
+        kind = f"array<{inter.schema['item'].dataType.simpleString()}>"
+        h = event_positions(inter).withColumn("history", F.lit(None).cast(kind))
+    h = cut_lineage(h.where(F.col("pos") > 1))
     # the user's last event, marked through its unique event id (no join on a
     # possibly hot user key)
     last = inter.groupBy("user").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("event_id"))
@@ -135,9 +163,11 @@ def sequence_samples(inter: DataFrame, items: DataFrame, seed: int, cap: int | N
     return pos_rows.unionByName(neg_rows)
 
 
-def pad_histories(df: DataFrame, length: int, col: str = "history", pad=0) -> DataFrame:
-    """Right-pad to a fixed length (newest ``length`` kept), with the true length."""
-    h = F.slice(F.col(col), F.greatest(F.size(col) - length + 1, F.lit(1)), length)
+def pad_histories(df: DataFrame, length: int | None = None, col: str = "history", pad=0) -> DataFrame:
+    """Right-pad to ``length`` (default: the longest list, so nothing is cut; a
+    shorter length keeps the newest items), with the true length."""
+    size = F.lit(length) if length is not None else df.select(F.max(F.size(col))).scalar()
+    h = F.slice(F.col(col), F.greatest(F.size(col) - size + 1, F.lit(1)), size)
     return df.withColumn("hist_len", F.size(h)).withColumn(
         col, F.concat(h, F.array_repeat(F.lit(pad).cast(df.schema[col].dataType.elementType),
-                                        F.lit(length) - F.size(h))))
+                                        (size - F.size(h)).cast("int"))))

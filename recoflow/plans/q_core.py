@@ -8,6 +8,7 @@ from recoflow.operators import correlators as C
 from recoflow.operators import docs as D
 from recoflow.operators import interactions as I
 from recoflow.operators import retrieval as R
+from recoflow.operators.joins import blocked_join
 from recoflow.operators.popularity import popularity
 from recoflow.plans.registry import register
 from recoflow.plans.sqlparts import CORR, SCORES, capped_sql, ctes, pop_cte, scores_sql
@@ -48,13 +49,16 @@ def ur_recommend(spark, sf):
     inter = cut_lineage(I.action_split(T.inter(spark, sf), ACTIONS))
     corr = cut_lineage(C.llr_correlators(inter, PRIMARY, SECONDARY, top_k=50))
     pop = popularity(inter, "popular", [PRIMARY], POP_END, LONG_DURATION)
-    return R.recommend(all_user_queries(spark, sf), corr, pop, inter, primary=PRIMARY,
-                       actions=ACTIONS, max_query_events=100, default_num=20)
+    return R.recommend(all_user_queries(spark, sf), corr, pop, inter, primary=PRIMARY, actions=ACTIONS,
+                       max_query_events=100, default_num=20, doc_props=item_fields(spark, sf))
 
 
-UR_RECOMMEND_SQL = ctes(("inter",), CORR, pop_cte("pop"), f"""
-docs AS (SELECT coalesce(d.item, pop.item) AS item, pop.score AS pop_rank
-         FROM (SELECT DISTINCT item FROM corr) d FULL JOIN pop ON d.item = pop.item),
+# documents: items with fields, correlators or popularity
+_DOCS = """
+docs AS (SELECT d.item, pop.score AS pop_rank FROM (SELECT item FROM corr UNION SELECT item FROM items
+         UNION SELECT item FROM pop) d LEFT JOIN pop ON d.item = pop.item)"""
+
+UR_RECOMMEND_SQL = ctes(("inter", "items"), CORR, pop_cte("pop"), _DOCS, f"""
 q AS (SELECT DISTINCT user AS query_id, user, 20 AS num FROM inter),
 hist AS (SELECT DISTINCT user, action, item FROM (SELECT *, row_number() OVER (PARTITION BY user, action
          ORDER BY ts DESC, event_id DESC) AS r FROM inter WHERE action IN ('purchase', 'view', 'click')) WHERE r <= 100),
@@ -98,9 +102,63 @@ def batch_predict(spark, sf):
                        default_num=10, doc_props=dp)
 
 
-BATCH_PREDICT_SQL = ctes(("inter", "items"), CORR, pop_cte("pop"), f"""
-docs AS (SELECT coalesce(d.item, pop.item) AS item, pop.score AS pop_rank
-         FROM (SELECT DISTINCT item FROM corr) d FULL JOIN pop ON d.item = pop.item),
+def _options(spark, sf):
+    """A query per user, each with its own options (and an item for half of them)."""
+    u = F.col("user")
+    field = F.struct(F.lit("brand").alias("name"), F.array(F.concat(F.lit("Brand#"), (1 + u % 5).cast("string")))
+                     .alias("values"), F.lit(1.5).alias("bias"))
+    return all_user_queries(spark, sf).select(
+        "query_id", "user", F.when(u % 2 == 0, u % 100).alias("item"), (5 + u % 20).cast("int").alias("num"),
+        F.array(u % 50, u % 50 + 1).alias("blacklist"), (u % 4 == 0).alias("return_self"),
+        F.when(u % 7 == 0, -1.0).when(u % 7 == 1, 2.5).alias("user_bias"),
+        F.when(u % 8 == 0, -1.0).when(u % 8 == 2, 0.5).alias("item_bias"),
+        F.when(u % 5 == 0, F.array(F.lit("view"))).alias("event_names"),
+        F.when(u % 3 == 0, F.array(field)).alias("fields"))
+
+
+def ur_options(spark, sf, blacklist_events):
+    """Per-query item, size, blacklist, self, biases, event names and boosted fields."""
+    inter = cut_lineage(T.inter(spark, sf))
+    corr = cut_lineage(C.llr_correlators(inter, PRIMARY, SECONDARY, top_k=50))
+    pop = popularity(inter, "popular", [PRIMARY], POP_END, LONG_DURATION)
+    return R.recommend(_options(spark, sf), corr, pop, inter, primary=PRIMARY, actions=ACTIONS, max_query_events=100,
+                       blacklist_events=blacklist_events, doc_props=item_fields(spark, sf))
+
+
+def _options_sql(blacklist_events) -> str:
+    seen = " OR ".join(f"i.action = '{e}'" for e in blacklist_events) or "false"
+    return ctes(("inter", "items"), CORR, pop_cte("pop"), _DOCS, f"""
+q AS (SELECT user AS query_id, user, CASE WHEN user % 2 = 0 THEN user % 100 END AS qitem, 5 + user % 20 AS num,
+  coalesce(CASE user % 7 WHEN 0 THEN -1.0 WHEN 1 THEN 2.5 END, 1.0) AS ub,
+  coalesce(CASE user % 8 WHEN 0 THEN -1.0 WHEN 2 THEN 0.5 END, 1.0) AS ib,
+  user % 5 = 0 AS only_view, CASE WHEN user % 3 = 0 THEN 'Brand#' || (1 + user % 5) END AS brand
+  FROM (SELECT DISTINCT user FROM inter)),
+hist AS (SELECT DISTINCT user, action, item FROM (SELECT *, row_number() OVER (PARTITION BY user, action
+         ORDER BY ts DESC, event_id DESC) AS r FROM inter WHERE action IN ('purchase', 'view', 'click')) WHERE r <= 100),
+terms AS (SELECT q.query_id, h.action, h.item AS term, q.ub AS b, 'u' AS kind FROM q JOIN hist h ON q.user = h.user
+          WHERE NOT q.only_view OR h.action = 'view'
+          UNION ALL SELECT q.query_id, c.action, c.other, q.ib, 'i' FROM q JOIN corr c ON c.item = q.qitem
+          WHERE c.rank <= 100 AND (NOT q.only_view OR c.action = 'view')),
+hits AS (SELECT t.query_id, c.item, sum(t.b) FILTER (WHERE t.b > 0) AS score, count(DISTINCT t.kind) FILTER (WHERE t.b < 0) AS kinds
+  FROM terms t JOIN corr c ON c.action = t.action AND c.other = t.term GROUP BY 1, 2),
+excl AS (SELECT q.query_id, i.item FROM q JOIN inter i ON i.user = q.user WHERE {seen}
+  UNION SELECT query_id, user % 50 FROM q UNION SELECT query_id, user % 50 + 1 FROM q
+  UNION SELECT query_id, qitem FROM q WHERE qitem IS NOT NULL AND user % 4 <> 0),
+cand AS (SELECT q.query_id, d.item, coalesce(h.score, 0.0) + CASE WHEN it.p_brand = q.brand THEN 1.5 ELSE 0 END AS score,
+  d.pop_rank, q.num FROM q CROSS JOIN docs d LEFT JOIN hits h ON h.query_id = q.query_id AND h.item = d.item
+  LEFT JOIN items it ON it.item = d.item
+  WHERE coalesce(h.kinds, 0) = CASE WHEN q.ub < 0 THEN 1 ELSE 0 END + CASE WHEN q.ib < 0 AND q.qitem IS NOT NULL THEN 1 ELSE 0 END
+  AND NOT EXISTS (SELECT 1 FROM excl e WHERE e.query_id = q.query_id AND e.item = d.item))""") + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, item, CAST(score AS DOUBLE) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pop_rank DESC NULLS LAST, item) AS rank
+  FROM cand) WHERE rank <= num"""
+
+
+register("ur_options", _options_sql([PRIMARY, "error"]))(lambda spark, sf: ur_options(spark, sf, [PRIMARY, "error"]))
+register("ur_no_blacklist_events", _options_sql([]))(lambda spark, sf: ur_options(spark, sf, []))
+
+
+BATCH_PREDICT_SQL = ctes(("inter", "items"), CORR, pop_cte("pop"), _DOCS, f"""
 q AS (SELECT DISTINCT user AS query_id, user FROM inter),
 lastview AS (SELECT user, item FROM (SELECT *, row_number() OVER (PARTITION BY user ORDER BY ts DESC, event_id DESC)
              AS r FROM inter WHERE action = 'view') WHERE r = 1),
@@ -205,6 +263,12 @@ def _docs_txt(df):
         for a in ACTIONS])
 
 
+def _docs_txt_any(df, model):
+    if model == "backfill":     # no correlators in these documents
+        return df.select("item", "pop_rank", *[F.lit("").alias(f"c_{a}") for a in ACTIONS])
+    return _docs_txt(df)
+
+
 _DOC_SQL = ctes(("inter",), CORR, pop_cte("pop"), """
 cl AS (SELECT item, action, array_to_string(list(other ORDER BY rank), ',') AS others FROM corr GROUP BY item, action),
 cm AS (SELECT item, """ + ", ".join(
@@ -239,6 +303,13 @@ def q_item_docs(spark, sf):
         for a in ACTIONS], fields_txt.alias("fields"))
 
 
+for _model, _from in (("collabFiltering", "SELECT item, CAST(NULL AS DOUBLE) AS pop_rank, " + ", ".join(f"c_{a}" for a in ACTIONS) + " FROM cm"),
+                      ("backfill", "SELECT item, score AS pop_rank, " + ", ".join(f"'' AS c_{a}" for a in ACTIONS) + " FROM pop")):
+    def _mk_docs(model=_model):
+        return lambda spark, sf: _docs_txt_any(docs(spark, sf, model), model)
+    register(f"item_docs_{_model}", _DOC_SQL + _from)(_mk_docs())
+
+
 @register("group_all", _DOC_SQL + """
 SELECT coalesce(cm.item, pop.item) AS item, pop.score AS pop_rank, """ + ", ".join(
     f"coalesce(c_{a}, '') AS c_{a}" for a in ACTIONS) + " FROM cm FULL JOIN pop ON cm.item = pop.item")
@@ -276,7 +347,7 @@ SELECT DISTINCT user AS query_id, action, item AS term, CAST(1.0 AS DOUBLE) AS b
   SELECT *, row_number() OVER (PARTITION BY user, action ORDER BY ts DESC, event_id DESC) AS r
   FROM inter WHERE action IN ('purchase', 'view', 'click')) WHERE r <= 100""")
 def q_user_history_query(spark, sf):
-    return R.user_history_query(all_user_queries(spark, sf), T.inter(spark, sf), ACTIONS, 100)
+    return R.user_history_query(all_user_queries(spark, sf), T.inter(spark, sf), ACTIONS, 100).drop("must")
 
 
 @register("similar_items_query", ctes(("inter",), CORR) + """
@@ -284,7 +355,7 @@ SELECT q.item AS query_id, c.action, c.other AS term, CAST(1.0 AS DOUBLE) AS boo
 FROM (SELECT DISTINCT item FROM inter) q JOIN corr c ON c.item = q.item WHERE c.rank <= 100""")
 def q_similar_items_query(spark, sf):
     q = T.inter(spark, sf).select("item").distinct().select(F.col("item").alias("query_id"), "item")
-    return R.similar_items_query(q, correlators(spark, sf), 100)
+    return R.similar_items_query(q, correlators(spark, sf), 100).drop("must")
 
 
 @register("history_cap", ctes(("inter",)) + """
@@ -303,7 +374,7 @@ def q_exclusion_union(spark, sf):
     bl = i.where(F.col("action") == "error").groupBy("user").agg(F.collect_set("item").alias("blacklist"))
     q = i.select("user").distinct().join(bl, "user", "left").select(
         F.col("user").alias("query_id"), "user", F.coalesce("blacklist", F.array().cast("array<bigint>")).alias("blacklist"))
-    return R.exclusions(q, i, PRIMARY)
+    return R.exclusions(q, i, [PRIMARY])
 
 
 @register("seen_anti", ctes(("inter",), CORR) + f"""
@@ -314,7 +385,7 @@ def q_seen_anti(spark, sf):
     """Correlator candidates per user minus the items the user already bought."""
     i = T.inter(spark, sf)
     corr = correlators(spark, sf)
-    cand = (i.select("user", "action", F.col("item").alias("other")).join(corr, ["action", "other"])
+    cand = (blocked_join(i.select("user", "action", F.col("item").alias("other")), corr, ["action", "other"], "user")
             .groupBy("user", "item").agg(F.count(F.lit(1)).alias("n")))
     seen = i.where(F.col("action") == PRIMARY).select("user", "item")
     return cand.join(seen, ["user", "item"], "left_anti")

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recoflow.functions.scalar import vec_dot
-from recoflow.operators import interactions as I
 from recoflow.operators import metrics as M
 from recoflow.operators import sampling as S
 from recoflow.plans.registry import register
 from recoflow.plans.sqlparts import ctes
+from recoflow.session import cut_lineage
 from recoflow.sources import tables as T
 from recoflow.sources.tables import PRIMARY, SEED
 
 K, THRESHOLD = 10, 3
-KS, THRESHOLDS = (5, 10, 20), (2, 3, 4)
+KS, THRESHOLDS = (50, 200, 300), (2, 3, 4)
 
 
 def _recs(spark, sf):
-    r = I.recent_n_per_user(T.inter(spark, sf), 50, actions=["view"])
-    return r.select("user", "item", F.col("pos").alias("rank"))
+    """The user's views, newest first, as a ranked list of any length."""
+    w = Window.partitionBy("user").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    v = T.inter(spark, sf).where("action = 'view'")
+    return v.select("user", "item", F.row_number().over(w).alias("rank"))
 
 
 def _truth(spark, sf):
@@ -92,9 +95,11 @@ def q_stratified_kfold(spark, sf):
     return S.stratified_kfold(T.ctr(spark, sf).select("id", "target"), "target", "id", 5, SEED)
 
 
-@register("random_split")
+@register("random_split", ctes(("inter", "rated")) + """
+SELECT *, CASE WHEN ('0x' || substr(md5('3|' || event_id), 1, 8))::BIGINT / 4294967296.0 < 0.7 THEN 'train'
+  ELSE 'test' END AS split FROM rated""")
 def q_random_split(spark, sf):
-    train, test = S.random_split(T.rated(spark, sf), [0.7, 0.3], 3)
+    train, test = S.random_split(T.rated(spark, sf), [0.7, 0.3], 3, "event_id")
     return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 
 
@@ -126,15 +131,17 @@ def _neg_sql(positives_cte: str, n: int) -> str:
     return f"""
 cat AS (SELECT item, row_number() OVER (ORDER BY md5('{SEED}|' || item), item) - 1 AS p
   FROM (SELECT DISTINCT item FROM item_factors)),
-psize AS (SELECT count(*) AS n FROM cat),
 seen AS (SELECT DISTINCT user, item FROM inter),
 {positives_cte},
-posr AS (SELECT event_id, user, item, ('0x' || substr(md5('{SEED}|' || user || '|' || item), 1, 8))::BIGINT
-  % (SELECT n FROM psize) AS st FROM positives),
-walk AS (SELECT ps.event_id, ps.user, ps.item, c.item AS neg_item, ((c.p - ps.st) % z.n + z.n) % z.n AS j
-  FROM posr ps CROSS JOIN cat c CROSS JOIN psize z
-  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user = ps.user AND s.item = c.item)),
-neg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY j) AS r FROM walk) WHERE r <= {n})"""
+unseen AS (SELECT u.user, c.item, row_number() OVER (PARTITION BY u.user ORDER BY c.p) - 1 AS r,
+  count(*) OVER (PARTITION BY u.user) AS n FROM (SELECT DISTINCT user FROM positives) u CROSS JOIN cat c
+  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user = u.user AND s.item = c.item)),
+sizes AS (SELECT user, max(n) AS n FROM unseen GROUP BY user),
+slices AS (SELECT p.event_id, p.user, p.item, j, j * z.n // {n} AS lo, (j + 1) * z.n // {n} AS hi
+  FROM positives p JOIN sizes z ON z.user = p.user CROSS JOIN range({n}) t(j)),
+picks AS (SELECT event_id, user, item, j, lo + ('0x' || substr(md5('{SEED}|' || user || '|' || item || '|' || j), 1, 8))::BIGINT
+  % (hi - lo) AS r FROM slices WHERE hi > lo),
+neg AS (SELECT k.event_id, k.user, k.item, u.item AS neg_item, k.j FROM picks k JOIN unseen u ON u.user = k.user AND u.r = k.r)"""
 
 
 def _negatives(spark, sf, positives, n):
@@ -217,17 +224,6 @@ def q_auc(spark, sf):
     return M.auc(T.scored(spark, sf), "label", "score").select(F.round("auc", 6).alias("auc"))
 
 
-@register("pairwise_auc", ctes(("scored",)) + """
-SELECT round(avg(CASE WHEN p.score > n.score THEN 1.0 ELSE 0.0 END), 6) AS pairwise_auc
-FROM scored p JOIN scored n ON n.id = p.id + 1 WHERE p.label = 1 AND n.label = 0""")
-def q_pairwise_auc(spark, sf):
-    """Pairs of a positive and the next id when that row is a negative."""
-    s = T.scored(spark, sf)
-    p = s.where("label = 1").select(F.col("id"), F.col("score").alias("pos_score"))
-    n = s.where("label = 0").select((F.col("id") - 1).alias("id"), F.col("score").alias("neg_score"))
-    return M.pairwise_auc(p.join(n, "id")).select(F.round("pairwise_auc", 6).alias("pairwise_auc"))
-
-
 _GINI = """
 g AS (SELECT sum(label * (n - pos + 1)) / tot - (n + 1) / 2.0 AS gp FROM (SELECT label,
   row_number() OVER (ORDER BY score DESC, id) AS pos, count(*) OVER () AS n, sum(label) OVER () AS tot FROM scored)
@@ -286,31 +282,45 @@ def q_history_prefix(spark, sf):
 @register("sequence_order", ctes(("inter",)) + """
 SELECT user, event_id, CAST(row_number() OVER (PARTITION BY user ORDER BY ts, event_id) AS INTEGER) AS pos FROM inter""")
 def q_sequence_order(spark, sf):
-    from pyspark.sql import Window
-    w = Window.partitionBy("user").orderBy("ts", "event_id")
-    return T.inter(spark, sf).select("user", "event_id", F.row_number().over(w).alias("pos"))
+    return S.event_positions(T.inter(spark, sf)).select("user", "event_id", "pos")
 
 
 @register("pad_histories", ctes(("inter",), _HIST) + """
-SELECT user, CAST(pos AS INTEGER) AS pos, CAST(len(h) AS INTEGER) AS hist_len,
-  array_to_string(list_concat(h, list_transform(range(8 - len(h)), lambda x: 0)), ',') AS history FROM (
-  SELECT user, pos, history[greatest(len(history) - 8 + 1, 1):] AS h FROM hp)""")
+SELECT user, CAST(pos AS INTEGER) AS pos, CAST(len(history) AS INTEGER) AS hist_len, array_to_string(list_concat(history,
+  list_transform(range((SELECT max(len(history)) FROM hp) - len(history)), lambda x: 0)), ',') AS history FROM hp""")
 def q_pad_histories(spark, sf):
-    h = S.history_prefix(T.inter(spark, sf), cap=8)        # only the newest 8 are kept anyway
-    p = S.pad_histories(h, 8)
+    """Histories padded to the longest one; nothing is dropped."""
+    p = S.pad_histories(cut_lineage(S.history_prefix(T.inter(spark, sf))))
     return p.select("user", "pos", "hist_len",
                     F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))
 
 
-@register("sequence_samples", ctes(("inter", "item_factors"), _HIST, _neg_sql(
+_SEQ_SQL = ctes(("inter", "item_factors"), _HIST, _neg_sql(
     "positives AS (SELECT event_id, user, item FROM hp WHERE pos > 1)", 1)) + """,
 lastid AS (SELECT user, arg_max(event_id, (ts, event_id)) AS last_id FROM inter GROUP BY user),
 rows_ AS (SELECT h.user, h.event_id, h.pos, h.history, h.item, 1 AS label FROM hp h WHERE h.pos > 1
-  UNION ALL SELECT h.user, h.event_id, h.pos, h.history, n.neg_item, 0 FROM hp h JOIN neg n ON n.event_id = h.event_id)
-SELECT r.user, r.event_id, CAST(r.pos AS INTEGER) AS pos, array_to_string(r.history, ',') AS history, r.item,
+  UNION ALL SELECT h.user, h.event_id, h.pos, h.history, n.neg_item, 0 FROM hp h JOIN neg n ON n.event_id = h.event_id),
+seq AS (SELECT r.user, r.event_id, CAST(r.pos AS INTEGER) AS pos, array_to_string(r.history, ',') AS history, r.item,
   CAST(r.label AS INTEGER) AS label, CASE WHEN r.event_id = l.last_id THEN 'test' ELSE 'train' END AS split
-FROM rows_ r JOIN lastid l ON l.user = r.user""")
+  FROM rows_ r JOIN lastid l ON l.user = r.user)"""
+_PAIR_SCORE = "(item * 7919 + event_id * 31) % 101"       # a stand-in model score
+
+
+@register("sequence_samples", _SEQ_SQL + " SELECT * FROM seq")
 def q_sequence_samples(spark, sf):
     s = S.sequence_samples(T.inter(spark, sf), T.item_factors(spark, sf).select("item"), SEED)
     return s.select("user", "event_id", "pos", F.array_join(F.transform("history", lambda x: x.cast("string")), ",")
                     .alias("history"), "item", "label", "split")
+
+
+@register("pairwise_auc", _SEQ_SQL + f"""
+, sc AS (SELECT event_id, label, {_PAIR_SCORE} AS score FROM seq)
+SELECT round(avg(CASE WHEN p.score > n.score THEN 1.0 ELSE 0.0 END), 6) AS pairwise_auc
+FROM sc p JOIN sc n ON n.event_id = p.event_id WHERE p.label = 1 AND n.label = 0""")
+def q_pairwise_auc(spark, sf):
+    """Every sequence sample's positive against its negative (one pair per event)."""
+    s = S.sequence_samples(T.inter(spark, sf), T.item_factors(spark, sf).select("item"), SEED, history=False)
+    s = s.select("event_id", "label", F.expr(_PAIR_SCORE.replace("//", "div")).alias("score"))
+    p = s.where("label = 1").select("event_id", F.col("score").alias("pos_score"))
+    n = s.where("label = 0").select("event_id", F.col("score").alias("neg_score"))
+    return M.pairwise_auc(p.join(n, "event_id")).select(F.round("pairwise_auc", 6).alias("pairwise_auc"))

@@ -61,18 +61,19 @@ def q_field_filter(spark, sf):
 
 @register("boosted_fields", ctes(("inter", "items")) + """,
 vb AS (SELECT DISTINCT i.user, it.p_brand FROM inter i JOIN items it ON it.item = i.item WHERE i.action = 'view')
-SELECT v.user AS query_id, it.item, CAST(2.0 * count(*) AS DOUBLE) AS score FROM vb v JOIN items it ON it.p_brand = v.p_brand
-GROUP BY v.user, it.item""")
+SELECT query_id, item, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS r
+  FROM (SELECT v.user AS query_id, it.item, CAST(2.0 * count(*) AS DOUBLE) AS score FROM vb v
+  JOIN items it ON it.p_brand = v.p_brand GROUP BY v.user, it.item)) WHERE r <= 20""")
 def q_boosted_fields(spark, sf):
     it = T.items(spark, sf)
     viewed = (T.inter(spark, sf).where("action = 'view'").join(it.select("item", "p_brand"), "item")
               .groupBy("user").agg(F.collect_set("p_brand").alias("vals")))
     q = viewed.select(F.col("user").alias("query_id"),
-                      F.array(F.struct(F.lit("brand").alias("name"), F.col("vals").alias("values"),
+                      F.array(F.struct(F.lit("brand").alias("name"), F.array_sort("vals").alias("values"),
                                        F.lit(2.0).alias("bias"))).alias("fields"))
     docs = it.select("item", F.create_map(F.lit("brand"), F.array("p_brand"), F.lit("type"),
                                           F.array("p_type")).alias("fields"))
-    return R.boosted_fields(q, docs)
+    return R.boosted_fields(q, docs, 20)
 
 
 # --------------------------------------------------------------------------- joins
