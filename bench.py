@@ -3,8 +3,9 @@
 Runs the main recommender queries at $BENCH_SF_DIR (default
 /root/testdata/sf0.1) on local[$BENCH_CPUS] and prints one JSON line:
 {"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}.
-Each query is run once to warm up, then timed ($BENCH_REPS runs, median),
-materialized with a full ``count`` over the result rows.
+Each query is run once to warm up, then timed ($BENCH_REPS runs, median) into
+the ``noop`` sink, so every output column is computed.  ``growth`` repeats the
+sum at the next smaller scale ($BENCH_SMALL_DIR, default sf0.01; empty: off).
 """
 
 from __future__ import annotations
@@ -33,20 +34,24 @@ def main() -> None:
     from recoflow.session import get_spark
     load_all()
     spark = get_spark(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
-    times, rows = {}, {}
-    for key in HEADLINE:
-        if key not in QUERIES:
-            continue
-        QUERIES[key](spark, sf_dir).count()
-        runs = []
-        for _ in range(reps):
-            t0 = time.perf_counter()
-            rows[key] = QUERIES[key](spark, sf_dir).count()
-            runs.append(time.perf_counter() - t0)
-        times[key] = round(statistics.median(runs), 3)
+
+    def run(key: str, folder: str) -> float:
+        t0 = time.perf_counter()
+        QUERIES[key](spark, folder).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t0
+
+    keys = [k for k in HEADLINE if k in QUERIES]
+    small_dir = os.environ.get("BENCH_SMALL_DIR", "/root/testdata/sf0.01")
+    times, small = {}, {}
+    for key in keys:
+        run(key, small_dir or sf_dir)
+        times[key] = round(statistics.median(run(key, sf_dir) for _ in range(reps)), 3)
+        if small_dir:
+            small[key] = round(run(key, small_dir), 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
-           "queries": times, "rows": rows, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus)}
+           "queries": times, "smaller": small,
+           "growth": round(sum(times.values()) / sum(small.values()), 3) if small else None, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus)}
     print(json.dumps(out))
 
 

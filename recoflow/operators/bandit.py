@@ -19,6 +19,8 @@ from recoflow.functions.scalar import ucb_delta
 # The logged-reward mapping of the linear bandit.
 REWARD_MAP = {1: 0.6, 0: -16.0}
 
+MAX_ARMS = 10_000
+
 
 def ucb_arms(log: DataFrame, arm: str = "arm", reward: str = "reward") -> DataFrame:
     """(arm, pulls, mean_reward, ucb, is_best): t = all pulls, ucb = mean +
@@ -70,7 +72,12 @@ def linucb_params(stats: DataFrame, arm: str = "arm") -> DataFrame:
 
 def linucb_recommend(contexts: DataFrame, params: DataFrame, alpha: float = 0.25, features: str = "x",
                      id_col: str = "ctx_id") -> DataFrame:
-    """Best arm per context by x.theta + alpha * sqrt(x^T A^-1 x)."""
+    """Best arm per context by x.theta + alpha * sqrt(x^T A^-1 x).
+
+    The arms are a model, one row each; every context must be scored against
+    all of them, so they are held as one list, and over ``MAX_ARMS`` raise."""
+    n = params.select(F.count(F.lit(1))).scalar()
+    params = params.where(F.when(n > MAX_ARMS, F.raise_error(F.lit(f"over {MAX_ARMS} arms")).cast("boolean")).otherwise(F.lit(True)))
     arms = params.agg(F.collect_list(F.struct("arm", "theta", "a_inv")).alias("p")).scalar()
     c = contexts.select(id_col, features, F.explode(arms).alias("p"))
     x = F.col(features)

@@ -2,9 +2,8 @@
 
 fm_score:  w0 + sum_i w_i x_i + 0.5 * sum_k ((sum_i v_ik x_i)^2 - sum_i v_ik^2 x_i^2)
 ffm_score: w0 + sum_i w_i x_i + sum_{i<j} <v_{i, field(j)}, v_{j, field(i)}> x_i x_j
-Both are joins of the SAMPLE long form to the weights plus grouped sums; the
-FFM pair join stays inside one row (pairs of the row's fields, bounded by the
-schema width, not by the data).
+Both join the SAMPLE long form to the weights once and sum per row; pairs are
+formed inside a row (its fields are bounded by the schema width, not the data).
 """
 
 from __future__ import annotations
@@ -13,38 +12,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fm_score(samples: DataFrame, bias: float, weights: DataFrame) -> DataFrame:
-    """samples: (row_id, feat_index, feat_value); weights: (feat_index, w, v array<double>)."""
+def fm_score(samples: DataFrame, bias: float, weights: DataFrame, factors: int) -> DataFrame:
+    """samples: (row_id, feat_index, feat_value); weights: (feat_index, w, v
+    array<double> of ``factors``).  One join and one aggregate."""
     j = samples.join(weights, "feat_index")
-    lin = j.groupBy("row_id").agg(F.sum(F.col("w") * F.col("feat_value")).alias("lin"))
-    e = j.select("row_id", "feat_value", F.posexplode("v").alias("k", "vk"))
-    e = e.withColumn("vx", F.col("vk") * F.col("feat_value"))
-    per_k = e.groupBy("row_id", "k").agg(F.sum("vx").alias("s"), F.sum(F.col("vx") * F.col("vx")).alias("q"))
-    inter = per_k.groupBy("row_id").agg((0.5 * F.sum(F.col("s") * F.col("s") - F.col("q"))).alias("pair"))
-    return lin.join(inter, "row_id").select("row_id", (F.lit(bias) + F.col("lin") + F.col("pair")).alias("score"))
+    x = F.col("feat_value")
+    vx = [F.col("v")[k] * x for k in range(factors)]
+    sums = j.groupBy("row_id").agg(F.sum(F.col("w") * x).alias("lin"), *[F.sum(t).alias(f"s{k}") for k, t in enumerate(vx)],
+                                   *[F.sum(t * t).alias(f"q{k}") for k, t in enumerate(vx)])
+    pair = sum((F.col(f"s{k}") * F.col(f"s{k}") - F.col(f"q{k}") for k in range(factors)), F.lit(0.0))
+    return sums.select("row_id", (F.lit(bias) + F.col("lin") + 0.5 * pair).alias("score"))
+
+
+def _row_features(samples: DataFrame, cols) -> DataFrame:
+    """(row_id, fs): the row's features; bounded by the schema's width."""
+    return samples.groupBy("row_id").agg(F.collect_list(F.struct("fpos", *cols)).alias("fs"))
 
 
 def feature_pair_join(samples: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one row's features with a.fpos < b.fpos.
-    samples: (row_id, field, fpos, feat_index, feat_value)."""
-    a = samples.select("row_id", *[F.col(c).alias(f"a_{c}") for c in ("field", "fpos", "feat_index", "feat_value")])
-    b = samples.select("row_id", *[F.col(c).alias(f"b_{c}") for c in ("field", "fpos", "feat_index", "feat_value")])
-    return a.join(b, "row_id").where(F.col("a_fpos") < F.col("b_fpos"))
+    """Pairs (a, b) of one row's features with a.fpos < b.fpos, formed inside
+    the row.  samples: (row_id, field, fpos, feat_index, feat_value)."""
+    names = ("fpos", "field", "feat_index", "feat_value")
+    rows = _row_features(samples, names[1:])
+    pairs = F.flatten(F.transform("fs", lambda a: F.transform(
+        F.filter("fs", lambda b: b["fpos"] > a["fpos"]),
+        lambda b: F.struct(*[x[c].alias(f"{t}_{c}") for t, x in (("a", a), ("b", b)) for c in names]))))
+    return rows.select("row_id", F.inline(pairs))
 
 
 def ffm_score(samples: DataFrame, bias: float, linear: DataFrame, latent: DataFrame) -> DataFrame:
     """linear: (feat_index, w); latent: (feat_index, field, v array<double>):
-    v of a feature toward the other feature's field."""
-    lin = samples.join(linear, "feat_index").groupBy("row_id").agg(
-        F.sum(F.col("w") * F.col("feat_value")).alias("lin"))
-    p = feature_pair_join(samples)
-    la = latent.select(F.col("feat_index").alias("a_feat_index"), F.col("field").alias("b_field"), F.col("v").alias("va"))
-    lb = latent.select(F.col("feat_index").alias("b_feat_index"), F.col("field").alias("a_field"), F.col("v").alias("vb"))
-    p = p.join(la, ["a_feat_index", "b_field"]).join(lb, ["b_feat_index", "a_field"])
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pair = p.groupBy("row_id").agg(F.sum(dot * F.col("a_feat_value") * F.col("b_feat_value")).alias("pair"))
-    return lin.join(pair, "row_id", "left").select(
-        "row_id", (F.lit(bias) + F.col("lin") + F.coalesce("pair", F.lit(0.0))).alias("score"))
+    v of a feature toward the other feature's field.  A feature's vectors are
+    one map (bounded by the number of fields), so a sample joins once and the
+    pairs are formed inside the row."""
+    model = latent.groupBy("feat_index").agg(F.map_from_entries(F.collect_list(F.struct("field", "v"))).alias("vs"))
+    j = samples.join(linear.join(model, "feat_index"), "feat_index")
+    rows = _row_features(j, ("field", "feat_value", "w", "vs"))
+    lin = F.aggregate("fs", F.lit(0.0), lambda s, a: s + a["w"] * a["feat_value"])
+
+    def dot(u, v):
+        return F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    pair = F.aggregate("fs", F.lit(0.0), lambda s, a: s + F.aggregate(
+        F.filter("fs", lambda b: b["fpos"] > a["fpos"]), F.lit(0.0),
+        lambda t, b: t + dot(a["vs"][b["field"]], b["vs"][a["field"]]) * a["feat_value"] * b["feat_value"]))
+    return rows.select("row_id", (F.lit(bias) + lin + pair).alias("score"))
 
 
 def fm_fit(df: DataFrame, task: str = "regression", factor_size: int = 8, seed: int = 1,
@@ -99,12 +110,9 @@ def fold_average(df: DataFrame, k: int, make_estimator, id_col: str = "id", fold
                  pred_col: str = "prediction"):
     """One model per fold: out-of-fold predictions for training rows, and the
     mean prediction of the k models for every row."""
-    oof, allp = None, None
+    parts = None
     for f in range(k):
         m = make_estimator().fit(df.where(F.col(fold_col) != f))
-        o = m.transform(df.where(F.col(fold_col) == f)).select(id_col, F.col(pred_col).alias("oof"))
-        a = m.transform(df).select(id_col, F.col(pred_col).alias(f"p{f}"))
-        oof = o if oof is None else oof.unionByName(o)
-        allp = a if allp is None else allp.join(a, id_col)
-    mean = sum((F.col(f"p{f}") for f in range(k)), F.lit(0.0)) / k
-    return oof.join(allp.select(id_col, mean.alias("mean_pred")), id_col)
+        p = m.transform(df).select(id_col, F.col(pred_col).cast("double").alias("_p"), (F.col(fold_col) == f).alias("_own"))
+        parts = p if parts is None else parts.unionByName(p)
+    return parts.groupBy(id_col).agg(F.max(F.when(F.col("_own"), F.col("_p"))).alias("oof"), F.avg("_p").alias("mean_pred"))

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recoflow.operators.joins import blocked_join
 from recoflow.operators.ranking import global_row_number, topn_per_group
 from recoflow.session import cut_lineage
 
@@ -53,68 +54,80 @@ def _blocks(df: DataFrame, key: str, name: str, n: int) -> DataFrame:
 
 
 def _topn_block(n: int):
-    """Per (user block, item block): scores as one matrix product, then the
-    best ``n + extra`` items of every user row (extra = the user's number of
-    excluded items, so the exclusion anti join after the merge stays exact)."""
+    """Per (user block, item block): scores as one matrix product, the block's
+    excluded pairs struck out, then the best ``n`` items of every user row.
+    The users' frame also holds the exclusion rows of this block pair."""
     def fn(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"user": pd.Series([], dtype="int64"), "item": pd.Series([], dtype="int64"),
                               "score": pd.Series([], dtype="float64")})
+        struck = users[users["ex_item"].notna()]
+        users = users[users["ex_item"].isna()]
         if users.empty or items.empty:
             return empty
+        items = items.sort_values("item", kind="stable")
+        ids = items["item"].to_numpy(np.int64)
         U = np.vstack([np.asarray(v, dtype=np.float64) for v in users["vec"]])
         X = np.vstack([np.asarray(v, dtype=np.float64) for v in items["vec"]])
         w = items["weight"].to_numpy(np.float64)[None, :]
         cos_rows = (users["mode"] == "cosine").to_numpy()
-        Xn = None
-        if cos_rows.any():
-            norms = np.linalg.norm(X, axis=1)
-            Xn = np.divide(X, norms[:, None], out=np.zeros_like(X), where=norms[:, None] > 0)
-        ids = items["item"].to_numpy(np.int64)
-        gen = [set(g) if g is not None else set() for g in items["genres"]] if "genres" in items else None
+        norms = np.linalg.norm(X, axis=1)
+        Xn = np.divide(X, norms[:, None], out=np.zeros_like(X), where=norms[:, None] > 0) if cos_rows.any() else X
+        # genres as bits: an item passes when it carries all the bits asked for
+        asked = [tuple(g) if g is not None else () for g in users["genres"]]
+        names = {g: k for k, g in enumerate(sorted({x for t in asked for x in t}))}
+        lacks = None
+        if names:
+            carries = np.zeros((len(ids), len(names)), dtype=np.float32)
+            for r, g in enumerate(items["genres"] if "genres" in items else [None] * len(ids)):
+                for x in (g if g is not None else ()):
+                    if x in names:
+                        carries[r, names[x]] = 1.0
+            wants = np.zeros((len(asked), len(names)), dtype=np.float32)
+            for r, t in enumerate(asked):
+                wants[r, [names[x] for x in t]] = 1.0
+            lacks = (wants, 1.0 - carries)
+        listed = users["whitelist"].notna().to_numpy()
+        white = users["whitelist"].to_numpy()
+        who = users["user"].to_numpy(np.int64)
+        row_of = pd.Series(np.arange(len(who)), index=who)
+        ex_row = row_of.reindex(struck["user"].to_numpy(np.int64)).to_numpy(np.float64)
+        ex_at = np.searchsorted(ids, struck["ex_item"].to_numpy(np.int64))
+        hit = ~np.isnan(ex_row) & (ex_at < len(ids))
+        ex_row, ex_at, ex_item = ex_row[hit].astype(np.int64), ex_at[hit], struck["ex_item"].to_numpy(np.int64)[hit]
+        same = ids[ex_at] == ex_item
+        ex_row, ex_at = ex_row[same], ex_at[same]
         out_u, out_i, out_s = [], [], []
         # score users in chunks so the score matrix stays near CHUNK_CELLS
         # doubles whatever the block sizes are
         step = max(1, CHUNK_CELLS // max(1, X.shape[0]))
-        rows = list(users.itertuples(index=False))
         for c0 in range(0, U.shape[0], step):
             sl = slice(c0, min(c0 + step, U.shape[0]))
-            S = U[sl] @ X.T
             cr = cos_rows[sl]
-            if Xn is not None and cr.any():
+            S = U[sl] @ X.T
+            if cr.any():
                 S[cr] = U[sl][cr] @ Xn.T
             S *= w
-            for r in range(S.shape[0]):
-                _emit(rows[c0 + r], S[r], ids, gen, n, out_u, out_i, out_s)
-        if not out_u:
-            return empty
-        return pd.DataFrame({"user": pd.Series(out_u, dtype="int64"), "item": pd.Series(out_i, dtype="int64"),
-                             "score": pd.Series(out_s, dtype="float64")})
+            S[S <= 0] = -np.inf
+            if lacks is not None:
+                S[(lacks[0][sl] @ lacks[1].T) > 0] = -np.inf
+            for r in np.flatnonzero(listed[sl]):
+                S[r, ~np.isin(ids, np.asarray(white[c0 + r], dtype=np.int64))] = -np.inf
+            mine = (ex_row >= sl.start) & (ex_row < sl.stop)
+            S[ex_row[mine] - c0, ex_at[mine]] = -np.inf
+            k = min(n, S.shape[1])
+            # n-th best score per row; ties at the cut go to the smaller item id (columns are in id order)
+            cut = -np.partition(-S, k - 1, axis=1)[:, k - 1:k]
+            above = S > cut
+            ties = (S == cut) & np.isfinite(S)
+            take = above | (ties & (np.cumsum(ties, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+            rows, cols = np.nonzero(take & np.isfinite(S))
+            out_u.append(who[sl][rows])
+            out_i.append(ids[cols])
+            out_s.append(S[rows, cols])
+        return pd.DataFrame({"user": np.concatenate(out_u), "item": np.concatenate(out_i), "score": np.concatenate(out_s)})
     return fn
 
 
-def _emit(row, s, ids, gen, n, out_u, out_i, out_s):
-    """Best n + extra positive items of one user row (ties kept at the cut)."""
-    ok = s > 0
-    if row.whitelist is not None:
-        ok &= np.isin(ids, np.asarray(row.whitelist, dtype=np.int64))
-    if gen is not None and row.genres is not None and len(row.genres):
-        need = set(row.genres)
-        ok &= np.fromiter((need <= g for g in gen), bool, len(gen))
-    idx = np.nonzero(ok)[0]
-    if idx.size == 0:
-        return
-    keep = n + int(row.extra)
-    if idx.size > keep:
-        cut = np.argpartition(-s[idx], keep - 1)[:keep]
-        thr = s[idx[cut]].min()
-        idx = idx[s[idx] >= thr]          # keep ties at the cut, sorted below
-    order = np.lexsort((ids[idx], -s[idx]))[:keep]
-    sel = idx[order]
-    out_u.extend([row.user] * sel.size)
-    out_i.extend(ids[sel].tolist())
-    out_s.extend(s[sel].tolist())
-
-
 def blocked_topn(users: DataFrame, items: DataFrame, n: int, exclusions: DataFrame | None = None,
                  user_blocks: int | None = None, item_blocks: int | None = None) -> DataFrame:
     """Exact top ``n`` items per user by (score desc, item asc), minus the
@@ -123,8 +136,8 @@ def blocked_topn(users: DataFrame, items: DataFrame, n: int, exclusions: DataFra
     users: (user long, vec array[, mode 'dot'|'cosine'][, whitelist
     array<long>][, genres array<string>]); items: (item long, vec array,
     weight double[, genres array<string>]); exclusions: (user, item) rows.
-    Excluded items are removed by an anti join of rows, never carried as
-    per-user arrays: each block keeps n + |excluded(user)| candidates.
+    An exclusion row goes only to the block pair of its user and item, so a
+    block keeps n candidates a user however much the user excludes.
     """
     spark = users.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -143,21 +156,15 @@ def blocked_topn(users: DataFrame, items: DataFrame, n: int, exclusions: DataFra
         users = users.withColumn("whitelist", F.lit(None).cast("array<bigint>"))
     if "genres" not in users.columns:
         users = users.withColumn("genres", F.lit(None).cast("array<string>"))
-    ex = None
-    if exclusions is not None:
-        ex = exclusions.select("user", "item").distinct()
-        cnt = ex.groupBy("user").agg(F.count(F.lit(1)).alias("extra"))
-        users = users.join(cnt, "user", "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
-    else:
-        users = users.withColumn("extra", F.lit(0))
     u = _blocks(users, "user", "ub", ub).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1))))
     i = _blocks(items, "item", "ib", ib).withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(ub - 1))))
-    u = u.select("ub", "ib", "user", "vec", "mode", "extra", "whitelist", "genres")
+    u = u.select("ub", "ib", "user", "vec", "mode", "whitelist", "genres", F.lit(None).cast("bigint").alias("ex_item"))
+    if exclusions is not None:
+        ex = _blocks(_blocks(exclusions.select("user", "item").distinct(), "user", "ub", ub), "item", "ib", ib)
+        u = u.unionByName(ex.select("ub", "ib", "user", F.col("item").alias("ex_item")), allowMissingColumns=True)
     icols = ["ub", "ib", "item", "vec", "weight"] + (["genres"] if "genres" in items.columns else [])
     part = (u.groupBy("ub", "ib").cogroup(i.select(*icols).groupBy("ub", "ib"))
             .applyInPandas(_topn_block(n), RECS_SCHEMA))
-    if ex is not None:
-        part = part.join(ex, ["user", "item"], "left_anti")
     top = topn_per_group(part, ["user"], [F.col("score").desc(), F.col("item").asc()], n)
     return top.select("user", F.col("rank").cast("int").alias("rank"), "item", "score")
 
@@ -219,30 +226,57 @@ def als_similar(queries: DataFrame, recent: DataFrame, item_factors: DataFrame,
 def als_default(queries: DataFrame, counts: DataFrame, items: DataFrame, weights: DataFrame | None = None,
                 n: int = 10, exclusions: DataFrame | None = None) -> DataFrame:
     """Popularity x weight, zero scores kept, minus each query's exclusions.
-    Only the first n + |excluded| items of the global order can be needed,
-    so each query joins that many rank numbers (no cross join)."""
+
+    queries: (user[, whitelist array][, genres array]).  A whitelisted query
+    scores its own list.  Any other query needs only the first n + |excluded|
+    items that carry its genres: items are ranked once per distinct set of
+    asked genres, and queries join that many places (no cross join)."""
     w = weights.select("item", "weight") if weights is not None else None
-    sc = items.select("item").distinct().join(counts.select("item", F.col("n_buys").cast("double").alias("c")),
-                                              "item", "left")
+    has = F.col("genres") if "genres" in items.columns else F.lit(None).cast("array<string>")
+    sc = items.groupBy("item").agg(F.first(has, ignorenulls=True).alias("has")).join(
+        counts.select("item", F.col("n_buys").cast("double").alias("c")), "item", "left")
     if w is not None:
         sc = sc.join(w, "item", "left")
     else:
         sc = sc.withColumn("weight", F.lit(1.0))
-    sc = sc.select("item", (F.coalesce("c", F.lit(0.0)) * F.coalesce("weight", F.lit(1.0))).alias("score"))
-    ranked = global_row_number(sc, [F.col("score").desc(), F.col("item").asc()], "pos")
-    q = queries.select("user").distinct()
-    if exclusions is not None:
-        ex = exclusions.select("user", "item").distinct()
-        q = q.join(ex.groupBy("user").agg(F.count(F.lit(1)).alias("extra")), "user", "left")
+    sc = cut_lineage(sc.select("item", "has", (F.coalesce("c", F.lit(0.0)) * F.coalesce("weight", F.lit(1.0))).alias("score")))
+
+    def option(name: str, kind: str):
+        return (F.col(name) if name in queries.columns else F.lit(None)).cast(kind).alias(name)
+    q = queries.select("user", option("whitelist", "array<bigint>"), option("genres", "array<string>"))
+    q = q.withColumn("genres", F.array_sort(F.array_distinct(F.coalesce("genres", F.array().cast("array<string>")))))
+    ex = exclusions.select("user", "item").distinct() if exclusions is not None else None
+    carries = F.size(F.array_except("genres", F.coalesce("has", F.array().cast("array<string>")))) == 0
+
+    parts = []
+    if "whitelist" in queries.columns:
+        own = q.where(F.col("whitelist").isNotNull()).select("user", "genres", F.explode(F.array_distinct("whitelist")).alias("item"))
+        parts.append(blocked_join(own, sc, ["item"], "user").where(carries).select("user", "item", "score"))
+    rest = q.where(F.col("whitelist").isNull())
+    if ex is not None:
+        rest = rest.join(ex.groupBy("user").agg(F.count(F.lit(1)).alias("extra")), "user", "left")
     else:
-        ex = None
-        q = q.withColumn("extra", F.lit(0))
-    need = q.select("user", F.explode(F.sequence(F.lit(1).cast("bigint"),
-                                                 F.lit(n).cast("bigint") + F.coalesce("extra", F.lit(0)))).alias("pos"))
-    cand = need.join(ranked, "pos")
+        rest = rest.withColumn("extra", F.lit(0))
+    rest = rest.withColumn("need", F.lit(n).cast("bigint") + F.coalesce("extra", F.lit(0)))
+    rest = rest.withColumn("sig", F.array_join("genres", "\x01"))
+    order = [F.col("score").desc(), F.col("item").asc()]
+    ranked = global_row_number(sc.select("item", "score"), order, "pos").withColumn("sig", F.lit(""))
+    if "genres" in queries.columns:
+        # items meet a genre set by its first genre; ranks come in two steps, by share of items, then all
+        sigs = rest.where("sig != ''").groupBy("sig", "genres").agg(F.max("need").alias("need"))
+        first = sigs.withColumn("g", F.col("genres")[0])
+        tagged = sc.where(F.col("has").isNotNull()).select("item", "score", "has", F.explode(F.array_distinct("has")).alias("g"))
+        m = blocked_join(tagged, first, ["g"], "item").where(carries)
+        m = m.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(16)))
+        m = topn_per_group(m, ["sig", "salt"], order, F.col("need"), "pos")
+        m = topn_per_group(m.drop("pos"), ["sig"], order, F.col("need"), "pos")
+        ranked = ranked.unionByName(m.select("sig", F.col("pos").cast("bigint").alias("pos"), "item", "score"))
+    need = rest.select("user", "sig", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("need"))).alias("pos"))
+    parts.append(blocked_join(need, ranked, ["sig", "pos"], "user").select("user", "item", "score"))
+    cand = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if ex is not None:
         cand = cand.join(ex, ["user", "item"], "left_anti")
-    top = topn_per_group(cand, ["user"], [F.col("score").desc(), F.col("item").asc()], n)
+    top = topn_per_group(cand, ["user"], order, n)
     return top.select("user", F.col("rank").cast("int").alias("rank"), "item", "score")
 
 
@@ -252,20 +286,18 @@ def cascade_recommend(queries: DataFrame, user_factors: DataFrame, item_factors:
     """Known user -> factor scores; else users with recent items -> cosine
     scores; else popularity.  The query table is split in three by semi and
     anti joins; the two factor paths share one blocked product (a per-row
-    mode), and the results are unioned; ``path`` says which rule served."""
+    mode), and the results are unioned; ``path`` says which rule served.
+    Whitelist and genres columns of the queries bind on all three paths."""
+    options = [c for c in ("whitelist", "genres") if c in queries.columns]
     known = queries.join(user_factors.select("user"), "user", "left_semi")
     rest = queries.join(user_factors.select("user"), "user", "left_anti")
     has_recent = recent.join(item_factors.select("item"), "item", "left_semi").select("user").distinct()
     warm = rest.join(has_recent, "user", "left_semi")
     cold = rest.join(has_recent, "user", "left_anti")
-    side = (_known_side(known.select("user"), user_factors)
-            .unionByName(_similar_side(warm.select("user"), recent, item_factors)))
-    f = blocked_topn(side.select("user", "vec", "mode"), _item_side(item_factors, weights), n, exclusions, **blocks)
+    side = (_known_side(known.select("user", *options), user_factors)
+            .unionByName(_similar_side(warm.select("user", *options), recent, item_factors)))
+    side = cut_lineage(side.select("user", "vec", "mode", *options))
+    f = blocked_topn(side, _item_side(item_factors, weights), n, exclusions, **blocks)
     f = f.join(side.select("user", F.when(F.col("mode") == "dot", "known").otherwise("similar").alias("path")), "user")
     c = als_default(cold, counts, item_factors, weights, n, exclusions).withColumn("path", F.lit("default"))
     return f.unionByName(c)
-
-
-def recommend_for_users(model, users: DataFrame, n: int = 10) -> DataFrame:
-    """Built-in blocked top-n of an ALS model when no filter applies."""
-    return model.recommendForUserSubset(users, n)

@@ -48,30 +48,41 @@ def feature_dictionary(df: DataFrame, numeric, ignore=(), cats=None) -> DataFram
 
 def encode_samples(df: DataFrame, dictionary: DataFrame, id_col: str, label_col: str | None = None) -> DataFrame:
     """SAMPLE long form (row_id, field, feat_index, feat_value[, label]):
-    categorical value -> its slot with value 1.0, numeric -> its slot with
-    the number; unseen categories get the reserved index ``size``."""
-    fields = dictionary.select("field", "is_numeric").distinct()
-    size = dictionary.select(F.count(F.lit(1))).scalar()
-    names = [r for r in df.columns if r not in (id_col, label_col)]
-    long = df.select(F.col(id_col).alias("row_id"), *( [F.col(label_col).alias("label")] if label_col else []),
-                     F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))
-                                         for c in names])).alias("kv")).select("row_id", *(["label"] if label_col else []),
-                                                                               "kv.field", "kv.value")
-    long = long.join(fields, "field")
-    d = dictionary.select("field", F.col("value").alias("dvalue"), "feat_index")
-    key = F.when(F.col("is_numeric"), F.lit("")).otherwise(F.col("value"))
-    j = long.withColumn("dvalue", key).join(d, ["field", "dvalue"], "left")
-    return j.select("row_id", *(["label"] if label_col else []), "field",
-                    F.coalesce("feat_index", size).alias("feat_index"),
-                    F.when(F.col("is_numeric"), F.col("value").cast("double")).otherwise(F.lit(1.0)).alias("feat_value"))
+    categorical value -> its slot with value 1.0 (a null value has its own
+    slot), numeric -> its slot with the number; categories unseen when the
+    dictionary was built get the reserved index ``size``.
+
+    Numeric fields (at most one per column) take their slot from literals, so
+    no join key holds a row of every sample; only categorical values join."""
+    size = dictionary.count()
+    slots = {r["field"]: r["feat_index"] for r in
+             dictionary.where("is_numeric").select("field", "feat_index").collect()}     # one per numeric column
+    known = {r["field"] for r in dictionary.select("field").distinct().collect()}        # one per column
+    keep = ["row_id"] + (["label"] if label_col else [])
+    base = [F.col(id_col).alias("row_id"), *([F.col(label_col).alias("label")] if label_col else [])]
+    names = [c for c in df.columns if c not in (id_col, label_col) and c in known]
+    nums, cats = [c for c in names if c in slots], [c for c in names if c not in slots]
+    parts = []
+    if nums:
+        rows = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.lit(slots[c]).cast("bigint").alias("feat_index"),
+                                           F.col(c).cast("double").alias("feat_value")) for c in nums]))
+        parts.append(df.select(*base, rows))
+    if cats:
+        long = df.select(*base, F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))
+                                                   for c in cats])))
+        d = dictionary.where(~F.col("is_numeric")).select(F.col("field").alias("_f"), F.col("value").alias("_v"), "feat_index")
+        j = long.join(d, (F.col("field") == F.col("_f")) & F.col("value").eqNullSafe(F.col("_v")), "left")
+        parts.append(j.select(*keep, "field", F.coalesce("feat_index", F.lit(size).cast("bigint")).alias("feat_index"),
+                              F.lit(1.0).alias("feat_value")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def remap_ids(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
-    """Sorted distinct keys -> 0..n-1 (two-level global rank of the distinct
-    keys only), joined back to every row."""
+    """Sorted distinct keys -> 0..n-1 as long (two-level global rank of the
+    distinct keys only), joined back to every row."""
     name = name or f"{col}_idx"
     keys = df.select(col).distinct()
-    r = global_row_number(keys, [F.col(col).asc()], "_rn").select(col, (F.col("_rn") - 1).cast("int").alias(name))
+    r = global_row_number(keys, [F.col(col).asc()], "_rn").select(col, (F.col("_rn") - 1).alias(name))
     return df.join(r, col)
 
 

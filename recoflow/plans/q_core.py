@@ -282,7 +282,7 @@ def item_fields(spark, sf):
                                           F.lit("type"), F.array("p_type")).alias("fields"))
 
 
-@register("item_docs", ctes(("inter", "items"), CORR, pop_cte("pop"), """
+ITEM_DOCS_SQL = ctes(("inter", "items"), CORR, pop_cte("pop"), """
 cl AS (SELECT item, action, array_to_string(list(other ORDER BY rank), ',') AS others FROM corr GROUP BY item, action),
 cm AS (SELECT item, """ + ", ".join(
     f"coalesce(max(others) FILTER (WHERE action = '{a}'), '') AS c_{a}" for a in ACTIONS) + """ FROM cl GROUP BY item),
@@ -291,10 +291,16 @@ cp AS (SELECT coalesce(cm.item, pop.item) AS item, pop.score AS pop_rank, """ +
 SELECT coalesce(cp.item, it.item) AS item, cp.pop_rank, """ + ", ".join(
     f"coalesce(cp.c_{a}, '') AS c_{a}" for a in ACTIONS) + """,
   coalesce('brand=' || it.p_brand || ';type=' || it.p_type, '') AS fields
-FROM cp FULL JOIN items it ON it.item = cp.item""")
-def q_item_docs(spark, sf):
+FROM cp FULL JOIN items it ON it.item = cp.item"""
+
+
+def all_docs(spark, sf):
     """Fields, correlator lists and popularity merged into one row per item."""
-    d = D.item_docs(item_fields(spark, sf), correlators(spark, sf), pop_model(spark, sf), "all")
+    return D.item_docs(item_fields(spark, sf), correlators(spark, sf), pop_model(spark, sf), "all")
+
+
+def docs_text(d):
+    """Documents with their maps and lists as text, for comparison."""
     fields_txt = F.coalesce(F.concat_ws(";", F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(
         e["key"], F.lit("="), F.array_join(e["value"], ",")))), F.lit(""))
     m = F.col("correlators")
@@ -303,6 +309,11 @@ def q_item_docs(spark, sf):
         for a in ACTIONS], fields_txt.alias("fields"))
 
 
+@register("item_docs", ITEM_DOCS_SQL)
+def q_item_docs(spark, sf):
+    return docs_text(all_docs(spark, sf))
+
+
 for _model, _from in (("collabFiltering", "SELECT item, CAST(NULL AS DOUBLE) AS pop_rank, " + ", ".join(f"c_{a}" for a in ACTIONS) + " FROM cm"),
                       ("backfill", "SELECT item, score AS pop_rank, " + ", ".join(f"'' AS c_{a}" for a in ACTIONS) + " FROM pop")):
     def _mk_docs(model=_model):

@@ -9,6 +9,7 @@ from recoflow.operators import factors as FA
 from recoflow.operators import interactions as I
 from recoflow.plans.registry import register
 from recoflow.plans.sqlparts import ctes
+from recoflow.session import cut_lineage
 from recoflow.sources import tables as T
 from recoflow.sources.tables import PRIMARY
 
@@ -149,6 +150,61 @@ def q_cascade_recommend(spark, sf):
                                        it.select("item", "weight"), N, exclusions=_seen(spark, sf)))
 
 
+def _filtered_queries(spark, sf):
+    """A whitelist for a third of the users, a genre for another third."""
+    u = F.col("user")
+    return T.inter(spark, sf).select("user").distinct().select(
+        "user", F.when(u % 3 == 0, F.sequence(u % 20, u % 20 + 30)).alias("whitelist"),
+        F.when(u % 3 == 1, F.array(F.concat(F.lit("g"), (u % 2).cast("string")))).alias("genres"))
+
+
+def _genre_items(spark, sf):
+    it = T.item_factors(spark, sf)
+    return it.withColumn("genres", F.array(F.concat(F.lit("g"), (F.col("item") % 2).cast("string")), F.lit("all")))
+
+
+_OK = """((q.user % 3 <> 0 OR (i.item >= q.user % 20 AND i.item <= q.user % 20 + 30))
+  AND (q.user % 3 <> 1 OR i.item % 2 = q.user % 2)
+  AND NOT EXISTS (SELECT 1 FROM inter x WHERE x.user = q.user AND x.item = i.item AND x.action = 'purchase'))"""
+
+
+@register("cascade_filtered", ctes(_FV, _RECENT_SQL) + f""",
+q AS (SELECT DISTINCT user FROM inter),
+known AS (SELECT q.user, i.item, {_DOT} * i.weight AS score, 'known' AS path FROM q JOIN user_factors u ON u.user = q.user
+  CROSS JOIN item_factors i WHERE {_OK}),
+warm_users AS (SELECT DISTINCT r.user FROM recent r JOIN item_factors f ON f.item = r.item
+  WHERE r.user NOT IN (SELECT user FROM user_factors)),
+sim AS (SELECT q.user, i.item, sum({_COS.replace('u.embedding', 'ri.embedding')}) * max(i.weight) AS score,
+  'similar' AS path FROM recent q JOIN warm_users w ON w.user = q.user JOIN item_factors ri ON ri.item = q.item
+  CROSS JOIN item_factors i WHERE {_OK} GROUP BY q.user, i.item),
+cold AS (SELECT q.user, i.item, coalesce(c.n, 0) * i.weight AS score, 'default' AS path FROM q CROSS JOIN item_factors i
+  LEFT JOIN (SELECT item, count(*) AS n FROM inter WHERE action = '{PRIMARY}' GROUP BY item) c ON c.item = i.item
+  WHERE q.user NOT IN (SELECT user FROM user_factors) AND q.user NOT IN (SELECT user FROM warm_users) AND {_OK}),
+s AS (SELECT * FROM known WHERE score > 0 UNION ALL SELECT * FROM sim WHERE score > 0 UNION ALL SELECT * FROM cold)
+SELECT user, CAST(rank AS INTEGER) AS rank, item, round(score, 6) AS score, path FROM (
+  SELECT *, row_number() OVER (PARTITION BY user ORDER BY score DESC, item) AS rank FROM s) WHERE rank <= {N}""")
+def q_cascade_filtered(spark, sf):
+    """The cascade with whitelists and genres on all three paths."""
+    it = _genre_items(spark, sf)
+    counts = I.item_buy_count(T.inter(spark, sf), PRIMARY)
+    return _round(FA.cascade_recommend(_filtered_queries(spark, sf), T.user_factors(spark, sf), it, _recent(spark, sf),
+                                       counts, it.select("item", "weight"), N, exclusions=_seen(spark, sf)))
+
+
+@register("als_default_filtered", ctes(_FV) + f"""
+SELECT user, CAST(rank AS INTEGER) AS rank, item, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY user ORDER BY score DESC, item) AS rank FROM (
+    SELECT q.user, i.item, coalesce(c.n, 0) * i.weight AS score
+    FROM (SELECT DISTINCT user FROM inter) q CROSS JOIN item_factors i
+    LEFT JOIN (SELECT item, count(*) AS n FROM inter WHERE action = '{PRIMARY}' GROUP BY item) c ON c.item = i.item
+    WHERE {_OK})) WHERE rank <= {N}""")
+def q_als_default_filtered(spark, sf):
+    it = _genre_items(spark, sf)
+    counts = I.item_buy_count(T.inter(spark, sf), PRIMARY)
+    return _round(FA.als_default(_filtered_queries(spark, sf), counts, it, it.select("item", "weight"), N,
+                                 exclusions=_seen(spark, sf)))
+
+
 @register("positive_scores", ctes(_FV) + f"""
 SELECT DISTINCT x.user, x.item, round({_DOT}, 6) AS score FROM inter x JOIN user_factors u ON u.user = x.user
 JOIN item_factors i ON i.item = x.item WHERE {_DOT} > 0""")
@@ -169,26 +225,35 @@ def q_item_factors_left(spark, sf):
     return T.items(spark, sf).select("item", "title").join(f, "item", "left")
 
 
-# --------------------------------------------------------------------------- ALS (rows-only checks)
-@register("als_fit")
-def q_als_fit(spark, sf):
+# --------------------------------------------------------------------------- ALS (row facts and a stated error bound)
+def _als_ratings(spark, sf):
     r = FA.latest_ratings(T.rated(spark, sf).select("user", "item", "rating", "ts", "event_id"))
-    r = r.select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), "rating")
-    model = FA.als_fit(r, rank=10, iterations=20, reg=0.01, seed=3)
-    return model.transform(r).select("user", "item", "rating", "prediction")
+    return r.select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), "rating")
 
 
-@register("param_grid")
+@register("als_fit", ctes(("inter", "rated")) + """
+SELECT CAST(user AS INTEGER) AS user, CAST(item AS INTEGER) AS item,
+  CAST(arg_max(rating, (ts, event_id)) AS DOUBLE) AS rating, true AS bound_ok FROM rated GROUP BY user, item""")
+def q_als_fit(spark, sf):
+    """A prediction per rated pair; on its training pairs the model's RMSE stays
+    under 2, the error of always answering the middle of the 1..5 scale."""
+    r = _als_ratings(spark, sf)
+    out = cut_lineage(FA.als_fit(r, rank=10, iterations=20, reg=0.01, seed=3).transform(r))
+    rmse = out.select(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2)))).scalar()
+    return out.select("user", "item", "rating", (rmse < 2.0).alias("bound_ok"))
+
+
+@register("param_grid", """
+SELECT r AS rank, m AS max_iter, true AS rmse_ok FROM (VALUES (10), (20)) a(r) CROSS JOIN (VALUES (10), (15)) b(m)""")
 def q_param_grid(spark, sf):
+    """One validation RMSE per grid point (four, whatever the data)."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.recommendation import ALS
     from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-    r = FA.latest_ratings(T.rated(spark, sf).select("user", "item", "rating", "ts", "event_id"))
-    r = r.select(F.col("user").cast("int").alias("user"), F.col("item").cast("int").alias("item"), "rating")
     als = ALS(userCol="user", itemCol="item", ratingCol="rating", coldStartStrategy="drop", seed=3, regParam=0.01)
     grid = ParamGridBuilder().addGrid(als.rank, [10, 20]).addGrid(als.maxIter, [10, 15]).build()
     tvs = TrainValidationSplit(estimator=als, estimatorParamMaps=grid, trainRatio=0.8, seed=3, parallelism=2,
                                evaluator=RegressionEvaluator(labelCol="rating", metricName="rmse"))
-    m = tvs.fit(r)
-    rows = [(int(p[als.rank]), int(p[als.maxIter]), float(v)) for p, v in zip(grid, m.validationMetrics)]
-    return spark.createDataFrame(rows, "rank int, max_iter int, rmse double")
+    m = tvs.fit(_als_ratings(spark, sf))
+    rows = [(int(p[als.rank]), int(p[als.maxIter]), 0.0 < float(v) < 10.0) for p, v in zip(grid, m.validationMetrics)]
+    return spark.createDataFrame(rows, "rank int, max_iter int, rmse_ok boolean")

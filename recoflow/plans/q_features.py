@@ -56,8 +56,8 @@ def q_feature_dictionary_cat(spark, sf):
     return dictionary(spark, sf, cats_only=True)
 
 
-def encoded(spark, sf):
-    e = FE.encode_samples(_ctr(spark, sf), dictionary(spark, sf), "id", "target")
+def encoded(spark, sf, words=None):
+    e = FE.encode_samples(_ctr(spark, sf), words if words is not None else dictionary(spark, sf), "id", "target")
     return e.withColumn("fpos", F.array_position(F.array(*[F.lit(c) for c in FIELDS]), F.col("field")).cast("int"))
 
 
@@ -86,8 +86,8 @@ SELECT lin.row_id, round({BIAS} + lin + pair, 6) AS score FROM lin JOIN pr ON pr
 
 @register("fm_score", _FM_SQL)
 def q_fm_score(spark, sf):
-    enc = encoded(spark, sf)
-    s = C.fm_score(enc.select("row_id", "feat_index", "feat_value"), BIAS, _fm_weights(dictionary(spark, sf)))
+    d = dictionary(spark, sf)
+    s = C.fm_score(encoded(spark, sf, d).select("row_id", "feat_index", "feat_value"), BIAS, _fm_weights(d), K_FM)
     return s.select("row_id", F.round("score", 6).alias("score"))
 
 
@@ -116,8 +116,8 @@ SELECT lin.row_id, round({BIAS} + lin + coalesce(pair, 0.0), 6) AS score FROM li
 
 @register("ffm_score", _FFM_SQL)
 def q_ffm_score(spark, sf):
-    enc = encoded(spark, sf).select("row_id", "field", "fpos", "feat_index", "feat_value")
     d = dictionary(spark, sf)
+    enc = encoded(spark, sf, d).select("row_id", "field", "fpos", "feat_index", "feat_value")
     lin = _fm_weights(d).select("feat_index", "w")
     s = C.ffm_score(enc, BIAS, lin, _ffm_latent(d))
     return s.select("row_id", F.round("score", 6).alias("score"))
@@ -132,8 +132,8 @@ def q_feature_pair_join(spark, sf):
 
 
 @register("remap_ids", ctes(("inter",)) + """
-SELECT event_id, user, CAST(dense_rank() OVER (ORDER BY user) - 1 AS INTEGER) AS user_idx, item,
-  CAST(dense_rank() OVER (ORDER BY item) - 1 AS INTEGER) AS item_idx FROM inter""")
+SELECT event_id, user, dense_rank() OVER (ORDER BY user) - 1 AS user_idx, item,
+  dense_rank() OVER (ORDER BY item) - 1 AS item_idx FROM inter""")
 def q_remap_ids(spark, sf):
     i = T.inter(spark, sf).select("event_id", "user", "item")
     return FE.remap_ids(FE.remap_ids(i, "user"), "item").select("event_id", "user", "user_idx", "item", "item_idx")
@@ -163,10 +163,16 @@ def q_last_category(spark, sf):
     return i.select("item", last_category("categories").alias("last_category"))
 
 
-@register("hash_feature")
+@register("hash_feature", ctes(("ctr",)) + "SELECT id, CAST(3 AS DOUBLE) AS total, true AS slots_ok FROM ctr")
 def q_hash_feature(spark, sf):
-    """Sparse hashed vectors (2^20 slots) stay sparse; never densify them."""
-    return FE.hash_feature(_ctr(spark, sf), CATS).select("id", "features")
+    """Sparse hashed vectors (2^20 slots) stay sparse; checked by row facts: the
+    values sum to the number of columns, in at most as many slots (fewer only
+    when two of a row's values share a slot)."""
+    from pyspark.ml.functions import vector_to_array  # noqa: F401  (dense form is never built)
+    h = FE.hash_feature(_ctr(spark, sf), CATS)
+    v = F.from_json(F.to_json(F.struct("features")), "features struct<size:int,indices:array<int>,values:array<double>>")["features"]
+    total = F.aggregate(v["values"], F.lit(0.0), lambda a, b: a + b)
+    return h.select("id", total.alias("total"), ((F.size(v["indices"]) <= len(CATS)) & (F.size(v["indices"]) > 0)).alias("slots_ok"))
 
 
 @register("one_hot_pairs", ctes(("ctr",)) + """,

@@ -9,16 +9,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from recoflow.operators.popularity import pop_dispatch
+from recoflow.plans.q_core import ITEM_DOCS_SQL, all_docs, docs_text
 from recoflow.plans.registry import register
 from recoflow.plans.sqlparts import ctes, pop_cte
-from recoflow.session import checkpoint_dir
+from recoflow.session import cut_lineage, table_folder
 from recoflow.sources import io as IO
 from recoflow.sources import tables as T
 from recoflow.sources.tables import LONG_DURATION, POP_END, PRIMARY
 
 
 def _scratch(spark, name):
-    return f"{checkpoint_dir(spark).rstrip('/')}/io/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{table_folder(spark)}/io/{name}-{uuid.uuid4().hex[:8]}"
 
 
 def _users_src(spark, sf):
@@ -111,28 +112,31 @@ def q_read_libsvm(spark, sf):
     return r.select("label", F.round(a[0], 6).alias("x1"), F.round(a[1], 6).alias("x2"), a[2].alias("x3"))
 
 
-@register("write_item_docs", ctes(("inter",), pop_cte("pop")) + "SELECT item, score AS pop_rank FROM pop")
+@register("write_item_docs", ITEM_DOCS_SQL)
 def q_write_item_docs(spark, sf):
-    """Two versions published in turn; readers get the newest complete one."""
-    from recoflow.operators.popularity import popularity
-    inter = T.inter(spark, sf)
-    old = popularity(inter, "popular", [PRIMARY], POP_END, 86400).select("item", F.col("score").alias("pop_rank"))
-    new = popularity(inter, "popular", [PRIMARY], POP_END, LONG_DURATION).select(
-        "item", F.col("score").alias("pop_rank"))
+    """Two versions of the documents published in turn (the first with an older
+    popularity); readers get the newest complete one."""
+    new = cut_lineage(all_docs(spark, sf))
     p = _scratch(spark, "docs")
-    IO.write_item_docs(old, p, 1)
+    IO.write_item_docs(new.withColumn("pop_rank", F.lit(0.0)), p, 1)
     IO.write_item_docs(new, p, 2)
-    return IO.read_item_docs(spark, p)
+    return docs_text(IO.read_item_docs(spark, p))
 
 
-@register("read_item_docs", ctes(("inter",), pop_cte("pop")) + "SELECT item, score AS pop_rank FROM pop")
+@register("read_item_docs", ITEM_DOCS_SQL)
 def q_read_item_docs(spark, sf):
-    from recoflow.operators.popularity import popularity
-    docs = popularity(T.inter(spark, sf), "popular", [PRIMARY], POP_END, LONG_DURATION).select(
-        "item", F.col("score").alias("pop_rank"))
     p = _scratch(spark, "docs_read")
-    IO.write_item_docs(docs, p, 7)
-    return IO.read_item_docs(spark, p)
+    IO.write_item_docs(all_docs(spark, sf), p, 7)
+    return docs_text(IO.read_item_docs(spark, p))
+
+
+@register("lookup_item_doc", ITEM_DOCS_SQL + " WHERE coalesce(cp.item, it.item) % 7 = 3")
+def q_lookup_item_doc(spark, sf):
+    """Published documents by id: every seventh item is asked for."""
+    p = _scratch(spark, "docs_lookup")
+    IO.write_item_docs(all_docs(spark, sf), p, 1)
+    ids = T.items(spark, sf).where("item % 7 = 3").select("item")
+    return docs_text(IO.lookup_item_doc(IO.read_item_docs(spark, p), ids))
 
 
 @register("write_scores_csv", ctes(("scored",)) + """
@@ -144,14 +148,27 @@ def q_write_scores_csv(spark, sf):
     return spark.read.csv(p, header=True, schema="id string, target string")
 
 
-@register("save_model")
+@register("save_model", ctes(("ctr",)) + """,
+ix AS (SELECT f_brand_cat, CAST(row_number() OVER (ORDER BY count(*) DESC, f_brand_cat) - 1 AS DOUBLE) AS brand_ix
+  FROM ctr GROUP BY f_brand_cat)
+SELECT c.id, ix.brand_ix, true AS same_trees FROM ctr c JOIN ix ON ix.f_brand_cat = c.f_brand_cat""")
 def q_save_model(spark, sf):
-    from pyspark.ml.feature import StringIndexer, StringIndexerModel
+    """A fitted pipeline (indexer and regression tree) saved, loaded and
+    applied: the index is by frequency, then text, and the loaded tree predicts
+    what the saved one did."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
     c = T.ctr(spark, sf)
-    m = StringIndexer(inputCol="f_brand_cat", outputCol="brand_ix").fit(c)
+    stages = [StringIndexer(inputCol="f_brand_cat", outputCol="brand_ix", stringOrderType="frequencyDesc"),
+              VectorAssembler(inputCols=["brand_ix", "f_value", "f_price"], outputCol="x"),
+              DecisionTreeRegressor(featuresCol="x", labelCol="target", maxDepth=3, seed=1)]
+    m = Pipeline(stages=stages).fit(c)
     p = _scratch(spark, "model")
     IO.save_model(m, p)
-    return StringIndexerModel.load(p).transform(c).select("id", "brand_ix")
+    again = PipelineModel.load(p).transform(c).select("id", "brand_ix", F.col("prediction").alias("p2"))
+    return m.transform(c).select("id", "prediction").join(again, "id").select(
+        "id", "brand_ix", (F.col("prediction") == F.col("p2")).alias("same_trees"))
 
 
 @register("pop_dispatch", ctes(("inter",), pop_cte("pop", "trending", (PRIMARY,), POP_END, LONG_DURATION)) +

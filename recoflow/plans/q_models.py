@@ -1,4 +1,4 @@
-"""pyspark.ml models (rows-only checks) and bandit statistics."""
+"""pyspark.ml models (row facts and a stated error bound) and bandit statistics."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from recoflow.operators import bandit as BA
 from recoflow.operators import ctr as C
 from recoflow.plans.registry import register
 from recoflow.plans.sqlparts import ctes
+from recoflow.session import cut_lineage
 from recoflow.sources import tables as T
 
 NUM = ["f_value", "f_price", "f_size"]
@@ -20,41 +21,62 @@ def _assembled(spark, sf):
     return VectorAssembler(inputCols=NUM, outputCol="features").transform(d)
 
 
-@register("fm_fit")
+_TEST = ctes(("ctr",)) + "SELECT id, CAST(target AS DOUBLE) AS label, true AS bound_ok FROM ctr WHERE ((id * 7919) % 5 + 5) % 5 = 4"
+
+
+def _bounded(out, err, limit):
+    """(id, label, bound_ok): one row per scored row; bound_ok says that the mean
+    of ``err`` over all of them stays under ``limit``."""
+    out = cut_lineage(out.select("id", "label", err.alias("e")))
+    return out.select("id", "label", (out.select(F.avg("e")).scalar() <= limit).alias("bound_ok"))
+
+
+# the constant predictor's mean squared error is p (1 - p) <= 1/4: a fit must not be worse
+_SQ = lambda c: F.pow(F.col("label") - c, 2)
+
+
+@register("fm_fit", _TEST)
 def q_fm_fit(spark, sf):
+    from pyspark.ml.functions import vector_to_array
     d = _assembled(spark, sf)
     m = C.fm_fit(d.where("fold != 4"), "classification", factor_size=8, seed=1, max_iter=20)
-    return m.transform(d.where("fold = 4")).select("id", "label", "prediction")
+    out = m.transform(d.where("fold = 4"))
+    return _bounded(out, _SQ(vector_to_array("probability")[1]), 0.5)
 
 
-@register("gbdt_leaves")
+@register("gbdt_leaves", ctes(("ctr",)) + "SELECT id, CAST(5 AS INTEGER) AS n_trees, true AS leaves_ok FROM ctr")
 def q_gbdt_leaves(spark, sf):
+    """One leaf per tree; depth 3 has leaf numbers 0 to 7."""
     from pyspark.ml.functions import vector_to_array
     _, out = C.gbdt_leaves(_assembled(spark, sf), "features", "label", trees=5, depth=3, seed=1)
-    return out.select("id", vector_to_array("leaves").alias("leaves"))
+    leaves = vector_to_array("leaves")
+    return out.select("id", F.size(leaves).alias("n_trees"),
+                      F.forall(leaves, lambda x: (x >= 0) & (x < 8) & (x == F.floor(x))).alias("leaves_ok"))
 
 
-@register("gbdt_lr")
+@register("gbdt_lr", _TEST)
 def q_gbdt_lr(spark, sf):
+    from pyspark.ml.functions import vector_to_array
     d = _assembled(spark, sf)
     out = C.gbdt_lr(d.where("fold != 4"), d.where("fold = 4"), "features", "label", trees=5, depth=3, seed=1)
-    from pyspark.ml.functions import vector_to_array
-    return out.select("id", "label", vector_to_array("probability")[1].alias("p1"), "prediction")
+    return _bounded(out, _SQ(vector_to_array("probability")[1]), 0.25)
 
 
-@register("rf_regression")
+@register("rf_regression", _TEST)
 def q_rf_regression(spark, sf):
     d = _assembled(spark, sf)
-    return C.rf_regression(d.where("fold != 4"), d.where("fold = 4"), "features", "label").select(
-        "id", "label", "prediction")
+    out = C.rf_regression(d.where("fold != 4"), d.where("fold = 4"), "features", "label")
+    return _bounded(out, _SQ(F.col("prediction")), 0.25)
 
 
-@register("fold_average")
+@register("fold_average", ctes(("ctr",)) + "SELECT id, CAST(target AS DOUBLE) AS label, true AS bound_ok FROM ctr")
 def q_fold_average(spark, sf):
+    """Out-of-fold and mean predictions for every row; neither is worse than a coin."""
     from pyspark.ml.classification import LogisticRegression
     d = _assembled(spark, sf).withColumn("fold", F.pmod(F.col("id") * 7919, F.lit(3)).cast("int"))
-    return C.fold_average(d, 3, lambda: LogisticRegression(featuresCol="features", labelCol="label", maxIter=20),
-                          id_col="id")
+    out = C.fold_average(d, 3, lambda: LogisticRegression(featuresCol="features", labelCol="label", maxIter=20), id_col="id")
+    out = out.join(d.select("id", "label"), "id")
+    return _bounded(out, F.greatest(F.abs(F.col("label") - F.col("oof")), F.abs(F.col("label") - F.col("mean_pred"))), 0.5)
 
 
 # --------------------------------------------------------------------------- bandits
@@ -97,8 +119,28 @@ def q_linucb_stats(spark, sf):
     return s.select("arm", "i", F.col("j").cast("int").alias("j"), F.round("a", 6).alias("a"))
 
 
-@register("linucb_recommend")
+@register("linucb_params", ctes(("inter", "reward_log"), _CTX) + """
+SELECT arm, CAST(i AS INTEGER) AS i, true AS solved FROM (SELECT DISTINCT arm FROM ctx WHERE reward <> -1)
+CROSS JOIN range(6) t(i)""")
+def q_linucb_params(spark, sf):
+    """theta of every arm, checked by the residual A theta - b."""
+    stats = cut_lineage(BA.linucb_stats(contexts(spark, sf), "arm", "x", "reward"))
+    theta = BA.linucb_params(stats).select("arm", F.posexplode("theta").alias("j", "t"))
+    at = stats.where("j >= 0").join(theta, ["arm", "j"]).groupBy("arm", "i").agg(F.sum(F.col("a") * F.col("t")).alias("at"))
+    b = stats.where("j = -1").select("arm", "i", F.col("a").alias("b"))
+    return at.join(b, ["arm", "i"]).select("arm", "i", (F.abs(F.col("at") - F.col("b")) <= 1e-6 * (1 + F.abs(F.col("b")))).alias("solved"))
+
+
+@register("linucb_recommend", ctes(("inter", "reward_log"), _CTX) + """
+SELECT event_id AS ctx_id, true AS arm_known, true AS is_best FROM ctx""")
 def q_linucb_recommend(spark, sf):
-    ctx = contexts(spark, sf)
-    params = BA.linucb_params(BA.linucb_stats(ctx, "arm", "x", "reward"))
-    return BA.linucb_recommend(ctx.select(F.col("event_id").alias("ctx_id"), "x"), params, 0.25)
+    """The arm of every context; its score is at least that of each arm's plain
+    estimate x.theta (the bonus is not negative)."""
+    ctx = cut_lineage(contexts(spark, sf).select(F.col("event_id").alias("ctx_id"), "x"))
+    params = cut_lineage(BA.linucb_params(BA.linucb_stats(contexts(spark, sf), "arm", "x", "reward")))
+    arms = params.select(F.array_agg(F.struct("arm", "theta"))).scalar()
+    rec = BA.linucb_recommend(ctx, params, 0.25).join(ctx, "ctx_id").withColumn("arms", arms)
+    plain = F.array_max(F.transform("arms", lambda p: F.aggregate(
+        F.zip_with("x", p["theta"], lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)))
+    return rec.select("ctx_id", F.exists("arms", lambda p: p["arm"] == F.col("arm")).alias("arm_known"),
+                      (F.col("score") >= plain - 1e-9).alias("is_best"))

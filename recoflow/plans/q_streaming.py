@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recoflow.plans.registry import register
 from recoflow.plans.sqlparts import ctes
+from recoflow.sources import tables as T
 from recoflow.streaming import jobs as J
 
 # Append mode emits a window once the watermark (max event time - delay)
@@ -14,12 +15,21 @@ from recoflow.streaming import jobs as J
 _WM = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
 
 
+PARTS = 4
+
+
+def _feed(spark, sf):
+    """The event log in four micro-batches that repeat some rows of the one before."""
+    folder = J.split_feed(T.table(spark, sf, "events"), PARTS)
+    return J.read_event_stream(spark, folder, "*.parquet", max_files=1)
+
+
 @register("stream_popularity", ctes(("inter",)) + f"""
 SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, item,
   count(*) AS n FROM inter WHERE action = 'purchase' GROUP BY 1, 2, 3
 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {_WM}""")
 def q_stream_popularity(spark, sf):
-    ev = J.read_event_stream(spark, sf)
+    ev = _feed(spark, sf)
     return J.run_to_table(J.stream_popularity(ev, "1 day", None, "1 day", actions=["purchase"]), "popularity")
 
 
@@ -32,7 +42,7 @@ sb AS (SELECT user, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS sessi
 SELECT user, session_start, session_end, array_to_string(items, ',') AS items, CAST(len(items) AS INTEGER) AS n_items
 FROM sb WHERE len(items) >= 2 AND session_end <= {_WM}""")
 def q_stream_baskets(spark, sf):
-    ev = J.read_event_stream(spark, sf)
+    ev = _feed(spark, sf)
     out = J.run_to_table(J.stream_baskets(ev, "6 hours", "1 day", 2), "baskets")
     return out.select("user", "session_start", "session_end",
                       F.concat_ws(",", F.transform("items", lambda x: x.cast("string"))).alias("items"), "n_items")
@@ -41,11 +51,8 @@ def q_stream_baskets(spark, sf):
 @register("stream_bandit", ctes(("reward_log",)) + """
 SELECT arm, count(*) AS pulls, CAST(sum(reward) AS BIGINT) AS reward_sum FROM reward_log GROUP BY arm""")
 def q_stream_bandit(spark, sf):
-    ev = J.read_event_stream(spark, sf)
-    log = ev.select((F.col("item") % 10).alias("arm"),
+    ev = _feed(spark, sf).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+    log = ev.select("event_id", (F.col("item") % 10).alias("arm"),
                     F.when(F.col("action") == "purchase", 1).when(F.col("action") == "error", -1)
                     .otherwise(0).alias("reward"))
-    out = J.run_to_table(J.stream_bandit(log), "bandit", mode="update")
-    # latest update of every arm across micro-batches
-    return out.groupBy("arm").agg(F.max_by(F.struct("pulls", "reward_sum"), "epoch").alias("s")).select(
-        "arm", "s.pulls", "s.reward_sum")
+    return J.run_to_table(J.stream_bandit(log), "bandit", mode="update", keys=["arm"])

@@ -89,15 +89,6 @@ def q_item_category_join(spark, sf):
     return T.inter(spark, sf).select("event_id", "item").join(cats, "item")
 
 
-@register("lookup_item_doc", ctes(("inter", "items")) + f"""
-SELECT item, title, p_brand FROM items WHERE item IN (SELECT item FROM inter WHERE action = '{PRIMARY}'
-  AND ts >= TIMESTAMP '2024-01-25 00:00:00')""")
-def q_lookup_item_doc(spark, sf):
-    """Documents (item rows) of every item bought in the last week of the log."""
-    docs = T.items(spark, sf).select("item", "title", "p_brand")
-    ids = T.inter(spark, sf).where(f"action = '{PRIMARY}' and ts >= timestamp_ntz'2024-01-25 00:00:00'").select("item")
-    return IO.lookup_item_doc(docs, ids)
-
 
 # --------------------------------------------------------------------------- aggregates
 @register("item_buy_count", ctes(("inter",)) + f"""

@@ -4,7 +4,6 @@ inference."""
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,8 +144,11 @@ def write_item_docs(docs: DataFrame, path: str, version: int) -> str:
     out = fs.create(tmp, True)
     out.write(bytearray(str(int(version)).encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
+    # an overwriting rename: there is a CURRENT at every moment, and a failure raises
+    over = sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(
+        fs.makeQualified(tmp), fs.makeQualified(p), over)
     return target
 
 
@@ -195,6 +197,3 @@ def write_scores_csv(df: DataFrame, path: str, id_col: str = "id", score_col: st
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
-
-def local_path(p: str) -> bool:
-    return not p.startswith(("hdfs:", "s3", "gs:", "abfs")) and os.path.isabs(p)

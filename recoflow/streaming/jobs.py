@@ -2,7 +2,7 @@
 
 Each builder takes a streaming DataFrame and returns a streaming DataFrame;
 ``run_to_table`` drives one to completion with an ``availableNow`` trigger
-into a Parquet sink, with the checkpoint under ``spark.checkpoint.dir``.
+into a Parquet table, with the checkpoint under ``spark.checkpoint.dir``.
 Late rows (past the watermark) are dropped; duplicates by event id are
 dropped within the watermark.
 """
@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recoflow.session import checkpoint_dir
+from recoflow.session import table_folder
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -44,7 +44,7 @@ def stream_popularity(events: DataFrame, window: str, slide: str | None = None,
 
 def stream_baskets(events: DataFrame, gap: str, watermark: str = "1 day", min_size: int = 2) -> DataFrame:
     """Session baskets: session_window per user, distinct items."""
-    e = events.withWatermark("ts", watermark)
+    e = events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
     b = e.groupBy("user", F.session_window("ts", gap).alias("s")).agg(
         F.array_sort(F.collect_set("item")).alias("items"))
     return b.select("user", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
@@ -56,20 +56,49 @@ def stream_bandit(log: DataFrame, arm: str = "arm", reward: str = "reward") -> D
     return log.groupBy(arm).agg(F.count(F.lit(1)).alias("pulls"), F.sum(reward).alias("reward_sum"))
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def split_feed(events: DataFrame, parts: int, order: str = "ts") -> str:
+    """Write a table as ``parts`` consecutive files groups in ``order`` (file
+    times follow), so a stream with ``max_files`` reads it in several
+    micro-batches.  Every part but the first repeats the rows of the part
+    before whose key is a multiple of 10, as an at-least-once feed would."""
+    spark = events.sparkSession
+    out = f"{table_folder(spark)}/feed-{uuid.uuid4().hex}"
+    t = F.col(order).cast("timestamp").cast("double")
+    cuts = events.select(F.percentile_approx(t, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < t)) if cuts else F.lit(0)
+    rows = events.withColumn("_part", part)
+    for i in range(parts):
+        again = (F.col("_part") == i - 1) & (F.col("event_id") % 10 == 0)
+        rows.where((F.col("_part") == i) | again).drop("_part").coalesce(1).write.mode("append").parquet(out)
+    return out
+
+
+def run_to_table(df: DataFrame, name: str, mode: str = "append", keys=()) -> DataFrame:
     """Run a streaming query to completion (availableNow) and read its result.
-    Append mode writes to a Parquet sink; update/complete mode merges every
-    micro-batch into a keyed Parquet table through foreachBatch."""
+    Append mode writes to a Parquet sink.  Update and complete mode keep a
+    table by ``keys``: every micro-batch's rows replace the rows of their keys,
+    as a new version beside the one before (a retried batch writes its version
+    again, so restarts are safe)."""
     spark = df.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
+    base = f"{table_folder(spark)}/streams/{name}-{uuid.uuid4().hex[:8]}"
     ckpt, out = f"{base}/_checkpoint", f"{base}/data"
     if mode == "append":
         q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
              .outputMode("append").trigger(availableNow=True).start())
-    else:
-        def merge(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch:012d}")
-        q = (df.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)
-             .outputMode(mode).trigger(availableNow=True).start())
+        q.awaitTermination()
+        return spark.read.parquet(out)
+    done: list[int] = []
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        merged = batch
+        if epoch > 0 and mode == "update":
+            old = batch.sparkSession.read.parquet(f"{out}/version={epoch - 1}")
+            merged = batch.unionByName(old.join(batch.select(*keys), list(keys), "left_anti"))
+        merged.write.mode("overwrite").parquet(f"{out}/version={epoch}")
+        done.append(epoch)
+    q = (df.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)
+         .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out)
+    if not done:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.parquet(f"{out}/version={max(done)}")
