@@ -69,7 +69,7 @@ def negatives(positives: DataFrame, seen: DataFrame, items: DataFrame, n: int, s
     the user has not seen (all of them when there are fewer).
 
     The catalog is ordered by md5(seed|item).  With U unseen items of a user,
-    draw j is a hash of (seed, user, item, j) inside the j-th of n equal
+    draw j is a hash of (seed, pid, j) inside the j-th of n equal
     slices of 0..U-1, so draws of one row, and of different rows, are not tied
     to each other.  The r-th unseen place is found by gap arithmetic: it is
     r + k, where k counts the user's seen places s_0 < s_1 < ... with
@@ -90,7 +90,7 @@ def negatives(positives: DataFrame, seen: DataFrame, items: DataFrame, n: int, s
     draws = draws.select("*", unseen.alias("_u"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("j"))
     draws = draws.withColumn("_lo", F.expr(f"j * _u div {n}")).withColumn("_hi", F.expr(f"(j + 1) * _u div {n}"))
     draws = draws.where(F.col("_hi") > F.col("_lo")).withColumn(
-        "_r", F.col("_lo") + F.pmod(hash32(F.lit(str(seed)), "user", "item", "j"), F.col("_hi") - F.col("_lo")))
+        "_r", F.col("_lo") + F.pmod(hash32(F.lit(str(seed)), pid, "j"), F.col("_hi") - F.col("_lo")))
     w = Window.partitionBy("user").orderBy("_p")
     gaps = places.select("user", (F.col("_p") - F.row_number().over(w) + 1).alias("_r"), F.lit(1).alias("_seen"))
     line = gaps.unionByName(draws.select("user", "_r", F.lit(0).alias("_seen"), pid, "item", "j", "_base"),

@@ -139,7 +139,7 @@ unseen AS (SELECT u.user, c.item, row_number() OVER (PARTITION BY u.user ORDER B
 sizes AS (SELECT user, max(n) AS n FROM unseen GROUP BY user),
 slices AS (SELECT p.event_id, p.user, p.item, j, j * z.n // {n} AS lo, (j + 1) * z.n // {n} AS hi
   FROM positives p JOIN sizes z ON z.user = p.user CROSS JOIN range({n}) t(j)),
-picks AS (SELECT event_id, user, item, j, lo + ('0x' || substr(md5('{SEED}|' || user || '|' || item || '|' || j), 1, 8))::BIGINT
+picks AS (SELECT event_id, user, item, j, lo + ('0x' || substr(md5('{SEED}|' || event_id || '|' || j), 1, 8))::BIGINT
   % (hi - lo) AS r FROM slices WHERE hi > lo),
 neg AS (SELECT k.event_id, k.user, k.item, u.item AS neg_item, k.j FROM picks k JOIN unseen u ON u.user = k.user AND u.r = k.r)"""
 
