@@ -2,8 +2,9 @@
 
 Row identity: documents may repeat an id, so a row is known by
 (doc_id, row_key(text)); rows equal in both are interchangeable.
-Internal columns start with ``_x`` and inputs are narrowed to the columns an
-operator reads, so extra or clashing columns of the input do not matter.
+Inputs are narrowed to the columns an operator reads, or packed in one column
+(``whole_rows``) where whole rows are returned, so extra or clashing columns of
+the input do not matter.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ def row_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text).isNull(), F.col(text))
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` packed in one column ``row``: whatever an operator
+    adds beside it cannot clash with a column of the input.  ``row.*`` unpacks."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

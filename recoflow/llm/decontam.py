@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recoflow.llm.common import row_key
+from recoflow.llm.common import row_key, whole_rows
 from recoflow.session import cut_lineage
 
 #: Word offsets that a seed looks at (fixed values): weight 5, spans 6 and 7.
@@ -105,6 +105,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     """``docs`` without the rows that overlap an item; columns stay as they are."""
     bad = contaminated(docs, items, id_col=id_col, text_col=text_col, **options).select(
         F.col("rk").alias("_xrk"), F.col("doc_id").alias("_xid")).distinct()
-    d = docs.withColumn("_xk", row_key(text_col))
-    kept = d.join(bad, (F.col("_xk") == F.col("_xrk")) & F.col(id_col).cast("long").eqNullSafe(F.col("_xid")), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = whole_rows(docs).withColumn("k", row_key(f"row.{text_col}"))
+    kept = d.join(bad, (F.col("k") == F.col("_xrk")) & F.col(f"row.{id_col}").cast("long").eqNullSafe(F.col("_xid")), "left_anti")
+    return kept.select("row.*")

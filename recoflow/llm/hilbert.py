@@ -121,14 +121,14 @@ def shard_rows(docs: DataFrame, shards: int = 8, bits: int = BITS, id_col: str =
     cuts = quantile_cuts(docs, id_col, bits)
     curve = curve_index([cell("source"), cell("lang"), by_log(size, bits), by_rank(F.col(id_col), cuts)], bits)
     added = [size.alias("_xsize"), crc.alias("_xcrc"), curve.alias("_xcurve")]
-    cols = [F.col(f"`{c}`") for c in docs.columns] if keep else [F.col(id_col)]
-    out, total = numbered(docs.select(*cols, *added), ["_xcurve", id_col, "_xcrc", "_xsize"])
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
+    out, total = numbered(docs.select(F.col(id_col).alias("_xdoc"), *rest, *added), ["_xcurve", "_xdoc", "_xcrc", "_xsize"])
     out = out.withColumn("_xshard", F.expr(f"cast(_xpos * {shards} div {max(total, 1)} as int)"))
     slot = F.col("_xpos") - F.expr(f"(_xshard * {total}L + {shards - 1}) div {shards}")
     if keep:
-        return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")],
+        return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("shard", "slot")],
                           F.col("_xshard").alias("shard"), slot.alias("slot"))
-    return out.select(F.col(id_col).alias("doc_id"), F.col("_xsize").alias("size"), F.col("_xcrc").alias("text_crc32"),
+    return out.select(F.col("_xdoc").alias("doc_id"), F.col("_xsize").alias("size"), F.col("_xcrc").alias("text_crc32"),
                       F.lit("rows").alias("law"), F.col("_xshard").alias("shard"), slot.alias("slot"),
                       F.lit(None).cast("int").alias("grown_shard"))
 

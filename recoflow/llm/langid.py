@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recoflow.llm.common import whole_rows
+
 BUCKETS, ORDERS, MAX_LANGS, SLICE, CHUNK = 1 << 15, (1, 2, 3), 512, 1 << 20, 1 << 18
 PER_LANG, TRAIN_TASKS, ALPHA = 3000, 12, 0.5
 UND = "und"
@@ -190,6 +192,5 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, per_lang: int = PER
     """``docs`` without the rows whose language is ``und`` or less sure than
     ``min_score``; columns stay as they are."""
     model = train(docs.where(~held_out()), per_lang=per_lang)
-    d = docs.withColumn("_xp", predicted(docs, model))
-    return d.where((F.col("_xp.lang") != UND) & (F.col("_xp.score") >= min_score)).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    d = whole_rows(docs).withColumn("p", predicted(docs, model, "row.text"))
+    return d.where((F.col("p.lang") != UND) & (F.col("p.score") >= min_score)).select("row.*")

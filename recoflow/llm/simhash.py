@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recoflow.llm.common import row_key, skew_lookup
+from recoflow.llm.common import row_key, skew_lookup, whole_rows
 from recoflow.session import cut_lineage
 
 BITS, SEED, BUCKET, CHUNK = 64, 42, 2048, 1 << 17
@@ -234,6 +234,6 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "
     best = (mine.join(cls, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .groupBy("comp").agg(F.min(F.struct("rk", "doc_id")).alias("b"))
             .select(F.col("b.rk").alias("_xrk"), F.col("b.doc_id").alias("_xid")))
-    d = docs.withColumn("_xk", row_key(text_col))
-    kept = d.join(best, (F.col("_xk") == F.col("_xrk")) & F.col(id_col).cast("long").eqNullSafe(F.col("_xid")))
-    return kept.dropDuplicates(["_xrk", "_xid"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = whole_rows(docs).withColumn("k", row_key(f"row.{text_col}"))
+    kept = d.join(best, (F.col("k") == F.col("_xrk")) & F.col(f"row.{id_col}").cast("long").eqNullSafe(F.col("_xid")))
+    return kept.dropDuplicates(["_xrk", "_xid"]).select("row.*")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recoflow.llm.common import partitions, skew_lookup
-from recoflow.session import checkpoint_dir, cut_lineage
+from recoflow.session import cut_lineage, table_folder
 
 RECORDS_PER_FILE = 4096
 RUN_FIELDS = ("run string, seq long, urlkey string, ts string, record_id string, url string, record_type string, "
@@ -220,7 +220,7 @@ def capture_index(captures: DataFrame, min_bytes: int = 0, path: str | None = No
     line, null dates sort first, null ids come back as null; repeated rows are
     separate records; an empty table gives an empty index."""
     spark = captures.sparkSession
-    path = path or f"{checkpoint_dir(spark).rstrip('/')}/warc/{uuid.uuid4().hex}"
+    path = path or f"{table_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(captures, path, min_bytes)
     return merged_index(cut_lineage(capture_runs(spark, path)))
 

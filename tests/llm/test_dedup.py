@@ -55,7 +55,7 @@ def test_near_duplicates_match_brute_force(spark, make):
     got = sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=str)
     assert got == sorted(((i, f"{f:016x}", c) for (i, f), c in zip(rows, want)), key=str)
     kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(group)) and sorted(map(str, ids)) == sorted(str(c) for c in dict(zip(group, want)).values())
 
