@@ -4,13 +4,14 @@
    rows (a bounded sample, ``TRAIN_ROWS``) with SQL aggregates; domains are the
    label combinations.  It gives every document posteriors p(domain); the evidence
    is divided by ``TEMPERATURE`` because features are not independent.
-2. Document rates r >= 0 (expected copies) make the expected tokens of the
-   domains, S = sum_i r_i t_i p_i, meet target totals T: weighted least
-   squares (S - T)' M^-1 (S - T) / 2 with M = sum_i t_i p_i p_i', solved by
-   projected gradient from r = 1.  In the metric that scales a document's
-   coordinate by its tokens the gradient is p_i . M^-1 (S - T) and its
-   Lipschitz constant is exactly 1, so the step is 1:
-   r_i <- max(0, r_i - p_i . M^-1 (S - T)).
+2. Document rates r in [0, MAX_RATE] (expected copies) make the expected tokens
+   of the domains, S = sum_i r_i t_i p_i, meet target totals T: weighted least
+   squares (S - T)' M^-1 (S - T) / 2 with M = sum_i t_i p_i p_i' plus a small
+   ridge, solved by projected gradient from r = 1.  In the metric that scales a
+   document's coordinate by its tokens the gradient is p_i . M^-1 (S - T) and
+   its Lipschitz constant is at most 1, so the step is 1:
+   r_i <- min(MAX_RATE, max(0, r_i - p_i . M^-1 (S - T))).
+   A domain without labelled documents gets no posterior and no target.
    An iteration is one aggregate over all documents that returns S (as many
    numbers as domains); a rate is a closed expression of the document's own
    posteriors and those few vectors, so nothing per document is collected.
@@ -22,12 +23,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recoflow.llm.common import whole_rows
 from recoflow.session import cut_lineage
 
 DOMAINS = ("good", "good_toxic", "junk", "junk_toxic")     # quality 1 or 0, toxic 0 or 1
 TARGETS = {"good": 0.80, "good_toxic": 0.07, "junk": 0.11, "junk_toxic": 0.02}
 TRAIN_ROWS, BUCKETS, KEPT, TEMPERATURE = 20_000, 1 << 16, 96, 4.0
-STEPS, GAP = 30, 1e-6
+STEPS, GAP, RIDGE = 30, 1e-6, 1e-6
+#: No document is repeated more often; targets that would need more are met as nearly as possible.
+MAX_RATE = 8.0
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -57,10 +61,12 @@ def features(words: str = "w") -> Column:
 
 class Classifier:
     """Log odds per kept feature (at most KEPT rows of one number per domain)
-    on top of ``start``, the log priors plus the evidence of no feature."""
+    on top of ``start``, the log priors plus the evidence of no feature.
+    ``present``: the domains with labelled documents; nothing is known of the
+    others, so their posterior is 0 (without any label all are equal)."""
 
-    def __init__(self, start: np.ndarray, weights: dict[int, np.ndarray]):
-        self.start, self.weights = start, weights
+    def __init__(self, start: np.ndarray, weights: dict[int, np.ndarray], present: list[bool]):
+        self.start, self.weights, self.present = start, weights, present
 
     def log_scores(self, feats: DataFrame) -> DataFrame:
         """Adds _xl0.. (unnormalised log posteriors) from the feature list _xf."""
@@ -110,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         p = (np.array([r[x] for x in DOMAINS]) + 0.5) / (sizes + 1.0)
         weights[r["f"]] = (np.log(p) - np.log1p(-p)) / TEMPERATURE
         priors = priors + np.log1p(-p) / TEMPERATURE
-    return Classifier(priors, weights)
+    return Classifier(priors, weights, [bool(n) for n in sizes])
 
 
 def memberships(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
@@ -119,36 +125,41 @@ def memberships(docs: DataFrame, model: Classifier, text_col: str = "text") -> D
     d = docs.withColumn("_xw", tokens(text_col))
     d = d.select(*names, F.size("_xw").cast("double").alias("_xt"), features("_xw").alias("_xf"))
     d = model.log_scores(d)
-    soft = [F.col(f"_xl{i}") for i in range(len(DOMAINS))]
-    return d.select(*names, "_xt", *[
-        (F.lit(1.0) / sum((F.exp(y - x) for y in soft[1:]), F.exp(soft[0] - x))).alias(f"_xp{i}")
-        for i, x in enumerate(soft)])
+    use = [i for i, known in enumerate(model.present) if known] or list(range(len(DOMAINS)))
+
+    def posterior(i: int) -> Column:
+        if i not in use:
+            return F.lit(0.0)
+        return F.lit(1.0) / sum((F.exp(F.col(f"_xl{j}") - F.col(f"_xl{i}")) for j in use), F.lit(0.0))
+    return d.select(*names, "_xt", *[posterior(i).alias(f"_xp{i}") for i in range(len(DOMAINS))])
 
 
 def _rate(steps: list[np.ndarray]) -> Column:
     """The rate after the given gradient vectors, from the posterior columns."""
     r = F.lit(1.0)
     for g in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.col(f"_xp{i}") * float(x) for i, x in enumerate(g[1:], 1)),
-                                           F.col("_xp0") * float(g[0])))
+        r = r - sum((F.col(f"_xp{i}") * float(x) for i, x in enumerate(g[1:], 1)), F.col("_xp0") * float(g[0]))
+        r = F.least(F.greatest(r, F.lit(0.0)), F.lit(MAX_RATE))
     return r
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], steps: int = STEPS, gap: float = GAP) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def fit_rates(members: DataFrame, targets: dict[str, float], present: list[bool], steps: int = STEPS,
+              gap: float = GAP) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Gradient vectors of the projected descent, the reached and the target
-    token totals.  Target totals are the weights times all tokens.  Stops when
-    every domain is within ``gap`` of all tokens, or after ``steps``."""
+    token totals.  Target totals are all tokens, dealt by the weights of the
+    domains that have labelled documents (none: every rate stays 1).  Stops
+    when every domain is within ``gap`` of all tokens, or after ``steps``."""
     n = len(DOMAINS)
     p = [F.col(f"_xp{i}") for i in range(n)]
     t = F.col("_xt")
     row = members.agg(F.sum(t), *[F.sum(t * p[i] * p[j]) for i in range(n) for j in range(n)]).first()
     total = float(row[0] or 0.0)
-    want = np.array([targets.get(x, 0.0) for x in DOMAINS])
-    want = want / want.sum() * total
-    if not total:
+    want = np.array([targets.get(x, 0.0) if known else 0.0 for x, known in zip(DOMAINS, present)])
+    if not total or not want.sum():
         return [], want, want
+    want = want / want.sum() * total
     m = np.array([float(x) for x in row[1:]]).reshape(n, n)
-    inverse = np.linalg.pinv(m, rcond=1e-9, hermitian=True)
+    inverse = np.linalg.inv(m + RIDGE * np.trace(m) * np.eye(n))
     done: list[np.ndarray] = []
     while True:
         r = _rate(done)
@@ -165,8 +176,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     ``copies`` rounds the rate by a hash of id and text, so its expectation is
     the rate.  Null and empty texts have no tokens and keep their rate by
     their posteriors; repeated rows get equal rates; null ids are rounded like
-    any other; without labels every posterior is the prior; an empty table
-    gives no rows."""
+    any other; without labels the posteriors are equal and every rate is 1; an
+    empty table gives no rows."""
     members, steps = _prepared(docs, labels, targets, id_col, text_col)
     out = members.withColumn("_xr", _rate(steps))
     return out.select("doc_id", F.col("_xt").cast("long").alias("n_tokens"),
@@ -186,7 +197,7 @@ def _prepared(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
     narrow = memberships(narrow, model).select(
         "doc_id", F.xxhash64("doc_id", "text").alias("_xk"), "_xt", *[f"_xp{i}" for i in range(len(DOMAINS))])
     members = cut_lineage(narrow)
-    steps, _, _ = fit_rates(members, targets or TARGETS)
+    steps, _, _ = fit_rates(members, targets or TARGETS, model.present)
     return members, steps
 
 
@@ -198,6 +209,6 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     # equal rows have equal copies, so one row per key answers for all of them
     n = members.select("_xk", _copies(_rate(steps), F.col("_xk")).alias("_xn")).where("_xn > 0").dropDuplicates(["_xk"])
     n = n.select(F.col("_xk").alias("_xkey"), "_xn")
-    d = docs.withColumn("_xk", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
-    j = d.join(n, F.col("_xk") == F.col("_xkey")).withColumn("_xc", F.explode(F.array_repeat(F.lit(0), F.col("_xn"))))
-    return j.select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = whole_rows(docs).withColumn("k", F.xxhash64(F.col(f"row.{id_col}").cast("long"), F.col(f"row.{text_col}")))
+    j = d.join(n, F.col("k") == F.col("_xkey")).withColumn("c", F.explode(F.array_repeat(F.lit(0), F.col("_xn"))))
+    return j.select("row.*")

@@ -102,7 +102,7 @@ def test_language_of_hard_texts(spark):
     assert langid.identify(no_docs(spark)).count() == 0
     assert {r.lang_pred for r in langid.identify(docs.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
     kept = langid.keep_identified(docs, 0.0)
-    assert kept.columns == docs.columns and kept.where("text is null or doc_id in (5, 6, 17)").count() == 0
+    assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0 and kept.where("text is null or doc_id in (5, 6, 17)").count() == 0
 
 
 def test_ngrams_do_not_cross_texts():
@@ -133,6 +133,7 @@ def test_shards_of_hard_rows(spark):
         (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in text}
     kept = hilbert.shard_rows(docs, keep=True)
     assert kept.columns == [c for c in docs.columns if c != "shard"] + ["shard", "slot"]
+    assert kept.drop("shard", "slot").exceptAll(docs.drop("shard")).count() == 0
     assert hilbert.shard_rows(no_docs(spark)).count() == 0
 
 
@@ -235,7 +236,7 @@ def test_overlaps_match_brute_force(spark):
     long = {j for j, u in items if len(tokens(u)) >= 20}
     assert got <= want and {x for x in want if x[1] in long} <= got and len(got) >= 8
     kept = decontam.drop_contaminated(d, b)
-    assert kept.columns == d.columns
+    assert kept.columns == d.columns and kept.exceptAll(d).count() == 0
     assert sorted((x.doc_id for x in kept.collect()), key=str) == sorted((i for i, _ in docs if i not in {x[0] for x in got}), key=str)
     assert decontam.contaminated(no_docs(spark), b).count() == 0
     assert decontam.contaminated(d, b.limit(0)).count() == 0
@@ -250,17 +251,28 @@ def labels(spark, n=21):
 
 
 def numpy_rates(p, t, want, steps, gap):
-    m = np.linalg.pinv((p * t[:, None]).T @ p, rcond=1e-9, hermitian=True)
+    m = (p * t[:, None]).T @ p
+    inverse = np.linalg.inv(m + mixing.RIDGE * np.trace(m) * np.eye(len(m)))
     r = np.ones(len(t))
     for _ in range(steps):
         got = (p * (t * r)[:, None]).sum(0)
         if np.abs(got - want).max() <= gap * t.sum():
             break
-    # one step of the projected gradient in the token metric
-        r = np.maximum(0.0, r - p @ (m @ (got - want)))
+        r = np.clip(r - p @ (inverse @ (got - want)), 0.0, mixing.MAX_RATE)
     return r
 
 
+def test_a_domain_without_labels_has_no_target(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("not (quality = 0 and toxic = 1)")
+    out = mixing.mixed(docs, lab).toPandas()
+    assert (out.p_junk_toxic == 0).all() and out.rate.between(0, mixing.MAX_RATE).all()
+    p, t = out[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy(), out.n_tokens.to_numpy(dtype=float)
+    want = np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) * [1, 1, 1, 0]
+    got = (p * (t * out.rate.to_numpy())[:, None]).sum(0)
+    assert np.abs(got / t.sum() - want / want.sum()).max() < 0.01
+
+
 def test_rates_match_numpy_and_reach_the_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -281,7 +293,7 @@ def test_mixing_hard_rows(spark):
     out = mixing.mixed(docs, labels(spark)).collect()
     assert len(out) == docs.count()
     again = mixing.resample(docs, labels(spark))
-    assert again.columns == docs.columns
+    assert again.columns == docs.columns and again.distinct().exceptAll(docs.distinct()).count() == 0
     n = {}
     for r in out:
         n[r.doc_id] = n.get(r.doc_id, 0) + r.copies
@@ -290,7 +302,7 @@ def test_mixing_hard_rows(spark):
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
     assert got == {k: v for k, v in n.items() if v}
     assert mixing.mixed(no_docs(spark), labels(spark)).count() == 0
-    assert mixing.mixed(docs, labels(spark).limit(0)).count() == docs.count()
+    assert {r.rate for r in mixing.mixed(docs, labels(spark).limit(0)).collect()} == {1.0}
 
 
 # ---- secrets
