@@ -4,13 +4,18 @@
    rows (a bounded sample, ``TRAIN_ROWS``) with SQL aggregates; domains are the
    label combinations.  It gives every document posteriors p(domain); the evidence
    is divided by ``TEMPERATURE`` because features are not independent.
-2. Document rates r in [0, MAX_RATE] (expected copies) make the expected tokens
+2. Document rates r >= 0 (expected copies, without an upper bound) make the expected tokens
    of the domains, S = sum_i r_i t_i p_i, meet target totals T: weighted least
    squares (S - T)' M^-1 (S - T) / 2 with M = sum_i t_i p_i p_i' plus a small
    ridge, solved by projected gradient from r = 1.  In the metric that scales a
    document's coordinate by its tokens the gradient is p_i . M^-1 (S - T) and
    its Lipschitz constant is at most 1, so the step is 1:
-   r_i <- min(MAX_RATE, max(0, r_i - p_i . M^-1 (S - T))).
+   r_i <- max(0, r_i - p_i . M^-1 (S - T)).
+   It goes on until every domain is within ``GAP`` and raises when ``STEPS`` do
+   not get there.  T is outside the cone of the memberships when no rates at
+   any budget reach it (a domain that occurs only mixed with others); that is
+   proved (``nearest``), the rates so far are kept, a warning is given, and
+   the reached and wanted totals in the result differ.
    A domain without labelled documents gets no posterior and no target.
    An iteration is one aggregate over all documents that returns S (as many
    numbers as domains); a rate is a closed expression of the document's own
@@ -19,6 +24,9 @@
 
 from __future__ import annotations
 
+import math
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +37,11 @@ from recoflow.session import cut_lineage
 DOMAINS = ("good", "good_toxic", "junk", "junk_toxic")     # quality 1 or 0, toxic 0 or 1
 TARGETS = {"good": 0.80, "good_toxic": 0.07, "junk": 0.11, "junk_toxic": 0.02}
 TRAIN_ROWS, BUCKETS, KEPT, TEMPERATURE = 20_000, 1 << 16, 96, 4.0
-STEPS, GAP, RIDGE = 30, 1e-6, 1e-6
-#: No document is repeated more often; targets that would need more are met as nearly as possible.
-MAX_RATE = 8.0
+STEPS, GAP, RIDGE = 600, 1e-6, 1e-6
+#: Steps between two written rates: a rate's expression is that deep at most.
+BLOCK = 10
+#: Copies are not bounded: the expected tokens are those of the input, however rare a domain is.
+MAX_RATE = math.inf
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -134,55 +144,105 @@ def memberships(docs: DataFrame, model: Classifier, text_col: str = "text") -> D
     return d.select(*names, "_xt", *[posterior(i).alias(f"_xp{i}") for i in range(len(DOMAINS))])
 
 
-def _rate(steps: list[np.ndarray]) -> Column:
+def _rate(start: Column, steps: list[np.ndarray]) -> Column:
     """The rate after the given gradient vectors, from the posterior columns."""
-    r = F.lit(1.0)
+    r = start
     for g in steps:
         r = r - sum((F.col(f"_xp{i}") * float(x) for i, x in enumerate(g[1:], 1)), F.col("_xp0") * float(g[0]))
-        r = F.least(F.greatest(r, F.lit(0.0)), F.lit(MAX_RATE))
+        r = F.greatest(r, F.lit(0.0))
     return r
 
 
+def nearest(members: DataFrame, want: np.ndarray, metric: np.ndarray, gap: float) -> np.ndarray:
+    """The totals nearest to ``want`` (in ``metric``) that any rates >= 0 reach:
+    non-negative least squares over the documents' posteriors.  Each round adds
+    the document along which the totals improve most, found by one aggregate;
+    the few documents in use (at most one per domain) are solved here."""
+    n = len(want)
+    root = np.linalg.cholesky(metric).T
+    p = F.array(*[F.col(f"_xp{i}") for i in range(n)])
+    used, r, got = np.zeros((0, n)), np.zeros(0), np.zeros(n)
+    for _ in range(20 * n):
+        slope = metric @ (want - got)
+        along = sum((F.col(f"_xp{i}") * float(x) for i, x in enumerate(slope)), F.lit(0.0))
+        best = members.where("_xt > 0").agg(F.max_by(p, along)).first()[0]
+        if best is None or np.dot(best, slope) <= gap * np.abs(slope).max():
+            break
+        used, r = np.vstack([used, best]), np.append(r, 0.0)
+        while True:
+            full = np.linalg.lstsq(root @ used.T, root @ want, rcond=None)[0]
+            if (full > 0).all():
+                r = full
+                break
+            low = full <= 0
+            r = r + np.min(r[low] / np.maximum(r[low] - full[low], 1e-300)) * (full - r)
+            keep = ~low | (r > 1e-12 * max(r.max(), 1e-300))
+            used, r = used[keep], r[keep]
+            if not len(r):
+                break
+        new = used.T @ r if len(r) else np.zeros(n)
+        if np.abs(new - got).max() <= 1e-12 * np.abs(want).max():
+            break
+        got = new
+    return got
+
+
 def fit_rates(members: DataFrame, targets: dict[str, float], present: list[bool], steps: int = STEPS,
-              gap: float = GAP) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Gradient vectors of the projected descent, the reached and the target
-    token totals.  Target totals are all tokens, dealt by the weights of the
-    domains that have labelled documents (none: every rate stays 1).  Stops
-    when every domain is within ``gap`` of all tokens, or after ``steps``."""
+              gap: float = GAP) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """``members`` with the rates _xr of the projected descent, the reached and
+    the target token totals.  Target totals are all tokens, dealt by the
+    weights of the domains that have labelled documents (none: every rate stays
+    1).  Stops when every domain is within ``gap`` of all tokens; raises when
+    ``steps`` do not get there, except where no rates could (see ``nearest``)."""
     n = len(DOMAINS)
     p = [F.col(f"_xp{i}") for i in range(n)]
     t = F.col("_xt")
-    row = members.agg(F.sum(t), *[F.sum(t * p[i] * p[j]) for i in range(n) for j in range(n)]).first()
+    row = members.agg(F.sum(t), *[F.sum(t * p[i] * p[j]) for i in range(n) for j in range(n)],
+                      *[F.sum(t * p[i]) for i in range(n)]).first()
     total = float(row[0] or 0.0)
+    members = members.withColumn("_xr", F.lit(1.0))
     want = np.array([targets.get(x, 0.0) if known else 0.0 for x, known in zip(DOMAINS, present)])
     if not total or not want.sum():
-        return [], want, want
+        now = np.array([float(x or 0.0) for x in row[1 + n * n:]])
+        return members, now, now
     want = want / want.sum() * total
-    m = np.array([float(x) for x in row[1:]]).reshape(n, n)
+    m = np.array([float(x) for x in row[1:1 + n * n]]).reshape(n, n)
     inverse = np.linalg.inv(m + RIDGE * np.trace(m) * np.eye(n))
     done: list[np.ndarray] = []
-    while True:
-        r = _rate(done)
+    for step in range(steps + 1):
+        r = _rate(F.col("_xr"), done)
         got = np.array([float(x) for x in members.agg(*[F.sum(r * t * p[i]) for i in range(n)]).first()])
-        if len(done) >= steps or np.abs(got - want).max() <= gap * total:
-            return done, got, want
+        off = np.abs(got - want).max()
+        if off <= gap * total:
+            return members.withColumn("_xr", r), got, want
+        if step == min(BLOCK, steps):
+            can = nearest(members, want, inverse, 1e-9)
+            if np.abs(can - want).max() > gap * total:
+                warnings.warn(f"no rates reach the target totals {want.round()} of {DOMAINS}; reached {got.round()}", stacklevel=2)
+                return members.withColumn("_xr", r), got, want
+        if len(done) == BLOCK:
+            members, done = cut_lineage(members.withColumn("_xr", r)), []
         done.append(inverse @ (got - want))
+    raise RuntimeError(f"token totals {got.round()} of {DOMAINS} are off {want.round()} by up to {off:.0f} after {steps} steps")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, p_<domain>..., rate, copies) per row of ``docs``.
+    """(doc_id, n_tokens, p_<domain>..., rate, copies, wanted_<domain>...,
+    reached_<domain>...) per row of ``docs``; the last are the target and the
+    expected token totals of the whole table, the same in every row.
 
     ``copies`` rounds the rate by a hash of id and text, so its expectation is
     the rate.  Null and empty texts have no tokens and keep their rate by
     their posteriors; repeated rows get equal rates; null ids are rounded like
     any other; without labels the posteriors are equal and every rate is 1; an
     empty table gives no rows."""
-    members, steps = _prepared(docs, labels, targets, id_col, text_col)
-    out = members.withColumn("_xr", _rate(steps))
+    out, got, want = _prepared(docs, labels, targets, id_col, text_col)
     return out.select("doc_id", F.col("_xt").cast("long").alias("n_tokens"),
                       *[F.round(f"_xp{i}", 9).alias(f"p_{x}") for i, x in enumerate(DOMAINS)],
-                      F.round("_xr", 9).alias("rate"), _copies(F.col("_xr"), F.col("_xk")).alias("copies"))
+                      F.round("_xr", 9).alias("rate"), _copies(F.col("_xr"), F.col("_xk")).alias("copies"),
+                      *[F.lit(round(float(x), 3)).alias(f"wanted_{d}") for d, x in zip(DOMAINS, want)],
+                      *[F.lit(round(float(x), 3)).alias(f"reached_{d}") for d, x in zip(DOMAINS, got)])
 
 
 def _copies(rate: Column, key: Column) -> Column:
@@ -191,23 +251,21 @@ def _copies(rate: Column, key: Column) -> Column:
 
 
 def _prepared(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, id_col: str,
-              text_col: str) -> tuple[DataFrame, list[np.ndarray]]:
+              text_col: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     model = train(docs, labels, id_col, text_col)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     narrow = memberships(narrow, model).select(
         "doc_id", F.xxhash64("doc_id", "text").alias("_xk"), "_xt", *[f"_xp{i}" for i in range(len(DOMAINS))])
-    members = cut_lineage(narrow)
-    steps, _, _ = fit_rates(members, targets or TARGETS, model.present)
-    return members, steps
+    return fit_rates(cut_lineage(narrow), targets or TARGETS, model.present)
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """``docs`` with each row repeated ``copies`` times (none: dropped); columns
     stay as they are."""
-    members, steps = _prepared(docs, labels, targets, id_col, text_col)
+    members, _, _ = _prepared(docs, labels, targets, id_col, text_col)
     # equal rows have equal copies, so one row per key answers for all of them
-    n = members.select("_xk", _copies(_rate(steps), F.col("_xk")).alias("_xn")).where("_xn > 0").dropDuplicates(["_xk"])
+    n = members.select("_xk", _copies(F.col("_xr"), F.col("_xk")).alias("_xn")).where("_xn > 0").dropDuplicates(["_xk"])
     n = n.select(F.col("_xk").alias("_xkey"), "_xn")
     d = whole_rows(docs).withColumn("k", F.xxhash64(F.col(f"row.{id_col}").cast("long"), F.col(f"row.{text_col}")))
     j = d.join(n, F.col("k") == F.col("_xkey")).withColumn("c", F.explode(F.array_repeat(F.lit(0), F.col("_xn"))))

@@ -288,6 +288,36 @@ def test_rates_match_numpy_and_reach_the_targets(spark):
     assert np.abs(out.copies.sum() - out.rate.sum()) < 0.1 * len(out)
 
 
+def members(spark, rows):
+    return spark.createDataFrame([(float(t), *map(float, p)) for t, p in rows], "_xt double, _xp0 double, _xp1 double, _xp2 double, _xp3 double")
+
+
+def test_rates_of_a_rare_domain_are_not_clipped(spark):
+    rare = [(10, (1, 0, 0, 0))] * 500 + [(10, (.1, .9, 0, 0))] + [(20, (0, .05, .95, 0))] * 40 + [(5, (0, 0, .2, .8))]
+    fit, got, want = mixing.fit_rates(members(spark, rare), mixing.TARGETS, [True] * 4)
+    total = sum(t for t, _ in rare)
+    assert np.allclose(want, np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]) * total)
+    assert np.abs(got - want).max() <= mixing.GAP * total
+    rates = fit.toPandas()
+    assert rates._xr.max() > 8 and np.allclose([(rates._xr * rates._xt * rates[f"_xp{i}"]).sum() for i in range(4)], want, rtol=1e-3)
+
+
+def test_missed_targets_are_reported(spark):
+    rows = [(10, (.9, .05, .03, .02))] * 9 + [(10, (.5, 0, .5, 0)), (3, (0, .4, 0, .6))]
+    with pytest.raises(RuntimeError, match="after 0 steps"):
+        mixing.fit_rates(members(spark, [(10, (1, 0, 0, 0))] * 9 + [(9, (.2, .8, 0, 0)), (7, (0, .3, .7, 0)), (3, (0, 0, .4, .6))]),
+                         {"good": .3, "good_toxic": .5, "junk": .15, "junk_toxic": .05}, [True] * 4, steps=0)
+    with pytest.warns(UserWarning, match="no rates reach"):
+        _, got, want = mixing.fit_rates(members(spark, rows), {"good_toxic": 1.0}, [True] * 4)
+    assert np.abs(got - want).max() > 0.01 * want.sum()
+    docs = hard_docs(spark)
+    for out in (mixing.mixed(docs, labels(spark)), mixing.mixed(docs, labels(spark).limit(0))):
+        r = out.toPandas()
+        for d in mixing.DOMAINS:
+            assert np.isclose((r.rate * r.n_tokens * r[f"p_{d}"]).sum(), r[f"reached_{d}"].iloc[0], rtol=1e-4, atol=0.1)
+        assert np.isclose(sum(r[f"wanted_{d}"].iloc[0] for d in mixing.DOMAINS), r.n_tokens.sum(), rtol=1e-6)
+
+
 def test_mixing_hard_rows(spark):
     docs = hard_docs(spark)
     out = mixing.mixed(docs, labels(spark)).collect()
