@@ -1,8 +1,9 @@
 """Mixing sources to target weights by soft membership, DataFrame functions only.
 
 1. A Bernoulli naive Bayes over document features is counted from labelled
-   rows (a bounded sample, ``TRAIN_ROWS``) with SQL aggregates; domains are the
-   label combinations.  It gives every document posteriors p(domain); the evidence
+   rows (a bounded sample, ``TRAIN_ROWS``: all rows of a rare domain, a share
+   of a frequent one) with SQL aggregates; domains are the label combinations,
+   and their priors and presence come from all labelled documents.  It gives every document posteriors p(domain); the evidence
    is divided by ``TEMPERATURE`` because features are not independent.
 2. Document rates r >= 0 (expected copies, without an upper bound) make the expected tokens
    of the domains, S = sum_i r_i t_i p_i, meet target totals T: weighted least
@@ -94,39 +95,56 @@ class Classifier:
         return at.select(*cols, *[score(x, table[d]).alias(f"_xl{d}") for d, x in enumerate(self.start)])
 
 
+def shares(sizes: dict[str, int], most: int) -> dict[str, float]:
+    """The share of each domain to draw, so that at most ``most`` rows are drawn
+    in all: a domain that needs less than its even part gives the rest on."""
+    out: dict[str, float] = {}
+    for i, (x, n) in enumerate(sorted(sizes.items(), key=lambda e: (e[1], e[0]))):
+        take = min(float(n), most / (len(sizes) - i))
+        most -= take
+        out[x] = take / n
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           train_rows: int = TRAIN_ROWS) -> Classifier:
-    """Fit on at most about ``train_rows`` labelled ids (all, or a share picked
-    by a hash of the id).  A document with several labels counts once for each;
-    labels without a document, and missing labels, are left out."""
+    """Fit on at most about ``train_rows`` labelled rows: of each domain all, or
+    a share picked by a hash of the id.  A document with several labels counts
+    once for each; labels without a document, and missing labels, are left out."""
     lab = labels.select(F.col("doc_id").cast("long").alias("_xid"), domain_of().alias("domain")).where(
         F.col("domain").isNotNull() & F.col("_xid").isNotNull())
-    n = lab.count()
-    share = min(1.0, train_rows / max(n, 1))
-    lab = lab.where(F.pmod(F.xxhash64(F.lit(5), "_xid"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("_xid")).agg(F.count(F.lit(1)).alias("_xc"))
+    lab = cut_lineage(lab.join(ids, "_xid"))
+    full = {r["domain"]: r["n"] for r in lab.groupBy("domain").agg(F.sum("_xc").alias("n")).collect()}
+    share = shares(full, train_rows)
+    draw = F.pmod(F.xxhash64(F.lit(5), "_xid"), F.lit(1 << 20))
+    lab = lab.where(F.coalesce(*[F.when(F.col("domain") == x, draw < int(q * (1 << 20))) for x, q in share.items()],
+                               F.lit(False))).select("_xid", "domain")
     # bounded by train_rows, so the broadcast is too
     d = docs.select(F.col(id_col).cast("long").alias("_xid"), F.col(text_col).alias("text")).join(F.broadcast(lab), "_xid")
     one = d.select("domain", tokens().alias("w")).select("domain", features().alias("f"))
     rows = cut_lineage(one)
     per = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = np.array([per.get(x, 0) for x in DOMAINS], dtype=float)
-    priors = np.log((sizes + 1) / (sizes.sum() + len(DOMAINS)))
+    whole = np.array([full.get(x, 0) for x in DOMAINS], dtype=float)
+    priors = np.log((whole + 1) / (whole.sum() + len(DOMAINS)))
     seen = rows.select("domain", F.explode("f").alias("f"))
-    total = max(sizes.sum(), 1.0)
+    total = max(whole.sum(), 1.0)
+    grown = np.divide(whole, sizes, out=np.zeros_like(whole), where=sizes > 0)     # labelled rows per drawn row
     counts = seen.groupBy("f").agg(*[F.sum(F.when(F.col("domain") == x, 1).otherwise(0)).alias(x) for x in DOMAINS])
     # spread of the smoothed rates over domains, weighted by how often the feature occurs in each
     rate = {x: (F.col(x) + 0.5) / (s + 1.0) for x, s in zip(DOMAINS, sizes)}
-    mean = (sum((F.col(x) for x in DOMAINS), F.lit(0)) + 0.5) / (total + 1.0)
+    mean = (sum((F.col(x) * float(g) for x, g in zip(DOMAINS, grown)), F.lit(0.0)) + 0.5) / (total + 1.0)
     gain = sum((F.lit(s / total) * (rate[x] * F.log(rate[x] / mean)
                 + (1 - rate[x]) * F.log((1 - rate[x]) / (1 - F.least(mean, F.lit(1 - 1e-9)))))
-                for x, s in zip(DOMAINS, sizes)), F.lit(0.0))
+                for x, s in zip(DOMAINS, whole)), F.lit(0.0))
     best = counts.withColumn("gain", gain).orderBy(F.desc("gain"), "f").limit(KEPT).collect()
     weights = {}
     for r in best:
         p = (np.array([r[x] for x in DOMAINS]) + 0.5) / (sizes + 1.0)
         weights[r["f"]] = (np.log(p) - np.log1p(-p)) / TEMPERATURE
         priors = priors + np.log1p(-p) / TEMPERATURE
-    return Classifier(priors, weights, [bool(n) for n in sizes])
+    return Classifier(priors, weights, [bool(n) for n in whole])
 
 
 def memberships(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:

@@ -318,6 +318,19 @@ def test_missed_targets_are_reported(spark):
         assert np.isclose(sum(r[f"wanted_{d}"].iloc[0] for d in mixing.DOMAINS), r.n_tokens.sum(), rtol=1e-6)
 
 
+def test_a_rare_domain_stays_in_the_sample(spark):
+    n = 3000
+    kind = lambda i: (0, 1) if i == 77 or i == 1500 else (1, 0)
+    docs = spark.createDataFrame([(i, "junky toxin " * 8 if kind(i)[0] == 0 else prose(i, 12)) for i in range(n)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, *kind(i)) for i in range(n)] + [(n + i, 1, 1) for i in range(500)], "doc_id long, quality int, toxic int")
+    model = mixing.train(docs, lab, train_rows=100)
+    assert model.present == [True, False, False, True]      # toxic good labels have no documents
+    p = {r.doc_id: r for r in mixing.memberships(docs, model).collect()}
+    assert p[77]["_xp3"] > 20 * p[5]["_xp3"] > 0 and p[5]["_xp0"] > 0.5
+    assert mixing.shares({"a": 10, "b": 900, "c": 400}, 700) == {"a": 1.0, "c": 345 / 400, "b": 345 / 900}
+    assert mixing.shares({"a": 10, "b": 20}, 30) == {"a": 1.0, "b": 1.0} and mixing.shares({}, 5) == {}
+
+
 def test_mixing_hard_rows(spark):
     docs = hard_docs(spark)
     out = mixing.mixed(docs, labels(spark)).collect()
