@@ -10,13 +10,21 @@ of ``overlap`` words (or the whole item, if shorter) must agree in at least
 
 The two default masks leave a hit under every placement of 4 substitutions in
 20 words (tested by enumeration), so the default contract (20 words, 0.8) is
-met exactly.  The item side is a stated query set: its seeds are broadcast
+met exactly.  Of items under 20 words the masks lose some (6, 7 and 10 to 12
+words) or have no seed (1 to 5 words): whatever length the enumeration finds
+lossy is seeded by blocks instead.  An item that must match as a whole with
+k substitutions is cut in k + 1 blocks, one of which is free of them; the
+document side has runs of those lengths too, only when such items occur.
+The item side is a stated query set: its seeds are broadcast
 only when the item table's word count is under ``BROADCAST_WORDS`` (measured
 before the join), else the join shuffles.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,22 +50,52 @@ def seeds(h: str, mask: tuple[int, ...], number: int) -> Column:
         i.alias("p"), F.xxhash64(F.lit(number), *[F.get(F.col(h), i + o) for o in mask]).alias("seed")))
 
 
-def seed_rows(df: DataFrame, keys: list[str], masks=MASKS) -> DataFrame:
-    """(keys, p, seed): every seed of every mask of the column ``w`` (word list)."""
+def spare(n: int, similarity: float) -> int:
+    """Substitutions that a match of ``n`` words may have."""
+    return n - math.ceil(n * similarity - 1e-9)
+
+
+def lossless(n: int, k: int, masks=MASKS) -> bool:
+    """Whether every placement of k substitutions in n words leaves a seed."""
+    if math.comb(n, k) > 10_000:
+        return False
+    whole = [{i + o for o in m} for m in masks for i in range(n - m[-1])]
+    return all(any(not s.intersection(x) for s in whole) for x in itertools.combinations(range(n), k))
+
+
+def blocks(n: int, k: int) -> list[tuple[int, int]]:
+    """(start, length) of k + 1 blocks of n words."""
+    cuts = [n * i // (k + 1) for i in range(k + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
+def seed_rows(df: DataFrame, keys: list[str], masks=MASKS, runs=()) -> DataFrame:
+    """(keys, p, seed): every seed of every mask of the column ``w`` (word list),
+    and of every run of the given lengths."""
     hashed = df.select(*keys, F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    every = F.concat(*[seeds("h", m, n) for n, m in enumerate(masks)])
+    every = F.concat(*[seeds("h", m, n) for n, m in enumerate(masks)], *[seeds("h", tuple(range(n)), -n) for n in runs])
     return hashed.select(*keys, F.inline(every))
 
 
+def item_rows(b: DataFrame, masks, short: dict[int, list[tuple[int, int]]]) -> DataFrame:
+    """(item, ip, seed): an item's blocks where ``short`` has its length, else its masks' seeds."""
+    out = seed_rows(b.where(~F.size("w").isin(list(short))), ["item"], masks)
+    hashed = b.select("item", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    for n, cut in short.items():
+        one = [F.struct(F.lit(a).alias("p"), F.xxhash64(F.lit(-m), *[F.get("h", F.lit(a + o)) for o in range(m)]).alias("seed"))
+               for a, m in cut]
+        out = out.unionByName(hashed.where(F.size("h") == n).select("item", F.inline(F.array(*one))))
+    return out.select("item", F.col("p").alias("ip"), "seed")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, overlap: int = OVERLAP, similarity: float = SIMILARITY,
                  masks=MASKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rk, item_id, doc_pos, matched, compared) per row and item that
     overlap: the best stretch's place in the document (in words), its agreeing
     words and its length.
 
-    Null and empty texts match nothing; items of fewer words than a mask's span
-    (6) have no seed and match nothing; an item of fewer than ``overlap`` words
-    must be matched as a whole; rows that repeat id and text are one row here;
+    Null and empty texts match nothing; an item of fewer than ``overlap`` words
+    must be matched as a whole, whatever its length; rows that repeat id and text are one row here;
     null ids are kept as null; empty tables give no rows."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -65,10 +103,14 @@ def contaminated(docs: DataFrame, items: DataFrame, overlap: int = OVERLAP, simi
     b = cut_lineage(items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
                     .select("item_id", words().alias("w")).distinct()
                     .withColumn("item", F.xxhash64("item_id", "w")))
-    n_words = b.agg(F.sum(F.size("w"))).first()[0] or 0
+    size = F.size("w")
+    n_words, lengths = b.agg(F.sum(size), F.collect_set(F.when((size > 0) & (size < overlap), size))).first()
+    n_words = n_words or 0
+    short = {n: blocks(n, k) for n in sorted(lengths) if not lossless(n, k := spare(n, similarity), masks)}
+    runs = sorted({m for cut in short.values() for _, m in cut})
     small = (lambda x: F.broadcast(x)) if n_words <= BROADCAST_WORDS else (lambda x: x)
-    item_seeds = seed_rows(b, ["item"], masks).select("item", F.col("p").alias("ip"), "seed")
-    hits = seed_rows(d, ["doc_id", "rk"], masks).join(small(item_seeds), "seed")
+    item_seeds = item_rows(b, masks, short)
+    hits = seed_rows(d, ["doc_id", "rk"], masks, runs).join(small(item_seeds), "seed")
     diagonals = (hits.groupBy("doc_id", "rk", "item", (F.col("p") - F.col("ip")).alias("diag"))
                  .agg(F.count(F.lit(1)).alias("hits")))
     diagonals = cut_lineage(diagonals)

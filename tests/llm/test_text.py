@@ -242,6 +242,27 @@ def test_overlaps_match_brute_force(spark):
     assert decontam.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_short_items_match_under_every_placement(spark):
+    for n in range(1, 20):
+        k = decontam.spare(n, 0.8)
+        assert k == n // 5 and (n >= 13 or n in (8, 9) or not decontam.lossless(n, k))
+        for x in itertools.combinations(range(n), k):
+            assert any(not set(range(a, a + m)) & set(x) for a, m in decontam.blocks(n, k))
+    items, docs, want = [], [], set()
+    for n in range(1, 20):
+        w = [f"i{n}q{j}" for j in range(n)]
+        items.append((n, " ".join(w)))
+        k = decontam.spare(n, 0.8)
+        for m in range(k + 2):      # one substitution too many at last
+            for x in itertools.islice(itertools.combinations(range(n), m), 0, None, 1 if n < 13 else 97):
+                docs.append((len(docs), " ".join(["lead"] * (len(docs) % 3) + ["gap" if j in x else v for j, v in enumerate(w)] + ["end"])))
+                if m <= k:
+                    want.add((docs[-1][0], n))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.contaminated(d, b).collect()} == want
+
+
 # ---- mixing
 
 def labels(spark, n=21):
