@@ -394,6 +394,29 @@ def test_secrets_are_told_from_long_words(spark):
     assert {x.doc_id for x in secretscan.scan(docs, found).collect() if x.is_secret} == {i for i, _ in truth}
 
 
+def test_unquoted_short_and_prefixed_secrets(spark):
+    r = random.Random(4)
+    key = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    forms = ['token = "{}"', "TOKEN={}", "password: {}", "aws_secret_key='{}'", "url=https://u:{}@h.org"]
+    rows, truth = [], {f: set() for f in forms}
+    for i in range(200):
+        k = key(40)
+        f = forms[i // 2 % len(forms)]
+        if i % 2:
+            truth[f].add((i, k))
+        rows.append((i, prose(i, 20) + (" " + f.format(k) if i % 2 else " " + "".join(r.choice(["ing", "tion", "the", "er"]) for _ in range(7))) + " " + prose(i + 999, 5), "s"))
+    rows += [(1000, 'so password = "hunter2x" ' + prose(1, 9), "s"), (1001, "db_passwd: 'q7' " + prose(2, 9), "s"), (1002, "my API_KEY=zz81 " + prose(3, 9), "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secretscan.candidates(docs)
+    assert {(x.doc_id, x.value) for x in found.where("doc_id >= 1000").collect()} == {(1000, "hunter2x"), (1001, "q7"), (1002, "zz81")}
+    bad = {(x.doc_id, x.value) for x in found.join(secretscan.derived_findings(found).where("secret = 0"), ["doc_id", "rk", "place", "n"]).collect()}
+    assert bad and not any(bad & t for t in truth.values())
+    secrets = {(x.doc_id, x.value) for x in secretscan.scan(docs).collect() if x.is_secret}
+    for f in forms:
+        assert truth[f] <= secrets, f
+    assert {(1000, "hunter2x"), (1001, "q7")} <= secrets and not secrets & bad
+
+
 def test_scanning_hard_rows(spark):
     docs = hard_docs(spark)
     assert all(x.secret_score == 1.0 for x in secretscan.scan(docs).collect())     # no findings: all are reported
