@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recoflow.llm import chat, decontam, hilbert, langid, lcp, mixing, secretscan, simhash, substrings, warc
+from recoflow.llm import chat, decontam, hilbert, langid, lcp, merkle, mixing, secretscan, simhash, substrings, warc
 from recoflow.llm.common import table
+from recoflow.llm.sqltext import sql_merkle
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +54,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns, chat.CHAT_TEMPLATE))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -104,4 +110,5 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(14 + length(regexp_replace(r, '(\\|###|</turn>|:)', '_\1', 'g'))
     + length(regexp_replace(t, '(\\|###|</turn>)', '_\1', 'g'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op12_merkle_manifest": sql_merkle(),
 }
