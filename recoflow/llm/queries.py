@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recoflow.llm import chat, decontam, hilbert, langid, lcp, merkle, mixing, secretscan, simhash, substrings, warc
+from recoflow.llm import chat, decontam, hilbert, hnsw, langid, lcp, merkle, mixing, secretscan, simhash, substrings, warc
 from recoflow.llm.common import table
 from recoflow.llm.sqltext import sql_merkle
 
@@ -58,6 +58,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_report(table(spark, sf_dir, "documents"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_chat_formatting": op10_chat_formatting,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 ORACLES: dict[str, str] = {
