@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recoflow.llm import chat, decontam, hilbert, hnsw, langid, lcp, merkle, mixing, secretscan, simhash, substrings, warc
+from recoflow.llm import chat, decontam, hilbert, hnsw, langid, lcp, merkle, mixing, secretscan, simhash, substrings, variants, warc
 from recoflow.llm.common import table
-from recoflow.llm.sqltext import sql_merkle
+from recoflow.llm.sqltext import sql_merkle, sql_variants
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns, chat.CHAT_TEMPLATE))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_report(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_nearest_neighbours": op13_nearest_neighbours,
 }
@@ -115,5 +120,6 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(14 + length(regexp_replace(r, '(\\|###|</turn>|:)', '_\1', 'g'))
     + length(regexp_replace(t, '(\\|###|</turn>)', '_\1', 'g'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op11_spelling_variants": sql_variants(),
     "op12_merkle_manifest": sql_merkle(),
 }

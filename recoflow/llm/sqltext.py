@@ -54,3 +54,32 @@ ct0 AS (SELECT 1 AS one, t0.idx AS pl, doc_id, leaf, folded, proof, t0.digest AS
     return "WITH " + ",".join(parts) + f"""
 SELECT doc_id, leaf, subroot, (SELECT digest FROM t{top_levels}) AS root, sha256(proof) AS proof_sha256,
   folded AS folded_root, folded = (SELECT digest FROM t{top_levels}) AS verified FROM ct{top_levels}"""
+
+
+def sql_variants(length: int = 7, count: int = 2, ratio: int = 10, slip: int = 31) -> str:
+    """Spelling variants of ``documents``: words that share what is left after
+    one code point is dropped at the same place (replaced), or that are what is
+    left of each other (inserted, deleted)."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+low AS (SELECT doc_id, translate(run, '{upper}', '{lower}') AS run FROM runs WHERE length(run) >= {length}),
+hashed AS (SELECT run, k, {sql_crc32('k')} AS h FROM
+  (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k FROM low)),
+slipped AS (SELECT CASE WHEN h % {slip} = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT))
+  || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed),
+words AS (SELECT word, count(*) AS n FROM slipped WHERE length(word) >= {length} GROUP BY word HAVING count(*) >= {count}),
+cuts AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM
+  (SELECT word, unnest(range(CAST(length(word) AS BIGINT))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cuts c JOIN words w ON w.word = c.cut
+  UNION SELECT w.word, c.word FROM cuts c JOIN words w ON w.word = c.cut),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(near.other, (-o.n, near.other)) AS other, max(o.n) AS other_n
+  FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+forms AS (SELECT words.word, CASE WHEN other_n >= {ratio} * n THEN other END AS form, n,
+  coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {ratio} * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best ON best.word = words.word),
+up(word, at, form) AS (SELECT word, word, form FROM forms
+  UNION ALL SELECT up.word, f.word, f.form FROM up JOIN forms f ON f.word = up.form)
+SELECT forms.word, forms.form, up.at AS root, forms.n, forms.n_near, forms.form_n
+FROM forms JOIN up ON up.word = forms.word AND up.form IS NULL"""
