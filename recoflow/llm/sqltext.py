@@ -79,7 +79,7 @@ best AS (SELECT near.word, count(*) AS n_near, arg_min(near.other, (-o.n, near.o
 forms AS (SELECT words.word, CASE WHEN other_n >= {ratio} * n THEN other END AS form, n,
   coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= {ratio} * n THEN other_n END AS form_n
   FROM words LEFT JOIN best ON best.word = words.word),
-up(word, at, form) AS (SELECT word, word, form FROM forms
+up(word, top, form) AS (SELECT word, word, form FROM forms
   UNION ALL SELECT up.word, f.word, f.form FROM up JOIN forms f ON f.word = up.form)
-SELECT forms.word, forms.form, up.at AS root, forms.n, forms.n_near, forms.form_n
+SELECT forms.word, forms.form, up.top AS root, forms.n, forms.n_near, forms.form_n
 FROM forms JOIN up ON up.word = forms.word AND up.form IS NULL"""
