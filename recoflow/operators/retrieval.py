@@ -24,8 +24,10 @@ No query x document product is formed.  Unmatched candidates of a query
 depend only on its SIGNATURE (field filters and boosts, date range, current
 date), and only the first ``num + |excluded(q)|`` documents of the
 signature's order can be needed: any later one has ``num`` unexcluded
-documents before it.  So documents are ranked once per distinct signature,
-and queries join their signature's list by position.  Hot terms, hot
+documents before it.  Each distinct signature reads blocks of documents from
+the top of the popularity order until it has found that many (``blocks``), so
+queries that differ in their dates stay cheap; queries join their signature's
+list by position.  Hot terms, hot
 signatures and hot positions are dealt to blocks (``joins.blocked_join``).
 """
 
@@ -34,6 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recoflow.operators.blocks import LIST, first_matches, may_hold, popularity_lists
 from recoflow.operators.interactions import history_cap
 from recoflow.operators.joins import blocked_join
 from recoflow.operators.ranking import global_row_number, topn_per_group
@@ -173,27 +176,38 @@ def _signed(q: DataFrame) -> DataFrame:
     return q.withColumn("sig", F.sha2(F.to_json(F.struct(*[f"q_{c}" for c in SIGNATURE])), 256))
 
 
-def _signature_lists(sigs: DataFrame, docs: DataFrame, pred: Column) -> DataFrame:
+def _signature_lists(sigs: DataFrame, docs: DataFrame, pred: Column, available_name: str, expire_name: str) -> DataFrame:
     """(sig, place, item, field_score): the first ``need`` documents of each
     signature by (field score desc, popularity desc nulls last, item).
 
-    A signature with a must field meets only the documents that carry one of
-    that field's values; others meet all documents, dealt to blocks by item."""
-    musts = F.filter("q_fields", lambda x: x["bias"] < 0)
-    everything = F.array(F.struct(F.lit("").alias("name"), F.lit("").alias("value")))
-    keys = F.when(F.coalesce(F.size(musts), F.lit(-1)) > 0, F.transform(
-        F.get(musts, F.lit(0))["values"], lambda v: F.struct(F.get(musts, F.lit(0))["name"].alias("name"), v.alias("value"))))
-    s = sigs.select("*", F.explode(F.coalesce(keys, everything)).alias("k")).select("*", "k.name", "k.value").drop("k")
-    pairs = F.flatten(F.transform(F.map_entries(F.coalesce("fields", F.create_map().cast("map<string,array<string>>"))),
-                                  lambda e: F.transform(e["value"], lambda v: F.struct(e["key"].alias("name"), v.alias("value")))))
-    d = docs.select("*", F.explode(F.concat(everything, pairs)).alias("k")).select("*", "k.name", "k.value").drop("k")
-    j = blocked_join(d, s, ["name", "value"], "item").where(pred)
-    j = j.select("sig", "need", "item", "pop_rank", field_score().alias("field_score")).distinct()
+    A document without field score that is among them is also among the first
+    ``need`` that pass in popularity order: those come from a walk (``blocks``)
+    through the list of all documents, or through the lists of the values of
+    the first must field.  Documents with a field score hold a boosted value
+    and come from an equi join on it."""
+    no_fields = F.array().cast(FIELDS_TYPE)
+    musts = F.filter(F.coalesce("q_fields", no_fields), lambda x: x["bias"] < 0)
+    first = F.get(musts, F.lit(0))
+    keys = F.when(F.size(musts) > 0, F.transform(F.array_distinct(first["values"]), lambda v: F.struct(
+        first["name"].alias("name"), v.alias("value")))).otherwise(
+        F.array(F.struct(F.lit("").alias("name"), F.lit("").alias("value"))))
+    asked = [c for c in sigs.columns if c.startswith("q_")]
+    walks = sigs.select(F.col("sig").alias("walk"), "need", *asked, F.explode(keys).alias("k"))
+    walks = cut_lineage(walks.select("walk", "need", *asked, "k.name", "k.value"))
+    lists = popularity_lists(docs)
+    keep = [F.col("need"), F.col("item"), F.col("pop_rank"), field_score().alias("field_score")]
+    found = first_matches(walks, lists, pred, may_hold(available_name, expire_name), keep).withColumnRenamed("walk", "sig")
+
+    boosts = F.filter(F.coalesce("q_fields", no_fields), lambda x: x["bias"] > 0)
+    s = sigs.select("*", F.explode(boosts).alias("f")).select("*", F.col("f.name").alias("name"), F.explode("f.values").alias("value")).drop("f")
+    held = lists.docs.where(F.col("name") != "")
+    boosted = blocked_join(held, s, LIST, "item").where(pred)
+    found = found.unionByName(boosted.select("sig", *keep)).distinct()
     order = [F.col("field_score").desc(), F.col("pop_rank").desc_nulls_last(), F.col("item").asc()]
-    j = j.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
-    j = topn_per_group(j, ["sig", "salt"], order, F.col("need"), "place")      # best of each share, then of all
-    j = topn_per_group(j.drop("place"), ["sig"], order, F.col("need"), "place")
-    return j.select("sig", F.col("place").cast("bigint").alias("place"), "item", "field_score")
+    found = found.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)))
+    found = topn_per_group(found, ["sig", "salt"], order, F.col("need"), "place")      # best of each share, then of all
+    found = topn_per_group(found.drop("place"), ["sig"], order, F.col("need"), "place")
+    return found.select("sig", F.col("place").cast("bigint").alias("place"), "item", "field_score")
 
 
 def recommend(queries: DataFrame, correlators: DataFrame, pop: DataFrame | None, inter: DataFrame,
@@ -273,7 +287,7 @@ def recommend(queries: DataFrame, correlators: DataFrame, pop: DataFrame | None,
             "query_id", "item", F.lit(0.0).alias("score"))
         if any(c in queries.columns for c in SIGNATURE):
             sigs = short.where(~plain).groupBy("sig", *[f"q_{c}" for c in SIGNATURE]).agg(F.max("need").alias("need"))
-            lists = cut_lineage(_signature_lists(sigs, docs, pred))
+            lists = cut_lineage(_signature_lists(cut_lineage(sigs), docs, pred, available_name, expire_name))
             more = blocked_join(steps(short.where(~plain)), lists, ["sig", "place"], "query_id")
             fill = fill.unionByName(more.select("query_id", "item", F.col("field_score").alias("score")))
         fill = fill.join(excl, ["query_id", "item"], "left_anti")

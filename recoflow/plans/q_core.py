@@ -102,6 +102,46 @@ def batch_predict(spark, sf):
                        default_num=10, doc_props=dp)
 
 
+def ur_dated(spark, sf):
+    """A query per user with its own size, its own current date (the user's
+    last event: available <= now < available + 25 days) and a brand that must
+    not come.  No two queries share their filters."""
+    inter = cut_lineage(T.inter(spark, sf))
+    corr = cut_lineage(C.llr_correlators(inter, PRIMARY, SECONDARY, top_k=50))
+    pop = popularity(inter, "popular", [PRIMARY], POP_END, LONG_DURATION)
+    avail = F.col("available_date").cast("timestamp")
+    dp = T.items(spark, sf).select(
+        "item", F.create_map(F.lit("brand"), F.array("p_brand")).alias("fields"),
+        F.create_map(F.lit("available_date"), avail, F.lit("expire_date"),
+                     avail + F.make_dt_interval(F.lit(25))).alias("dates"))
+    u = F.col("user")
+    unwanted = F.struct(F.lit("brand").alias("name"), F.array(F.concat(F.lit("Brand#"), (1 + u % 25).cast("string")))
+                        .alias("values"), F.lit(0.0).alias("bias"))
+    q = inter.groupBy("user").agg(F.max("ts").cast("timestamp").alias("current_date")).select(
+        u.alias("query_id"), "user", (5 + u % 20).cast("int").alias("num"), "current_date", F.array(unwanted).alias("fields"))
+    return R.recommend(q, corr, pop, inter, primary=PRIMARY, actions=ACTIONS, max_query_events=100, doc_props=dp)
+
+
+UR_DATED_SQL = ctes(("inter", "items"), CORR, pop_cte("pop"), _DOCS, f"""
+q AS (SELECT user AS query_id, user, max(ts) AS now, 5 + user % 20 AS num, 'Brand#' || (1 + user % 25) AS brand
+  FROM inter GROUP BY user),
+hist AS (SELECT DISTINCT user, action, item FROM (SELECT *, row_number() OVER (PARTITION BY user, action
+         ORDER BY ts DESC, event_id DESC) AS r FROM inter WHERE action IN ('purchase', 'view', 'click')) WHERE r <= 100),
+scores AS (SELECT h.user AS query_id, c.item, CAST(count(*) AS DOUBLE) AS score FROM hist h JOIN corr c
+           ON c.action = h.action AND c.other = h.item GROUP BY 1, 2),
+excl AS (SELECT DISTINCT user, item FROM inter WHERE action = '{PRIMARY}'),
+cand AS (SELECT q.query_id, d.item, coalesce(s.score, 0.0) AS score, d.pop_rank, q.num FROM q CROSS JOIN docs d
+         JOIN items it ON it.item = d.item
+         LEFT JOIN scores s ON s.query_id = q.query_id AND s.item = d.item
+         WHERE NOT EXISTS (SELECT 1 FROM excl e WHERE e.user = q.user AND e.item = d.item)
+           AND it.p_brand <> q.brand AND it.available_date <= q.now AND it.available_date + INTERVAL 25 DAY > q.now)""") + """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, item, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pop_rank DESC NULLS LAST, item) AS rank
+  FROM cand) WHERE rank <= num"""
+
+register("ur_dated", UR_DATED_SQL)(ur_dated)
+
+
 def _options(spark, sf):
     """A query per user, each with its own options (and an item for half of them)."""
     u = F.col("user")
