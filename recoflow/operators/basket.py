@@ -7,11 +7,12 @@ single window: events are windowed by (user, time bucket), and a per-bucket
 summary (min, max, last session start) carries sessions across bucket edges,
 so a user with a third of all rows is still spread over many tasks.
 
-Itemsets are mined level by level up to ``max_len``: frequent items first,
-then sets of k items are joined from two frequent sets of k - 1 items of the
-same basket that share their first k - 2 items, counted with map-side combine
-and pruned by support.  Nothing longer than ``max_len`` is ever formed and no
-item list passes through the driver.
+Itemsets are mined by prefix projection up to ``max_len``: frequent items
+first, then each frequent prefix is extended by the items that follow it in
+its (weighted, grouped) projected baskets, counted with map-side combine and
+pruned by support.  Very wide baskets are held back and only asked for the
+sets that the others suggest.  Nothing longer than ``max_len`` is ever formed
+and no item list passes through the driver.
 """
 
 from __future__ import annotations
@@ -19,10 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recoflow.operators.joins import blocked_join
 from recoflow.operators.ranking import topn_per_group
 from recoflow.session import cut_lineage
 
 
+#: Baskets of more frequent items than this are held back from projection.
+WIDE = 128
+
+
 def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
@@ -69,28 +75,75 @@ def basket_items(baskets: DataFrame, id_col: str = "basket_id", items_col: str =
     return baskets.select(F.col(id_col).alias("basket"), F.explode(items_col).alias("item")).distinct()
 
 
-def itemset_count(rows: DataFrame, max_len: int, min_support: float) -> DataFrame:
+def _width_limit(sizes: DataFrame, wide: int, most: int) -> tuple[int, int]:
+    """(limit, number over it): the smallest of wide, 2 wide, 4 wide... that at
+    most ``most`` baskets exceed."""
+    limits = [wide << j for j in range(40)]
+    counts = sizes.agg(*[F.count_if(F.col("n") > x) for x in limits]).first()
+    return next((x, c) for x, c in zip(limits, counts) if c <= most)
+
+
+def itemset_count(rows: DataFrame, max_len: int, min_support: float, wide: int = WIDE) -> DataFrame:
     """(itemset sorted array, size, count) for itemsets of 1..max_len items
     found in at least the fraction ``min_support`` of the baskets.
-    rows: distinct (basket, item)."""
+    rows: distinct (basket, item).
+
+    Baskets are projected once per frequent prefix: a group (prefix, rest,
+    weight) stands for the ``weight`` baskets that hold the prefix and go on
+    with the same rest (items ordered from rare to common), so equal rests are
+    counted together.  Baskets of over ``wide`` frequent items are not
+    projected, which would be quadratic in them: fewer than half of the least
+    count may be held back, so every frequent set is also found among the
+    others, and held-back baskets only answer which of those sets they hold.
+    When more baskets are wide than may be held back, the limit doubles."""
     rows = cut_lineage(rows.select("basket", "item"))
-    least = F.lit(min_support) * rows.select(F.count_distinct("basket")).scalar()
-
-    def frequent(sets: DataFrame) -> DataFrame:
-        return cut_lineage(sets.groupBy("s").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least))
-    sets = rows.select("basket", F.array("item").alias("s"))
-    found = frequent(sets)
-    out = found
+    least = min_support * rows.select(F.count_distinct("basket")).first()[0]
+    items = cut_lineage(rows.groupBy("item").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least))
+    out = items.select(F.array("item").alias("itemset"), F.lit(1).alias("size"), "count")
+    if max_len < 2:
+        return out
+    kept = cut_lineage(blocked_join(rows, items, ["item"], "basket"))
+    sizes = cut_lineage(kept.groupBy("basket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    limit, n_held = _width_limit(sizes, wide, int(max(0.0, least - 1) // 2))
+    kept = cut_lineage(blocked_join(kept, sizes, ["basket"], "item"))
+    held = kept.where(F.col("n") > limit).select("basket", "item")
+    lists = kept.where(F.col("n") <= limit).groupBy("basket").agg(F.array_sort(F.collect_list(F.struct("count", "item"))).alias("s"))
+    lists = lists.groupBy(F.transform("s", lambda x: x["item"]).alias("s")).agg(F.count(F.lit(1)).alias("w"))
+    lists = lists.select("w", "s", F.posexplode("s").alias("at", "item"))
+    groups = _grouped(lists.select(F.array("item").alias("prefix"), _after("s"), "w"))
+    inside = held.select("basket", F.array("item").alias("prefix"))
     for size in range(2, max_len + 1):
-        # a set longer than its frequent parts cannot be frequent
-        kept = cut_lineage(sets.join(found.select("s"), "s", "left_semi").select(
-            "basket", F.slice("s", 1, size - 2).alias("head"), F.element_at("s", -1).alias("last")))
-        other = kept.select("basket", "head", F.col("last").alias("more"))
-        sets = kept.join(other, ["basket", "head"]).where(F.col("last") < F.col("more")).select(
-            "basket", F.concat("head", F.array("last", "more")).alias("s"))
-        found = frequent(sets)
-        out = out.unionByName(found)
-    return out.select(F.col("s").alias("itemset"), F.size("s").alias("size"), "count")
+        more = groups.select("prefix", "w", F.explode("rest").alias("item"))
+        more = more.groupBy("prefix", "item").agg(F.sum("w").alias("count")).where(F.col("count") >= least - n_held)
+        if n_held:
+            more = cut_lineage(more)
+            inside = blocked_join(more.select("prefix", "item"), inside, ["prefix"], "item")
+            inside = cut_lineage(inside.join(held, ["basket", "item"], "left_semi"))
+            extra = inside.groupBy("prefix", "item").agg(F.count(F.lit(1)).alias("extra"))
+            more = more.join(extra, ["prefix", "item"], "left").select(
+                "prefix", "item", (F.col("count") + F.coalesce("extra", F.lit(0))).alias("count")).where(F.col("count") >= least)
+        more = cut_lineage(more)
+        longer = F.concat("prefix", F.array("item"))
+        out = out.unionByName(more.select(F.array_sort(longer).alias("itemset"), F.lit(size).alias("size"), "count"))
+        if size == max_len:
+            break
+        found = more.select("prefix", "item")
+        steps = groups.select("prefix", "w", F.col("rest").alias("s"), F.posexplode("rest").alias("at", "item"))
+        steps = blocked_join(steps, found, ["prefix", "item"], "s")
+        groups = _grouped(steps.select(longer.alias("prefix"), _after("s"), "w"))
+        if n_held:
+            inside = inside.join(found, ["prefix", "item"], "left_semi").select("basket", longer.alias("prefix"))
+    return out
+
+
+def _after(s: str) -> Column:
+    """The items of the array ``s`` after place ``at``."""
+    return F.slice(s, F.col("at") + 2, F.size(s)).alias("rest")
+
+
+def _grouped(projected: DataFrame) -> DataFrame:
+    """Projections with equal prefix and rest become one, of their added weight."""
+    return cut_lineage(projected.where(F.size("rest") > 0).groupBy("prefix", "rest").agg(F.sum("w").alias("w")))
 
 
 def transaction_total(baskets: DataFrame) -> DataFrame:

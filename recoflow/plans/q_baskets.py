@@ -146,6 +146,31 @@ def q_itemset_subsets(spark, sf):
     return r.select(F.col("basket").alias("basket_id"), _txt("itemset").alias("itemset"))
 
 
+LONG_LEN, LONG_SUPPORT = 5, 8e-4
+
+
+def _long_sql() -> str:
+    """Itemsets of 1..LONG_LEN items of the session baskets, by self joins."""
+    parts = []
+    for n in range(1, LONG_LEN + 1):
+        joins = "".join(f" JOIN lb b{i} ON b{i}.basket = b0.basket AND b{i}.item > b{i - 1}.item" for i in range(1, n))
+        cols = " || ',' || ".join(f"b{i}.item" for i in range(n))
+        parts.append(f"SELECT CAST({cols} AS VARCHAR) AS itemset, {n} AS size, count(*) AS count FROM lb b0{joins} GROUP BY ALL "
+                     f"HAVING count(*) >= {LONG_SUPPORT} * (SELECT count(DISTINCT basket) FROM lb)")
+    return ctes(("inter",), SESS_SQL, """
+lb AS (SELECT user || '/' || epoch_us(session_start) AS basket, unnest(items) AS item FROM sb WHERE len(items) >= 2)""") \
+        + " UNION ALL ".join(parts)
+
+
+@register("itemset_count_long", _long_sql())
+def q_itemset_count_long(spark, sf):
+    """Frequent sets of up to five items in session baskets."""
+    b = B.basket_sessions(T.inter(spark, sf), GAP, min_size=2)
+    rows = b.select(F.concat_ws("/", "user", F.unix_micros(F.col("session_start").cast("timestamp"))).alias("basket"),
+                    F.explode("items").alias("item"))
+    return B.itemset_count(rows, LONG_LEN, LONG_SUPPORT).select(_txt("itemset").alias("itemset"), "size", "count")
+
+
 @register("pop_period_join", ctes(("inter",)) + f"""
 SELECT item, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16 00:00:00') AS older,
   count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16 00:00:00') AS newer

@@ -1,6 +1,9 @@
 """Hot keys, bounds that bite, and options that the registered queries' tables
 do not stress."""
 
+import itertools
+import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -159,3 +162,40 @@ def test_repeats_across_micro_batches_are_dropped(spark):
     s = J.read_event_stream(spark, folder, "*.parquet", max_files=1).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
     out = J.run_to_table(s.groupBy("user").agg(F.count(F.lit(1)).alias("n")), "t", mode="update", keys=["user"])
     assert {r.user: r.n for r in out.collect()} == {0: 14, 1: 13, 2: 13}
+
+
+def _brute_itemsets(baskets, max_len, min_support):
+    least = min_support * len(baskets)
+    n = Counter(c for b in baskets for k in range(1, max_len + 1) for c in itertools.combinations(sorted(b), k))
+    return {c: v for c, v in n.items() if v >= least}
+
+
+@pytest.mark.parametrize("wide", [128, 4, 1])
+def test_itemsets_match_brute_force_for_any_width(spark, wide):
+    r = random.Random(3)
+    baskets = [set(r.sample(range(12), r.choice([1, 2, 3, 4, 5]))) for _ in range(60)] + [set(range(12)), set(range(2, 11)), set()]
+    baskets += [{1, 2, 3, 4}] * 5
+    rows = spark.createDataFrame([(i, x) for i, b in enumerate(baskets) for x in b], "basket long, item long")
+    got = {tuple(x.itemset): x["count"] for x in B.itemset_count(rows, 4, 0.08, wide=wide).collect()}
+    assert got == _brute_itemsets([b for b in baskets if b], 4, 0.08)
+
+
+def test_a_very_wide_basket_forms_no_pairs(spark, monkeypatch):
+    """5,000 frequent items in one basket: what is projected, and what the
+    basket answers, stays in proportion to its items."""
+    wide = [("w", x) for x in range(5000)]
+    small = [(f"s{i}-{k}", x) for i in range(0, 5000, 4) for k in range(3) for x in (i, i + 1, i + 2, i + 3)]
+    rows = spark.createDataFrame(wide + small, "basket string, item long")
+    written = []
+    real = B.cut_lineage
+
+    def counted(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(B, "cut_lineage", counted)
+    got = B.itemset_count(rows, 5, 3.5 / 3751)
+    assert max(written) <= 2 * rows.count()
+    sizes = {x.size: (x.n, x.low, x.top) for x in got.groupBy("size").agg(
+        F.count("*").alias("n"), F.min("count").alias("low"), F.max("count").alias("top")).collect()}
+    assert sizes == {1: (5000, 4, 4), 2: (7500, 4, 4), 3: (5000, 4, 4), 4: (1250, 4, 4)}
