@@ -14,7 +14,8 @@ with the parent.  Every leaf passes the top runs, so these would be hot join
 keys: a run that covers over 1/HOT_RUNS of all leaves (at most HOT_RUNS of
 them a level, whatever the input) belongs to a second climb whose node rows
 are broadcast; the first climb stops below it, so a key of its shuffles holds
-at most 1/HOT_RUNS of the rows.
+at most 1/HOT_RUNS of the rows.  What the second climb broadcasts is bounded
+too: HOT_RUNS times the levels.
 """
 
 from __future__ import annotations
@@ -160,48 +161,67 @@ def _unlimited_rows(spark: SparkSession) -> Iterator[None]:
 
 
 _CLIMB = """
-WITH RECURSIVE climb(doc_id, leaf, own, tree, level, run, slot, folded, proof) AS (
-  SELECT doc_id, leaf, own, tree, level, run, slot, folded, proof FROM {start}
+WITH RECURSIVE climb(id, tree, level, run, slot, folded, proof) AS (
+  SELECT id, tree, level, run, slot, folded, proof FROM {start}
   UNION ALL
-  SELECT c.doc_id, c.leaf, c.own, n.p_tree, n.p_level, n.p_run, n.p_slot,
+  SELECT c.id, n.p_tree, n.p_level, n.p_run, n.p_slot,
     unhex(sha2(lower(hex(concat(substring(n.digests, 1, 32 * c.slot), c.folded,
       substring(n.digests, 32 * c.slot + 33)))), 256)),
-    concat(c.proof, substring(n.digests, 1, 32 * c.slot), substring(n.digests, 32 * c.slot + 33))
-  FROM climb c JOIN {nodes} n ON c.tree = n.tree AND c.level = n.level AND c.run = n.run)
+    {proof}
+  FROM (SELECT * FROM climb LEFT ANTI JOIN {stop} s ON climb.tree = s.tree AND climb.level = s.level AND climb.run = s.run) c
+  JOIN {nodes} n ON c.tree = n.tree AND c.level = n.level AND c.run = n.run)
 SELECT * FROM climb"""
-
-
-def _climb(start: DataFrame, nodes: DataFrame) -> DataFrame:
-    spark = start.sparkSession
-    views = {"start": f"merkle_start_{uuid4().hex}", "nodes": f"merkle_nodes_{uuid4().hex}"}
-    start.createOrReplaceTempView(views["start"])
-    nodes.createOrReplaceTempView(views["nodes"])
+_SIBLINGS = "substring({n}digests, 1, 32 * {c}slot), substring({n}digests, 32 * {c}slot + 33)"
+
+
+def _climb(start: DataFrame, nodes: DataFrame, stop: DataFrame, append: bool = True) -> DataFrame:
+    """Rows of every step from ``start`` (id, KEY, slot, folded, proof) through
+    ``nodes``; a row whose run is in ``stop`` goes no further.  ``append``: the
+    proof takes the siblings of each step, else it stays as it is."""
+    frames = {"start": start, "nodes": nodes, "stop": stop}
+    views = {k: f"merkle_{k}_{uuid4().hex}" for k in frames}
+    for k, df in frames.items():
+        df.createOrReplaceTempView(views[k])
+    proof = f"concat(c.proof, {_SIBLINGS.format(n='n.', c='c.')})" if append else "c.proof"
     try:
-        return spark.sql(_CLIMB.format(**views))
+        return start.sparkSession.sql(_CLIMB.format(proof=proof, **views))
     finally:
         for v in views.values():
-            spark.catalog.dropTempView(v)
+            start.sparkSession.catalog.dropTempView(v)
 
 
 def climb(manifest: Manifest, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(doc_id, leaf, own, folded, proof) per leaf: the root folded from the
-    changed leaf (or the leaf itself) and the siblings met on the way up, packed."""
-    spark = manifest.leaves.sparkSession
+    changed leaf (or the leaf itself) and the digest of the siblings met on the
+    way up, left to right and level by level.
+
+    Every step of a recursive query shuffles its rows, so long rows are kept
+    out of the many upper steps: below the hot runs a leaf carries its siblings
+    along; those above are the same for all leaves of a hot run, so one climb
+    per hot run collects them, the proof is digested, and the leaves climb on
+    with digests alone."""
     nodes = manifest.nodes
     is_hot = F.col("weight") * hot_runs > manifest.n_leaves
     links = ["p_tree", "p_level", "p_run", "p_slot"]
-    hot = nodes.where(is_hot).select(*KEY, "digests", *links)
-    cold = nodes.where(~is_hot).select(*KEY, "digests", *links)
-    start = cut_lineage(manifest.leaves.select(
-        "doc_id", "leaf", "own", *KEY, "slot", F.coalesce("changed", "leaf").alias("folded"),
-        F.unhex(F.lit("")).alias("proof")))
-    with _unlimited_rows(spark):
-        low = _climb(start, cold)
-        reached = low.join(F.broadcast(hot.select(*KEY)), list(KEY), "left_semi")
-        ended = low.where(F.col("run").isNull())
-        low = cut_lineage(reached.unionByName(ended))
-        done = cut_lineage(_climb(low, F.broadcast(hot)).where(F.col("run").isNull()))
-    return done.select("doc_id", "leaf", "own", "folded", "proof")
+    hot, cold = (cut_lineage(nodes.where(c).select(*KEY, "digests", *links)) for c in (is_hot, ~is_hot))
+    tops, nothing = F.broadcast(hot.select(*KEY)), hot.limit(0).select(*KEY)
+    none = F.unhex(F.lit(""))
+    # hot runs that leaves enter: on a lowest level, or above a cold run
+    below = cold.select(*[F.col(p).alias(k) for k, p in zip(KEY, links)])
+    entered = hot.where("level = 0").unionByName(hot.join(below, list(KEY), "left_semi")).distinct()
+    shared = entered.select(F.struct(*KEY).alias("id"), *[F.col(p).alias(k) for k, p in zip([*KEY, "slot"], links)],
+                            none.alias("folded"), none.alias("proof"))
+    start = manifest.leaves.select(F.struct("doc_id", "leaf", "own").alias("id"), *KEY, "slot",
+                                   F.coalesce("changed", "leaf").alias("folded"), none.alias("proof"))
+    with _unlimited_rows(nodes.sparkSession):
+        above = cut_lineage(_climb(shared, F.broadcast(hot), nothing).where(F.col("run").isNull()).select("id.*", F.col("proof").alias("above"))
+                            .join(entered.select(*KEY, "digests"), list(KEY)))
+        low = _climb(start, cold, tops).join(F.broadcast(above), list(KEY), "left")
+        whole = F.concat("proof", F.expr(f"coalesce(concat({_SIBLINGS.format(n='', c='')}, above), X'')"))
+        low = low.where(F.col("above").isNotNull() | F.col("run").isNull())
+        low = cut_lineage(low.select("id", *KEY, "slot", "folded", _digest_of(whole).alias("proof")))
+        done = _climb(low, F.broadcast(hot), nothing, append=False).where(F.col("run").isNull())
+        return cut_lineage(done.select("id.*", "folded", "proof"))
 
 
 def tampered_leaves(docs: DataFrame) -> DataFrame:
@@ -226,5 +246,5 @@ def tamper_report(docs: DataFrame, arity: int = ARITY, hot_runs: int = HOT_RUNS)
                       ["subroot"], "leaf")
     root = F.lit((manifest.root or b"").hex())
     return got.select("doc_id", _hex(F.col("leaf")).alias("leaf"), _hex(F.col("subroot")).alias("subroot"),
-                      root.alias("root"), F.sha2(_hex(F.col("proof")), 256).alias("proof_sha256"),
+                      root.alias("root"), _hex(F.col("proof")).alias("proof_sha256"),
                       _hex(F.col("folded")).alias("folded_root"), (_hex(F.col("folded")) == root).alias("verified"))
