@@ -37,18 +37,28 @@ def _mapped(log: DataFrame, reward: str) -> DataFrame:
     return log.where(F.col(reward) != -1).withColumn("_r", m)
 
 
-def linucb_stats(log: DataFrame, arm: str, features: str, reward: str) -> DataFrame:
-    """Long form (arm, i, j, a) of A and (arm, i, -1, b) of b per arm;
-    ``features`` is an array<double> column of a fixed length d."""
+def linucb_sums(log: DataFrame, arm: str, features: str, reward: str) -> DataFrame:
+    """Long form (arm, i, j, a) of sum x x^T and (arm, i, -1, a) of sum r' x:
+    sums over disjoint logs add up (``features``: array<double> of length d)."""
     m = _mapped(log, reward)
     d = m.select(F.posexplode(features).alias("i", "xi"), arm, "_r", features)
     outer = d.select(arm, "i", "xi", "_r", F.posexplode(features).alias("j", "xj"))
     a = outer.groupBy(arm, "i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("a"))
-    a = a.withColumn("a", F.col("a") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0))
     b = d.groupBy(arm, "i").agg(F.sum(F.col("_r") * F.col("xi")).alias("a")).withColumn("j", F.lit(-1))
     return a.unionByName(b.select(arm, "i", "j", "a"))
 
 
+def with_identity(sums: DataFrame) -> DataFrame:
+    """A = I + sum x x^T; b stays."""
+    return sums.withColumn("a", F.col("a") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0))
+
+
+def linucb_stats(log: DataFrame, arm: str, features: str, reward: str) -> DataFrame:
+    """Long form (arm, i, j, a) of A and (arm, i, -1, b) of b per arm;
+    ``features`` is an array<double> column of a fixed length d."""
+    return with_identity(linucb_sums(log, arm, features, reward))
+
+
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     arm = pdf["arm"].iloc[0]
     dim = int(pdf.loc[pdf["j"] >= 0, "i"].max()) + 1

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from recoflow.operators import correlators as C
 from recoflow.operators import docs as D
 from recoflow.operators import interactions as I
 from recoflow.operators import retrieval as R
+from recoflow.operators.incremental import add_batch
 from recoflow.operators.joins import blocked_join
 from recoflow.operators.popularity import popularity
 from recoflow.plans.registry import register
 from recoflow.plans.sqlparts import CORR, SCORES, capped_sql, ctes, pop_cte, scores_sql
-from recoflow.session import cut_lineage
+from recoflow.session import cut_lineage, table_folder
 from recoflow.sources import tables as T
 from recoflow.sources.tables import LONG_DURATION, POP_END, PRIMARY, SECONDARY, SEED, SHORT_DURATION
 
@@ -265,6 +268,23 @@ def q_llr_correlators(spark, sf):
     return correlators(spark, sf).withColumn("llr", F.round("llr", 6))
 
 
+BATCH_ENDS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
+
+
+@register("llr_correlators_incremental", ctes(("inter",), CORR) + "SELECT action, item, other, round(llr, 6) AS llr, rank FROM corr")
+def q_llr_correlators_incremental(spark, sf):
+    """The log taken in as three batches by time; each but the first brings a
+    tenth of the rows before its begin once more."""
+    inter = I.action_split(T.inter(spark, sf), ACTIONS)
+    ends = [F.lit(e).cast("timestamp_ntz") for e in BATCH_ENDS]
+    number = sum((F.col("ts") >= e).cast("int") for e in ends)
+    folder = f"{table_folder(spark)}/correlators-{uuid.uuid4().hex}"
+    for k in range(len(ends) + 1):
+        rows = inter.where((number == k) | ((number < k) & (F.col("event_id") % 10 == 0)))
+        out = add_batch(spark, folder, k, rows, PRIMARY, SECONDARY, top_k=50)
+    return out.withColumn("llr", F.round("llr", 6))
+
+
 @register("correlator_topk", ctes(("inter",), SCORES) + """
 SELECT action, item, other, CAST(rank AS INTEGER) AS rank FROM (SELECT action, item, other,
   row_number() OVER (PARTITION BY action, item ORDER BY round(llr, 9) DESC, other) AS rank FROM sc WHERE llr > 0)

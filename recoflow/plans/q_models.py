@@ -92,13 +92,17 @@ def q_ucb_arms(spark, sf):
                     "is_best")
 
 
+def features():
+    """Six context features of a logged event (user, item, value, ts)."""
+    return F.array(F.lit(1.0), F.col("value") / 100.0, (F.col("user") % 7) / 7.0, (F.col("item") % 5) / 5.0,
+                   F.hour("ts") / 24.0, F.minute("ts") / 60.0)
+
+
 def contexts(spark, sf):
-    """Six context features per logged event."""
+    """Context features per logged event."""
     r = T.reward_log(spark, sf)
     i = T.inter(spark, sf).select("event_id", "user", "item", "value")
-    x = F.array(F.lit(1.0), F.col("value") / 100.0, (F.col("user") % 7) / 7.0, (F.col("item") % 5) / 5.0,
-                F.hour("ts") / 24.0, F.minute("ts") / 60.0)
-    return r.join(i, "event_id").select("event_id", "arm", "reward", x.alias("x"))
+    return r.join(i, "event_id").select("event_id", "arm", "reward", features().alias("x"))
 
 
 _CTX = """
@@ -107,13 +111,16 @@ ctx AS (SELECT r.event_id, r.arm, r.reward, [1.0, i.value / 100.0, CAST(i.user %
   FROM reward_log r JOIN inter i ON i.event_id = r.event_id)"""
 
 
-@register("linucb_stats", ctes(("inter", "reward_log"), _CTX) + """,
+LINUCB_SQL = ctes(("inter", "reward_log"), _CTX) + """,
 m AS (SELECT *, CASE WHEN reward = 1 THEN 0.6 ELSE -16.0 END AS rr FROM ctx WHERE reward <> -1),
 xi AS (SELECT arm, rr, x, unnest(x) AS xi, unnest(generate_series(0, len(x) - 1)) AS i FROM m),
 xij AS (SELECT arm, i, xi, unnest(x) AS xj, unnest(generate_series(0, len(x) - 1)) AS j FROM xi),
 a AS (SELECT arm, i, j, sum(xi * xj) + CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS a FROM xij GROUP BY arm, i, j),
 b AS (SELECT arm, i, -1 AS j, sum(rr * xi) AS a FROM xi GROUP BY arm, i)
-SELECT arm, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(a, 6) AS a FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
+SELECT arm, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(a, 6) AS a FROM (SELECT * FROM a UNION ALL SELECT * FROM b)"""
+
+
+@register("linucb_stats", LINUCB_SQL)
 def q_linucb_stats(spark, sf):
     s = BA.linucb_stats(contexts(spark, sf), "arm", "x", "reward")
     return s.select("arm", "i", F.col("j").cast("int").alias("j"), F.round("a", 6).alias("a"))

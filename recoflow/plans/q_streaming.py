@@ -5,10 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from recoflow.operators import bandit as BA
+from recoflow.plans.q_models import LINUCB_SQL, features
 from recoflow.plans.registry import register
 from recoflow.plans.sqlparts import ctes
 from recoflow.sources import tables as T
 from recoflow.streaming import jobs as J
+from recoflow.streaming import panes as P
 
 # Append mode emits a window once the watermark (max event time - delay)
 # reaches its end; the oracle keeps exactly those windows.
@@ -20,8 +23,8 @@ PARTS = 4
 
 def _feed(spark, sf):
     """The event log in four micro-batches that repeat some rows of the one before."""
-    folder = J.split_feed(T.table(spark, sf, "events"), PARTS)
-    return J.read_event_stream(spark, folder, "*.parquet", max_files=1)
+    folder, files = J.split_feed(T.table(spark, sf, "events"), PARTS)
+    return J.read_event_stream(spark, folder, "*.parquet", max_files=files)
 
 
 @register("stream_popularity", ctes(("inter",)) + f"""
@@ -56,3 +59,45 @@ def q_stream_bandit(spark, sf):
                     F.when(F.col("action") == "purchase", 1).when(F.col("action") == "error", -1)
                     .otherwise(0).alias("reward"))
     return J.run_to_table(J.stream_bandit(log), "bandit", mode="update", keys=["arm"])
+
+
+@register("stream_linucb", LINUCB_SQL)
+def q_stream_linucb(spark, sf):
+    """A and b of every arm, added up micro-batch by micro-batch."""
+    ev = _feed(spark, sf).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+    log = ev.select((F.col("item") % 10).alias("arm"), F.when(F.col("action") == "purchase", 1)
+                    .when(F.col("action") == "error", -1).otherwise(0).alias("reward"), features().alias("x"))
+    sums = J.run_sums(log, "linucb", lambda b: BA.linucb_sums(b, "arm", "x", "reward"), ["arm", "i", "j"], "a")
+    return BA.with_identity(sums).select("arm", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"),
+                                         F.round("a", 6).alias("a"))
+
+
+DAY = 86400
+
+
+def _trend_sql(kind: str, days: int) -> str:
+    parts = P.PARTS[kind]
+    counts = ", ".join(f"count(*) FILTER (WHERE epoch(ts) >= epoch(e) - {days * DAY * (parts - i) // parts} AND "
+                       f"epoch(ts) < epoch(e) - {days * DAY * (parts - i - 1) // parts}) AS c{i}" for i in range(parts))
+    score = {"popular": "c0", "trending": "c1 - c0", "hot": "(c2 - c1) - (c1 - c0)"}[kind]
+    some = " AND ".join(f"c{i} > 0" for i in range(parts))
+    return ctes(("inter",), f"""
+lim AS (SELECT min(ts) FILTER (WHERE action = 'purchase') AS first, max(ts) - INTERVAL 1 DAY AS last FROM inter),
+ends AS (SELECT unnest(generate_series(date_trunc('day', first) + INTERVAL {days} DAY, last, INTERVAL 1 DAY)) AS e FROM lim),
+cnt AS (SELECT e AS period_end, item, {counts} FROM ends JOIN inter ON action = 'purchase'
+  AND ts >= e - INTERVAL {days} DAY AND ts < e GROUP BY e, item)""") + f"""
+SELECT period_end, item, CAST({score} AS DOUBLE) AS score FROM cnt WHERE {some}"""
+
+
+def _trends(kind: str, days: int):
+    def run(spark, sf):
+        progress: dict = {}
+        counts = P.pane_counts(_feed(spark, sf), "1 day", "1 day", ["purchase"])
+        panes = J.run_to_table(counts, "panes", mode="update", keys=["pane_start", "item"], progress=progress)
+        until = F.to_timestamp(F.lit(progress.get("watermark")))
+        return P.trends_from_panes(panes, kind, DAY, days * DAY, until)
+    return run
+
+
+for _kind, _days in (("popular", 3), ("trending", 6), ("hot", 9)):
+    register(f"stream_{_kind}_panes", _trend_sql(_kind, _days))(_trends(_kind, _days))

@@ -56,49 +56,83 @@ def stream_bandit(log: DataFrame, arm: str = "arm", reward: str = "reward") -> D
     return log.groupBy(arm).agg(F.count(F.lit(1)).alias("pulls"), F.sum(reward).alias("reward_sum"))
 
 
-def split_feed(events: DataFrame, parts: int, order: str = "ts") -> str:
-    """Write a table as ``parts`` consecutive files groups in ``order`` (file
-    times follow), so a stream with ``max_files`` reads it in several
-    micro-batches.  Every part but the first repeats the rows of the part
-    before whose key is a multiple of 10, as an at-least-once feed would."""
+def split_feed(events: DataFrame, parts: int, order: str = "ts") -> tuple[str, int]:
+    """Write a table as ``parts`` groups of files, consecutive in ``order``
+    (file times follow), and return the folder and the number of files a group:
+    a stream with that ``max_files`` reads one group a micro-batch.  Every part
+    but the first repeats the rows of the part before whose key is a multiple
+    of 10, as an at-least-once feed would."""
     spark = events.sparkSession
     out = f"{table_folder(spark)}/feed-{uuid.uuid4().hex}"
     t = F.col(order).cast("timestamp").cast("double")
-    cuts = events.select(F.percentile_approx(t, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    cuts, rows = events.select(F.percentile_approx(t, [i / parts for i in range(1, parts)], 10_000), F.count(F.lit(1))).first()
+    cuts = cuts or []
+    # every file of a group holds rows, so that all groups have equally many files
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // (100 * parts)))
     part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < t)) if cuts else F.lit(0)
-    rows = events.withColumn("_part", part)
+    dealt = events.withColumn("_part", part)
     for i in range(parts):
         again = (F.col("_part") == i - 1) & (F.col("event_id") % 10 == 0)
-        rows.where((F.col("_part") == i) | again).drop("_part").coalesce(1).write.mode("append").parquet(out)
-    return out
+        dealt.where((F.col("_part") == i) | again).drop("_part").repartition(files).write.mode("append").parquet(out)
+    return out, files
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append", keys=()) -> DataFrame:
+def run_to_table(df: DataFrame, name: str, mode: str = "append", keys=(), progress: dict | None = None) -> DataFrame:
     """Run a streaming query to completion (availableNow) and read its result.
     Append mode writes to a Parquet sink.  Update and complete mode keep a
     table by ``keys``: every micro-batch's rows replace the rows of their keys,
     as a new version beside the one before (a retried batch writes its version
-    again, so restarts are safe)."""
-    spark = df.sparkSession
-    base = f"{table_folder(spark)}/streams/{name}-{uuid.uuid4().hex[:8]}"
-    ckpt, out = f"{base}/_checkpoint", f"{base}/data"
+    again, so restarts are safe).  ``progress`` takes the last watermark."""
+    def merged(batch: DataFrame, old: DataFrame | None) -> DataFrame:
+        if old is None or mode != "update":
+            return batch
+        return batch.unionByName(old.join(batch.select(*keys), list(keys), "left_anti"))
     if mode == "append":
+        out, ckpt = _places(df, name)
         q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
              .outputMode("append").trigger(availableNow=True).start())
         q.awaitTermination()
-        return spark.read.parquet(out)
+        return df.sparkSession.read.parquet(out)
+    return _run_versions(df, name, mode, merged, df.schema, progress)
+
+
+def run_sums(df: DataFrame, name: str, per_batch, keys, value: str) -> DataFrame:
+    """Run an append stream to completion and keep running sums:
+    ``per_batch(batch)`` gives rows (*keys, value), which are added to the sums
+    of the version before.  A batch that is tried again starts from that same
+    version and writes its own once more, so nothing is counted twice."""
+    schema = per_batch(df.sparkSession.createDataFrame([], df.schema)).schema
+    return _run_versions(df, name, "append", lambda b, old: added(per_batch(b), old, keys, value), schema)
+
+
+def added(new: DataFrame, old: DataFrame | None, keys, value: str) -> DataFrame:
+    both = new if old is None else old.unionByName(new)
+    return both.groupBy(*keys).agg(F.sum(value).alias(value))
+
+
+def write_version(out: str, epoch: int, batch: DataFrame, merged) -> None:
+    """Version ``epoch`` of a table from the version before and a micro-batch."""
+    old = batch.sparkSession.read.parquet(f"{out}/version={epoch - 1}") if epoch else None
+    merged(batch, old).write.mode("overwrite").parquet(f"{out}/version={epoch}")
+
+
+def _places(df: DataFrame, name: str) -> tuple[str, str]:
+    base = f"{table_folder(df.sparkSession)}/streams/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{base}/data", f"{base}/_checkpoint"
+
+
+def _run_versions(df: DataFrame, name: str, mode: str, merged, schema, progress: dict | None = None) -> DataFrame:
+    out, ckpt = _places(df, name)
     done: list[int] = []
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        merged = batch
-        if epoch > 0 and mode == "update":
-            old = batch.sparkSession.read.parquet(f"{out}/version={epoch - 1}")
-            merged = batch.unionByName(old.join(batch.select(*keys), list(keys), "left_anti"))
-        merged.write.mode("overwrite").parquet(f"{out}/version={epoch}")
+        write_version(out, epoch, batch, merged)
         done.append(epoch)
     q = (df.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
+    if progress is not None and q.lastProgress:
+        progress["watermark"] = q.lastProgress["eventTime"].get("watermark")
     if not done:
-        return spark.createDataFrame([], df.schema)
-    return spark.read.parquet(f"{out}/version={max(done)}")
+        return df.sparkSession.createDataFrame([], schema)
+    return df.sparkSession.read.parquet(f"{out}/version={max(done)}")

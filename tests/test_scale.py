@@ -157,9 +157,9 @@ def test_repeats_across_micro_batches_are_dropped(spark):
     ev = spark.createDataFrame([(k, D0 + timedelta(hours=k), k % 3, "purchase", 1.0, '{"k": 1}') for k in range(40)],
                                "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
                                .replace("timestamp_ntz", "timestamp")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    folder = J.split_feed(ev, 4)
+    folder, files = J.split_feed(ev, 4)
     assert spark.read.parquet(folder).count() > 40
-    s = J.read_event_stream(spark, folder, "*.parquet", max_files=1).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
+    s = J.read_event_stream(spark, folder, "*.parquet", max_files=files).withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["event_id"])
     out = J.run_to_table(s.groupBy("user").agg(F.count(F.lit(1)).alias("n")), "t", mode="update", keys=["user"])
     assert {r.user: r.n for r in out.collect()} == {0: 14, 1: 13, 2: 13}
 
