@@ -25,12 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recoflow.llm.common import partitions, skew_lookup
+from recoflow.llm.common import skew_lookup
 from recoflow.operators.ranking import topn_per_group
 from recoflow.session import cut_lineage
 
 M, EF_BUILD, EF_SEARCH = 16, 80, 96     # links a node (2 M on layer 0), beam widths
-SHARD_ROWS, QUERY_BLOCK = 16_384, 4096
+SHARD_ROWS, QUERY_BLOCK = 8192, 4096
 BATCH, EXPAND = 256, 4                  # vectors in lockstep, candidates they expand a step
 INDEX_FIELDS = ("dim int, shard int, vkeys array<string>, ids array<long>, held array<int>, vectors array<double>, levels array<int>, "
                 "near array<int>, upper array<int>, entry int")
@@ -281,8 +281,9 @@ def vector_classes(embeddings: DataFrame, keep: int, id_col: str = "vec_id", vec
 
 
 def shard_count(classes: DataFrame, shard_rows: int = SHARD_ROWS) -> int:
-    """Shards of about ``shard_rows`` vectors, at least one a shuffle partition."""
-    return max(partitions(classes.sparkSession), -(-classes.count() // shard_rows))
+    """Shards of about ``shard_rows`` vectors; a query meets each of them, so
+    their number follows the vectors alone."""
+    return max(1, -(-classes.count() // shard_rows))
 
 
 def build_index(classes: DataFrame, shards: int, m: int = M, ef: int = EF_BUILD) -> DataFrame:
