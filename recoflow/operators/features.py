@@ -79,11 +79,14 @@ def encode_samples(df: DataFrame, dictionary: DataFrame, id_col: str, label_col:
 
 def remap_ids(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
     """Sorted distinct keys -> 0..n-1 as long (two-level global rank of the
-    distinct keys only), joined back to every row."""
+    distinct keys only), joined back to every row.  A null key is no key: its
+    rows stay, with a null index."""
     name = name or f"{col}_idx"
-    keys = df.select(col).distinct()
+    known = F.col(col).isNotNull()
+    keys = df.where(known).select(col).distinct()
     r = global_row_number(keys, [F.col(col).asc()], "_rn").select(col, (F.col("_rn") - 1).alias(name))
-    return df.join(r, col)
+    out = df.where(known).join(r, col)
+    return out.unionByName(df.where(~known).withColumn(name, F.lit(None).cast("long")))
 
 
 def missing_feat(df: DataFrame, cols, marker=-1, name: str = "missing_feat") -> DataFrame:

@@ -84,15 +84,17 @@ def negatives(positives: DataFrame, seen: DataFrame, items: DataFrame, n: int, s
     places = cut_lineage(seen.select("user", F.col("item").alias("neg_item")).distinct().join(ranked, "neg_item")
                          .select("user", "_p"))
     per_user = places.groupBy("user").agg(F.count(F.lit(1)).alias("_ns"))
-    per_user = global_running_sum(per_user, [F.col("user").asc()], "_ns", "_base", inclusive=False)
+    per_user = cut_lineage(global_running_sum(per_user, [F.col("user").asc()], "_ns", "_base", inclusive=False))
     draws = positives.select(pid, "user", "item").join(per_user, "user", "left")
     unseen = F.lit(size) - F.coalesce("_ns", F.lit(0))
     draws = draws.select("*", unseen.alias("_u"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("j"))
     draws = draws.withColumn("_lo", F.expr(f"j * _u div {n}")).withColumn("_hi", F.expr(f"(j + 1) * _u div {n}"))
     draws = draws.where(F.col("_hi") > F.col("_lo")).withColumn(
         "_r", F.col("_lo") + F.pmod(hash32(F.lit(str(seed)), pid, "j"), F.col("_hi") - F.col("_lo")))
-    w = Window.partitionBy("user").orderBy("_p")
-    gaps = places.select("user", (F.col("_p") - F.row_number().over(w) + 1).alias("_r"), F.lit(1).alias("_seen"))
+    # a seen place's number within its user: its global number minus those of the users before
+    numbered = global_row_number(places, [F.col("user").asc(), F.col("_p").asc()], "_g")
+    numbered = blocked_join(numbered, per_user.select("user", F.col("_base").alias("_b0")), ["user"], "_p")
+    gaps = numbered.select("user", (F.col("_p") - (F.col("_g") - F.col("_b0")) + 1).alias("_r"), F.lit(1).alias("_seen"))
     line = gaps.unionByName(draws.select("user", "_r", F.lit(0).alias("_seen"), pid, "item", "j", "_base"),
                             allowMissingColumns=True)
     order = [F.col("user").asc(), F.col("_r").asc(), F.col("_seen").desc(), F.col(pid).asc(), F.col("j").asc()]
@@ -171,3 +173,15 @@ def pad_histories(df: DataFrame, length: int | None = None, col: str = "history"
     return df.withColumn("hist_len", F.size(h)).withColumn(
         col, F.concat(h, F.array_repeat(F.lit(pad).cast(df.schema[col].dataType.elementType),
                                         (size - F.size(h)).cast("int"))))
+
+
+def pad_batches(df: DataFrame, batch: int, order: list, col: str = "history", pad=0) -> DataFrame:
+    """Right-pad every list to the longest of its batch: batches of ``batch``
+    consecutive rows of ``order`` (which ends in a unique key), numbered from 0
+    in the column ``batch``.  Ordered by length, lists are hardly padded."""
+    n = F.size(col)
+    d = global_row_number(df, order, "_rn").withColumn("batch", F.expr(f"(_rn - 1) div {int(batch)}")).drop("_rn")
+    longest = d.groupBy("batch").agg(F.max(n).alias("_n"))
+    kind = df.schema[col].dataType.elementType
+    return d.join(longest, "batch").withColumn("hist_len", n).withColumn(
+        col, F.concat(F.col(col), F.array_repeat(F.lit(pad).cast(kind), (F.col("_n") - n).cast("int")))).drop("_n")

@@ -144,9 +144,9 @@ def q_prop_keys(spark, sf):
 
 @register("item_weights", ctes(("items", "item_factors")) + """
 SELECT i.item, coalesce(w.weight, 1.0) AS weight FROM items i
-LEFT JOIN (SELECT item, weight FROM item_factors WHERE category % 2 = 1) w ON i.item = w.item""")
+LEFT JOIN item_factors w ON i.item = w.item""")
 def q_item_weights(spark, sf):
-    w = T.item_factors(spark, sf).where(F.col("category") % 2 == 1).select("item", "weight")
+    w = T.item_factors(spark, sf).select("item", "weight")
     return E.item_weights(T.items(spark, sf), w)
 
 

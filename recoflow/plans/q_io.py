@@ -13,6 +13,8 @@ from recoflow.plans.q_core import ITEM_DOCS_SQL, all_docs, docs_text
 from recoflow.plans.registry import register
 from recoflow.plans.sqlparts import ctes, pop_cte
 from recoflow.session import cut_lineage, table_folder
+from recoflow.sources import docstore as DS
+from recoflow.sources import eventdays as ED
 from recoflow.sources import io as IO
 from recoflow.sources import tables as T
 from recoflow.sources.tables import LONG_DURATION, POP_END, PRIMARY
@@ -130,15 +132,44 @@ def q_read_item_docs(spark, sf):
     return docs_text(IO.read_item_docs(spark, p))
 
 
-@register("lookup_item_doc", ITEM_DOCS_SQL + " WHERE coalesce(cp.item, it.item) % 7 = 3")
+@register("lookup_item_doc", ITEM_DOCS_SQL + " WHERE it.item IS NOT NULL")
 def q_lookup_item_doc(spark, sf):
-    """Published documents by id: every seventh item is asked for."""
+    """Published documents by id: every item of the catalogue is asked for."""
     p = _scratch(spark, "docs_lookup")
     IO.write_item_docs(all_docs(spark, sf), p, 1)
-    ids = T.items(spark, sf).where("item % 7 = 3").select("item")
+    ids = T.items(spark, sf).select("item")
     return docs_text(IO.lookup_item_doc(IO.read_item_docs(spark, p), ids))
 
 
+@register("doc_store_lookup", ITEM_DOCS_SQL + " WHERE it.item IS NOT NULL")
+def q_doc_store_lookup(spark, sf):
+    """Documents by key: a first version without popularity, then one that
+    holds the folds of the items whose popularity came; the whole catalogue is
+    looked up in it."""
+    p = _scratch(spark, "docstore")
+    docs = cut_lineage(all_docs(spark, sf))
+    first = DS.publish(spark, p, docs.withColumn("pop_rank", F.lit(None).cast("double")))
+    second = DS.publish(spark, p, docs.where("pop_rank IS NOT NULL"), before=first)
+    return docs_text(DS.lookup(spark, p, T.items(spark, sf).select("item"), second))
+
+
+PERIODS = [("a", "2024-01-03 06:00:00", "2024-01-05 18:30:00"), ("b", "2024-01-05 00:00:00", "2024-01-06 00:00:00"),
+           ("c", "2024-01-20 12:00:00", "2024-01-20 12:30:00")]
+
+
+@register("event_days_scan", ctes(("inter",)) + """
+SELECT p.period, i.event_id, i.user, i.item, i.action FROM inter i JOIN (VALUES """ + ", ".join(
+    f"('{n}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for n, a, b in PERIODS) + """) p(period, s, e)
+ON i.ts >= p.s AND i.ts < p.e WHERE i.action IN ('purchase', 'view')""")
+def q_event_days_scan(spark, sf):
+    """Events of three periods from the log written by day and action."""
+    p = _scratch(spark, "event_days")
+    ED.write_event_days(T.inter(spark, sf), p)
+    periods = spark.createDataFrame(PERIODS, "period string, start string, end string").select(
+        "period", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")])
+    return ED.events_in_periods(spark, p, periods, ["purchase", "view"]).select("period", "event_id", "user", "item", "action")
+
+
 @register("write_scores_csv", ctes(("scored",)) + """
 SELECT CAST(id AS VARCHAR) AS id, printf('%.5f', score) AS target FROM scored""")
 def q_write_scores_csv(spark, sf):

@@ -295,6 +295,32 @@ def q_pad_histories(spark, sf):
                     F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))
 
 
+CAPPED = 20
+
+
+@register("history_prefix_capped", ctes(("inter",), _HIST) + f"""
+SELECT user, CAST(pos AS INTEGER) AS pos, item, array_to_string(list_slice(history, greatest(len(history) - {CAPPED - 1}, 1),
+  len(history)), ',') AS history FROM hp""")
+def q_history_prefix_capped(spark, sf):
+    """The newest items before each event: rows and cells grow with the events."""
+    h = S.history_prefix(T.inter(spark, sf), cap=CAPPED)
+    return h.select("user", "pos", "item", F.array_join(F.transform("history", lambda x: x.cast("string")), ",")
+                    .alias("history"))
+
+
+@register("pad_histories_batch", ctes(("inter",), _HIST, f"""
+hc AS (SELECT user, pos, event_id, list_slice(history, greatest(len(history) - {CAPPED - 1}, 1), len(history)) AS h FROM hp),
+hb AS (SELECT *, (row_number() OVER (ORDER BY len(h), event_id) - 1) // 32 AS batch FROM hc)""") + """
+SELECT event_id, batch, CAST(len(h) AS INTEGER) AS hist_len, array_to_string(list_concat(h,
+  list_transform(range(max(len(h)) OVER (PARTITION BY batch) - len(h)), lambda x: 0)), ',') AS history FROM hb""")
+def q_pad_histories_batch(spark, sf):
+    """Histories in batches of 32 by length, each padded to its batch's longest."""
+    h = S.history_prefix(T.inter(spark, sf), cap=CAPPED)
+    p = S.pad_batches(h, 32, [F.size("history").asc(), F.col("event_id").asc()])
+    return p.select("event_id", "batch", "hist_len",
+                    F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))
+
+
 _SEQ_SQL = ctes(("inter", "item_factors"), _HIST, _neg_sql(
     "positives AS (SELECT event_id, user, item FROM hp WHERE pos > 1)", 1)) + """,
 lastid AS (SELECT user, arg_max(event_id, (ts, event_id)) AS last_id FROM inter GROUP BY user),

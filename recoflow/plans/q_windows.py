@@ -9,9 +9,11 @@ from recoflow.operators import filters as FL
 from recoflow.operators import interactions as I
 from recoflow.operators import retrieval as R
 from recoflow.operators.ranking import topn_per_group
+from recoflow.operators import sketches as SK
 from recoflow.plans.registry import register
 from recoflow.plans.sqlparts import ctes
 from recoflow.sources import io as IO
+from recoflow.session import cut_lineage
 from recoflow.sources import tables as T
 from recoflow.sources.tables import PRIMARY
 
@@ -117,6 +119,32 @@ def q_dataset_cardinality(spark, sf):
     return I.dataset_cardinality(T.inter(spark, sf))
 
 
+WEEKS = [("w1", "2024-01-01", "2024-01-07"), ("w2", "2024-01-08", "2024-01-14"), ("half", "2024-01-01", "2024-01-15"),
+         ("all", "2024-01-01", "2024-01-31")]
+
+
+@register("cardinality_ranges", ctes(("inter",)) + """
+SELECT period, action, count(*) AS events, true AS users_ok, true AS items_ok FROM inter JOIN (VALUES """ + ", ".join(
+    f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in WEEKS) + """) p(period, a, b)
+ON CAST(ts AS DATE) BETWEEN a AND b GROUP BY period, action""")
+def q_cardinality_ranges(spark, sf):
+    """Distinct users and items of four ranges from daily sketches, each within
+    3 % of the exact count (which alone reads the events again)."""
+    inter = T.inter(spark, sf)
+    sketches = cut_lineage(SK.daily_sketches(inter))
+    periods = spark.createDataFrame(WEEKS, "period string, first string, last string").select(
+        "period", *[F.col(c).cast("date").alias(c) for c in ("first", "last")])
+    got = SK.range_cardinality(sketches, periods)
+    days = periods.select("period", F.explode(F.sequence("first", "last")).alias("day"))
+    exact = inter.withColumn("day", F.to_date("ts")).join(F.broadcast(days), "day").groupBy("period", "action").agg(
+        F.count_distinct("user").alias("u"), F.count_distinct("item").alias("i"))
+
+    def near(est, true):
+        return F.abs(F.col(est) - F.col(true)) <= 0.03 * F.col(true)
+    return got.join(exact, ["period", "action"]).select(
+        "period", "action", "events", near("users", "u").alias("users_ok"), near("items", "i").alias("items_ok"))
+
+
 @register("ratings_by_user", ctes(("inter", "rated")) + """
 SELECT user, array_to_string(list(item || ':' || rating ORDER BY item), ',') AS truth FROM (
   SELECT user, item, arg_max(rating, (ts, event_id)) AS rating FROM rated GROUP BY user, item) GROUP BY user""")
