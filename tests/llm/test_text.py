@@ -339,6 +339,39 @@ def test_missed_targets_are_reported(spark):
         assert np.isclose(sum(r[f"wanted_{d}"].iloc[0] for d in mixing.DOMAINS), r.n_tokens.sum(), rtol=1e-6)
 
 
+def test_targets_out_of_reach_come_near_the_nearest_totals(spark):
+    rng = np.random.default_rng(0)
+    p, t = rng.dirichlet([3, .3, .5, .1], 200), rng.integers(1, 500, 200).astype(float)
+    want = np.array([.2, .5, .2, .1]) * t.sum()
+    m = (p * t[:, None]).T @ p
+    metric = np.linalg.inv(m + mixing.RIDGE * np.trace(m) * np.eye(4))
+    frame = members(spark, [(a, tuple(b)) for a, b in zip(t, p)])
+    can = mixing.nearest(frame, want, metric, 1e-9)
+    targets = dict(zip(mixing.DOMAINS, [.2, .5, .2, .1]))
+    if np.abs(can - want).max() <= mixing.GAP * t.sum():
+        targets = {"good_toxic": 1.0}
+        want = np.array([0, 1, 0, 0]) * t.sum()
+        can = mixing.nearest(frame, want, metric, 1e-9)
+    with pytest.warns(UserWarning, match="no rates reach"):
+        out, got, asked = mixing.fit_rates(frame, targets, [True] * 4)
+    assert np.allclose(asked, want)
+    rates = out.toPandas()
+    assert (rates._xr >= 0).all() and np.allclose((rates[[f"_xp{i}" for i in range(4)]].to_numpy() * (rates._xt * rates._xr).to_numpy()[:, None]).sum(0), got, rtol=1e-6)
+    own = (p * t[:, None]).sum(0)
+    aim = can + mixing.INNER * (own * can.sum() / own.sum() - can)
+    assert np.abs(got - aim).max() <= mixing.INNER_GAP * t.sum()
+
+
+def test_many_copies_are_dealt_to_blocks(spark):
+    docs = spark.createDataFrame([(i, "good words here and there") for i in range(400)] + [(900, "bad toxin stuff")], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(900, 0, 1)], "doc_id long, quality int, toxic int")
+    targets = {"good": .3, "junk_toxic": .7}
+    out = mixing.mixed(docs, lab, targets).toPandas()
+    again = mixing.resample(docs, lab, targets).toPandas()
+    want = {i: n for i, n in zip(out.doc_id, out.copies) if n}
+    assert max(want.values()) > 2 * mixing.COPIES and again.groupby("doc_id").size().to_dict() == want
+
+
 def test_a_rare_domain_stays_in_the_sample(spark):
     n = 3000
     kind = lambda i: (0, 1) if i == 77 or i == 1500 else (1, 0)
