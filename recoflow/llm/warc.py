@@ -75,7 +75,7 @@ def write_archives(captures: DataFrame, path: str, min_bytes: int = 0,
     record = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(is_revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "), urn(F.col("id")),
-        F.lit("\r\nWARC-Date: "), F.coalesce(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("")),
+        F.lit("\r\nWARC-Date: "), F.coalesce(F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("")),
         F.when(url.isNull(), "").otherwise(F.concat(F.lit("\r\nWARC-Target-URI: "), url)),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
         F.when(is_revisit, F.concat(

@@ -59,6 +59,17 @@ def test_small_payloads_are_all_responses(spark):
     assert got == {1: None, 2: None, 3: 4, 4: None}
 
 
+def test_dates_are_utc_in_any_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    caps = spark.range(2).selectExpr("id", "'http://a.org/' as url", "timestamp_seconds(1704067200 + id * 15724800) as ts", "'x' as payload")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = sorted(r.ts for r in warc.capture_index(caps).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == ["20240101000000", "20240701000000"]
+
+
 def test_merged_index_is_in_order(spark):
     pages = spark.createDataFrame([(i, f"http://h{i * 7 % 13}.org/{i * 5 % 17}", f"p{i}") for i in range(300)],
                                   "page_id long, url string, html string")
