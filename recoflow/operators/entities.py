@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PROPS_T = "map<string,string>"
+EVENTS_PER_TASK = 100_000       # ``$set`` events exploded by one task
 
 
 def props_map(col="properties"):
@@ -23,10 +24,22 @@ def property_rows(events: DataFrame, entity_type: str) -> DataFrame:
     return s.select("entity_id", "ts", "event_id", F.explode(props_map()).alias("key", "value"))
 
 
+def _dealt(events: DataFrame, entity_type: str) -> DataFrame:
+    """The ``$set`` events of the type in equal shares, also of one entity's."""
+    s = events.where((F.col("event") == "$set") & (F.col("entity_type") == entity_type))
+    s = s.select("event", "entity_type", "entity_id", "properties", "ts", "event_id")
+    parts = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return s.repartition(max(parts, -(-s.count() // EVENTS_PER_TASK)), "entity_id", "event_id", "ts")
+
+
 def aggregate_properties(events: DataFrame, entity_type: str) -> DataFrame:
     """ENTITY_PROPS (entity_id, props map, first_updated, last_updated).
-    One shuffle on (entity, key) with partial max_by, then one on entity."""
-    rows = property_rows(events, entity_type)
+    One shuffle on (entity, key) with partial max_by, then one on entity.
+
+    The partial step sorts a task's exploded rows, and a few megabytes of a
+    well-packed file explode to a task's whole memory: the events are dealt out
+    first, ``EVENTS_PER_TASK`` at most to a task, however they are stored."""
+    rows = property_rows(_dealt(events, entity_type), entity_type)
     latest = rows.groupBy("entity_id", "key").agg(
         F.max_by("value", F.struct("ts", "event_id")).alias("value"),
         F.min("ts").alias("t0"), F.max("ts").alias("t1"))

@@ -1,7 +1,15 @@
 """Steps whose rows, memory or results sent to the driver must not outgrow the input."""
 
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from recoflow.operators import entities as E
 from recoflow.operators import retrieval as R
 
+D0 = datetime(2024, 1, 1)
+
+
 def test_boosted_fields_makes_no_row_per_query_and_document(spark, monkeypatch):
     brands = [f"b{k}" for k in range(6)]
     docs = [(i, {"brand": [brands[i % 5]], "type": [f"t{i % 3}"]}) for i in range(600)]
@@ -33,3 +41,19 @@ def test_boosted_fields_makes_no_row_per_query_and_document(spark, monkeypatch):
             want[k] = sorted(score.items(), key=lambda x: (-x[1], x[0] is not None, x[0] or 0))[:4]
     assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in want.items()}
     assert max(made) < 5000 < len(queries) * len(docs) // 4
+
+
+def test_property_events_of_one_file_are_dealt_to_tasks(spark, monkeypatch):
+    rows = [(k, "$set", "item", f"i{k % 7}", f'{{"a": "{k}", "k{k % 3}": "x"}}', D0 + timedelta(minutes=k)) for k in range(2000)]
+    rows.append((5000, "$set", "user", "u", '{"other": "1"}', D0))
+    events = spark.createDataFrame(rows, "event_id long, event string, entity_type string, entity_id string, properties string, ts timestamp").coalesce(1)
+    seen, whole = [], E.property_rows
+
+    def looked(ev, kind):
+        seen.extend(r["count"] for r in ev.groupBy(F.spark_partition_id()).count().collect())
+        return whole(ev, kind)
+    monkeypatch.setattr(E, "property_rows", looked)
+    monkeypatch.setattr(E, "EVENTS_PER_TASK", 50, raising=False)
+    got = {r.entity_id: r.props for r in E.aggregate_properties(events, "item").collect()}
+    assert set(got) == {f"i{k}" for k in range(7)} and got["i6"]["a"] == str(max(k for k in range(2000) if k % 7 == 6))
+    assert sum(seen) == 2000 and max(seen) <= 120
