@@ -15,11 +15,13 @@ NUM = ["f_value", "f_price", "f_size"]
 
 
 def _assembled(spark, sf):
-    """Three numeric features and a label that they tell: whether the size is over 20."""
+    """Three numeric features and a label that they tell: whether the size is over 20.
+    Written once: every pass of a fit would join the tables again."""
     from pyspark.ml.feature import VectorAssembler
     d = T.ctr(spark, sf).withColumn("fold", F.pmod(F.col("id") * 7919, F.lit(5)).cast("int"))
     d = d.withColumn("label", (F.col("f_size") > 20).cast("double"))
-    return VectorAssembler(inputCols=NUM, outputCol="features").transform(d)
+    d = VectorAssembler(inputCols=NUM, outputCol="features").transform(d)
+    return cut_lineage(d.select("id", "fold", "label", "features"))
 
 
 _LABEL = "CAST(CASE WHEN f_size > 20 THEN 1 ELSE 0 END AS DOUBLE) AS label"

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from recoflow.operators import entities as E
+from recoflow.sources import tables as T
 from recoflow.operators import retrieval as R
 
 D0 = datetime(2024, 1, 1)
@@ -57,3 +58,15 @@ def test_property_events_of_one_file_are_dealt_to_tasks(spark, monkeypatch):
     got = {r.entity_id: r.props for r in E.aggregate_properties(events, "item").collect()}
     assert set(got) == {f"i{k}" for k in range(7)} and got["i6"]["a"] == str(max(k for k in range(2000) if k % 7 == 6))
     assert sum(seen) == 2000 and max(seen) <= 120
+
+
+def test_click_rows_broadcast_neither_users_nor_items(spark, scratch):
+    spark.range(50).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 7 AS user_id", "'view' AS event_type",
+                               "1.5D AS value", "concat('{\"k\": ', id % 5, '}') AS props").write.parquet(f"{scratch}/events.parquet")
+    spark.range(7).selectExpr("id AS c_custkey", "'A' AS c_mktsegment", "1 AS c_nationkey", "2.0D AS c_acctbal").write.parquet(f"{scratch}/customer.parquet")
+    spark.range(4).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "cast(id AS int) AS p_size",
+                              "1.0D AS p_retailprice").write.parquet(f"{scratch}/part.parquet")
+    d = T.ctr(spark, scratch)
+    assert d.count() == 40
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
