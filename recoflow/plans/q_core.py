@@ -11,7 +11,7 @@ from recoflow.operators import docs as D
 from recoflow.operators import interactions as I
 from recoflow.operators import retrieval as R
 from recoflow.operators.incremental import add_batch
-from recoflow.operators.joins import blocked_join
+from recoflow.operators.joins import owned_join
 from recoflow.operators.popularity import popularity
 from recoflow.plans.registry import register
 from recoflow.plans.sqlparts import CORR, SCORES, capped_sql, ctes, pop_cte, scores_sql
@@ -456,7 +456,8 @@ def q_seen_anti(spark, sf):
     """Correlator candidates per user minus the items the user already bought."""
     i = T.inter(spark, sf)
     corr = correlators(spark, sf)
-    cand = (blocked_join(i.select("user", "action", F.col("item").alias("other")), corr, ["action", "other"], "user")
-            .groupBy("user", "item").agg(F.count(F.lit(1)).alias("n")))
+    acts = cut_lineage(i.groupBy("user", "action", F.col("item").alias("other")).agg(F.count(F.lit(1)).alias("times")))
+    cand = (owned_join(acts, corr.select("action", "other", "item"), ["action", "other"], "user")
+            .groupBy("user", "item").agg(F.sum("times").alias("n")))
     seen = i.where(F.col("action") == PRIMARY).select("user", "item")
     return cand.join(seen, ["user", "item"], "left_anti")

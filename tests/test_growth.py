@@ -1,10 +1,13 @@
 """Steps whose rows, memory or results sent to the driver must not outgrow the input."""
 
+import re
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from recoflow.operators import entities as E
+from recoflow.operators import joins as J
 from recoflow.sources import tables as T
 from recoflow.operators import retrieval as R
 
@@ -70,3 +73,30 @@ def test_click_rows_broadcast_neither_users_nor_items(spark, scratch):
     assert d.count() == 40
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("small", [1000, 10])
+def test_rows_that_a_task_makes_and_groups_are_bounded(spark, monkeypatch, small):
+    monkeypatch.setattr(J, "OUT_ROWS", 200, raising=False)
+    monkeypatch.setattr(J, "SMALL_RIGHT", small, raising=False)
+    left = spark.range(2000).selectExpr("id % 400 AS user", "id % 3 AS k").union(spark.createDataFrame([(1, None), (None, 2)], "user long, k long"))
+    right = spark.range(60).selectExpr("id % 4 AS k", "id AS item")
+    out = J.owned_join(left, right, ["k"], "user")
+    want = left.join(right, "k").groupBy("user", "item").count()
+    got = out.groupBy("user", "item").count()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    made = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(made) >= 30_000 and len(made) >= 30 if small == 1000 else len(made) > 1
+    if small == 1000:       # the rows made are grouped where they are
+        plan = got._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning(user") == 1 and max(made) < sum(made) // 20
+
+
+def test_history_matches_are_grouped_by_their_query(spark):
+    terms = spark.range(300).selectExpr("id % 50 AS query_id", "'buy' AS action", "id % 9 AS term", "1.0D AS boost")
+    corr = spark.range(90).selectExpr("'buy' AS action", "id % 10 AS item", "id % 9 AS other")
+    got = R.match_terms(terms, corr)
+    want = terms.join(corr.withColumnRenamed("other", "term"), ["action", "term"]).groupBy("query_id", "item").agg(F.sum("boost").alias("score"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "hashpartitioning(query_id#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and not re.search(
+        r"Exchange hashpartitioning\(query_id#\d+L?, item", plan)
