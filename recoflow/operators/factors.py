@@ -30,8 +30,9 @@ from recoflow.operators.ranking import global_row_number, topn_per_group
 from recoflow.session import cut_lineage
 
 RECS_SCHEMA = "user long, item long, score double"
-CHUNK_CELLS = 4_000_000        # doubles in one score chunk (32 MB)
-ROWS_PER_BLOCK = 200_000       # users or items per block (~100 MB of 64-dim vectors)
+CHUNK_CELLS = 1_000_000        # doubles in one score chunk (8 MB)
+USERS_PER_BLOCK, ITEMS_PER_BLOCK = 25_000, 50_000      # (13 and 26 MB of 64-dim vectors)
+TILE = 64                      # neighbouring columns whose best score stands for them
 
 
 def als_fit(inter: DataFrame, rank: int = 10, iterations: int = 20, reg: float = 0.01, seed: int = 3,
@@ -53,6 +54,50 @@ def _blocks(df: DataFrame, key: str, name: str, n: int) -> DataFrame:
     return df.withColumn(name, F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int"))
 
 
+def _near_best(S: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the scores that can be among the ``n`` best of their
+    row: the n-th best of the tiles' best scores is no better than the n-th best."""
+    if S.shape[1] <= n:
+        return np.nonzero(S > -np.inf)
+    tile = max(1, min(TILE, S.shape[1] // (4 * n)))
+    best = np.maximum.reduceat(S, np.arange(0, S.shape[1], tile), axis=1) if tile > 1 else S
+    m = best.shape[1]
+    low = np.partition(best, m - n, axis=1)[:, m - n:m - n + 1]
+    return np.nonzero(S >= np.maximum(low, np.finfo(S.dtype).min))
+
+
+def _first_n(rows: np.ndarray, cols: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``n`` best of each row by (score desc, column); infinite ones take a place and are left out."""
+    o = np.lexsort((cols, -s, rows))
+    rows, cols, s = rows[o], cols[o], s[o]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    take = (place < n) & np.isfinite(s)
+    return rows[take], cols[take], s[take]
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys the sorted ``known`` holds."""
+    if not len(known):
+        return np.zeros(len(keys), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def _listed_pairs(rows: np.ndarray, white: np.ndarray, ids: np.ndarray, size: int):
+    """(rows, columns) of the listed ids that are here, whole rows at a time, near ``size`` pairs or a row."""
+    got, n = [], 0
+    for r in rows:
+        own = np.unique(np.asarray(white[r], dtype=np.int64))
+        lo, hi = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
+        cols = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+        got.append((r, cols))
+        n += len(cols)
+        if n >= size:
+            yield np.repeat([r for r, _ in got], [len(c) for _, c in got]), np.concatenate([c for _, c in got])
+            got, n = [], 0
+    if got:
+        yield np.repeat([r for r, _ in got], [len(c) for _, c in got]), np.concatenate([c for _, c in got])
+
+
 def _topn_block(n: int):
     """Per (user block, item block): scores as one matrix product, the block's
     excluded pairs struck out, then the best ``n`` items of every user row.
@@ -96,35 +141,41 @@ def _topn_block(n: int):
         ex_row, ex_at, ex_item = ex_row[hit].astype(np.int64), ex_at[hit], struck["ex_item"].to_numpy(np.int64)[hit]
         same = ids[ex_at] == ex_item
         ex_row, ex_at = ex_row[same], ex_at[same]
-        out_u, out_i, out_s = [], [], []
+        by_row = np.argsort(ex_row, kind="stable")
+        ex_row, ex_at = ex_row[by_row], ex_at[by_row]
+        out = []
         # score users in chunks so the score matrix stays near CHUNK_CELLS
         # doubles whatever the block sizes are
         step = max(1, CHUNK_CELLS // max(1, X.shape[0]))
-        for c0 in range(0, U.shape[0], step):
-            sl = slice(c0, min(c0 + step, U.shape[0]))
-            cr = cos_rows[sl]
-            S = U[sl] @ X.T
+        open_rows = np.flatnonzero(~listed)
+        for c0 in range(0, len(open_rows), step):
+            at = open_rows[c0:c0 + step]
+            cr = cos_rows[at]
+            S = U[at] @ X.T
             if cr.any():
-                S[cr] = U[sl][cr] @ Xn.T
+                S[cr] = U[at][cr] @ Xn.T
             S *= w
-            S[S <= 0] = -np.inf
+            S[~(S > 0)] = -np.inf
+            if lacks is not None:
+                S[(lacks[0][at] @ lacks[1].T) > 0] = -np.inf
+            mine = slice(np.searchsorted(ex_row, at[0]), np.searchsorted(ex_row, at[-1], "right"))
+            r = np.searchsorted(at, ex_row[mine])
+            kept = at[r] == ex_row[mine]
+            S[r[kept], ex_at[mine][kept]] = -np.inf
+            rows, cols = _near_best(S, n)
+            out.append(_first_n(at[rows], cols, S[rows, cols], n))
+        # a query with its own list scores that list alone
+        struck_pairs = np.sort(ex_row * len(ids) + ex_at)
+        for rows, cols in _listed_pairs(np.flatnonzero(listed), white, ids, max(1, CHUNK_CELLS // X.shape[1])):
+            cr = cos_rows[rows]
+            s = np.einsum("ij,ij->i", U[rows], np.where(cr[:, None], Xn[cols], X[cols])) * w[0, cols]
+            ok = s > 0
             if lacks is not None:
-                S[(lacks[0][sl] @ lacks[1].T) > 0] = -np.inf
-            for r in np.flatnonzero(listed[sl]):
-                S[r, ~np.isin(ids, np.asarray(white[c0 + r], dtype=np.int64))] = -np.inf
-            mine = (ex_row >= sl.start) & (ex_row < sl.stop)
-            S[ex_row[mine] - c0, ex_at[mine]] = -np.inf
-            k = min(n, S.shape[1])
-            # n-th best score per row; ties at the cut go to the smaller item id (columns are in id order)
-            cut = -np.partition(-S, k - 1, axis=1)[:, k - 1:k]
-            above = S > cut
-            ties = (S == cut) & np.isfinite(S)
-            take = above | (ties & (np.cumsum(ties, axis=1) <= k - above.sum(axis=1, keepdims=True)))
-            rows, cols = np.nonzero(take & np.isfinite(S))
-            out_u.append(who[sl][rows])
-            out_i.append(ids[cols])
-            out_s.append(S[rows, cols])
-        return pd.DataFrame({"user": np.concatenate(out_u), "item": np.concatenate(out_i), "score": np.concatenate(out_s)})
+                ok &= (lacks[0][rows] * lacks[1][cols]).sum(axis=1) == 0
+            ok &= ~_among(rows * len(ids) + cols, struck_pairs)
+            out.append(_first_n(rows[ok], cols[ok], s[ok], n))
+        rows, cols, s = (np.concatenate([o[k] for o in out]) for k in range(3))
+        return pd.DataFrame({"user": who[rows], "item": ids[cols], "score": s})
     return fn
 
 
@@ -142,14 +193,14 @@ def blocked_topn(users: DataFrame, items: DataFrame, n: int, exclusions: DataFra
     spark = users.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = max(1, int(parts ** 0.5))
-    # blocks grow with the data so one group stays ~ROWS_PER_BLOCK rows per
-    # side; each side is replicated once per block of the other side.  The
+    # blocks grow with the data so one group stays near USERS_PER_BLOCK x
+    # ITEMS_PER_BLOCK; each side is replicated once per block of the other side.  The
     # user side (joins, profile sums) is written once, so counting it does
     # not compute it twice.
     if user_blocks is None:
         users = cut_lineage(users)
-    ub = user_blocks or max(base, -(-users.count() // ROWS_PER_BLOCK))
-    ib = item_blocks or max(base, -(-items.select("item").count() // ROWS_PER_BLOCK))
+    ub = user_blocks or max(base, -(-users.count() // USERS_PER_BLOCK))
+    ib = item_blocks or max(base, -(-items.select("item").count() // ITEMS_PER_BLOCK))
     if "mode" not in users.columns:
         users = users.withColumn("mode", F.lit("dot"))
     if "whitelist" not in users.columns:

@@ -3,10 +3,13 @@
 import re
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from recoflow.operators import entities as E
+from recoflow.operators import factors as FA
 from recoflow.operators import joins as J
 from recoflow.sources import tables as T
 from recoflow.operators import retrieval as R
@@ -100,3 +103,46 @@ def test_history_matches_are_grouped_by_their_query(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert "hashpartitioning(query_id#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and not re.search(
         r"Exchange hashpartitioning\(query_id#\d+L?, item", plan)
+
+
+def _block(rng, n_users, n_items, white):
+    users = pd.DataFrame({"user": np.arange(n_users), "vec": list(rng.integers(-2, 3, (n_users, 4)).astype(float)), "mode": "dot",
+                          "whitelist": white, "genres": None, "ex_item": np.nan})
+    users["genres"] = [["g1"] if u % 5 == 1 else None for u in range(n_users)]
+    users.loc[users["user"] % 4 == 0, "mode"] = "cosine"
+    struck = pd.DataFrame({"user": np.arange(n_users), "ex_item": (np.arange(n_users) * 2 % n_items).astype(float)})
+    items = pd.DataFrame({"item": np.arange(n_items), "vec": list(rng.integers(-2, 3, (n_items, 4)).astype(float)),
+                          "weight": rng.integers(1, 3, n_items) / 1.0, "genres": [["g1"] if i % 2 else ["g0"] for i in range(n_items)]})
+    return users, pd.concat([users, struck], ignore_index=True), items
+
+
+@pytest.mark.parametrize("n_items", [3, 60, 3000])
+def test_block_scores_are_those_of_every_pair(n_items):
+    rng = np.random.default_rng(5)
+    white = [[u % 7, u % 7 + 3, 10_000, u % 7] if u % 3 == 0 else None for u in range(40)]
+    users, frame, items = _block(rng, 40, n_items, pd.Series(white, dtype=object))
+    got = FA._topn_block(5)(frame, items)
+    for u in users.itertuples():
+        best = []
+        for i in items.itertuples():
+            s = float(np.dot(u.vec, i.vec)) * i.weight
+            if u.mode == "cosine":
+                s = s / np.linalg.norm(i.vec) if np.linalg.norm(i.vec) else 0.0
+            if s > 0 and i.item != u.user * 2 % n_items and (u.whitelist is None or i.item in u.whitelist) and not (u.genres and i.item % 2 == 0):
+                best.append((-round(s, 9), i.item))
+        mine = got[got["user"] == u.user]
+        have, best = sorted((-round(s, 9), i) for i, s in zip(mine["item"], mine["score"])), sorted(best)[:5]
+        # equal cosines may differ in their last bits
+        assert have == best if u.mode == "dot" else [s for s, _ in have] == [s for s, _ in best]
+
+
+def test_block_sizes_do_not_follow_the_data():
+    assert FA.USERS_PER_BLOCK <= 25_000 and FA.ITEMS_PER_BLOCK <= 50_000 and FA.CHUNK_CELLS <= 1_000_000
+
+
+def test_few_scores_of_a_row_are_sorted():
+    S = np.random.default_rng(1).random((20, 5000))
+    rows, cols = FA._near_best(S, 10)
+    assert 200 <= len(rows) < 1000
+    top = set(zip(*np.nonzero(S >= -np.partition(-S, 9, axis=1)[:, 9:10])))
+    assert top <= set(zip(rows, cols))
