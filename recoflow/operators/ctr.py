@@ -60,10 +60,11 @@ def ffm_score(samples: DataFrame, bias: float, linear: DataFrame, latent: DataFr
 
 def fm_fit(df: DataFrame, task: str = "regression", factor_size: int = 8, seed: int = 1,
            features: str = "features", label: str = "label", max_iter: int = 50):
-    from pyspark.ml.classification import FMClassifier
-    from pyspark.ml.regression import FMRegressor
-    est = FMRegressor if task == "regression" else FMClassifier
-    return est(featuresCol=features, labelCol=label, factorSize=factor_size, seed=seed, maxIter=max_iter).fit(df)
+    """Factorization machine with Spark ML's optimizer; its parameters stay on
+    the executors (see ``fm``), whose driver would get a dense gradient of all
+    features in each iteration."""
+    from recoflow.operators import fm
+    return fm.fit(df, task, factor_size, seed, features, label, max_iter)
 
 
 def gbdt_leaves(df: DataFrame, features: str, label: str, trees: int = 10, depth: int = 3, seed: int = 1):
